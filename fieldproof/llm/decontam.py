@@ -76,7 +76,7 @@ def _counted(rows: DataFrame, shingles: dict[int, np.ndarray]) -> dict[tuple[int
         look = {k: Lookup(v) for k, v in shared.value.items()}
         total = {k: np.zeros(len(v), np.int64) for k, v in shared.value.items()}
         for batch in batches:
-            for _, _, data, offs in pieces(batch.column("text")):
+            for _, _, data, offs in pieces(batch.column("_t")):
                 words = Words(data, offs, PUNCT)
                 for k, find in look.items():
                     at, ix = find.find(words.grams(k))
@@ -89,7 +89,7 @@ def _counted(rows: DataFrame, shingles: dict[int, np.ndarray]) -> dict[tuple[int
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(shared.value[k][some].view(np.int64)), pa.array(v[some])], ["k", "h", "n"])
 
-    got = rows.select("text").mapInArrow(count, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
+    got = rows.select("_t").mapInArrow(count, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
     return {(r.k, r.h & (2**64 - 1)): r.n for r in got.toLocalIterator()}
 
 
@@ -133,7 +133,7 @@ def _mark(rows: DataFrame, index: Index, counts: dict) -> DataFrame:
             n_words = np.zeros(len(batch), np.int64)
             hit: list = batch.column("hit").to_pylist() if had else [None] * len(batch)
             items: list = batch.column("items").to_pylist() if had else [[] for _ in range(len(batch))]
-            for i, j, data, offs in pieces(batch.column("text")):
+            for i, j, data, offs in pieces(batch.column("_t")):
                 words = Words(data, offs, PUNCT)
                 n_words[i:j] = words.counts
                 start, which = _hits(ix, words)
@@ -169,8 +169,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     hits; an empty docs table no rows. Other columns of either table are ignored, but for
     ``keep``, whose columns are passed on unless they have a result's name.
     """
-    keep = [c for c in keep or [] if c not in (id_col, "text", "n_words", "n_hit", "hit", "items")]
-    rows = docs.select(F.col(id_col).alias("_id"), *keep, F.col(text_col).cast("string").alias("text"))
+    keep = [c for c in keep or [] if c not in (id_col, "n_words", "n_hit", "hit", "items")]
+    rows = docs.select(F.col(id_col).alias("_id"), *(c for c in keep if c != text_col), F.col(text_col).cast("string").alias("_t"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = size // block_bytes + 1
@@ -178,7 +178,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     for b in range(blocks):
         index = Index(sorted((r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()), window, shingle)
         out = _mark(out, index, _counted(rows, index.shingles()) if index.words else {})
-    return out.select(F.col("_id").alias(id_col), *keep, "n_words", _bits("hit").cast("long").alias("n_hit"), "items")
+    return out.select(F.col("_id").alias(id_col), *(F.col("_t").alias(c) if c == text_col else F.col(c) for c in keep), "n_words", _bits("hit").cast("long").alias("n_hit"), "items")
 
 
 def _bits(name: str) -> Column:

@@ -55,9 +55,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    What the write shuffled is not needed again, so its files are released at once."""
+    conf, release = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}", conf.get(release, "false")
+    conf.set(release, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(release, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -12,7 +12,8 @@
    blocks of bounded size, with the rest of its bucket. So no linked pair that shares a bucket is
    lost for components, while the pairs made stay near linear in the size of a group of copies.
 
-A pair at the similarity bound is missed with probability (1 - t**rows)**bands, 4e-5 at 0.85.
+A pair right at the bound t shares no bucket with probability (1 - t**rows)**bands; ``rows`` is the
+largest number that keeps this under MISS (8 at 0.85, 6 at 0.8).
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 
 from fieldproof.llm.kit import SPACE, Words, components, mix64, pieces, stored, union_all
 
-BANDS, ROWS = 32, 8
-BINS = BANDS * ROWS
+BINS = 256
+#: Chance that a pair right at the similarity bound shares no bucket.
+MISS = 1e-4
 #: Rows of a bucket that one task compares with as many others.
 BLOCK = 512
 
@@ -63,7 +65,13 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return shingles[at]
 
 
-def _signed(rows: DataFrame, k: int) -> DataFrame:
+def band_rows(least: float) -> int:
+    return next((r for r in range(16, 1, -1) if (1 - least**r) ** (BINS // r) <= MISS), 1)
+
+
+def _signed(texts: DataFrame, k: int, rows: int) -> DataFrame:
+    n_bands = BINS // rows
+
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, digest, sig, bands = np.zeros(len(batch), np.int64), [], [], []
@@ -81,13 +89,13 @@ def _signed(rows: DataFrame, k: int) -> DataFrame:
                     v = mix64(signature(s))
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     sig.append((v & np.uint64(255)).astype(np.uint8).tobytes())
-                    b = np.arange(BANDS, dtype=np.uint64)
-                    for r in range(ROWS):
-                        b = mix64(b * np.uint64(0x9E3779B97F4A7C15) + v[r::ROWS])
+                    b = np.arange(n_bands, dtype=np.uint64)
+                    for r in range(rows):
+                        b = mix64(b * np.uint64(0x9E3779B97F4A7C15) + v[r : n_bands * rows : rows])
                     bands.append(b.view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "digest", "sig", "bands"])
 
-    return rows.mapInArrow(part, "id long, n long, digest binary, sig binary, bands array<long>")
+    return texts.mapInArrow(part, "id long, n long, digest binary, sig binary, bands array<long>")
 
 
 def _sets(rows: DataFrame, k: int) -> DataFrame:
@@ -193,7 +201,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = stored(_signed(texts, k))
+    signed = stored(_signed(texts, k, band_rows(num / den)))
     reps = stored(signed.where("n > 0").groupBy("digest").agg(F.min_by(F.struct("sig", "bands"), "id").alias("v"), F.min("id").alias("rep")).select("digest", "rep", "v.sig", "v.bands"))
     sigs = reps.select("rep", "sig")
     rows = reps.select("rep", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("bucket"), "rep")

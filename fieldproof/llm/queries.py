@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldproof.llm import chunk_dedup, decontam, embedding_dedup, language, license_scan, mixing, near_dedup, sharding, toxicity
+from fieldproof.llm import chunk_dedup, decontam, embedding_dedup, language, license_scan, mixing, near_dedup, sharding, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -105,7 +110,7 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON comp.id = d.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_mixing, op4_language, op6_embedding_dedup, op7_sharding, op8_license, op9_chunk_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_mixing, op4_language, op5_suffix_dedup, op6_embedding_dedup, op7_sharding, op8_license, op9_chunk_dedup, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
