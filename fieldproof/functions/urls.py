@@ -47,9 +47,12 @@ def root_domain(url: Column, second_level: list[str], fallback: bool = False) ->
     """The last two labels of the host, three after a second-level label of the list.
 
     ``fallback``: text before the first slash where the URL cannot be parsed, "" for none (scoring); else null."""
-    parts = F.split(host(url), r"\.")
-    n = F.size(parts)
-    root = F.when(n < 3, host(url)).when(F.element_at(parts, -2).isin(second_level), F.array_join(F.slice(parts, -3, 3), ".")).otherwise(F.array_join(F.slice(parts, -2, 2), "."))
+
+    def of(h: Column) -> Column:
+        parts = F.split(h, r"\.")
+        return F.when(F.size(parts) < 3, h).when(F.element_at(parts, -2).isin(second_level), F.array_join(F.slice(parts, -3, 3), ".")).otherwise(F.array_join(F.slice(parts, -2, 2), "."))
+
+    root = F.element_at(F.transform(F.array(host(url)), of), 1)  # the host is found once: a lambda's variable stands for it
     if fallback:
         bare = F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), r"^https?://", ""), r"^www\.", "")
         return F.when(truthy(url), F.coalesce(root, F.split_part(bare, F.lit("/"), F.lit(1)))).otherwise(F.lit(""))

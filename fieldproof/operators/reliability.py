@@ -163,8 +163,7 @@ def reliability(records: DataFrame, fields: DataFrame, evidence: DataFrame, conf
     base = sum((F.coalesce(c, F.lit(0)) * w for c, w in WEIGHTS.items()), F.lit(0.0))
     if fresh_required:
         base = base * 0.9 + F.col("freshness") * 0.1
-    # weights are hundredths: rounding the sum first keeps half-way scores where exact arithmetic puts them
-    score = F.least(F.lit(100), F.greatest(F.lit(0), js_round(F.round(base - conflict_penalty - inference, 6))))
+    score = F.least(F.lit(100), F.greatest(F.lit(0), js_round(base - conflict_penalty - inference)))
     out = parts.withColumns({"conflict_penalty": conflict_penalty, "inference_penalty": inference, "score": score.cast("int")})
     return out.withColumn("grade", grade(F.col("score"))).select(*KEYS, *WEIGHTS, "freshness", "conflict_penalty", "inference_penalty", "score", "grade")
 

@@ -128,8 +128,9 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string"), pick(SUFFIXES, o))
     url = F.when(F.pmod(o, F.lit(10)) < 7, F.lit("https://www.linkedin.com/company/x")).otherwise(F.concat(F.lit("https://careers.supplier"), F.pmod(s, F.lit(3)).cast("string"), F.lit(".com/jobs")))
     off = F.pmod(o * 7 + n, F.lit(97)) == 0
+    key = ((o * 10 + n) * 100_000 + s) * 1_000_000 + F.col("l_partkey")
     return line.join(part, line["l_partkey"] == part["p_partkey"]).select(
-        F.lit("RUN-1").alias("run_id"), (o * 10_000_000 + n * 1_000_000 + s).alias("record_id"), (o * 10_000_000 + n * 1_000_000 + s).alias("ingest_seq"), name.alias("entity_name"), url.alias("url"),
+        F.lit("RUN-1").alias("run_id"), key.alias("record_id"), key.alias("ingest_seq"), name.alias("entity_name"), url.alias("url"),
         pick([TITLES[0], TITLES[1], TITLES[2], None], F.floor(o / 2)).alias("role"), pick(["Bangalore", "Chennai", None], n.cast("long")).alias("location"), F.round(F.col("l_discount") * 100).cast("int").alias("confidence"),
         F.when(off, F.concat(F.col("p_size").cast("string"), F.lit("0"))).otherwise(F.col("p_size").cast("string")).alias("Size"), F.when(off, F.concat("p_type", F.lit(" X"))).otherwise(F.col("p_type")).alias("Type"),
     )

@@ -77,7 +77,7 @@ ev AS (SELECT record_id, o * 10000000 + n * 1000000 + s AS ev_seq, field, value,
   CASE l_returnflag WHEN 'N' THEN 'Confirmed' WHEN 'A' THEN 'Partially verified' ELSE 'Needs verification' END AS verification FROM ev0)"""
 CLASH = f"clash AS (SELECT record_id, field FROM ev WHERE NOT {missing('value')} GROUP BY record_id, field HAVING min({norm('value')}) <> max({norm('value')}))"
 _OFF = "(l_orderkey * 7 + l_linenumber) % 97 = 0"
-CAND = f"""cand AS (SELECT l_orderkey * 10000000 + l_linenumber * 1000000 + l_suppkey AS record_id, p_name || ' ' || p_partkey || {pick(A.SUFFIXES, 'l_orderkey')} AS entity_name,
+CAND = f"""cand AS (SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey) * 1000000 + l_partkey AS record_id, p_name || ' ' || p_partkey || {pick(A.SUFFIXES, 'l_orderkey')} AS entity_name,
   CASE WHEN l_orderkey % 10 < 7 THEN NULL ELSE 'supplier' || (l_suppkey % 3) || '.com' END AS domain, {pick([A.TITLES[0], A.TITLES[1], A.TITLES[2], None], 'l_orderkey // 2')} AS title,
   lower({pick(['Bangalore', 'Chennai', None], 'l_linenumber')}) AS place, CAST(round(l_discount * 100) AS INT) AS confidence,
   CASE WHEN {_OFF} THEN p_size || '0' ELSE CAST(p_size AS VARCHAR) END AS size_, CASE WHEN {_OFF} THEN p_type || ' X' ELSE p_type END AS type_,
@@ -295,12 +295,13 @@ flags AS (SELECT *, contains({norm('ev_field')}, {norm('field')}) OR contains({n
 best AS (SELECT record_id, field, max(CASE WHEN mine THEN CASE WHEN weak THEN 25 WHEN holds OR (field = 'Experience' AND regexp_matches(snip, '\\b\\d+(?:\\s*[-–—to]+\\s*\\d+)?\\s*(?:years?|yrs?)\\b', 'i')) OR tm.x IS NOT NULL THEN 100 WHEN length(snip) >= 25 THEN 65 ELSE 25 END END) AS own, bool_or(holds) AS mentioned
   FROM flags LEFT JOIN tm ON tm.x = value AND tm.y = snip GROUP BY record_id, field),
 direct AS (SELECT record_id, field, score, CASE WHEN score = 100 THEN 'DIRECT' WHEN score >= 60 THEN 'INDIRECT' WHEN score = 25 THEN 'WEAK' ELSE 'MISSING' END AS level FROM (SELECT f.record_id, f.field, coalesce(own, CASE WHEN mentioned THEN 60 END, 0) AS score FROM fields f LEFT JOIN best b ON b.record_id = f.record_id AND b.field = f.field))"""
-SUPPORT = f"support_ AS (SELECT record_id, {js_round('avg(CASE WHEN level IN (''DIRECT'', ''INDIRECT'') THEN 1 ELSE 0 END) * 100')} AS support, {js_round('avg(score)')} AS directness, count(*) FILTER (level = 'MISSING') AS missing FROM direct GROUP BY record_id)".replace("''", "'")
-QUALITY = f"""quality AS (SELECT record_id, {js_round(f"max(tier_score) * 0.7 + {js_round('avg(tier_score)')} * 0.3")} AS source_quality FROM (SELECT DISTINCT r.record_id, u.url, coalesce(x.tier_score, 30) AS tier_score FROM rec r LEFT JOIN (SELECT record_id, url FROM ev WHERE coalesce(url, '') NOT IN ('', '—', 'Web Source')) u ON u.record_id = r.record_id LEFT JOIN rated x ON x.url = u.url AND x.entity_name = r.entity_name) GROUP BY record_id)"""
+_GOOD = "avg(CASE WHEN level IN ('DIRECT', 'INDIRECT') THEN 1 ELSE 0 END) * 100"
+SUPPORT = f"support_ AS (SELECT record_id, {js_round(_GOOD)} AS support, {js_round('avg(score)')} AS directness, count(*) FILTER (level = 'MISSING') AS missing FROM direct GROUP BY record_id)"
+QUALITY = f"""quality AS (SELECT record_id, {js_round(f"max(tier_score) * CAST(0.7 AS DOUBLE) + {js_round('avg(tier_score)')} * CAST(0.3 AS DOUBLE)")} AS source_quality FROM (SELECT DISTINCT r.record_id, u.url, coalesce(x.tier_score, 30) AS tier_score FROM rec r LEFT JOIN (SELECT record_id, url FROM ev WHERE coalesce(url, '') NOT IN ('', '—', 'Web Source')) u ON u.record_id = r.record_id LEFT JOIN rated x ON x.url = u.url AND x.entity_name = r.entity_name) GROUP BY record_id)"""
 _RT = f"CASE WHEN coalesce(url, '') = '' THEN source ELSE {root(HOST, U.SCORING_SECOND_LEVEL)} END"
 _ALIKE = "len(list_intersect(k, n.w)) / len(list_distinct(list_concat(k, n.w))) > 0.85"
-AGREE = f"""dom AS (SELECT record_id, {_RT} AS root, min(ev_seq) AS at, arg_min(coalesce(snippet, ''), ev_seq) AS snip FROM ev GROUP BY ALL),
-dom2 AS (SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY at) AS i, CASE WHEN length(snip) > 30 THEN list_distinct(string_split_regex(lower(snip), '\\s+')) END AS w FROM dom WHERE root <> ''),
+AGREE = f"""dom AS (SELECT record_id, {_RT} AS root, min(ev_seq) AS pos_, arg_min(coalesce(snippet, ''), ev_seq) AS snip FROM ev GROUP BY ALL),
+dom2 AS (SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY pos_) AS i, CASE WHEN length(snip) > 30 THEN list_distinct(string_split_regex(lower(snip), '\\s+')) END AS w FROM dom WHERE root <> ''),
 steps AS (SELECT record_id, 0::BIGINT AS i, CAST([] AS VARCHAR[][]) AS kept, 0 AS n FROM rec
   UNION ALL SELECT s.record_id, n.i, CASE WHEN n.w IS NULL OR len(list_filter(s.kept, lambda k: {_ALIKE})) > 0 THEN s.kept ELSE list_append(s.kept, n.w) END,
     s.n + CASE WHEN n.w IS NOT NULL AND len(list_filter(s.kept, lambda k: {_ALIKE})) > 0 THEN 0 ELSE 1 END FROM steps s JOIN dom2 n ON n.record_id = s.record_id AND n.i = s.i + 1),
@@ -328,7 +329,7 @@ RELIABLE = f"""hits AS (SELECT c.record_id, bool_or(contains(lower(f.field), low
 parts AS (SELECT r.record_id, support, directness, source_quality, agreement, consistency, coalesce(fidelity, 40) AS fidelity, freshness, CASE WHEN h.record_id IS NULL THEN 0 WHEN hits THEN 35 ELSE 15 END AS conflict_penalty,
   CASE WHEN consistency < 100 THEN 35 ELSE 0 END + CASE WHEN coalesce(fidelity, 40) < 60 THEN 10 ELSE 0 END + 6 * missing AS inference_penalty
   FROM rec r JOIN support_ USING (record_id) JOIN quality USING (record_id) JOIN agree USING (record_id) JOIN consist USING (record_id) LEFT JOIN fid USING (record_id) JOIN fresh USING (record_id) LEFT JOIN hits h ON h.record_id = r.record_id),
-scored AS (SELECT *, CAST(least(100, greatest(0, floor((30 * support + 20 * directness + 20 * source_quality + 10 * agreement + 10 * consistency + 10 * fidelity - 100 * (conflict_penalty + inference_penalty)) / 100.0 + 0.5))) AS INT) AS score FROM parts)"""
+scored AS (SELECT *, CAST(least(100, greatest(0, floor(0.3::DOUBLE * support + 0.2::DOUBLE * directness + 0.2::DOUBLE * source_quality + 0.1::DOUBLE * agreement + 0.1::DOUBLE * consistency + 0.1::DOUBLE * fidelity - conflict_penalty - inference_penalty + 0.5::DOUBLE))) AS INT) AS score FROM parts)"""
 _ROLE_PAIRS = f"titles_ AS (SELECT role AS t, count(*) AS records FROM rec GROUP BY role)"
 _ITEM = "to_json({'entityName': 'Entity ' || doc_id, 'role': 'chars ' || n_chars, 'location': source})"
 _WRAP = "CASE doc_id % 5 WHEN 2 THEN 'https://host' || (doc_id % 7) || '.example.com/a?b=1' WHEN 3 THEN 'https://www.example.org/x' END"
@@ -358,9 +359,9 @@ SQL: dict[str, str] = {
     "entity_pairs": with_(CAND, SIG, PAIRS) + "SELECT a, b, CASE reason WHEN 'AMBIGUOUS_LOCATION' THEN 'AMBIGUOUS' WHEN 'STRONG_IDENTITY_MATCH' THEN 'STRONG_MATCH' ELSE 'DISTINCT' END AS decision, reason FROM pairs",
     "entity_clusters": CLUSTERED + "SELECT record_id, cluster FROM clustered",
     "merge_log": CLUSTERED + "SELECT cluster AS target_record_id, record_id AS merged_record_id FROM clustered WHERE record_id <> cluster",
-    "merge_records": CLUSTERED + "SELECT cluster, cluster AS record_id, arg_max(record_id, confidence * 1e15 - record_id) AS base_record_id, count(*) AS size FROM clustered JOIN cand USING (record_id) GROUP BY cluster",
+    "merge_records": CLUSTERED + "SELECT cluster, cluster AS record_id, arg_max(record_id, (confidence, -record_id)) AS base_record_id, count(*) AS size FROM clustered JOIN cand USING (record_id) GROUP BY cluster",
     "merge_attributes": CLUSTERED + "SELECT cluster, 'Size' AS field, arg_min(size_, record_id) AS value FROM clustered JOIN cand USING (record_id) GROUP BY cluster UNION ALL SELECT cluster, 'Type', arg_min(type_, record_id) FROM clustered JOIN cand USING (record_id) GROUP BY cluster",
-    "conflicts": CLUSTERED + f", vals AS (SELECT cluster, record_id, 'Size' AS field, size_ AS value FROM clustered JOIN cand USING (record_id) UNION ALL SELECT cluster, record_id, 'Type', type_ FROM clustered JOIN cand USING (record_id)), each AS (SELECT cluster, field, {norm('value')} AS k, min(record_id) AS at, arg_min(value, record_id) AS value FROM vals GROUP BY ALL) SELECT cluster, field, count(*) AS n_values, string_agg(value, '|' ORDER BY at) AS \"values\" FROM each GROUP BY cluster, field HAVING count(*) > 1",
+    "conflicts": CLUSTERED + f", vals AS (SELECT cluster, record_id, 'Size' AS field, size_ AS value FROM clustered JOIN cand USING (record_id) UNION ALL SELECT cluster, record_id, 'Type', type_ FROM clustered JOIN cand USING (record_id)), each_ AS (SELECT cluster, field, {norm('value')} AS k, min(record_id) AS pos_, arg_min(value, record_id) AS value FROM vals GROUP BY ALL) SELECT cluster, field, count(*) AS n_values, string_agg(value, '|' ORDER BY pos_) AS \"values\" FROM each_ GROUP BY cluster, field HAVING count(*) > 1",
     "merge_evidence": CLUSTERED + "SELECT cluster, min(record_id) AS record_id, 'Profile' AS field, url FROM clustered JOIN cand USING (record_id) GROUP BY cluster, url",
     "source_tier": with_(REC, EV) + f"SELECT url, entity_name, tier, {SCORE} AS tier_score FROM (SELECT url, entity_name, {TIER} AS tier FROM (SELECT url, entity_name FROM ev JOIN rec USING (record_id) UNION SELECT url, 'example' FROM pages))",
     "directness": with_(REC, FIELDS_ALL, FIELDS, EV, DIRECT) + "SELECT * FROM direct",
@@ -372,7 +373,7 @@ SQL: dict[str, str] = {
     "reliability_score": "WITH RECURSIVE " + ", ".join([REC, FIELDS_ALL, FIELDS, EV, CLASH, RATED, QUALITY, DIRECT, SUPPORT, AGREE, CONSIST, fidelity_sql("fields", "fid"), FRESH, RELIABLE]) + " SELECT *, CASE WHEN score >= 80 THEN 'High' WHEN score >= 60 THEN 'Moderate' WHEN score >= 35 THEN 'Low' ELSE 'Unverified' END AS grade, CASE WHEN score >= 80 AND support >= 75 THEN 'Confirmed' WHEN score >= 45 THEN 'Partially verified' ELSE 'Needs verification' END AS status FROM scored",
     "parse_responses": "SELECT doc_id AS id, CAST(pos AS INT) AS pos, CASE WHEN pos >= 0 THEN 'Entity ' || doc_id END AS \"entityName\", CASE WHEN pos >= 0 THEN 'chars ' || n_chars END AS role, CASE WHEN pos >= 0 THEN source END AS location FROM (SELECT *, unnest(CASE doc_id % 5 WHEN 1 THEN [0, 1] WHEN 4 THEN [-1] ELSE [0] END) AS pos FROM documents)",
     "citations": f"SELECT doc_id AS id, url, regexp_replace(regexp_extract(url, '//([^/]+)', 1), '^www\\.', '') AS title FROM (SELECT doc_id, {_WRAP} AS url FROM documents) WHERE url IS NOT NULL",
-    "discover_sources": with_(EV) + "SELECT url, arg_min(source, (record_id, ev_seq)) AS source, arg_min(coalesce(snippet, chr(1)), (record_id, ev_seq)) AS snippet0, count(*) AS citations FROM ev WHERE url <> '' GROUP BY url",
+    "discover_sources": with_(EV) + "SELECT url, arg_min(source, (record_id, ev_seq)) AS source, nullif(arg_min(coalesce(snippet, 'none'), (record_id, ev_seq)), 'none') AS snippet, count(*) AS citations FROM ev WHERE url <> '' GROUP BY url",
     "clean": with_(REC) + "SELECT record_id, regexp_replace(entity_name || sfx, '\\s+(Pvt\\.?|Ltd\\.?|Inc\\.?|LLP|Technologies|Private Limited)$', '', 'i') AS entity_name, regexp_replace(entity_name || sfx, '\\s+(Pvt\\.?|Ltd\\.?|Inc\\.?|LLP|Technologies|Private Limited)$', '', 'i') AS company, nullif(role, '—') AS role, nullif(location, 'Not disclosed') AS location, nullif(experience, '—') AS experience, nullif(salary, 'Not disclosed') AS salary FROM (SELECT *, " + pick(A.SUFFIXES, "record_id") + " AS sfx FROM rec)",
     "melt_fields": with_(REC, FIELDS_ALL) + f"SELECT record_id, field, lower(field) AS field_key, value, CASE WHEN {missing('value')} THEN 'NOT_FOUND' ELSE 'FOUND' END AS status FROM fields_all",
     "extract_constraints": with_(REQ, _EXTRACT) + "SELECT * FROM extracted",
