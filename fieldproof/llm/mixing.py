@@ -103,10 +103,11 @@ def mix(docs: DataFrame, sources: Column, weights: dict | None = None, *, id_col
 
     ``sources`` gives the array of sources that a row belongs to (an empty or null array: the null
     source). ``weights`` by source defaults to ``cycle``, repeated over the sources by code point,
-    null last. Rows: id_col, *keep, pattern, size (words), times (whole copies taken), taken (size
-    times copies). Every document is taken floor(quota / tokens of its pattern) times and the first
+    null last. Rows: id_col, *keep, pattern, size (words), times (whole copies taken), taken (words
+    taken: size times copies, and for at most one document of a pattern a part of one more copy). Every document is taken floor(quota / tokens of its pattern) times and the first
     ones in a seeded order once more; then the gap that is left to the quota is filled by the
-    largest documents that fit, ``fill_rounds`` times for each pattern. No document is taken over ``repeats``
+    largest documents that fit, ``fill_rounds`` times for each pattern; if over 1% of the quota is
+    left then, the smallest document that is larger gives that many of its words. No document is taken over ``repeats``
     times. Reruns agree. Documents without words have size 0 and are taken as the whole pattern is.
 
     Null texts have size 0. Rows with equal ids are taken independently. Other columns are
@@ -164,7 +165,17 @@ def mix(docs: DataFrame, sources: Column, weights: dict | None = None, *, id_col
         for r in found:
             picked.setdefault(r["_k"], []).append((r.m["_o"], r.m["size"]))
             left[r["_k"]] = (left[r["_k"]][0], left[r["_k"]][1] - r.m["size"])
-    extra = spark.createDataFrame([(k, o, True) for k, x in picked.items() for o, _ in x], "_k string, _o long, _more boolean")
+    # where no whole document comes near what is left, the smallest larger one gives a part of its words
+    routed_by = {r["_k"]: r["_full"] * r.s + r["_gap"] for r in plan.join(rows.groupBy("_k").agg(F.sum("size").alias("s")), "_k").collect()}
+    want = [(k, float(g)) for k, (f, g) in left.items() if f < repeats and g >= max(1.0, 0.01 * routed_by[k])]
+    parts: dict[tuple[str, int], int] = {}
+    if want:
+        need = F.broadcast(spark.createDataFrame(want, "_k string, _want double"))
+        found = state.where("not _in").join(need, "_k").where("size > _want").groupBy("_k").agg(F.min(F.struct("size", "_o")).alias("m")).collect()
+        parts = {(r["_k"], r.m["_o"]): int(dict(want)[r["_k"]]) for r in found}
+    whole = {(k, o) for k, x in picked.items() for o, _ in x}
+    extra = spark.createDataFrame([(k, o, (k, o) in whole, parts.get((k, o), 0)) for k, o in sorted(whole | set(parts))], "_k string, _o long, _more boolean, _part long")
     times = F.col("_full") + (F.col("_in") | F.coalesce("_more", F.lit(False))).cast("int")
     out = state.join(F.broadcast(extra), ["_k", "_o"], "left").withColumn("times", F.least(times, F.lit(repeats)))
-    return out.select(F.col("_id").alias(id_col), *keep, "pattern", "size", "times", (F.col("size") * F.col("times")).alias("taken"))
+    part = F.when(F.col("times") < repeats, F.coalesce("_part", F.lit(0))).otherwise(0)
+    return out.select(F.col("_id").alias(id_col), *keep, "pattern", "size", "times", (F.col("size") * F.col("times") + part).alias("taken"))
