@@ -1,6 +1,7 @@
 """Pinned cases of constraint evaluation, qualification, titles, places, numbers and URLs."""
 
-import pytest
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from fieldproof.functions.numbers import parse_date, parse_number
@@ -10,7 +11,8 @@ from fieldproof.functions.urls import RESOLVER_SECOND_LEVEL, root_domain, safe_l
 from fieldproof.operators import constraints as C
 from fieldproof.operators.resolve import norm_entity_name
 
-NAMES = ["attributes", "role"]
+def union_all(frames):
+    return reduce(lambda a, b: a.unionByName(b), frames)
 
 
 def record(spark, attributes, record_id=1, **fixed):
@@ -27,13 +29,12 @@ def results(spark, attributes, *rows):
     return [(r.result, r.reason) for r in C.evaluate_constraints(record(spark, attributes), con(spark, *rows)).orderBy("c_seq").collect()]
 
 
-@pytest.mark.parametrize(
-    ("text", "num", "lo", "hi"),
-    [("₹2 lakh", 200000, None, None), ("₹2,00,000", 200000, None, None), ("200000", 200000, None, None), ("₹50 lakh", 5000000, None, None), ("₹1.5 Lakh", 150000, None, None), ("₹1,50,000", 150000, None, None), ("₹5 Cr", 50000000, None, None), ("1,000–5,000 employees", 1000, 1000, 5000), ("3-4 years", 3, 3, 4), ("—", None, None, None), ("none at all", None, None, None)],
-)
-def test_numbers(spark, text, num, lo, hi):
-    r = spark.createDataFrame([(text,)], "t string").select(parse_number(F.col("t")).alias("n")).first().n
-    assert (r and (r.num, r.min, r.max)) == (None if num is None else (num, lo, hi))
+NUMBERS = [("₹2 lakh", 200000, None, None), ("₹2,00,000", 200000, None, None), ("200000", 200000, None, None), ("₹50 lakh", 5000000, None, None), ("₹1.5 Lakh", 150000, None, None), ("₹1,50,000", 150000, None, None), ("₹5 Cr", 50000000, None, None), ("1,000–5,000 employees", 1000, 1000, 5000), ("3-4 years", 3, 3, 4), ("—", None, None, None), ("none at all", None, None, None)]
+
+
+def test_numbers(spark):
+    rows = spark.createDataFrame([(x[0],) for x in NUMBERS], "t string").select("t", parse_number(F.col("t")).alias("n")).collect()
+    assert [(r.t, r.n and r.n.num, r.n and r.n.min, r.n and r.n.max) for r in rows] == NUMBERS
 
 
 def test_dates(spark):
@@ -41,54 +42,58 @@ def test_dates(spark):
     assert [r.d for r in rows] == ["2018-05-15", "2015-01-01", "2019-05-03", None]
 
 
-@pytest.mark.parametrize(
-    ("value", "row", "want"),
-    [
-        ("3-4 years", ("Experience", "between", "2", "5", "years"), "PASS"),
-        ("8-10 years", ("Experience", "between", "2", "5", "years"), "FAIL"),
-        ("1-3 years", ("Experience", "between", "2", "5", "years"), "PASS"),
-        (None, ("Experience", "between", "2", "5"), "UNKNOWN"),
-        ("Not disclosed", ("Experience", "greater_than", "2"), "UNKNOWN"),
-        ("Senior Backend Engineer", ("Level", "starts_with", "Senior"), "PASS"),
-        ("Senior Backend Engineer", ("Level", "starts_with", "Junior"), "FAIL"),
-        ("Senior Backend Engineer", ("Level", "ends_with", "Engineer"), "PASS"),
-        ("FinTech", ("Sector", "not_equals", "EdTech"), "PASS"),
-        ("FinTech", ("Sector", "not_equals", "FinTech"), "FAIL"),
-        ("FinTech", ("Sector", "not_contains", "Fin"), "FAIL"),
-        ("Tier 1", ("Tier", "in", "Tier 1, Tier 2"), "PASS"),
-        ("Tier 1", ("Tier", "in", "Tier 3, Tier 4"), "FAIL"),
-        ("Tier 1", ("Tier", "not_in", "Tier 3, Tier 4"), "PASS"),
-        ("Java, Spring Boot, Docker, Kubernetes", ("Stack", "contains_any", "Python, Java, Rust"), "PASS"),
-        ("Java, Spring Boot, Docker, Kubernetes", ("Stack", "contains_any", "Python, Ruby"), "FAIL"),
-        ("Java, Spring Boot, Docker, Kubernetes", ("Stack", "contains_all", "Java, Spring"), "PASS"),
-        ("Java, Spring Boot, Docker, Kubernetes", ("Stack", "contains_all", "Java, React"), "FAIL"),
-        ("2018-05-15", ("Founded", "before", "2020-01-01"), "PASS"),
-        ("2018-05-15", ("Founded", "after", "2015-01-01"), "PASS"),
-        ("2018-05-15", ("Founded", "before", "2015-01-01"), "FAIL"),
-        ("₹1,85,000", ("Price", "within", "200000", "25000"), "PASS"),
-        ("₹1,85,000", ("Price", "within", "200000", "10000"), "FAIL"),
-    ],
-)
-def test_operators(spark, value, row, want):
-    assert results(spark, {row[0]: value}, row)[0][0] == want
-
-
-@pytest.mark.parametrize(
-    ("actual", "want"),
-    [("Backend Engineer - Java", "MATCH"), ("Java Backend Engineer", "MATCH"), ("Backend Developer (Java)", "MATCH"), ("Senior Java Backend Engineer", "MATCH"), ("React Frontend Developer", "NO_MATCH"), ("Python Backend Developer", "NO_MATCH"), ("Java Android Developer", "NO_MATCH"), ("Java QA Automation Engineer", "NO_MATCH"), ("Java Developer - Backend", "MATCH"), ("Software Engineer - Java Backend", "MATCH"), ("Data Scientist", "NO_MATCH"), ("UI/UX Designer", "NO_MATCH"), ("DevOps Engineer", "NO_MATCH")],
-)
-def test_titles(spark, actual, want):
-    df = spark.createDataFrame([("Java Backend Developer", actual)], "r string, a string")
-    assert df.select(match_titles(parse_title(F.col("r")), parse_title(F.col("a"))).alias("m")).first().m.result == want
-
-
-@pytest.mark.parametrize(
-    ("required", "actual", "want"),
-    [("Bengaluru", "Bangalore", "PASS"), ("Bengaluru", "Chennai, Tamil Nadu", "FAIL"), ("Bengaluru", "India", "UNKNOWN"), ("Bengaluru", None, "UNKNOWN"), ("India", "Bengaluru", "PASS"), ("India", "San Francisco, CA, USA", "FAIL"), ("India", "London, United Kingdom", "FAIL"), ("Remote", "100% Remote, India", "PASS"), ("Remote", "Chennai office only", "FAIL"), ("India", "Office in London", "FAIL")],
-)
-def test_places(spark, required, actual, want):
-    df = spark.createDataFrame([(required, actual)], "r string, a string")
-    assert df.select(match_places(parse_place(F.col("r")), parse_place(F.col("a")), F.col("a")).alias("m")).first().m.result == want
+CASES = [
+    ("3-4 years", ("Experience", "between", "2", "5", "years"), "PASS"),
+    ("8-10 years", ("Experience", "between", "2", "5", "years"), "FAIL"),
+    ("1-3 years", ("Experience", "between", "2", "5", "years"), "PASS"),
+    (None, ("Experience", "between", "2", "5"), "UNKNOWN"),
+    ("Not disclosed", ("Experience", "greater_than", "2"), "UNKNOWN"),
+    ("Senior Backend Engineer", ("Level", "starts_with", "Senior"), "PASS"),
+    ("Senior Backend Engineer", ("Level", "starts_with", "Junior"), "FAIL"),
+    ("Senior Backend Engineer", ("Level", "ends_with", "Engineer"), "PASS"),
+    ("FinTech", ("Sector", "not_equals", "EdTech"), "PASS"),
+    ("FinTech", ("Sector", "not_equals", "FinTech"), "FAIL"),
+    ("FinTech", ("Sector", "not_contains", "Fin"), "FAIL"),
+    ("Tier 1", ("Tier", "in", "Tier 1, Tier 2"), "PASS"),
+    ("Tier 1", ("Tier", "in", "Tier 3, Tier 4"), "FAIL"),
+    ("Tier 1", ("Tier", "not_in", "Tier 3, Tier 4"), "PASS"),
+    ("Java, Spring Boot, Docker, Kubernetes", ("Stack", "contains_any", "Python, Java, Rust"), "PASS"),
+    ("Java, Spring Boot, Docker, Kubernetes", ("Stack", "contains_any", "Python, Ruby"), "FAIL"),
+    ("Java, Spring Boot, Docker, Kubernetes", ("Stack", "contains_all", "Java, Spring"), "PASS"),
+    ("Java, Spring Boot, Docker, Kubernetes", ("Stack", "contains_all", "Java, React"), "FAIL"),
+    ("2018-05-15", ("Founded", "before", "2020-01-01"), "PASS"),
+    ("2018-05-15", ("Founded", "after", "2015-01-01"), "PASS"),
+    ("2018-05-15", ("Founded", "before", "2015-01-01"), "FAIL"),
+    ("₹1,85,000", ("Price", "within", "200000", "25000"), "PASS"),
+    ("₹1,85,000", ("Price", "within", "200000", "10000"), "FAIL"),
+]
+
+
+def test_operators(spark):
+    """All cases in one job: each record has a request of its own with one constraint."""
+    rec = union_all([record(spark, {row[0]: value}, i).withColumn("request_id", F.lit(str(i))) for i, (value, row, _) in enumerate(CASES)])
+    rows = [(str(i), 1, *row, *([None] * (5 - len(row))), True) for i, (_, row, _) in enumerate(CASES)]
+    con_ = spark.createDataFrame(rows, "request_id string, c_seq int, field string, operator string, value string, value_to string, unit string, hard boolean")
+    got = {r.record_id: r.result for r in C.evaluate_constraints(rec, con_).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(CASES)}
+
+
+TITLES = [("Backend Engineer - Java", "MATCH"), ("Java Backend Engineer", "MATCH"), ("Backend Developer (Java)", "MATCH"), ("Senior Java Backend Engineer", "MATCH"), ("React Frontend Developer", "NO_MATCH"), ("Python Backend Developer", "NO_MATCH"), ("Java Android Developer", "NO_MATCH"), ("Java QA Automation Engineer", "NO_MATCH"), ("Java Developer - Backend", "MATCH"), ("Software Engineer - Java Backend", "MATCH"), ("Data Scientist", "NO_MATCH"), ("UI/UX Designer", "NO_MATCH"), ("DevOps Engineer", "NO_MATCH")]
+
+
+def test_titles(spark):
+    df = spark.createDataFrame([("Java Backend Developer", a) for a, _ in TITLES], "r string, a string")
+    got = df.select("a", match_titles(parse_title(F.col("r")), parse_title(F.col("a")))["result"].alias("m")).collect()
+    assert [(r.a, r.m) for r in got] == TITLES
+
+
+PLACES = [("Bengaluru", "Bangalore", "PASS"), ("Bengaluru", "Chennai, Tamil Nadu", "FAIL"), ("Bengaluru", "India", "UNKNOWN"), ("Bengaluru", None, "UNKNOWN"), ("India", "Bengaluru", "PASS"), ("India", "San Francisco, CA, USA", "FAIL"), ("India", "London, United Kingdom", "FAIL"), ("Remote", "100% Remote, India", "PASS"), ("Remote", "Chennai office only", "FAIL"), ("India", "Office in London", "FAIL")]
+
+
+def test_places(spark):
+    df = spark.createDataFrame([(r, a) for r, a, _ in PLACES], "r string, a string")
+    got = df.select("r", "a", match_places(parse_place(F.col("r")), parse_place(F.col("a")), F.col("a"))["result"].alias("m")).collect()
+    assert [(r.r, r.a, r.m) for r in got] == PLACES
 
 
 def verdict(spark, attributes, rows, required=(), conflicts=(), evidence=()):
@@ -115,18 +120,15 @@ def test_soft_constraints_are_not_evaluated(spark):
 
 
 def test_urls(spark):
-    def one(url, f):
-        return spark.createDataFrame([(url,)], "u string").select(f(F.col("u")).alias("x")).first().x
-
-    assert one("https://careers.freshworks.com/job/12", lambda c: root_domain(c, RESOLVER_SECOND_LEVEL)) == "freshworks.com"
-    assert one("www.infosys.co.in", lambda c: root_domain(c, RESOLVER_SECOND_LEVEL)) == "infosys.co.in"
-    for bad in ("http://127.0.0.1/a", "http://10.0.0.1", "ftp://x.org/a", "javascript:alert(1)", "http://localhost:80/", "http://a.internal", "http://[::1]/", "", "http://2130706433/", None):
-        assert not one(bad, validate_url).valid, bad
-    assert one("example.com/a", safe_link) == "https://example.com/a"
-    assert one("https://jobs.lever.co/acme/1", lambda c: source_tier(c, F.lit("Acme"))) == "PRIMARY_OFFICIAL"
-    assert one("https://labour.gov/x", lambda c: source_tier(c, F.lit("Acme"))) == "AUTHORITATIVE"
-    assert one("https://www.linkedin.com/jobs/1", lambda c: source_tier(c, F.lit("Acme"))) == "ESTABLISHED_PLATFORM"
-    assert one("—", lambda c: source_tier(c, F.lit("Acme"))) == "SEARCH_SNIPPET"
+    def each(urls, f):
+        return [r.x for r in spark.createDataFrame([(u,) for u in urls], "u string").select(f(F.col("u")).alias("x")).collect()]
+
+    assert each(["https://careers.freshworks.com/job/12", "www.infosys.co.in"], lambda c: root_domain(c, RESOLVER_SECOND_LEVEL)) == ["freshworks.com", "infosys.co.in"]
+    bad = ["http://127.0.0.1/a", "http://10.0.0.1", "ftp://x.org/a", "javascript:alert(1)", "http://localhost:80/", "http://a.internal", "http://[::1]/", "", "http://2130706433/", None]
+    assert not any(x.valid for x in each(bad, validate_url))
+    assert each(["example.com/a"], safe_link) == ["https://example.com/a"]
+    urls = ["https://jobs.lever.co/acme/1", "https://labour.gov/x", "https://www.linkedin.com/jobs/1", "—"]
+    assert each(urls, lambda c: source_tier(c, F.lit("Acme"))) == ["PRIMARY_OFFICIAL", "AUTHORITATIVE", "ESTABLISHED_PLATFORM", "SEARCH_SNIPPET"]
 
 
 def test_entity_names(spark):
