@@ -8,8 +8,8 @@
    star of edges, from a hub to every other member, not all pairs. Edges are screened by the share
    of equal bins, then confirmed on the full sets.
 3. Confirmed links make components. In a bucket that still holds several components, a star from
-   another hub of its largest component follows; whatever is then still apart is compared, in
-   blocks of bounded size, with the rest of its bucket. So no linked pair that shares a bucket is
+   the most linked member of its largest component follows; whatever is then still apart is
+   compared, in blocks of bounded size, with the rest of its bucket. So no linked pair that shares a bucket is
    lost for components, while the pairs made stay near linear in the size of a group of copies.
 
 A pair right at the bound t shares no bucket with probability (1 - t**rows)**bands; ``rows`` is the
@@ -111,6 +111,11 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(part, "id long, s binary")
 
 
+def _sets_of(ids: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(id, s): the full sets of some ids, written once."""
+    return stored(_sets(texts.join(ids.distinct().hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]), k))
+
+
 def _screened(edges: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     """Edges (a, b) whose signatures agree in a share of ``least`` of the bins."""
 
@@ -136,35 +141,50 @@ def _confirmed(edges: DataFrame, texts: DataFrame, k: int, num: int, den: int) -
                 ok.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = _sets(texts.join(ids.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]), k)
-    sets = stored(sets)
+    sets = _sets_of(edges.select(F.explode(F.array("a", "b")).alias("id")), texts, k)
     named = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"x{x}")).hint("merge")
     return edges.join(named("b"), "b").join(named("a"), "a").select("a", "b", "xa", "xb").mapInArrow(part, "a long, b long")
 
 
-def _block_pairs(members: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """Edges (a, b) between members of a bucket in different components whose signatures agree.
+def _block_links(members: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, num: int, den: int, least: float) -> DataFrame:
+    """Confirmed links (a, b) between members of a bucket in different components.
 
-    members(bucket, rep, comp, major): every member outside the bucket's largest component is
-    compared with all members, in blocks of about BLOCK by BLOCK rows."""
+    members(bucket, rep, comp, major): every member outside the bucket's largest component is compared with all members, in
+    blocks of about BLOCK by BLOCK rows: screened by signatures, then confirmed on full sets, likeliest first, until the two
+    components are linked. Only links leave a task, never the pairs it looked at."""
     size = members.groupBy("bucket").agg(F.count("*").alias("m"), F.sum((F.col("comp") != F.col("major")).cast("int")).alias("minor"))
-    rows = members.join(size.hint("merge"), "bucket").join(sigs.hint("merge"), "rep")
+    sets = _sets_of(members.select(F.col("rep").alias("id")), texts, k).withColumnRenamed("id", "rep")
+    rows = members.join(size.hint("merge"), "bucket").join(sigs.join(sets.hint("merge"), "rep").hint("merge"), "rep")
     blocks, minors = F.ceil(F.col("m") / BLOCK).cast("int"), F.ceil(F.col("minor") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     mine_minor = F.pmod(F.xxhash64("rep", F.lit(1)), minors).cast("int")
-    left = rows.where("comp <> major").select("bucket", mine_minor.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), F.lit(True).alias("left"), "rep", "comp", "sig")
-    right = rows.select("bucket", F.explode(F.sequence(F.lit(0), minors - 1)).alias("i"), mine.alias("j"), F.lit(False).alias("left"), "rep", "comp", "sig")
+    left = rows.where("comp <> major").select("bucket", mine_minor.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), F.lit(True).alias("left"), "rep", "comp", "sig", "s")
+    right = rows.select("bucket", F.explode(F.sequence(F.lit(0), minors - 1)).alias("i"), mine.alias("j"), F.lit(False).alias("left"), "rep", "comp", "sig", "s")
 
     def compare(group: list) -> tuple[list, list]:
-        rep, comp, sig, left = (np.concatenate(x) for x in zip(*group, strict=True))
+        rep, comp, sig, left = (np.concatenate(x) for x in list(zip(*group, strict=True))[:4])
+        sets = [np.frombuffer(x, np.uint64) for g in group for x in g[4]]
         li, ri = np.flatnonzero(left), np.flatnonzero(~left)
-        a, b = [], []
+        a, b, joined = [], [], {}
+
+        def top(c: int) -> int:
+            while joined.get(c, c) != c:
+                c = joined[c]
+            return c
+
         for x in li:
-            agree = (sig[ri] == sig[x]).mean(axis=1) >= least
-            for y in ri[agree & (comp[ri] != comp[x])]:
-                a.append(min(rep[x], rep[y]))
-                b.append(max(rep[x], rep[y]))
+            near = (sig[ri] == sig[x]).mean(axis=1)
+            for o in np.argsort(-near, kind="stable"):
+                if near[o] < least:
+                    break
+                y = ri[o]
+                if (p := top(comp[x])) == (q := top(comp[y])):
+                    continue
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if den * both >= num * (len(sets[x]) + len(sets[y]) - both):
+                    joined[max(p, q)] = min(p, q)
+                    a.append(min(rep[x], rep[y]))
+                    b.append(max(rep[x], rep[y]))
         return a, b
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +195,7 @@ def _block_pairs(members: DataFrame, sigs: DataFrame, least: float) -> DataFrame
             ks = list(zip(*(batch.column(c).to_numpy() for c in ("bucket", "i", "j")), strict=True))
             rep, comp, left = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "comp", "left"))
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(len(batch), -1)
+            full = batch.column("s").to_pylist()
             cut = [0, *(x for x in range(1, len(ks)) if ks[x] != ks[x - 1]), len(ks)]
             for s, e in zip(cut[:-1], cut[1:], strict=True):
                 if held and ks[s] != key:
@@ -182,7 +203,7 @@ def _block_pairs(members: DataFrame, sigs: DataFrame, least: float) -> DataFrame
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                     held = []
                 key = ks[s]
-                held.append((rep[s:e], comp[s:e], sig[s:e], left[s:e]))
+                held.append((rep[s:e], comp[s:e], sig[s:e], left[s:e], full[s:e]))
         if held:
             a, b = compare(held)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -216,14 +237,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         where = members.where("m > 2").join(comp.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("bucket", "rep", "m", F.coalesce("component", "rep").alias("comp"))
         open_ = where.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("x"), F.first("m").alias("m")).where("lo <> hi").groupBy("m", "x", "lo").agg(F.min("bucket").alias("bucket")).select("bucket")
         left = stored(where.join(open_.hint("merge"), "bucket").select("bucket", "rep", "comp"))
-        major = left.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.min_by("rep", F.xxhash64("rep", F.lit(n))).alias("hub")).groupBy("bucket").agg(F.max_by(F.struct("comp", "hub"), F.struct("c", "comp")).alias("v")).select("bucket", F.col("v.comp").alias("major"), F.col("v.hub").alias("hub"))
+        # the next hub of a bucket is the member of its largest component that has been linked most often, so most central
+        degree = union_all(links).select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
+        left = left.join(degree.hint("merge"), "rep", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        major = left.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.max_by("rep", F.struct("degree", F.xxhash64("rep", F.lit(n)))).alias("hub")).groupBy("bucket").agg(F.max_by(F.struct("comp", "hub"), F.struct("c", "comp")).alias("v")).select("bucket", F.col("v.comp").alias("major"), F.col("v.hub").alias("hub"))
         left = left.join(major.hint("merge"), "bucket")
         if n < star_rounds - 1:
             edges = left.where("comp <> major").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
-            edges = _screened(edges, sigs, least)
+            links.append(stored(_confirmed(stored(_screened(edges, sigs, least)), texts, k, num, den)))
         else:
-            edges = _block_pairs(left, sigs, least)
-        links.append(stored(_confirmed(stored(edges), texts, k, num, den)))
+            links.append(stored(_block_links(stored(left), sigs, texts, k, num, den, least)))
     comp = components(union_all(links))
     classes = reps.select("digest", "rep").join(comp.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("id", "n", "digest").join(classes.hint("merge"), "digest", "left")
