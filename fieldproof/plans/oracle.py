@@ -387,6 +387,7 @@ SQL: dict[str, str] = {
     "latest_run": with_(RUNS, REQ) + "SELECT request_id, active_run_id, run_id, run_number FROM (SELECT request_id, active_run_id, run_id, run_number, row_number() OVER (PARTITION BY request_id ORDER BY coalesce(run_id = active_run_id, false) DESC, run_number DESC) AS i FROM req LEFT JOIN runs USING (request_id)) WHERE i = 1",
     "request_history": with_(RUNS, COMPARE) + "SELECT request_id, run_id, run_number, row_number() OVER (PARTITION BY request_id ORDER BY run_number DESC) AS position, CASE WHEN run_number = 1 THEN 'First run' WHEN validated_delta > 0 THEN '+' || validated_delta || ' validated' WHEN validated_delta < 0 THEN validated_delta || ' validated' ELSE 'No change' END AS change FROM cmp",
     "next_run_number": with_(RUNS) + "SELECT request_id, max(run_number) + 1 AS run_number, 'RUN-' || request_id || '-v' || (max(run_number) + 1) AS run_id FROM runs GROUP BY request_id",
+    "dataset_page": with_(REC) + "SELECT record_id, entity_name, salary FROM rec WHERE contains(lower(concat_ws(' ', entity_name, brand, type, price, size, role, location, experience, founded, salary)), 'ring') ORDER BY salary = 'Not disclosed', CASE salary WHEN '₹2 lakh' THEN 200000 WHEN '₹1.5 Lakh' THEN 150000 WHEN '₹5 Cr' THEN 50000000 WHEN '₹2,00,000' THEN 200000 WHEN '200000' THEN 200000 WHEN '1,000–5,000' THEN 1000 WHEN '12 LPA' THEN 12 END DESC NULLS LAST, lower(salary) DESC, record_id LIMIT 10 OFFSET 20",
     "search": with_(REC, REQ) + "SELECT 'request' AS kind, CAST(request_id AS VARCHAR) AS id, name AS title FROM req WHERE contains(lower(name || ' ' || request_id || ' ' || prompt), 'react') UNION ALL SELECT * FROM (SELECT 'record', 'RUN-1/' || record_id, entity_name FROM rec WHERE contains(lower(concat_ws(' ', entity_name, role, brand, type, location)), 'react') ORDER BY record_id LIMIT 8)",
     "notifications": with_(RUNS) + "SELECT run_id || '-' || kind AS id, run_id, kind, amount FROM (SELECT run_id, 'completed' AS kind, collected AS amount FROM runs UNION ALL SELECT run_id, 'conflicts', conflicts FROM runs WHERE conflicts > 0 UNION ALL SELECT run_id, 'incomplete', incomplete FROM runs WHERE incomplete > 0) WHERE NOT (kind = 'completed' AND run_id % 4 = 0)",
     "overview": with_(RUNS, EV) + f"SELECT * FROM (SELECT count(*) AS runs, count(DISTINCT request_id) AS requests, CAST(sum(collected) AS BIGINT) AS collected, {js_round('sum(validated) * 100.0 / sum(' + chr(34) + 'unique' + chr(34) + ')')} AS quality, count(*) FILTER (conflicts > 0) AS runs_with_conflicts FROM runs), (SELECT count(DISTINCT source) AS sources, {js_round('count(*) FILTER (verification <> ' + lit('Needs verification') + ') * 100.0 / count(*)')} AS evidence_coverage FROM ev)",
