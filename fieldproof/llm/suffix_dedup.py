@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldproof.llm.kit import mix64, stored, text_buffers
+from fieldproof.llm.kit import mix64, pieces, stored
 from fieldproof.llm.spans import cut_out, merged
 
 WIDTH = 50
@@ -38,7 +38,9 @@ WINNOW = WIDTH - GRAM + 1
 SIDE = WIDTH - GRAM
 SEGMENT, MARGIN = 1 << 19, 2 * WIDTH
 #: Anchors that one group of the exchange holds on average; contexts of one anchor that a shard holds at most.
-PART_ANCHORS, HOT = 1_000_000, 20_000
+PART_ANCHORS, HOT = 500_000, 20_000
+#: Bytes of text whose anchors a task packs at a time.
+PACK = 4 << 20
 #: Bytes of text of one suffix array, about.
 SHARD = 1 << 20
 
@@ -163,41 +165,42 @@ def _covers(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBat
 
 
 def _exchange(texts: DataFrame, parts: int) -> DataFrame:
-    """Map side: anchors of each Arrow batch, packed by part of the hash range; a context that the batch has in
+    """Map side: anchors of about PACK bytes of text at a time, packed by part of the hash range; a context that these have in
     several documents is sent for the smallest one, and the others' are covers already."""
 
+    def packed(ids: np.ndarray, data: np.ndarray, offs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = list(anchors(data, offs))
+        if not found:
+            return
+        text, place, h, c = (np.concatenate(x) for x in zip(*found, strict=True))
+        doc = ids[text]
+        key = h ^ mix64(c)
+        order = np.lexsort((doc, key))
+        k, d = key[order], doc[order]
+        first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        least = np.repeat(d[first], np.diff(np.append(first, len(k))))
+        over = order[d > least]
+        if (out := _covers(doc[over], np.maximum(place[over] - SIDE, 0), place[over] + WIDTH)) is not None:
+            yield out
+        keep = np.ones(len(doc), bool)
+        keep[over] = False
+        doc, place, h, c = doc[keep], place[keep], h[keep], c[keep]
+        to = (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+        order = np.lexsort((place, doc, to))
+        doc, place, h, c, to = doc[order], place[order], h[order], c[order], to[order]
+        # repeated rows of one document
+        same = np.append(False, (to[1:] == to[:-1]) & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1]))
+        doc, place, h, c, to = doc[~same], place[~same], h[~same], c[~same], to[~same]
+        u, at = np.unique(to, return_index=True)
+        blobs = [_pack(doc[a:b], place[a:b], h[a:b] & np.uint64(0xFFFFFFFF), c[a:b]) for a, b in zip(at, np.append(at[1:], len(to)), strict=True)]
+        n = len(u)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.bool_()))], ["part", "blob", "id", "starts", "ends", "keys", "hot"])
+
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
             ids = batch.column("id").to_numpy()
-            data, offs = text_buffers(batch.column("text"))
-            found = list(anchors(data, offs))
-            if not found:
-                continue
-            text, place, h, c = (np.concatenate(x) for x in zip(*found, strict=True))
-            doc = ids[text]
-            key = h ^ mix64(c)
-            order = np.lexsort((doc, key))
-            k, d = key[order], doc[order]
-            first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-            least = np.repeat(d[first], np.diff(np.append(first, len(k))))
-            over = order[d > least]
-            if (out := _covers(doc[over], np.maximum(place[over] - SIDE, 0), place[over] + WIDTH)) is not None:
-                yield out
-            keep = np.ones(len(doc), bool)
-            keep[over] = False
-            doc, place, h, c = doc[keep], place[keep], h[keep], c[keep]
-            to = (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-            order = np.lexsort((place, doc, to))
-            doc, place, h, c, to = doc[order], place[order], h[order], c[order], to[order]
-            # repeated rows of one document
-            same = np.append(False, (to[1:] == to[:-1]) & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1]))
-            doc, place, h, c, to = doc[~same], place[~same], h[~same], c[~same], to[~same]
-            u, at = np.unique(to, return_index=True)
-            blobs = [_pack(doc[a:b], place[a:b], h[a:b] & np.uint64(0xFFFFFFFF), c[a:b]) for a, b in zip(at, np.append(at[1:], len(to)), strict=True)]
-            n = len(u)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.bool_()))], ["part", "blob", "id", "starts", "ends", "keys", "hot"])
+            for i, j, data, offs in pieces(batch.column("text"), PACK):
+                yield from packed(ids[i:j], data, offs)
 
     return texts.mapInArrow(part, _FOUND)
 
