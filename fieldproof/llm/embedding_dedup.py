@@ -72,8 +72,9 @@ def _ordered(classes: DataFrame, passes: int) -> DataFrame:
 
 
 def _windows(rows: DataFrame, window: int, least: float) -> DataFrame:
-    """Verified pairs (a, b) within the windows of each sorted partition; where partitions meet, the last
-    and first ``window`` rows are returned with side and border to be compared too."""
+    """Verified pairs (a, b) within the windows of each sorted partition, those that join two groups of its pass:
+    the others add nothing to components. Where partitions meet, the last and first ``window`` rows are returned
+    with side and border to be compared too."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -81,6 +82,14 @@ def _windows(rows: DataFrame, window: int, least: float) -> DataFrame:
         me = TaskContext.get().partitionId()
         last = None  # (pass, reps, vectors) of the rows before
         opening: list = []
+        parent: dict[int, int] = {}  # groups of this partition in the current pass
+
+        def top(r: int) -> int:
+            while (p := parent.get(r, r)) != r:
+                parent[r] = parent.get(p, p)
+                r = p
+            return r
+
         for batch in batches:
             ps, reps = batch.column("pass").to_numpy(), batch.column("rep").to_numpy()
             edge = [0, *(np.flatnonzero(ps[1:] != ps[:-1]) + 1).tolist(), len(ps)] if len(ps) else [0]
@@ -91,11 +100,18 @@ def _windows(rows: DataFrame, window: int, least: float) -> DataFrame:
                     y, q = (np.concatenate([last[2], x]), np.concatenate([last[1], r])) if last and last[0] == ps[i] else (x, r)
                     if len(opening) == 0 or (opening[0][0] == ps[i] and sum(len(o[1]) for o in opening) < window):
                         opening.append((ps[i], r, x))
+                    if not last or last[0] != ps[i]:
+                        parent.clear()
                     before = len(q) - len(r)
                     near = x @ y.T >= least
                     a, b = np.nonzero(near)
                     ok = (b < before + a) & (before + a - b <= window)
-                    a, b = r[a[ok]], q[b[ok]]
+                    joins = []
+                    for u, v in zip(r[a[ok]].tolist(), q[b[ok]].tolist(), strict=True):
+                        if (g := top(u)) != (h := top(v)):
+                            parent[max(g, h)] = min(g, h)
+                            joins.append((u, v))
+                    a, b = np.array(joins, np.int64).reshape(-1, 2).T
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), -1, np.int64)), pa.array([None] * len(a), pa.int64()), pa.array([None] * len(a), pa.list_(pa.float64()))], ["a", "b", "border", "pass", "v"])
                     last = (ps[i], q[-window:], y[-window:])
