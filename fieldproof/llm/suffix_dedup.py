@@ -36,11 +36,11 @@ WIDTH = 50
 GRAM = 26
 WINNOW = WIDTH - GRAM + 1
 SIDE = WIDTH - GRAM
-SEGMENT, MARGIN = 1 << 19, 2 * WIDTH
+SEGMENT, MARGIN = 1 << 18, 2 * WIDTH
 #: Anchors that one group of the exchange holds on average; contexts of one anchor that a shard holds at most.
-PART_ANCHORS, HOT = 500_000, 20_000
+PART_ANCHORS, HOT = 200_000, 20_000
 #: Bytes of text whose anchors a task packs at a time.
-PACK = 4 << 20
+PACK = 2 << 20
 #: Bytes of text of one suffix array, about.
 SHARD = 1 << 20
 
@@ -244,14 +244,14 @@ def _shared(packed: DataFrame) -> DataFrame:
             spans = batch.filter(pa.array(batch.column("blob").is_null()))
             if len(spans):
                 yield spans
-            for p, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                if blob is None:
+            for p, blob in zip(batch.column("part").to_pylist(), batch.column("blob"), strict=True):
+                if not blob.is_valid:
                     continue
                 if held and p != key:
                     yield from settle(key, held)
                     held = []
                 key = p
-                held.append(blob)
+                held.append(blob.as_py())
         if held:
             yield from settle(key, held)
 
