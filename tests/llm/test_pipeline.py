@@ -1,12 +1,14 @@
 """The pipeline's stages against brute force, and its queries against SQL and rules."""
 
+import random
+
 import corpus_pipeline
 from fieldproof.llm import queries
 
 
 def test_stages(spark, tmp_path):
     words = [f"w{i}" for i in range(500)]
-    say = lambda k, n: " ".join(words[(k * 37 + j * (k % 7 + 1)) % 500] for j in range(n))
+    say = lambda k, n: " ".join(random.Random(k).choices(words, k=n))
     rows = [(i, say(i, 80), "en", f"s{i % 2}", 10) for i in range(30)]
     rows += [(50, rows[3][1], "en", "s0", 1), (51, None, "en", "s0", 0), (52, "123 456", "en", "s1", 7), (53, "leak " + say(99, 12), "en", "s1", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
