@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldproof.functions.text import is_missing, js_round, truthy
 from fieldproof.functions.urls import host, source_type
+from fieldproof.operators.holding import holders
 
 
 def source_summary(evidence: DataFrame, top: int = 10) -> DataFrame:
@@ -46,14 +47,16 @@ def enrich(fields: DataFrame, names: DataFrame, found: DataFrame) -> DataFrame:
     names(run_id, record_id, ingest_seq, entity_name); found(run_id, entity_name, field, value, url). A found row belongs to the first
     record of its run with an equal name by letters and digits, else to the first whose name holds it or is held by it. Only fields
     without a value (in ``fields``) are filled, by the first value in order of text. Equal names meet in a hash join; what is left
-    meets inside its run only.
+    meets by a part that both names have.
     """
     new = found.where(~is_missing(F.col("value")) & (F.lower("value") != "n/a")).withColumn("k", alnum(F.col("entity_name"))).where("k <> ''").select("run_id", "k", "field", "value", "url")
     have = names.withColumn("rk", alnum(F.col("entity_name"))).where("rk <> ''").groupBy("run_id", "rk").agg(F.min(F.struct("ingest_seq", "record_id")).alias("r"))
     keys = new.select("run_id", "k").distinct()
     equal = keys.join(have, (keys["run_id"] == have["run_id"]) & (keys["k"] == have["rk"])).select(keys["run_id"], "k", "r")
     rest = keys.join(equal.select("run_id", "k"), ["run_id", "k"], "left_anti")
-    near = rest.join(have, (rest["run_id"] == have["run_id"]) & (F.contains("k", F.col("rk")) | F.contains("rk", F.col("k")))).groupBy(rest["run_id"], "k").agg(F.min("r").alias("r"))
+    mine, theirs = rest.select("run_id", F.col("k").alias("text")), have.select("run_id", F.col("rk").alias("text"))
+    pairs = holders(theirs, mine).select("run_id", F.col("holder").alias("k"), F.col("text").alias("rk")).unionByName(holders(mine, theirs).select("run_id", F.col("text").alias("k"), F.col("holder").alias("rk")))
+    near = pairs.join(have, ["run_id", "rk"]).groupBy("run_id", "k").agg(F.min("r").alias("r"))
     owner = equal.unionByName(near).select("run_id", "k", F.col("r.record_id").alias("record_id"))
     got = new.join(owner, ["run_id", "k"]).groupBy("run_id", "record_id", "field").agg(F.min(F.struct("value", "url")).alias("v"))
     open_ = fields.where(is_missing(F.col("value"))).select("run_id", "record_id", "field")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldproof.functions.numbers import parse_number
 from fieldproof.functions.text import PLACEHOLDER_RX, extract, is_missing, matches, norm_key, truthy
 from fieldproof.functions.urls import host
+from fieldproof.operators.holding import holders
 
 CONTAINERS = ["records", "candidates", "results", "items"]
 LISTICLE = r"(?i)^(top|best|list of|\d+\s+best|\d+\s+top)"
@@ -114,9 +115,19 @@ def complete_evidence(fields: DataFrame, evidence: DataFrame, sources: DataFrame
     """
     cited = evidence.select("run_id", "record_id", F.lower("field").alias("f")).distinct()
     open_ = fields.where(~is_missing(F.col("value"))).withColumn("f", F.lower("field")).join(cited, ["run_id", "record_id", "f"], "left_anti")
-    holds = lambda where, what: F.contains(F.lower(F.coalesce(where, F.lit(""))), F.lower(what))
-    found = open_.join(sources, "run_id").where(holds("snippet", F.col("value")) | holds("snippet", F.col("entity_name")) | holds("title", F.col("entity_name")))
-    best = found.groupBy("run_id", "record_id", "field").agg(F.min_by(F.struct("value", "url", "title", "snippet"), F.struct("search_rank", "url")).alias("s"))
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    # each distinct text is looked for once, in the distinct texts of the sources
+    values, names = (open_.select("run_id", F.lower(c).alias("text")).where("text is not null").distinct() for c in ("value", "entity_name"))
+    source = F.struct("search_rank", "url", "title", "snippet")
+    kept = lambda c: sources.groupBy("run_id", low(F.col(c)).alias("holder")).agg(F.min_by(source, F.struct("search_rank", "url")).alias("s"))
+    snippets, titles = kept("snippet"), kept("title")
+    hit = lambda what, kind, where: holders(what, where.select("run_id", F.col("holder").alias("text"))).join(where, ["run_id", "holder"]).select("run_id", F.lit(kind).alias("kind"), "text", "s")
+    hits = hit(values, "value", snippets).unionByName(hit(names, "entity_name", snippets)).unionByName(hit(names, "entity_name", titles))
+    first = lambda c: F.min_by(c, F.struct(f"{c}.search_rank", f"{c}.url"))
+    firsts = hits.groupBy("run_id", "kind", "text").agg(first("s").alias("s"))
+    asked = open_.select("run_id", "record_id", "field", "value", F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.lower(c).alias("text")) for c in ("value", "entity_name")))).alias("a"))
+    found = asked.select("run_id", "record_id", "field", "value", "a.*").join(firsts, ["run_id", "kind", "text"])
+    best = found.groupBy("run_id", "record_id", "field").agg(F.min_by(F.struct("value", "s.url", "s.title", "s.snippet"), F.struct("s.search_rank", "s.url")).alias("s"))
     return best.select("run_id", "record_id", "field", "s.value", F.col("s.title").alias("source"), "s.url", "s.snippet")
 
 

@@ -229,14 +229,14 @@ def _found_later(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def enrich(spark: SparkSession, d: str) -> DataFrame:
-    rec = A.records(spark, d).where("record_id % 8 = 5 or record_id % 8 = 2")
+    rec = A.records(spark, d)
     fields = A.fields(spark, d, ["Salary"])
     return improve.enrich(fields, rec.select("run_id", "record_id", "ingest_seq", "entity_name"), _found_later(spark, d)).drop("run_id")
 
 
 @query
 def new_candidates(spark: SparkSession, d: str) -> DataFrame:
-    rec = A.records(spark, d).select("run_id", "record_id", "entity_name").where("record_id % 10 < 3")
+    rec = A.records(spark, d).select("run_id", "record_id", "entity_name")
     sup = A.table(spark, d, "customer").select(F.lit("RUN-1").alias("run_id"), (F.col("c_custkey") + 10_000_000).alias("record_id"), F.when(F.col("c_custkey") % 4 == 0, F.lit("  SMALL ring ")).when(F.col("c_custkey") % 4 == 1, F.lit("")).otherwise(F.col("c_name")).alias("entity_name"))
     return improve.new_candidates(rec, sup).drop("run_id")
 
@@ -250,9 +250,9 @@ def catalog_backfill(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def complete_evidence(spark: SparkSession, d: str) -> DataFrame:
-    fields = A.fields(spark, d).where("record_id % 20 = 0")
+    fields = A.fields(spark, d)
     ev = A.evidence(spark, d)
-    src = A.table(spark, d, "supplier").where("s_suppkey < 15").join(A.table(spark, d, "part").select("p_partkey", "p_name"), F.col("s_suppkey") * 7 == F.col("p_partkey")).select(F.lit("RUN-1").alias("run_id"), F.concat(F.lit("https://s.example.com/"), F.col("s_suppkey").cast("string")).alias("url"), F.col("s_name").alias("title"), F.concat(F.lit("About "), "p_name", F.lit(" in Bangalore")).alias("snippet"), F.col("s_suppkey").cast("int").alias("search_rank"))
+    src = A.table(spark, d, "supplier").join(A.table(spark, d, "part").select("p_partkey", "p_name"), F.col("s_suppkey") * 7 == F.col("p_partkey")).select(F.lit("RUN-1").alias("run_id"), F.concat(F.lit("https://s.example.com/"), F.col("s_suppkey").cast("string")).alias("url"), F.col("s_name").alias("title"), F.concat(F.lit("About "), "p_name", F.lit(" in Bangalore")).alias("snippet"), F.col("s_suppkey").cast("int").alias("search_rank"))
     return ingest.complete_evidence(fields, ev.where("verification = 'Confirmed'"), src).drop("run_id")
 
 
