@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from fieldproof.llm.kit import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHARDS = 8
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,15 +42,34 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontam.contamination(docs, benchmark, keep=COLUMNS[1:]).where("n_hit = 0").select(*COLUMNS)
 
 
+def first_words(rows: DataFrame) -> DataFrame:
+    """Texts cut after their first ``part`` words (as the mix counts words), with the n_chars of what is left."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, n in zip(batch.column("text"), batch.column("part").to_pylist(), strict=True):
+                t, end = text.as_py(), 0
+                for m in itertools.islice(WORD.finditer(t), n):
+                    end = m.end()
+                texts.append(t[:end])
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+
+    return rows.mapInArrow(cut, rows.schema).withColumn("n_chars", F.length("text").cast(rows.schema["n_chars"].dataType))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the mix does: not at all, once, or up to three times as repeated rows.
 
-    Rows with equal doc_ids are taken alike.
+    A document of which the mix takes a part of one more copy gives one more row with the first words of its text, as many as
+    the mix takes. Rows with equal doc_ids are taken alike.
     """
     mixed = mixing.mix(docs, F.array("source"))
-    times = mixed.groupBy(F.col("doc_id").alias("id")).agg(F.max("times").alias("times")).where("times > 0")
-    taken = docs.select(*COLUMNS).join(times.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
+    most = F.max(F.struct("times", (F.col("taken") - F.col("size") * F.col("times")).cast("int").alias("part")))
+    times = stored(mixed.where("taken > 0 or times > 0").groupBy(F.col("doc_id").alias("id")).agg(most.alias("m")).select("id", "m.*"))
+    taken = lambda t: docs.select(*COLUMNS).join(t.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")))
+    whole = taken(times.where("times > 0")).withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
+    return whole.unionByName(first_words(taken(times.where("part > 0")).select(*COLUMNS, "part")).select(*COLUMNS))
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

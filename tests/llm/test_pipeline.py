@@ -31,3 +31,14 @@ def test_every_operator_has_its_query():
     names = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_a_source_that_is_one_long_document_keeps_its_quota(spark):
+    words = lambda k, n: " ".join(f"{k}x{i}" for i in range(n))
+    rows = [(10 * s + i, words(f"s{s}d{i}", 100), "en", f"s{s}", 1) for s in (0, 1) for i in range(10)] + [(99, "  " + words("z", 2000).replace(" ", "\n "), "en", "s2", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    # quotas of 4,000 words at 5 : 2 : 1
+    assert {s: sum(len(r.text.split()) for r in got if r.source == s) for s in ("s0", "s1", "s2")} == {"s0": 2500, "s1": 1000, "s2": 500}
+    part = [r for r in got if r.source == "s2"]
+    assert len(part) == 1 and rows[-1][1].startswith(part[0].text) and part[0].n_chars == len(part[0].text)
