@@ -55,7 +55,8 @@ def role_match(spark: SparkSession, d: str) -> DataFrame:
     titles = A.records(spark, d).select(F.col("role").alias("title")).distinct().select("title", parse_title(F.col("title")).alias("p"))
     a, b = titles.select(F.col("title").alias("required"), F.col("p").alias("r")), titles.select(F.col("title").alias("actual"), F.col("p").alias("a"))
     counts = A.records(spark, d).groupBy(F.col("role").alias("actual")).agg(F.count("*").alias("records"))
-    pairs = F.broadcast(a.limit(1000)).join(b, F.col("required") <= F.col("actual")).withColumn("m", match_titles(F.col("r"), F.col("a")))
+    # matching has a direction, so every title is required of every other and of itself
+    pairs = C.small(a).crossJoin(b).withColumn("m", match_titles(F.col("r"), F.col("a")))
     return pairs.join(counts, "actual").select("required", "actual", F.col("a.family").alias("family"), F.array_join("a.technologies", ",").alias("technologies"), F.col("a.seniority").alias("seniority"), "m.result", "m.reason", "records")
 
 

@@ -72,3 +72,10 @@ def test_new_candidates_knows_all_records(spark):
     known = {n.strip().lower() for _, n in rec} - {""}
     assert not [n for i, n in got if i > 10_000_000 and n.strip().lower() in known]
     assert len(got) == len(rec) + sum(c.c_custkey % 4 == 1 or {0: "small ring"}.get(c.c_custkey % 4, c.c_name.strip().lower()) not in known for c in A.table(spark, DIR, "customer").collect())
+
+
+def test_role_match_has_both_directions(spark):
+    titles = {r.role for r in A.records(spark, DIR).select("role").distinct().collect()}
+    got = {(r.required, r.actual): r.result for r in queries.role_match(spark, DIR).collect()}
+    assert set(got) == {(a, b) for a in titles for b in titles}
+    assert got["Java Backend Developer", "Backend Engineer"] == "UNKNOWN" and got["Backend Engineer", "Java Backend Developer"] == "MATCH"
