@@ -15,16 +15,30 @@ from fieldproof.llm.kit import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHARDS = 8
+LEAST_COSINE, SHORT = 3 / language.DIM**0.5, 20
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def of_known_language(found: DataFrame) -> DataFrame:
+    """Rows of language.identify (with the text kept) whose text has a letter and is like what was learned.
+
+    The cosine of a text that shares nothing with a profile spreads around 0 with a deviation of 1 / sqrt(DIM). A text whose
+    largest cosine stays below three of these is dropped, but for texts of under SHORT letters: too few for the cosine to tell.
+    """
+    letters = F.length(F.regexp_replace("text", r"\P{L}+", ""))
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & ((F.col("score") >= LEAST_COSINE) | (letters < SHORT)))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is ``und``: no text, or no letter in it.
+    """Drops documents without text or letters, and those that are like no learned language (``of_known_language``).
 
-    Profiles are learned from the documents with a stated language. Repeated rows are judged one by one.
+    Profiles are learned from the documents with a stated language; without any, every document with a letter stays. Repeated
+    rows are judged one by one.
     """
     learned = language.prototypes(docs)
-    return language.identify(docs, learned, keep=COLUMNS[1:]).where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
+    if not learned:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    return of_known_language(language.identify(docs, learned, keep=COLUMNS[1:])).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from fieldproof.llm import queries
+from fieldproof.llm import language, queries
 
 
 def test_stages(spark, tmp_path):
@@ -42,3 +44,20 @@ def test_a_source_that_is_one_long_document_keeps_its_quota(spark):
     assert {s: sum(len(r.text.split()) for r in got if r.source == s) for s in ("s0", "s1", "s2")} == {"s0": 2500, "s1": 1000, "s2": 500}
     part = [r for r in got if r.source == "s2"]
     assert len(part) == 1 and rows[-1][1].startswith(part[0].text) and part[0].n_chars == len(part[0].text)
+
+
+def test_language_stage(spark):
+    kinds = {"aa": ["the", "with", "and", "from", "shall"], "bb": ["der", "und", "nicht", "für", "schön"], "cc": ["que", "para", "como", "los"]}
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(kinds[k]) for _ in range(rng.randint(3, 60))), k, "s", 1) for i, k in enumerate(sorted(kinds) * 40)]
+    rows += [(1000, None, None, "s", 0), (1001, "123 !!", None, "s", 6), (1002, "ok", None, "s", 2)]
+    strange = [(1003 + i, " ".join("".join(rng.choice("ζξψφχθ") for _ in range(6)) for _ in range(30)), None, "s", 1) for i in range(20)]
+    df = spark.createDataFrame(rows + strange, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = lambda d: sorted(r.doc_id for r in d.collect())
+    clean = [*range(120), 1002]
+    assert kept(corpus_pipeline.identify_language(spark, df, "")) == clean
+    # clean documents that were not learned from stay too
+    learned = language.prototypes(df.where("doc_id % 5 <> 0"))
+    assert kept(corpus_pipeline.of_known_language(language.identify(df, learned, keep=corpus_pipeline.COLUMNS[1:]))) == clean
+    unnamed = df.withColumn("lang", F.lit(None).cast("string"))
+    assert kept(corpus_pipeline.identify_language(spark, unnamed, "")) == [*clean, *(r[0] for r in strange)]
