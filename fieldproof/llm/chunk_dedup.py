@@ -4,8 +4,9 @@ A gear hash over the last 16 bytes is rolled along each text. A chunk ends where
 smallest within ``RADIUS`` bytes on either side, so cuts depend on nearby bytes alone: after an
 insertion the next cuts are the same again. Chunks are at least ``RADIUS`` bytes but for a text's
 first and last. Every chunk has a 128-bit digest; of a digest that several documents hold, the
-document with the smallest id keeps its chunks. Runs of repeated chunks of at least ``min_run``
-bytes are removed.
+document with the smallest id keeps its chunks, and the others lose them. What a text's edge cuts
+short of ``RADIUS`` bytes is no chunk of its own: it goes with a repeated neighbour or with the
+whole text, so that a word that texts begin with by chance stays.
 
 Chunks meet by digest in one shuffle. Each task first folds its own occurrences of a digest into
 one row, so a chunk that a third of all documents hold is a few rows a task, and the sorted rows
@@ -135,11 +136,11 @@ def _repeated(sorted_rows: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(part, "id long, starts array<int>, ends array<int>")
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_run: int = 64) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_run: int = RADIUS) -> DataFrame:
     """Texts without the chunks that a document with a smaller id holds too.
 
-    Rows (id_col, n_bytes, n_removed, n_spans, text), one for each input row. Only runs of repeated
-    chunks of at least ``min_run`` bytes are removed. Ids are integers; rows with a null id are kept whole. Null
+    Rows (id_col, n_bytes, n_removed, n_spans, text), one for each input row. Runs of repeated
+    chunks are removed if they have ``min_run`` bytes, which every chunk inside a text has by default, or are the whole text. Ids are integers; rows with a null id are kept whole. Null
     texts are empty; empty texts have no chunk. Chunks repeated inside one document stay. Rows with
     equal ids count as one document and lose the same byte places. Other columns are ignored. An
     empty table gives no rows.

@@ -21,7 +21,7 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cut_out(docs: DataFrame, spans: DataFrame, *, id_col: str, text_col: str, min_run: int = 1) -> DataFrame:
-    """Removes the union of ``spans(id, starts, ends)`` (arrays of byte offsets) from the texts, in runs of at least ``min_run`` bytes.
+    """Removes the union of ``spans(id, starts, ends)`` (arrays of byte offsets) from the texts, in runs that have at least ``min_run`` bytes or are the whole text.
 
     Rows (id, n_bytes, n_removed, n_spans, kept), one for each row of ``docs``; a null text is empty.
     Rows with equal ids lose the same byte places.
@@ -37,7 +37,7 @@ def cut_out(docs: DataFrame, spans: DataFrame, *, id_col: str, text_col: str, mi
                 out, gone, runs = raw, 0, 0
                 if s.is_valid:
                     a, b = merged(s.values.to_numpy(), np.minimum(e.values.to_numpy(), len(raw)))
-                    ok = (b - a >= min_run) & (b > a)
+                    ok = ((b - a >= min_run) | (b - a == len(raw))) & (b > a)
                     a, b = a[ok], b[ok]
                     gone, runs = int((b - a).sum()), len(a)
                     out = b"".join(raw[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True))

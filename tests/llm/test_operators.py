@@ -168,6 +168,21 @@ def test_chunk_dedup(docs):
     assert got[1].n_removed > 0.8 * got[1].n_bytes and got[4].n_removed > 100 and got[0].n_removed == 0 and got[20].n_removed == 0
 
 
+def test_short_copies_go_too(spark):
+    short = "forty bytes that a third of all rows has"
+    rows = [(i, short if i % 3 == 0 else f"{i} {'qwertyuiop'[i % 10] * 5} own text number {i * i}") for i in range(60)]
+    got = by_id(chunk_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: r.n_removed for i, r in got.items()} == {i: len(short) if i % 3 == 0 and i else 0 for i, _ in rows}
+    # passages of 110 bytes inside longer texts: often one chunk of them alone repeats
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = [say(110) for _ in range(20)]
+    rows = [(i, say(300) + shared[i % 20] + say(300)) for i in range(40)]
+    got = by_id(chunk_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    alone = [i for i in range(20, 40) if 0 < got[i].n_removed < 64]
+    assert alone and all(got[i].n_removed >= chunk_dedup.RADIUS for i in alone) and all(got[i].n_removed == 0 for i in range(20))
+
+
 def test_chunks_survive_insertions():
     a = np.frombuffer(texts()[-1].encode(), np.uint8)
     b = np.concatenate([a[:5000], np.frombuffer(b"inserted!", np.uint8), a[5000:]])
