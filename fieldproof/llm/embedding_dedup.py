@@ -5,6 +5,10 @@ projections, and each is compared with those in a bounded window of the order. A
 cosine shares the leading signs, and so a window, in some pass with high probability. Pairs
 are verified by their cosine in double precision and united across passes.
 
+How many signs the rows at the ends of a window share tells how likely a pair is to miss it. These
+chances are multiplied over the passes for each vector, and vectors with a chance over ``MISS`` (many,
+or in a dense topic) are ordered again among themselves by new planes, until none is left.
+
 Equal vectors collapse to a class first. A window that is full of links says that a group is larger
 than the window: links inside the components that were found are then counted exactly, in blocks
 of bounded size, so the window is no cap on partners.
@@ -21,7 +25,10 @@ from pyspark.sql import functions as F
 
 from fieldproof.llm.kit import components, stored
 
+#: Passes of a round at least, rows of a window, signs of a key.
 PASSES, WINDOW, SIGNS = 24, 256, 63
+#: Accepted chance that a pair right at the bound shares no window.
+MISS = 1e-4
 BLOCK = 512
 
 
@@ -48,8 +55,8 @@ def _unit(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(part, "id long, v array<double>")
 
 
-def _ordered(classes: DataFrame, passes: int) -> DataFrame:
-    """(pass, key, tie, id, v): the sign key of every vector in every pass."""
+def _ordered(classes: DataFrame, passes: int, start: int = 0) -> DataFrame:
+    """(pass, key, rep, v): the sign key of every vector in every pass from ``start`` on."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -61,7 +68,7 @@ def _ordered(classes: DataFrame, passes: int) -> DataFrame:
                 for dim in np.unique(sizes):
                     own = b.filter(pa.array(sizes == dim))
                     x = _matrix(own.column("v"))
-                    for p in range(passes):
+                    for p in range(start, start + passes):
                         if (p, dim) not in planes:
                             planes[p, dim] = np.random.default_rng([p, dim]).standard_normal((dim, SIGNS))
                         key = ((x @ planes[p, dim]) > 0) @ weight
@@ -74,13 +81,31 @@ def _ordered(classes: DataFrame, passes: int) -> DataFrame:
 def _windows(rows: DataFrame, window: int, least: float) -> DataFrame:
     """Verified pairs (a, b) within the windows of each sorted partition, those that join two groups of its pass:
     the others add nothing to components. Where partitions meet, the last and first ``window`` rows are returned
-    with side and border to be compared too."""
+    with side and border to be compared too. credit (of a) is the logarithm of the chance that a pair at the bound misses
+    the window of the pass; a row that is linked with half of its window has its group already."""
+    keeps = 1 - np.arccos(least) / np.pi  # chance of a sign to be the same
+    schema = ["a", "b", "border", "pass", "v", "credit"]
+
+    def row(a, b, border, p, v, credit=None) -> pa.RecordBatch:
+        n = len(a)
+        full = lambda x: pa.array(np.full(n, x, np.int64)) if x is not None else pa.nulls(n, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b) if b is not None else full(-1), full(border), full(p), pa.array(v, pa.list_(pa.float64())) if v is not None else pa.nulls(n, pa.list_(pa.float64())), pa.array(credit) if credit is not None else pa.nulls(n, pa.float64())], schema)
+
+    def chance(k: np.ndarray, end: np.ndarray) -> np.ndarray:
+        shared = SIGNS - np.frexp((k ^ end).astype(np.float64))[1]
+        return np.log1p(-np.minimum(keeps ** (shared + 1.0), 0.999))
+
+    def credits(rows: tuple, n: int) -> pa.RecordBatch:
+        """Of the first n rows: the worse of the window behind and the window ahead."""
+        _, reps, _, keys, behind = rows
+        ahead = chance(keys[:n], keys[np.minimum(np.arange(n) + window, len(keys) - 1)])
+        return row(reps[:n], None, -1, None, None, np.where(np.isnan(behind[:n]), -np.inf, np.maximum(behind[:n], ahead)))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         me = TaskContext.get().partitionId()
-        last = None  # (pass, reps, vectors) of the rows before
+        last = None  # (pass, reps, vectors, keys, chances behind) of the rows before
         opening: list = []
         parent: dict[int, int] = {}  # groups of this partition in the current pass
 
@@ -91,13 +116,14 @@ def _windows(rows: DataFrame, window: int, least: float) -> DataFrame:
             return r
 
         for batch in batches:
-            ps, reps = batch.column("pass").to_numpy(), batch.column("rep").to_numpy()
+            ps, reps, keys = (batch.column(c).to_numpy() for c in ("pass", "rep", "key"))
             edge = [0, *(np.flatnonzero(ps[1:] != ps[:-1]) + 1).tolist(), len(ps)] if len(ps) else [0]
             for s, e in zip(edge[:-1], edge[1:], strict=True):
                 for i in range(s, e, window):
                     j = min(e, i + window)
                     x, r = _matrix(batch.column("v").slice(i, j - i)), reps[i:j]
                     y, q = (np.concatenate([last[2], x]), np.concatenate([last[1], r])) if last and last[0] == ps[i] else (x, r)
+                    kq = np.concatenate([last[3], keys[i:j]]) if last and last[0] == ps[i] else keys[i:j]
                     if len(opening) == 0 or (opening[0][0] == ps[i] and sum(len(o[1]) for o in opening) < window):
                         opening.append((ps[i], r, x))
                     if not last or last[0] != ps[i]:
@@ -106,6 +132,14 @@ def _windows(rows: DataFrame, window: int, least: float) -> DataFrame:
                     near = x @ y.T >= least
                     a, b = np.nonzero(near)
                     ok = (b < before + a) & (before + a - b <= window)
+                    at = before + np.arange(len(r))
+                    behind = chance(kq[at], kq[np.maximum(at - window, 0)])
+                    behind[np.bincount(a[ok], minlength=len(r)) * 2 >= window] = np.nan
+                    if last and last[0] != ps[i]:
+                        yield credits(last, len(last[1]))
+                    rows_ = (ps[i], q, y, kq, np.concatenate([last[4], behind]) if before else behind)
+                    if len(q) > window:  # the rows whose window ahead is full now
+                        yield credits(rows_, len(q) - window)
                     joins = []
                     for u, v in zip(r[a[ok]].tolist(), q[b[ok]].tolist(), strict=True):
                         if (g := top(u)) != (h := top(v)):
@@ -113,14 +147,16 @@ def _windows(rows: DataFrame, window: int, least: float) -> DataFrame:
                             joins.append((u, v))
                     a, b = np.array(joins, np.int64).reshape(-1, 2).T
                     if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), -1, np.int64)), pa.array([None] * len(a), pa.int64()), pa.array([None] * len(a), pa.list_(pa.float64()))], ["a", "b", "border", "pass", "v"])
-                    last = (ps[i], q[-window:], y[-window:])
-        for border, side, p, r, x in ([(me, 1, *last)] if last else []) + [(me - 1, 0, p, r, x) for p, r, x in opening]:
+                        yield row(np.minimum(a, b), np.maximum(a, b), -1, None, None)
+                    last = (ps[i], *(x[-window:] for x in rows_[1:]))
+        if last:
+            yield credits(last, len(last[1]))
+        for border, side, p, r, x in ([(me, 1, *last[:3])] if last else []) + [(me - 1, 0, p, r, x) for p, r, x in opening]:
             n = min(len(r), window)
             r, x = (r[-n:], x[-n:]) if side else (r[:n], x[:n])
-            yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(np.full(n, side, np.int64)), pa.array(np.full(n, border, np.int64)), pa.array(np.full(n, p, np.int64)), pa.array(list(x), pa.list_(pa.float64()))], ["a", "b", "border", "pass", "v"])
+            yield row(r, np.full(n, side, np.int64), border, p, list(x))
 
-    return rows.mapInArrow(part, "a long, b long, border long, pass long, v array<double>")
+    return rows.mapInArrow(part, "a long, b long, border long, pass long, v array<double>, credit double")
 
 
 def _across(borders: DataFrame, least: float) -> DataFrame:
@@ -188,6 +224,33 @@ def _within(members: DataFrame, least: float) -> DataFrame:
     return spread.mapInArrow(part, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
 
 
+def passes_for(rows: int, window: int, least: float) -> int:
+    """Passes after which a pair at the bound has shared a window with a chance of 1 - MISS, if directions are spread evenly."""
+    q = (1 - np.arccos(least) / np.pi) ** (max(0.0, np.log2(max(1, rows) / window)) + 1)
+    return int(np.ceil(np.log(MISS) / np.log1p(-min(q, 0.999))))
+
+
+def _linked_pairs(classes: DataFrame, least: float, passes: int, window: int) -> DataFrame:
+    """Pairs (a, b) of linked classes that make up the components, found in rounds of passes over the classes not yet safe."""
+    todo, start, left, pairs = classes.select("rep", "v"), 0, None, None
+    while True:
+        rows = todo.count()
+        each = max(passes, passes_for(rows, window, least))
+        n = max(1, rows * each // 50_000 + 1)
+        found = stored(_windows(_ordered(todo, each, start).repartitionByRange(n, "pass", "key", F.xxhash64("rep")).sortWithinPartitions("pass", "key"), window, least))
+        new = found.where("pass is null and credit is null").select("a", "b").unionByName(_across(found.where("pass is not null"), least))
+        pairs = stored((new if pairs is None else pairs.unionByName(new)).distinct())
+        start += each
+        if rows <= window:  # all were compared with all
+            return pairs
+        credit = found.where("credit is not null").select(F.col("a").alias("rep"), "credit")
+        left = (credit if left is None else left.unionByName(credit)).groupBy("rep").agg(F.sum("credit").alias("credit"))
+        left = stored(left.where(F.col("credit") > float(np.log(MISS))))  # not safe yet
+        if left.isEmpty():
+            return pairs
+        todo = stored(todo.join(left.select("rep").hint("merge"), "rep", "left_semi"))
+
+
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
     """Groups of near-equal vectors: rows (id_col, n_links, component_id, kept), one for each input row.
 
@@ -201,10 +264,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     unit = stored(_unit(rows).withColumn("class", F.when(F.col("v").isNotNull(), F.sha2(F.to_json(F.struct("v")), 256))))
     classes = stored(unit.where("v is not null").groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")))
-    ordered = _ordered(classes, passes)
-    n = max(1, classes.count() * passes // 50_000 + 1)
-    found = stored(_windows(ordered.repartitionByRange(n, "pass", "key", F.xxhash64("rep")).sortWithinPartitions("pass", "key"), window, least))
-    pairs = found.where("pass is null").select("a", "b").unionByName(_across(found.where("pass is not null"), least)).distinct()
+    pairs = _linked_pairs(classes, least, passes, window)
     comp = components(pairs).withColumnRenamed("id", "rep").withColumnRenamed("component", "comp")
     members = classes.select("rep", "copies", "v").join(comp.hint("merge"), "rep")
     linked = _within(members, least).join(comp.hint("merge"), "rep")
