@@ -15,7 +15,7 @@ from fieldproof.llm.kit import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHARDS = 8
-LEAST_COSINE, SHORT = 3 / language.DIM**0.5, 20
+LEAST_COSINE, SHORT = 4 / language.DIM**0.5, 20
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -23,7 +23,7 @@ def of_known_language(found: DataFrame) -> DataFrame:
     """Rows of language.identify (with the text kept) whose text has a letter and is like what was learned.
 
     The cosine of a text that shares nothing with a profile spreads around 0 with a deviation of 1 / sqrt(DIM). A text whose
-    largest cosine stays below three of these is dropped, but for texts of under SHORT letters: too few for the cosine to tell.
+    largest cosine stays below four of these is dropped, but for texts of under SHORT letters: too few for the cosine to tell.
     """
     letters = F.length(F.regexp_replace("text", r"\P{L}+", ""))
     return found.where((F.col("lang_pred") != language.UNKNOWN) & ((F.col("score") >= LEAST_COSINE) | (letters < SHORT)))
