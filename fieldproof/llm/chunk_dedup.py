@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldproof.llm.kit import pieces
-from fieldproof.llm.spans import cut_out
+from fieldproof.llm.spans import PACKED, buckets_for, cut_out, packed, union_of
 
 RADIUS, REACH = 24, 16
 _GAP = RADIUS + REACH
@@ -103,8 +103,8 @@ def _occurrences(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(part, "digest binary, lo long, occ binary")
 
 
-def _repeated(sorted_rows: DataFrame) -> DataFrame:
-    """(id, starts, ends) of the chunks whose digest a smaller id holds; input sorted by digest and lo."""
+def _repeated(sorted_rows: DataFrame, buckets: int) -> DataFrame:
+    """PACKED spans of the chunks whose digest a smaller id holds; input sorted by digest and lo."""
     pack = np.dtype([("id", "<i8"), ("start", "<i4"), ("end", "<i4")])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,13 +127,12 @@ def _repeated(sorted_rows: DataFrame) -> DataFrame:
                 found.append(occ[occ["id"] > own[k]])
             if len(batch):
                 key, owner = d[-1].tobytes(), int(own[-1])
-            if found and len(all_ := np.sort(np.concatenate(found), order=["id", "start"])):
-                ids, at = np.unique(all_["id"], return_index=True)
-                at = np.append(at, len(all_)).astype(np.int32)
-                lists = lambda c: pa.ListArray.from_arrays(pa.array(at), pa.array(all_[c]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), lists("start"), lists("end")], ["id", "starts", "ends"])
+            if found:
+                x = np.concatenate(found)
+                if (out := packed(union_of(x["id"], x["start"], x["end"]), buckets)) is not None:
+                    yield out
 
-    return sorted_rows.mapInArrow(part, "id long, starts array<int>, ends array<int>")
+    return sorted_rows.mapInArrow(part, PACKED)
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_run: int = RADIUS) -> DataFrame:
@@ -145,7 +144,8 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mi
     equal ids count as one document and lose the same byte places. Other columns are ignored. An
     empty table gives no rows.
     """
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = _occurrences(texts).repartition("digest").sortWithinPartitions("digest", "lo")
-    out = cut_out(docs.withColumn(id_col, F.col(id_col).cast("long")), _repeated(rows), id_col=id_col, text_col=text_col, min_run=min_run)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    buckets = buckets_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    rows = _occurrences(docs.where("id is not null")).repartition("digest").sortWithinPartitions("digest", "lo")
+    out = cut_out(docs, _repeated(rows, buckets), buckets, min_run=min_run)
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("text"))

@@ -5,19 +5,23 @@ smaller id.
 
 1. Candidates. Winnowing picks anchors: of every ``WINNOW`` neighbouring ``GRAM``-byte strings the
    one with the smallest hash, so every string of WIDTH bytes contains an anchor, and equal strings
-   contain equal ones. All anchors meet by hash, packed, with a hash of their context (the bytes
+   contain equal ones. All anchors meet by hash, packed, with a digest of their context (the bytes
    that a WIDTH-byte string around the anchor can reach). An anchor seen in one document only is
-   dropped; equal contexts fold into one, which its smallest document stands for.
+   dropped. Contexts with equal digests, of the same anchor, count as equal and fold into one, which
+   its smallest document stands for (64 bits for the anchor and 64 for the context).
 2. Shards. The distinct contexts of anchors that several documents share are dealt to shards by
    anchor. Each shard's suffix array is built by Larsson-Sadakane refinement in numpy, common
    prefixes by Kasai's rule, and runs of suffixes with a common prefix of WIDTH bytes give the
    smallest document of each string.
-3. Merging. The strings of an anchor with more contexts than one shard should hold are split over
-   shards; the sorted strings are cut at common splitters by binary search, so that equal strings of all shards
-   meet in one place.
+3. Merging. Contexts of anchors with more of them than one shard should hold are dealt over shards
+   at will, so a string can stand in several. The ordered strings of each such shard's suffix array are cut
+   at common bounds by binary search, equal strings of all shards meet in one range, and the
+   smallest document of all shards owns them.
 4. The covered bytes of each document are united and cut out.
 
-Texts are read whole, long ones in overlapping segments.
+Texts are read whole, long ones in overlapping segments. Anchors that a sample shows to be frequent
+are spread over the exchange by context instead of by anchor, and merged as in 3; the sample
+decides only where they are dealt to, never what is found.
 """
 
 from __future__ import annotations
@@ -26,23 +30,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldproof.llm.kit import mix64, pieces, stored
-from fieldproof.llm.spans import cut_out, merged
+from fieldproof.llm.spans import PACKED, SPAN, buckets_for, by_bucket, cut_out, meet, packed, union_of
 
 WIDTH = 50
 GRAM = 26
 WINNOW = WIDTH - GRAM + 1
 SIDE = WIDTH - GRAM
 SEGMENT, MARGIN = 1 << 18, 2 * WIDTH
-#: Anchors that one group of the exchange holds on average; contexts of one anchor that a shard holds at most.
-PART_ANCHORS, HOT = 200_000, 20_000
+#: Anchors that one part of the exchange holds on average; contexts of one anchor that go to one shard at most.
+PART_ANCHORS, HOT = 200_000, 2_000
 #: Bytes of text whose anchors a task packs at a time.
-PACK = 2 << 20
-#: Bytes of text of one suffix array, about.
-SHARD = 1 << 20
+PACK = 4 << 20
+#: Bytes of text of one suffix array, about; bytes of contexts that a task hands on at a time; of the strings of one range.
+SHARD, FLUSH, RANGE = 1 << 20, 4 << 20, 4 << 20
+#: Bytes of text that the sample for frequent anchors has at least, times that an anchor is seen in it to count as frequent, and how many may be named.
+SAMPLE, SEEN, NAMED = 8 << 20, 32, 1 << 20
+#: Ranges at most: their bounds are drawn on the driver, DRAWN strings for each.
+RANGES, DRAWN = 1 << 14, 8
 
 _VALUE = np.random.default_rng(31).integers(1, 1 << 63, 256, dtype=np.uint64)
 _B = 0x9E3779B97F4A7C15
@@ -114,174 +123,181 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np
         yield text[seg], place, gram[at], context
 
 
-_HEAD = np.dtype([("id", "<i8"), ("n", "<u4")])
-
-
-def _pack(ids: np.ndarray, place: np.ndarray, h: np.ndarray, c: np.ndarray) -> bytes:
-    """Rows sorted by id and place; places as 16-bit steps where they fit."""
-    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    head = np.empty(len(first), _HEAD)
-    head["id"], head["n"] = ids[first], np.diff(np.append(first, len(ids)))
-    step = np.diff(place, prepend=0)
-    step[first] = place[first]
-    kind = "<u2" if step.max() < 1 << 16 else "<u4"
-    return b"".join([np.array([len(first), len(ids), int(kind == "<u4")], "<u4").tobytes(), head.tobytes(), step.astype(kind).tobytes(), h.astype("<u4").tobytes(), c.astype("<u8").tobytes()])
-
-
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    heads, n, wide = np.frombuffer(blob, "<u4", 3).tolist()
-    at = 12
-    head = np.frombuffer(blob, _HEAD, heads, at)
-    at += head.nbytes
-    step = np.frombuffer(blob, "<u4" if wide else "<u2", n, at)
-    at += step.nbytes
-    h = np.frombuffer(blob, "<u4", n, at)
-    c = np.frombuffer(blob, "<u8", n, at + h.nbytes)
-    total = np.cumsum(step.astype(np.int64))
-    first = np.cumsum(head["n"].astype(np.int64)) - head["n"]
-    place = total - np.repeat(total[first] - step[first], head["n"])
-    return np.repeat(head["id"], head["n"]), place, h, c
-
-
-_FOUND = "part int, blob binary, id long, starts array<int>, ends array<int>, keys array<long>, hot array<boolean>"
-
-
-def _covers(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch | None:
-    """Rows of _FOUND with the spans of each id."""
-    if not len(ids):
-        return None
-    order = np.lexsort((start, ids))
-    ids, start, end = ids[order], start[order], end[order]
-    u, at = np.unique(ids, return_index=True)
-    s, e, cut = [], [], [0]
-    for a, b in zip(at, np.append(at[1:], len(ids)), strict=True):
-        x, y = merged(start[a:b], end[a:b])
-        s.append(x)
-        e.append(y)
-        cut.append(cut[-1] + len(x))
-    lists = lambda v: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate(v).astype(np.int32)))
-    n = len(u)
-    return pa.RecordBatch.from_arrays([pa.array(u % 997, pa.int32()), pa.nulls(n, pa.binary()), pa.array(u), lists(s), lists(e), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.bool_()))], ["part", "blob", "id", "starts", "ends", "keys", "hot"])
-
-
-def _exchange(texts: DataFrame, parts: int) -> DataFrame:
-    """Map side: anchors of about PACK bytes of text at a time, packed by part of the hash range; a context that these have in
-    several documents is sent for the smallest one, and the others' are covers already."""
-
-    def packed(ids: np.ndarray, data: np.ndarray, offs: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found = list(anchors(data, offs))
-        if not found:
-            return
-        text, place, h, c = (np.concatenate(x) for x in zip(*found, strict=True))
-        doc = ids[text]
-        key = h ^ mix64(c)
-        order = np.lexsort((doc, key))
-        k, d = key[order], doc[order]
-        first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        least = np.repeat(d[first], np.diff(np.append(first, len(k))))
-        over = order[d > least]
-        if (out := _covers(doc[over], np.maximum(place[over] - SIDE, 0), place[over] + WIDTH)) is not None:
-            yield out
-        keep = np.ones(len(doc), bool)
-        keep[over] = False
-        doc, place, h, c = doc[keep], place[keep], h[keep], c[keep]
-        to = (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-        order = np.lexsort((place, doc, to))
-        doc, place, h, c, to = doc[order], place[order], h[order], c[order], to[order]
-        # repeated rows of one document
-        same = np.append(False, (to[1:] == to[:-1]) & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1]))
-        doc, place, h, c, to = doc[~same], place[~same], h[~same], c[~same], to[~same]
-        u, at = np.unique(to, return_index=True)
-        blobs = [_pack(doc[a:b], place[a:b], h[a:b] & np.uint64(0xFFFFFFFF), c[a:b]) for a, b in zip(at, np.append(at[1:], len(to)), strict=True)]
-        n = len(u)
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.bool_()))], ["part", "blob", "id", "starts", "ends", "keys", "hot"])
+_ANCHOR = np.dtype([("id", "<i8"), ("at", "<i4"), ("h", "<u8"), ("c", "<u8")])
+_PLACE = np.dtype([("id", "<i8"), ("at", "<i4"), ("key", "<u8"), ("hot", "?")])
+#: Kinds of rows in the exchange: anchors of a part, spans and places of a bucket of documents; n counts the records.
+ANCHORS, SPANS, PLACES = 0, 1, 2
+_FOUND = "kind int, bucket int, n long, blob binary"
+
+
+def _records(kind: np.dtype, **columns: np.ndarray) -> np.ndarray:
+    out = np.empty(len(columns["id"]), kind)
+    for name, values in columns.items():
+        out[name] = values
+    return out
+
+
+def _spread(h: np.ndarray, n: int) -> np.ndarray:
+    """A number under n for each hash. Anchors are the smallest of many hashes, so they are mixed anew first."""
+    return (((mix64(h ^ np.uint64(0x51ED270B)) >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
+def _tagged(kind: int, records: np.ndarray, to: np.ndarray | None = None, *, buckets: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows of _FOUND: records by bucket of their documents, or by ``to``."""
+    if not len(records):
+        return
+    to = np.mod(records["id"], buckets) if to is None else to
+    order = np.argsort(to, kind="stable")
+    records, to = records[order], to[order]
+    at = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to))
+    blobs = [records[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    n = len(blobs)
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(to[at[:-1]].astype(np.int32)), pa.array(np.diff(at).astype(np.int64)), pa.array(blobs, pa.binary())], ["kind", "bucket", "n", "blob"])
+
+
+def _anchors_of(ids: np.ndarray, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    found = list(anchors(data, offs))
+    if not found:
+        return np.zeros(0, _ANCHOR)
+    text, place, h, c = (np.concatenate(x) for x in zip(*found, strict=True))
+    return _records(_ANCHOR, id=ids[text], at=place, h=h, c=c)
+
+
+def _frequent(texts: DataFrame, total: int, most: int) -> np.ndarray:
+    """Anchors with very many contexts, as far as a sample of the texts by id shows; it grows with the texts."""
+    step = max(1, min(total // SAMPLE, PART_ANCHORS // (2 * SEEN)))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            for i, j, data, offs in pieces(batch.column("text"), PACK):
+                r = _anchors_of(ids[i:j], data, offs)
+                r = r[np.unique(mix64(r["h"]) ^ r["c"], return_index=True)[1]]
+                h, n = np.unique(r["h"], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    counts = texts.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).mapInArrow(part, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    often = counts.where(F.col("n") >= max(SEEN, most // step)).orderBy(F.desc("n"), "h").limit(NAMED)
+    return np.sort(np.array([r.h for r in often.collect()], np.int64).view(np.uint64))
+
+
+def _exchange(texts: DataFrame, parts: int, buckets: int, hot: np.ndarray) -> DataFrame:
+    """Map side: anchors of about PACK bytes of text at a time, packed by part; a context that these have in several documents is
+    sent for the smallest one, and the others' are spans already."""
+    shared = texts.sparkSession.sparkContext.broadcast(hot)  # at most NAMED hashes
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy()
             for i, j, data, offs in pieces(batch.column("text"), PACK):
-                yield from packed(ids[i:j], data, offs)
+                r = _anchors_of(ids[i:j], data, offs)
+                key = r["h"] ^ mix64(r["c"])
+                order = np.lexsort((r["id"], key))
+                k, d = key[order], r["id"][order]
+                first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+                over = order[d > np.repeat(d[first], np.diff(np.append(first, len(k))))]
+                x = r[over]
+                yield from _tagged(SPANS, union_of(x["id"], np.maximum(x["at"] - SIDE, 0), x["at"] + WIDTH), buckets=buckets)
+                keep = np.ones(len(r), bool)
+                keep[over] = False
+                r, key = r[keep], key[keep]
+                yield from _tagged(ANCHORS, r, _spread(np.where(_among(r["h"], shared.value), key, r["h"]), parts))
 
     return texts.mapInArrow(part, _FOUND)
 
 
-def _shared(packed: DataFrame) -> DataFrame:
-    """Reduce side: covers (id, starts, ends) of contexts that a smaller document has, and places (id, starts, keys, hot)
-    of the distinct contexts of anchors that several documents share."""
+def _among(values: np.ndarray, members: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(members, values)
+    return np.append(members, 0)[at] == values if len(members) else np.zeros(len(values), bool)
 
-    def settle(part_: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        doc, place, h, c = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
-        order = np.lexsort((place, doc, c, h))
-        doc, place, h, c = doc[order], place[order], h[order], c[order]
-        n = len(doc)
+
+def _shared(rows: DataFrame, buckets: int, hot: np.ndarray, most: int) -> DataFrame:
+    """Reduce side: spans of contexts that a smaller document has, and places of the distinct contexts of anchors that several
+    documents share, by bucket of documents; of more than ``most`` contexts, as those of a frequent anchor."""
+    shared = rows.sparkSession.sparkContext.broadcast(hot)
+
+    def settle(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        r = np.frombuffer(b"".join(blobs), _ANCHOR)
+        r = r[np.lexsort((r["at"], r["id"], r["c"], r["h"]))]
+        n, h, c, doc = len(r), r["h"], r["c"], r["id"]
         new_h = np.append(True, h[1:] != h[:-1])
         new_c = new_h | np.append(True, c[1:] != c[:-1])
-        at_c = np.flatnonzero(new_c)
+        at_c, at_h = np.flatnonzero(new_c), np.flatnonzero(new_h)
         least = np.repeat(doc[at_c], np.diff(np.append(at_c, n)))
         over = doc > least
-        if (out := _covers(doc[over], np.maximum(place[over] - SIDE, 0), place[over] + WIDTH)) is not None:
-            yield out
-        at_h = np.flatnonzero(new_h)
+        x = r[over]
+        yield from _tagged(SPANS, union_of(x["id"], np.maximum(x["at"] - SIDE, 0), x["at"] + WIDTH), buckets=buckets)
+        spread = _among(h[at_h], shared.value)  # the other contexts of these are in other parts
+        several = spread | (np.minimum.reduceat(least, at_h) < np.maximum.reduceat(least, at_h))
+        often = spread | (np.add.reduceat(new_c.astype(np.int64), at_h) > most)
         size = np.diff(np.append(at_h, n))
-        classes = np.add.reduceat(new_c.astype(np.int64), at_h)
-        several = np.minimum.reduceat(least, at_h) < np.maximum.reduceat(least, at_h)
-        need = np.repeat(several, size) & ~over
-        hot = np.repeat(classes > HOT, size)[need]
-        doc, place, h = doc[need], place[need], h[need]
-        if len(doc):
-            order = np.lexsort((place, doc))
-            doc, place, h, hot = doc[order], place[order], h[order], hot[order]
-            u, at = np.unique(doc, return_index=True)
-            cut = pa.array(np.append(at, len(doc)).astype(np.int32))
-            lists = lambda v: pa.ListArray.from_arrays(cut, v)
-            m = len(u)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(u), lists(pa.array(place.astype(np.int32))), pa.nulls(m, pa.list_(pa.int32())), lists(pa.array((np.int64(part_) << 32) | h.astype(np.int64))), lists(pa.array(hot))], ["part", "blob", "id", "starts", "ends", "keys", "hot"])
+        need = np.repeat(several, size) & ~over & ~np.append(False, ~new_c[1:] & (doc[1:] == doc[:-1]) & (r["at"][1:] == r["at"][:-1]))
+        x = r[need]
+        yield from _tagged(PLACES, _records(_PLACE, id=x["id"], at=x["at"], key=x["h"], hot=np.repeat(often, size)[need]), buckets=buckets)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        key = None
+        held, key = [], None
         for batch in batches:
-            spans = batch.filter(pa.array(batch.column("blob").is_null()))
-            if len(spans):
-                yield spans
-            for p, blob in zip(batch.column("part").to_pylist(), batch.column("blob"), strict=True):
-                if not blob.is_valid:
-                    continue
-                if held and p != key:
-                    yield from settle(key, held)
+            is_anchor = pc.equal(batch.column("kind"), ANCHORS)
+            if len(rest := batch.filter(pc.invert(is_anchor))):
+                yield rest
+            for k, blobs in by_bucket(iter([batch.filter(is_anchor)])):
+                if held and k != key:
+                    yield from settle(held)
                     held = []
-                key = p
-                held.append(blob.as_py())
+                key = k
+                held += blobs
         if held:
-            yield from settle(key, held)
+            yield from settle(held)
 
-    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(part, _FOUND).drop("part", "blob")
+    return rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(part, _FOUND)
 
 
-def _contexts(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """(key, hot, id, start, context): the text around each place."""
+_CONTEXT = np.dtype([("id", "<i8"), ("at", "<i4"), ("size", "u1")])
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, hot, ids, start, context = [], [], [], [], []
-            for i in range(len(batch)):
-                raw = batch.column("text")[i].as_py().encode()
-                for p, k, f in zip(*(batch.column(c)[i].values.to_pylist() for c in ("starts", "keys", "hot")), strict=True):
-                    a = max(0, p - SIDE)
-                    x = raw[a : p + WIDTH]
-                    if len(x) >= WIDTH:
-                        key.append(k)
-                        hot.append(f)
-                        ids.append(batch.column("id")[i].as_py())
-                        start.append(a)
-                        context.append(x)
-                if len(key) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(hot, pa.bool_()), pa.array(ids, pa.int64()), pa.array(start, pa.int32()), pa.array(context, pa.binary())], ["key", "hot", "id", "start", "context"])
-                    key, hot, ids, start, context = [], [], [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(hot, pa.bool_()), pa.array(ids, pa.int64()), pa.array(start, pa.int32()), pa.array(context, pa.binary())], ["key", "hot", "id", "start", "context"])
-
-    by_id = places.groupBy("id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "keys", "hot")))
-    return texts.join(by_id.hint("shuffle_hash"), "id").select("id", "text", "starts", "keys", "hot").mapInArrow(part, "key long, hot boolean, id long, start int, context binary")
+
+def _contexts(texts: DataFrame, places: DataFrame, buckets: int, shards: int) -> DataFrame:
+    """(hot, shard, n, blob): the text around each place, packed by shard: of an anchor, or of any place for frequent anchors."""
+
+    def packed_by_shard(held: list) -> pa.RecordBatch:
+        x = np.concatenate([h[0] for h in held])
+        contexts = [c for h in held for c in h[1]]
+        info = _records(_CONTEXT, id=x["id"], at=np.maximum(x["at"] - SIDE, 0), size=np.array([len(c) for c in contexts]))
+        to = _spread(np.where(x["hot"], x["id"].view(np.uint64) * np.uint64(1 << 20) + x["at"].astype(np.uint64), x["key"]), shards) * 2 + x["hot"]
+        order = np.argsort(to, kind="stable")
+        at = np.append(np.flatnonzero(np.append(True, np.diff(to[order]) != 0)), len(to))
+        blobs = [len(own).to_bytes(4, "little") + info[own].tobytes() + b"".join([contexts[i] for i in own.tolist()]) for own in (order[a:b] for a, b in zip(at[:-1], at[1:], strict=True))]
+        to = to[order[at[:-1]]]
+        return pa.RecordBatch.from_arrays([pa.array(to % 2 == 1), pa.array((to // 2).astype(np.int32)), pa.array(np.diff(at)), pa.array(blobs, pa.binary())], ["hot", "shard", "n", "blob"])
+
+    def cut(rows: pa.RecordBatch, of) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for i, text in zip(rows.column("id").to_pylist(), rows.column("text"), strict=True):
+            x = of(i)
+            if not len(x):
+                continue
+            raw = text.as_py().encode()
+            contexts = [raw[max(0, p - SIDE) : p + WIDTH] for p in x["at"].tolist()]
+            if ok := [len(c) >= WIDTH for c in contexts]:
+                held.append((x[np.array(ok)], [c for c in contexts if len(c) >= WIDTH]))
+                size += len(x) * (WIDTH + SIDE)
+            if size >= FLUSH:
+                yield packed_by_shard(held)
+                held, size = [], 0
+        if held and any(len(h[0]) for h in held):
+            yield packed_by_shard(held)
+
+    return meet(texts, places, buckets, _PLACE, cut, "hot boolean, shard int, n long, blob binary")
+
+
+def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(records of _CONTEXT, bytes of all contexts)."""
+    info, raw = [], []
+    for blob in blobs:
+        n = int.from_bytes(blob[:4], "little")
+        info.append(np.frombuffer(blob, _CONTEXT, n, 4))
+        raw.append(blob[4 + info[-1].nbytes :])
+    return np.concatenate(info), np.frombuffer(b"".join(raw), np.uint8)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -343,89 +359,125 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int, stride: int = 8)
     return lcp[sa]
 
 
-def matches(contexts: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(context, place in it) of the WIDTH-byte strings that a context with a smaller id has too."""
-    size = np.array([len(c) for c in contexts])
+def strings(text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The WIDTH-byte strings inside the contexts that ``text`` joins, in order: (context, place in it, place in text, group);
+    equal strings are a group, numbered from 0."""
     end = np.cumsum(size)
-    text = np.frombuffer(b"".join(contexts), np.uint8)
     sa = suffix_array(text)
     of = np.searchsorted(end, sa, "right")
-    whole = sa + WIDTH <= end[of]  # strings inside one context
+    whole = sa + WIDTH <= end[of]
     new = common_prefixes(text, sa, WIDTH) < WIDTH
     new[0] = True
-    at = np.flatnonzero(new)
-    own = np.where(whole, ids[of], np.iinfo(np.int64).max)
-    least = np.repeat(np.minimum.reduceat(own, at), np.diff(np.append(at, len(sa))))
-    hit = whole & (least < own)
-    return of[hit], (sa - (end - size)[of])[hit]
+    sa, of, group = sa[whole], of[whole], np.cumsum(new)[whole]
+    group = np.cumsum(np.append(False, group[1:] != group[:-1]))
+    return of, sa - (end - size)[of], sa, group
 
 
-def _in_shards(contexts: DataFrame) -> DataFrame:
-    """Covers from the suffix arrays of shards: whole anchors, about SHARD bytes each."""
+def _least(own: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The smallest id of each one's group."""
+    at = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    return np.repeat(np.minimum.reduceat(own, at), np.diff(np.append(at, len(own)))) if len(own) else own
 
-    def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        t = pa.Table.from_batches(held)
-        ids, start = t.column("id").to_numpy(), t.column("start").to_numpy().astype(np.int64)
-        of, at = matches(t.column("context").to_pylist(), ids)
-        return _covers(ids[of], start[of] + at, start[of] + at + WIDTH)
+
+def _in_shards(contexts: DataFrame, buckets: int) -> DataFrame:
+    """PACKED spans from the suffix arrays of shards that hold whole anchors."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
-        for batch in batches:
-            if not len(batch):
-                continue
-            key = batch.column("key").to_numpy()
-            edge = np.append(np.flatnonzero(np.append(last is None or key[0] != last, key[1:] != key[:-1])), len(key))
-            done = 0
-            for e in edge[1:] if edge[0] == 0 else edge:  # the end of each anchor's rows
-                x = batch.slice(done, int(e) - done)
-                if size >= SHARD and (done or edge[0] == 0):
-                    if (out := settle(held)) is not None:
-                        yield out
-                    held, size = [], 0
-                held.append(x)
-                size += x.column("context").nbytes
-                done = int(e)
-            last = key[-1]
-        if held and (out := settle(held)) is not None:
-            yield out
-
-    return contexts.repartition("key").sortWithinPartitions("key").select("key", "id", "start", "context").mapInArrow(part, _FOUND).select("id", "starts", "ends")
-
-
-def _over_shards(contexts: DataFrame) -> DataFrame:
-    """Covers of anchors with very many contexts: their strings are ordered over all shards by range (Spark finds the
-    range of each string by binary search over splitters), and the smallest id of each one is joined back."""
+        for _, blobs in by_bucket(batches, "shard"):
+            info, text = _unpacked(blobs)
+            of, at, _, group = strings(text, info["size"].astype(np.int64))
+            own, start = info["id"][of], info["at"][of] + at
+            hit = _least(own, group) < own
+            if (out := packed(union_of(own[hit], start[hit], start[hit] + WIDTH), buckets)) is not None:
+                yield out
+
+    return contexts.select("shard", "blob").repartition("shard").sortWithinPartitions("shard").mapInArrow(part, PACKED)
+
+
+_STRING = np.dtype([("s", f"S{WIDTH}"), ("id", "<i8"), ("at", "<i4")])
+
+
+def _bounds(contexts: DataFrame, n: int) -> np.ndarray:
+    """Strings that cut all strings of n contexts into ranges of about RANGE bytes, from a drawn sample: at most RANGES of them."""
+    ranges = min(RANGES, int(n * (SIDE + 1) * _STRING.itemsize / RANGE) + 1)
+    step = max(1, n // (ranges * DRAWN))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s, ids, start = [], [], []
-            for x, i, a in zip(*(batch.column(c).to_pylist() for c in ("context", "id", "start")), strict=True):
-                n = len(x) - WIDTH + 1
-                s += [x[j : j + WIDTH] for j in range(n)]
-                ids += [i] * n
-                start += range(a, a + n)
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.binary()), pa.array(ids, pa.int64()), pa.array(start, pa.int32())], ["s", "id", "start"])
+            for blob in batch.column("blob").to_pylist():
+                info, text = _unpacked([blob])
+                begin = np.cumsum(info["size"].astype(np.int64)) - info["size"]
+                draw = mix64(info["id"].view(np.uint64) * np.uint64(_B) + info["at"].astype(np.uint64))
+                some = np.flatnonzero(draw % np.uint64(step) == 0)
+                at = begin[some] + ((draw[some] >> np.uint64(32)) % (info["size"][some] - np.uint64(WIDTH - 1))).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([text[a : a + WIDTH].tobytes() for a in at.tolist()], pa.binary())], ["s"])
 
-    strings = contexts.select("context", "id", "start").mapInArrow(part, "s binary, id long, start int")
-    owner = strings.groupBy("s").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last").select("s", "owner")
-    hit = strings.join(owner.hint("merge"), "s").where("id > owner")
-    return hit.groupBy("id").agg(F.collect_set("start").alias("starts")).select("id", "starts", F.transform("starts", lambda x: x + WIDTH).alias("ends"))
+    drawn = sorted(bytes(r.s) for r in contexts.select("blob").mapInArrow(part, "s binary").collect())
+    return np.array(drawn[DRAWN::DRAWN], f"S{WIDTH}")
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _over_shards(contexts: DataFrame, n: int, buckets: int) -> DataFrame:
+    """PACKED spans of strings that can stand in several shards. A shard settles what it has more than once; the strings of its
+    smallest documents are cut at the bounds of ranges by binary search in the order of the suffix array, and settled there."""
+    bounds = _bounds(contexts, n)
+    shared = contexts.sparkSession.sparkContext.broadcast(bounds)  # at most RANGES strings
+
+    def spans(own: np.ndarray, start: np.ndarray, hit: np.ndarray) -> pa.RecordBatch | None:
+        return packed(union_of(own[hit], start[hit], start[hit] + WIDTH), buckets)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blobs in by_bucket(batches, "shard"):
+            info, text = _unpacked(blobs)
+            of, at, place, group = strings(text, info["size"].astype(np.int64))
+            own, start = info["id"][of], info["at"][of] + at
+            first = _least(own, group) == own
+            if (out := spans(own, start, ~first)) is not None:
+                yield _with_range(out, np.full(len(out), -1))
+            if not first.any():
+                continue
+            s = np.ascontiguousarray(text[place[first, None] + np.arange(WIDTH)]).view(f"S{WIDTH}").ravel()
+            rows = _records(_STRING, s=s, id=own[first], at=start[first])
+            cut = np.concatenate([[0], np.searchsorted(s, shared.value), [len(s)]])
+            some = np.flatnonzero(np.diff(cut))
+            blobs_ = pa.array([rows[cut[i] : cut[i + 1]].tobytes() for i in some.tolist()], pa.binary())
+            yield _with_range(pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int32()), blobs_], ["bucket", "blob"]), some)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blobs in by_bucket(batches, "range"):
+            rows = np.frombuffer(b"".join(blobs), _STRING)
+            rows = rows[np.argsort(rows["s"], kind="stable")]  # runs that are in order already
+            group = np.cumsum(np.append(False, rows["s"][1:] != rows["s"][:-1]))
+            if (out := spans(rows["id"], rows["at"].astype(np.int64), _least(rows["id"], group) < rows["id"])) is not None:
+                yield out
+
+    found = stored(contexts.select("shard", "blob").repartition("shard").sortWithinPartitions("shard").mapInArrow(part, f"{PACKED}, range int"))
+    apart = found.where("range >= 0").select("range", "blob").repartition("range").sortWithinPartitions("range").mapInArrow(merge, PACKED)
+    return found.where("range < 0").select("bucket", "blob").unionByName(apart)
+
+
+def _with_range(batch: pa.RecordBatch, ranges: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ranges.astype(np.int32))], ["bucket", "blob", "range"])
+
+
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = HOT) -> DataFrame:
     """Texts without the bytes that repeat from documents with smaller ids in strings of WIDTH bytes or more.
 
+    Anchors with more than ``most`` contexts are dealt over shards and merged; the result is the same for any number.
+
     Rows (id_col, n_bytes, n_removed, n_spans, kept), one for each input row; ``kept`` holds the remaining bytes,
     which need not be valid UTF-8. Ids are integers; rows with a null id are kept whole. Null texts are empty; texts
     shorter than WIDTH match nothing. Strings that repeat inside one document stay. Rows with equal ids count as one
     document and lose the same byte places. Other columns are ignored. An empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = docs.where("id is not null and octet_length(text) >= 50")
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found = stored(_shared(_exchange(texts, int(size * 2 / (WINNOW + 1) / PART_ANCHORS) + 1)))
-    places = found.where("keys is not null").select("id", "starts", "keys", "hot")
-    contexts = stored(_contexts(texts, places))
-    spans = found.where("ends is not null").select("id", "starts", "ends").unionByName(stored(_in_shards(contexts.where("not hot")))).unionByName(stored(_over_shards(contexts.where("hot"))))
-    return cut_out(docs, spans, id_col="id", text_col="text").withColumnRenamed("id", id_col)
+    texts = docs.where(f"id is not null and octet_length(text) >= {WIDTH}")
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts, buckets = int(total * 2 / (WINNOW + 1) / PART_ANCHORS) + 1, buckets_for(total)
+    hot = _frequent(texts, total, most)
+    found = stored(_shared(_exchange(texts, parts, buckets, hot), buckets, hot, most))
+    n = found.where(F.col("kind") == PLACES).agg(F.sum("n")).first()[0] or 0
+    contexts = stored(_contexts(texts, found.where(F.col("kind") == PLACES).select("bucket", "blob"), buckets, n * (WIDTH + SIDE) // SHARD + 1))
+    spans = found.where(F.col("kind") == SPANS).select("bucket", "blob").unionByName(_in_shards(contexts.where("not hot"), buckets))
+    if n_hot := contexts.where("hot").agg(F.sum("n")).first()[0]:
+        spans = spans.unionByName(_over_shards(contexts.where("hot"), n_hot, buckets))
+    return cut_out(docs, stored(spans), buckets).withColumnRenamed("id", id_col)

@@ -126,17 +126,41 @@ def covered(all_texts, width=50):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_suffix_dedup(docs, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize("case", ["whole anchors", "anchors over shards", "frequent anchors of the sample"])
+def test_suffix_dedup(docs, case, monkeypatch):
+    if case != "whole anchors":  # shards, ranges and parts so small that most strings meet others of their kind elsewhere
+        for name, value in {"SHARD": 4000, "RANGE": 20_000, "PART_ANCHORS": 500}.items():
+            monkeypatch.setattr(suffix_dedup, name, value)
+    if case == "frequent anchors of the sample":
+        monkeypatch.setattr(suffix_dedup, "SEEN", 2)
     cover = covered(texts())
-    got = by_id(suffix_dedup.dedup(docs))
+    got = by_id(suffix_dedup.dedup(docs, most=20_000 if case == "whole anchors" else 1))
     for i, t in enumerate(texts()):
         b = np.frombuffer((t or "").encode(), np.uint8)
         runs = int((np.diff(cover[i].astype(int), prepend=0) == 1).sum())
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == (len(b), int(cover[i].sum()), runs, b[~cover[i]].tobytes()), i
 
 
+def test_suffix_dedup_of_crossing_strings(spark):
+    """Few long strings over a small alphabet, NUL bytes among them, repeated rows and rows without an id."""
+    rng = random.Random(4)
+    base = ["".join(rng.choice("ab\0") for _ in range(90)) for _ in range(12)]
+    own = []
+    for _ in range(300):
+        a, b = rng.choice(base), rng.choice(base)
+        k, m = rng.randint(0, 90), rng.randint(0, 90)
+        own.append(a[:k] + b[m:] + rng.choice(base)[rng.randint(0, 60) :])
+    cover = covered(own)
+    rows = [*enumerate(own), (7, own[7]), (None, own[3])]
+    for most in (20_000, 1):
+        got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), most=most).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            b = np.frombuffer(own[3 if r.doc_id is None else r.doc_id].encode(), np.uint8)
+            gone = np.zeros(len(b), bool) if r.doc_id is None else cover[r.doc_id]
+            assert (r.n_removed, bytes(r.kept)) == (int(gone.sum()), b[~gone].tobytes())
+
+
 def test_suffix_array_and_common_prefixes():
     for t in (b"banana", b"aaaaaaaaaaaaaaaaaaaaaaaa", b"abracadabra" * 5, b"x"):
         a = np.frombuffer(t, np.uint8)
