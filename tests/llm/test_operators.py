@@ -247,6 +247,61 @@ def test_license_scan(docs):
     assert got[13].labels == "mit" and 0.6 <= got[13].score < 1 and got[13].n_base == 0
 
 
+def template_labels(text, gap=3, least=0.6):
+    """The rule of verified spans, from all places at once."""
+    w, k, out = plain_words(text), license_scan.K_TEMPLATE, set()
+    for template, label in license_scan.TEMPLATES:
+        t = template.split()
+        size = len(t) - k + 1
+        votes = defaultdict(list)
+        for place in range(size):
+            for pos in range(len(w) - k + 1):
+                if w[pos : pos + k] == t[place : place + k]:
+                    votes[pos - place].append((place, pos))
+        groups, last = [], None
+        for d in sorted(votes):
+            lo = min(p for _, p in votes[d])
+            if last is not None and d - last[0] <= gap and lo - last[1] <= size + gap:
+                groups[-1].append(d)
+            else:
+                groups.append([d])
+            last = (d, lo)
+        for g in groups:
+            main = max(g, key=lambda d: (len(votes[d]), -d))
+            at = {}
+            for place, pos in (v for d in g for v in votes[d]):
+                at[place] = min(at.get(place, (10**9, 0)), (abs(pos - place - main), pos))
+            n, hi, before = 0, 0, 0
+            for place in sorted(at):
+                pos = at[place][1]
+                if n == 0 or 0 < pos - hi <= place - before + gap:
+                    n, hi, before = n + 1, pos, place
+            if n >= least * size:
+                out.add(label)
+    return out
+
+
+def test_license_spans_are_verified(spark):
+    rng = random.Random(9)
+    rows = ["of the " * 20, "you may " * 20, "of the software and of the license " * 30]
+    rows += [" ".join(rng.sample(t.split(), len(t.split()))) for t, _ in license_scan.TEMPLATES]  # the same words in another order
+    rows += [" ".join(" ".join(t.split()[i : i + 3]) for i in rng.sample(range(len(t.split()) - 2), 12)) for t, _ in license_scan.TEMPLATES if len(t.split()) > 15]
+    n = len(rows)
+    for t, _ in license_scan.TEMPLATES:
+        w = t.split()
+        for _ in range(2):  # a word less and a word more
+            del w[rng.randrange(len(w))]
+        w.insert(rng.randrange(len(w)), "indeed")
+        rows.append("before that " + " ".join(w).upper() + " and so on")
+        rows.append(" ".join(t.split()[: len(t.split()) // 3]))
+    got = by_id(license_scan.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").unionByName(spark.createDataFrame([(0, rows[0])], "doc_id long, text string"))))
+    for i, t in enumerate(rows):
+        own = set(filter(None, got[i].labels.split(","))) - set(filter(None, got[i].base_labels.split(",")))
+        assert own == template_labels(t) - set(filter(None, got[i].base_labels.split(","))), (i, t)
+    assert not any(got[i].labels for i in (0, 1, 2)) and sum(bool(got[i].labels) for i in range(3, n)) <= 2
+    assert sum(bool(got[i].labels) for i in range(n, len(rows), 2)) >= 0.8 * len(license_scan.TEMPLATES)
+
+
 def test_language(spark):
     rng = random.Random(5)
     kinds = {"aa": ["the", "with", "and", "from", "shall"], "bb": ["der", "und", "nicht", "für", "schön"], "cc": ["что", "это", "как", "для"]}
