@@ -41,8 +41,9 @@ def quotas(sizes: dict, weights: dict, repeats: int = REPEATS, total: int | None
 def flow(patterns: dict[tuple, int], targets: dict, repeats: int = REPEATS) -> dict[tuple, dict]:
     """Tokens routed from each pattern to each of its sources, at least total repetition cost.
 
-    Successive shortest paths on the graph pattern copy r (capacity: the pattern's tokens, cost r)
-    -> source (capacity: its target). A pattern's copies are filled in order as costs rise.
+    Shortest paths and blocking flows in turn on the graph pattern copy r (capacity: the pattern's tokens, cost r)
+    -> source (capacity: its target). A pattern's copies are filled in order as costs rise; the number of rounds follows the
+    number of different costs, not that of patterns.
     """
     nodes = [("s",), *(("p", p) for p in patterns), *(("q", s) for s in targets), ("t",)]
     number = {n: i for i, n in enumerate(nodes)}
@@ -60,31 +61,58 @@ def flow(patterns: dict[tuple, int], targets: dict, repeats: int = REPEATS) -> d
                 edge(("p", p), ("q", s), float("inf"), 0)
     for s, t in targets.items():
         edge(("q", s), ("t",), float(t), 0)
+    start, end, tiny, far = 0, len(nodes) - 1, 1e-6, float("inf")
     potential = [0.0] * len(nodes)
-    start, end, tiny = 0, len(nodes) - 1, 1e-6
     while True:
-        dist, back, heap = [float("inf")] * len(nodes), [None] * len(nodes), [(0.0, start)]
+        # shortest distances by reduced cost
+        dist, heap = [far] * len(nodes), [(0.0, start)]
         dist[start] = 0.0
         while heap:
             d, u = heappop(heap)
             if d > dist[u]:
                 continue
-            for k, (v, cap, cost, _) in enumerate(graph[u]):
+            for v, cap, cost, _ in graph[u]:
                 if cap > tiny and (new := d + cost + potential[u] - potential[v]) < dist[v] - 1e-12:
-                    dist[v], back[v] = new, (u, k)
+                    dist[v] = new
                     heappush(heap, (new, v))
-        if back[end] is None:
+        if dist[end] == far:
             break
-        potential = [p + (d if d < float("inf") else 0) for p, d in zip(potential, dist, strict=True)]
-        path, v = [], end
-        while v != start:
-            u, k = back[v]
-            path.append((u, k))
-            v = u
-        push = min(graph[u][k][1] for u, k in path)
-        for u, k in path:
-            graph[u][k][1] -= push
-            graph[graph[u][k][0]][graph[u][k][3]][1] += push
+        potential = [p + min(d, dist[end]) for p, d in zip(potential, dist, strict=True)]
+        # all that fits over edges without reduced cost, level by level: one round for each distance, not for each path
+        while True:
+            level, queue = [-1] * len(nodes), [start]
+            level[start] = 0
+            for u in queue:
+                for v, cap, cost, _ in graph[u]:
+                    if level[v] < 0 and cap > tiny and abs(cost + potential[u] - potential[v]) < 1e-9:
+                        level[v] = level[u] + 1
+                        queue.append(v)
+            if level[end] < 0:
+                break
+            at, path = [0] * len(nodes), []
+            while True:
+                u = graph[path[-1][0]][path[-1][1]][0] if path else start
+                if u == end:
+                    push = min(graph[x][k][1] for x, k in path)
+                    for x, k in path:
+                        e = graph[x][k]
+                        e[1] -= push
+                        graph[e[0]][e[3]][1] += push
+                    full = next(i for i, (x, k) in enumerate(path) if graph[x][k][1] <= tiny)
+                    del path[full:]
+                    continue
+                while at[u] < len(graph[u]):
+                    v, cap, cost, _ = graph[u][at[u]]
+                    if cap > tiny and level[v] == level[u] + 1 and abs(cost + potential[u] - potential[v]) < 1e-9:
+                        break
+                    at[u] += 1
+                if at[u] < len(graph[u]):
+                    path.append((u, at[u]))
+                elif path:
+                    x, k = path.pop()
+                    at[x] += 1
+                else:
+                    break
     out: dict[tuple, dict] = {p: {} for p in patterns}
     for s in targets:
         for v, cap, cost, _ in graph[number[("q", s)]]:
@@ -98,7 +126,7 @@ def word_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
 
 
-def mix(docs: DataFrame, sources: Column, weights: dict | None = None, *, id_col: str = "doc_id", text_col: str = "text", repeats: int = REPEATS, total: int | None = None, cycle: tuple[int, ...] = (5, 2, 1), seed: int = 11, fill_rounds: int = 6, max_patterns: int = 100_000, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, sources: Column, weights: dict | None = None, *, id_col: str = "doc_id", text_col: str = "text", repeats: int = REPEATS, total: int | None = None, cycle: tuple[int, ...] = (5, 2, 1), seed: int = 11, fill_rounds: int = 6, max_patterns: int = 10_000, keep: list[str] | None = None) -> DataFrame:
     """How many words of each document a mix takes.
 
     ``sources`` gives the array of sources that a row belongs to (an empty or null array: the null
@@ -110,7 +138,7 @@ def mix(docs: DataFrame, sources: Column, weights: dict | None = None, *, id_col
     left then, the smallest document that is larger gives that many of its words. No document is taken over ``repeats``
     times. Reruns agree. Documents without words have size 0 and are taken as the whole pattern is.
 
-    Null texts have size 0. Rows with equal ids are taken independently. Other columns are
+    Null texts have size 0. Rows with equal ids are taken independently, also where they are copies of each other. Other columns are
     ignored, but for ``keep``, whose columns are passed on unless they have a result's name. An
     empty table gives no rows.
     """
@@ -121,7 +149,8 @@ def mix(docs: DataFrame, sources: Column, weights: dict | None = None, *, id_col
     # equal ids order by content, so that reruns agree
     order = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")))
     rows = docs.select(F.col(id_col).alias("_id"), *keep, pattern.alias("pattern"), word_count(text).alias("size"), order.alias("_o"))
-    rows = stored(rows.withColumn("_cell", F.shiftright(F.col("_o"), 52).cast("int")))
+    # copies of a row share their place in the order; once written, a number tells them apart
+    rows = stored(rows.withColumns({"_cell": F.shiftright(F.col("_o"), 52).cast("int"), "_row": F.monotonically_increasing_id()}))
     cells = rows.groupBy("pattern", "_cell").agg(F.sum("size").alias("s"))
     by_pattern = rows.groupBy("pattern").agg(F.sum("size").alias("s")).limit(max_patterns + 1).collect()
     if len(by_pattern) > max_patterns:
@@ -144,10 +173,10 @@ def mix(docs: DataFrame, sources: Column, weights: dict | None = None, *, id_col
     edge = F.broadcast(cells.withColumn("_k", key("pattern")).join(F.broadcast(plan), "_k").withColumn("_before", running - F.col("s")).where("_before <= _gap").groupBy("_k").agg(F.max("_cell").alias("_edge"), F.max_by("_before", "_cell").alias("_before")))
     state = rows.join(F.broadcast(plan), "_k").join(edge, "_k", "left")
     at_edge = F.col("_cell") == F.col("_edge")
-    inner = F.sum(F.when(at_edge, F.col("size")).otherwise(0)).over(Window.partitionBy("_k", "_cell").orderBy("_o", "_id").rowsBetween(Window.unboundedPreceding, 0))
+    inner = F.sum(F.when(at_edge, F.col("size")).otherwise(0)).over(Window.partitionBy("_k", "_cell").orderBy("_o", "_row").rowsBetween(Window.unboundedPreceding, 0))
     inside = state.where(at_edge).withColumn("_in", F.col("_before") + inner <= F.col("_gap"))
     outside = state.where(~at_edge | F.col("_edge").isNull()).withColumn("_in", F.coalesce(F.col("_cell") < F.col("_edge"), F.lit(False)))
-    cols = ["_id", *keep, "pattern", "_k", "size", "_o", "_full", "_gap", "_in"]
+    cols = ["_id", *keep, "pattern", "_k", "size", "_o", "_row", "_full", "_gap", "_in"]
     state = stored(inside.select(*cols).unionByName(outside.select(*cols)))
     taken = {r["_k"]: r.s for r in state.where("_in").groupBy("_k").agg(F.sum("size").alias("s")).collect()}
     left = {r["_k"]: (r["_full"], r["_gap"] - taken.get(r["_k"], 0)) for r in plan.collect()}
@@ -157,25 +186,24 @@ def mix(docs: DataFrame, sources: Column, weights: dict | None = None, *, id_col
         if not want:
             break
         need = F.broadcast(spark.createDataFrame(want, "_k string, _want double"))
-        done = [(k, o) for k, x in picked.items() for o, _ in x]
         free = state.where("not _in and size > 0").join(need, "_k").where("size <= _want")
-        if done:
-            free = free.join(F.broadcast(spark.createDataFrame(done, "_k string, _o long")), ["_k", "_o"], "left_anti")
-        found = free.groupBy("_k").agg(F.max(F.struct("size", "_o")).alias("m")).collect()
+        if done := [(o,) for x in picked.values() for o, _ in x]:
+            free = free.join(F.broadcast(spark.createDataFrame(done, "_row long")), "_row", "left_anti")
+        found = free.groupBy("_k").agg(F.max(F.struct("size", "_o", "_row")).alias("m")).collect()
         for r in found:
-            picked.setdefault(r["_k"], []).append((r.m["_o"], r.m["size"]))
+            picked.setdefault(r["_k"], []).append((r.m["_row"], r.m["size"]))
             left[r["_k"]] = (left[r["_k"]][0], left[r["_k"]][1] - r.m["size"])
     # where no whole document comes near what is left, the smallest larger one gives a part of its words
     routed_by = {r["_k"]: r["_full"] * r.s + r["_gap"] for r in plan.join(rows.groupBy("_k").agg(F.sum("size").alias("s")), "_k").collect()}
     want = [(k, float(g)) for k, (f, g) in left.items() if f < repeats and g >= max(1.0, 0.01 * routed_by[k])]
-    parts: dict[tuple[str, int], int] = {}
+    parts: dict[int, int] = {}
     if want:
         need = F.broadcast(spark.createDataFrame(want, "_k string, _want double"))
-        found = state.where("not _in").join(need, "_k").where("size > _want").groupBy("_k").agg(F.min(F.struct("size", "_o")).alias("m")).collect()
-        parts = {(r["_k"], r.m["_o"]): int(dict(want)[r["_k"]]) for r in found}
-    whole = {(k, o) for k, x in picked.items() for o, _ in x}
-    extra = spark.createDataFrame([(k, o, (k, o) in whole, parts.get((k, o), 0)) for k, o in sorted(whole | set(parts))], "_k string, _o long, _more boolean, _part long")
+        found = state.where("not _in").join(need, "_k").where("size > _want").groupBy("_k").agg(F.min(F.struct("size", "_o", "_row")).alias("m")).collect()
+        parts = {r.m["_row"]: int(dict(want)[r["_k"]]) for r in found}
+    whole = {o for x in picked.values() for o, _ in x}
+    extra = spark.createDataFrame([(o, o in whole, parts.get(o, 0)) for o in sorted(whole | set(parts))], "_row long, _more boolean, _part long")
     times = F.col("_full") + (F.col("_in") | F.coalesce("_more", F.lit(False))).cast("int")
-    out = state.join(F.broadcast(extra), ["_k", "_o"], "left").withColumn("times", F.least(times, F.lit(repeats)))
+    out = state.join(F.broadcast(extra), "_row", "left").withColumn("times", F.least(times, F.lit(repeats)))
     part = F.when(F.col("times") < repeats, F.coalesce("_part", F.lit(0))).otherwise(0)
     return out.select(F.col("_id").alias(id_col), *keep, "pattern", "size", "times", (F.col("size") * F.col("times") + part).alias("taken"))

@@ -1,6 +1,7 @@
 """Each operator against brute force on a small table with null, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -368,6 +369,78 @@ def test_flow_of_overlapping_sources():
     assert abs(sum(mixing.flow({("a",): 10}, {"a": 25.0})[("a",)].values()) - 25) < 1e-6
 
 
+def test_flow_costs_least():
+    """Against every way to route whole tokens, on small graphs."""
+    rng = random.Random(12)
+
+    def least(patterns, targets, repeats):
+        """Most tokens routed, and the least cost of it, by trying everything."""
+        best = {tuple([0] * len(targets)): 0}  # tokens at each source: least cost so far
+        for p, tokens in patterns.items():
+            grown = {}
+            for have, cost in best.items():
+                for n in itertools.product(*(range(t - h + 1) if s in p else (0,) for h, (s, t) in zip(have, targets.items(), strict=True))):
+                    if sum(n) <= repeats * tokens:
+                        full, rest = divmod(sum(n), tokens) if tokens else (0, 0)
+                        c = cost + tokens * full * (full - 1) // 2 + rest * full
+                        key = tuple(a + b for a, b in zip(have, n, strict=True))
+                        grown[key] = min(grown.get(key, 10**9), c)
+            best = grown
+        most = max(map(sum, best))
+        return most, min(c for k, c in best.items() if sum(k) == most)
+
+    for _ in range(60):
+        names = "abc"[: rng.randint(1, 3)]
+        patterns = {p: rng.randint(0, 4) for p in {tuple(sorted(rng.sample(names, rng.randint(1, len(names))))) for _ in range(3)}}
+        targets, repeats = {s: rng.randint(0, 5) for s in names}, rng.randint(1, 3)
+        got = mixing.flow(patterns, {s: float(t) for s, t in targets.items()}, repeats)
+        cost = 0
+        for p, q in got.items():
+            n = sum(q.values())
+            assert n <= repeats * patterns[p] + 1e-6 and set(q) <= set(p)
+            full = int(n / patterns[p] + 1e-9) if patterns[p] else 0
+            cost += patterns[p] * full * (full - 1) / 2 + (n - full * patterns[p]) * full
+        routed = sum(sum(q.values()) for q in got.values())
+        want = least(patterns, targets, repeats)
+        assert (round(routed, 6), round(cost, 6)) == want, (patterns, targets, repeats)
+
+
+def test_flow_over_many_patterns():
+    rng = random.Random(13)
+    names = [f"s{i}" for i in range(12)]
+    patterns = {tuple(sorted(rng.sample(names, rng.randint(1, 6)))): rng.randint(1, 1000) for _ in range(3000)}
+    total = sum(patterns.values())
+    targets = {s: total * (i % 3 + 1) / 24 for i, s in enumerate(names)}
+    got = mixing.flow(patterns, targets)
+    assert all(abs(sum(q.get(s, 0) for q in got.values()) - t) < 1 for s, t in targets.items())
+    assert all(sum(q.values()) <= patterns[p] + 1e-3 for p, q in got.items())  # all is fresh
+
+
+def test_mixing_of_repeated_rows(spark):
+    """Copies of a row are taken one by one."""
+    one = " ".join(f"w{i}" for i in range(10))
+    rows = [(1, one, "a")] * 5 + [(2, " ".join(f"v{i}" for i in range(36)), "b")]
+    for n in (1, 4):
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n), F.array("source"), weights={"a": 1, "b": 1}).collect()
+        assert len(got) == 6
+        taken = {p: sum(r.taken for r in got if r.pattern == [p]) for p in "ab"}
+        assert taken == {"a": 43, "b": 43} and all(r.taken <= 3 * r.size for r in got)
+        assert sorted(r.taken for r in got if r.pattern == ["a"]) in ([0, 10, 10, 10, 13], [3, 10, 10, 10, 10], [0, 3, 10, 10, 20])
+
+
+def test_mixing_of_overlapping_sources(spark):
+    """Documents of two sources serve the one that lacks tokens, and nothing is repeated."""
+    words = lambda k, n: " ".join(f"{k}x{i}" for i in range(n))
+    rows = [(i, words(i, 20), ["web"]) for i in range(50)] + [(100 + i, words(100 + i, 20), ["web", "books"]) for i in range(50)] + [(200 + i, words(200 + i, 20), ["books", "books"]) for i in range(5)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, s array<string>"), F.col("s"), weights={"web": 1, "books": 1}).collect()
+    by = Counter()
+    for r in got:
+        by[tuple(r.pattern)] += r.taken
+        assert r.times <= 1
+    # targets of 1,050: web has 1,000 of its own and takes 50 of both; books has 100 and takes 950 of both
+    assert by[("web",)] + by[("books", "web")] + by[("books",)] == 2100 and by[("books", "web")] == 1000 and by[("books",)] == 100
+
+
 def test_sharding(docs):
     got = sharding.shard(docs.unionByName(docs.where("doc_id = 9")), 4).collect()
     assert len(got) == len(texts()) + 1
