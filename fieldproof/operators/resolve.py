@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fieldproof.functions.text import is_missing, norm_key, truthy
 from fieldproof.functions.titles import match_titles, parse_title
 from fieldproof.functions.urls import RESOLVER_SECOND_LEVEL, THIRD_PARTY, root_domain
-from fieldproof.sources.tables import stored
+from fieldproof.sources.tables import discard, stored
 
 # Fixed values.
 LEGAL_WORDS = ["private", "pvt", "limited", "ltd", "inc", "incorporated", "corp", "corporation", "llc", "gmbh", "technologies", "solutions", "services", "group", "holdings"]
@@ -81,7 +81,9 @@ def leaders(sigs: DataFrame, pairs: DataFrame) -> DataFrame:
     while not state.where("state = 'open'").isEmpty():
         earlier = strong.join(state.withColumnRenamed("id", "a").withColumnRenamed("state", "s"), ["run_id", "a"]).groupBy("run_id", F.col("b").alias("id")).agg(F.bool_or(F.col("s") == "leader").alias("led"), F.bool_or(F.col("s") == "open").alias("waits"))
         led, waits = F.coalesce("led", F.lit(False)), F.coalesce("waits", F.lit(False))
-        state = stored(state.join(earlier, ["run_id", "id"], "left").select("run_id", "id", F.when(F.col("state") != "open", F.col("state")).when(led, "member").when(waits, "open").otherwise("leader").alias("state")))
+        new = stored(state.join(earlier, ["run_id", "id"], "left").select("run_id", "id", F.when(F.col("state") != "open", F.col("state")).when(led, "member").when(waits, "open").otherwise("leader").alias("state")))
+        discard(state)
+        state = new
     first = strong.join(state.where("state = 'leader'").select("run_id", F.col("id").alias("a")), ["run_id", "a"]).groupBy("run_id", F.col("b").alias("id")).agg(F.min("a").alias("leader"))
     return state.join(first, ["run_id", "id"], "left").select("run_id", F.col("id").alias("sig"), F.when(F.col("state") == "leader", F.col("id")).otherwise(F.col("leader")).alias("leader"))
 

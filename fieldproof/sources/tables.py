@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 EVIDENCE = "array<struct<field:string,value:string,source:string,url:string,retrieved:string,snippet:string,verification:string>>"
 CONFLICTS = "array<struct<field:string,values:array<struct<source:string,value:string,url:string,retrieved:string,snippet:string>>>>"
@@ -19,16 +19,41 @@ SNAPSHOT = f"""
 """
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder of spark.checkpoint.dir and reads it back; a temporary folder only where none is set."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+#: Held for a session from the first written table on: what a write shuffled is released with it, and Python workers get batches of bounded size.
+SESSION = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: that of spark.checkpoint.dir. A temporary one only where Spark runs in one process."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        context.setCheckpointDir(base)
+    return base
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    for key, value in SESSION.items():
+        if spark.conf.get(key) != value:
+            spark.conf.set(key, value)
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Removes tables that ``stored`` has written and that nothing reads any more."""
+    for df in written:
+        if path := df.__dict__.pop("_stored_at", None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -122,6 +147,3 @@ def export_json(df: DataFrame, path: str, summary: DataFrame | None = None) -> N
     if summary is not None:
         summary.write.mode("overwrite").json(f"{path}/metadata")
 
-
-def record_schema() -> T.StructType:
-    return T.StructType.fromDDL("run_id string, record_id string, ingest_seq long, entity_name string, attributes map<string,string>, attr_order array<string>, company string, role string, location string, experience string, salary string, size string, source string, confidence int, status string")

@@ -2,6 +2,9 @@
 
 import random
 import re
+from pathlib import Path
+
+import pytest
 
 from fieldproof.operators import holding
 from fieldproof.plans import adapters as A
@@ -79,3 +82,25 @@ def test_role_match_has_both_directions(spark):
     got = {(r.required, r.actual): r.result for r in queries.role_match(spark, DIR).collect()}
     assert set(got) == {(a, b) for a in titles for b in titles}
     assert got["Java Backend Developer", "Backend Engineer"] == "UNKNOWN" and got["Backend Engineer", "Java Backend Developer"] == "MATCH"
+
+
+def test_stored_tables(spark):
+    from fieldproof.sources import tables
+
+    df = tables.stored(spark.range(5))
+    assert df.count() == 5
+    where = df._stored_at.removeprefix("file://")
+    assert Path(where).exists()
+    tables.discard(df)
+    assert not Path(where).exists()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from fieldproof.sources import tables
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="yarn")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.shared_dir(SimpleNamespace(conf=conf, sparkContext=context))
