@@ -1,4 +1,4 @@
-"""Shared helpers: the shared folder, durable intermediate tables, and numpy text kernels.
+"""Shared helpers: numpy text kernels and connected components.
 
 The kernels work on the bytes of many texts at once, straight from Arrow buffers. A caller
 gets the rows of an Arrow batch in pieces of about ``PIECE`` bytes, so that memory stays
@@ -7,17 +7,16 @@ bounded; a longer text makes a piece of its own.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldproof.sources.tables import discard, stored
+
 PIECE = 1 << 19
 
 SPACE = np.zeros(256, bool)
@@ -45,34 +44,6 @@ _POW = _powers(int(_BASE), 1 << 16)
 _POW_HIGH = _powers(int(_POW[-1]) * int(_BASE) % 2**64, 1 << 12)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors.
-
-    What the write shuffled is not needed again, so its files are released at once."""
-    conf, release = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    path, before = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}", conf.get(release, "false")
-    conf.set(release, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        conf.set(release, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def held(df: DataFrame) -> DataFrame:
-    """Keeps a small table on disk of the executors while a job uses it more than once; lost parts are recomputed."""
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -216,10 +187,12 @@ def components(links: DataFrame) -> DataFrame:
     label = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
     changed = True
     while changed:
-        heard = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("heard"))
+        heard = both.join(label.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("heard"))
         hop = label.select(F.col("id").alias("component"), F.col("component").alias("hop"))
         new = label.join(heard, "id", "left").join(hop, "component", "left").select("id", F.least("component", "heard", "hop").alias("component"), F.col("component").alias("old"))
         new = stored(new)
         changed = not new.where("component <> old").isEmpty()
-        label = new.select("id", "component")
-    return label
+        discard(label)
+        label = new
+    discard(both)
+    return label.select("id", "component")
