@@ -21,6 +21,8 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldproof.sources.tables import stored
+
 #: Words of a k-gram of phrases and of templates.
 K_PHRASE, K_TEMPLATE = 2, 3
 #: Rows of a template table that may be broadcast.
@@ -110,7 +112,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
     real = F.col("template").isNotNull() & (F.col("w") == F.col("t"))
     votes = votes.select("row", "id", "n_words", *(F.when(real, F.col(c)).alias(c) for c in ("template", "label", "base", "size", "place", "pos")), F.when(real, F.col("pos") - F.col("place")).alias("diagonal"))
     by = ["row", "id", "n_words", "template", "label", "base", "size"]
-    diagonals = votes.groupBy(*by, "diagonal").agg(F.count("pos").alias("votes"), F.min("pos").alias("lo"), F.collect_list(F.struct("place", "pos")).alias("at"))
+    # written once: phrases and templates go on from here in different ways
+    diagonals = stored(votes.groupBy(*by, "diagonal").agg(F.count("pos").alias("votes"), F.min("pos").alias("lo"), F.collect_list(F.struct("place", "pos")).alias("at")))
     # neighbouring diagonals of one template in one text; base phrases stay on one diagonal
     ordered = Window.partitionBy("row", "template").orderBy("diagonal", "lo")
     near = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(ordered) <= gap) & (F.col("lo") - F.lag("lo").over(ordered) <= F.col("size") + gap), F.lit(False)) & ~F.col("base")

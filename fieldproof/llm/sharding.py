@@ -5,13 +5,15 @@ text) and cut into ``shards`` contiguous runs so that the largest run is as smal
 binary search on the capacity, each candidate checked greedily, then cut at the smallest
 feasible one.
 
-Sizes are summed by Spark into ``cells`` equal ranges of the digest. The driver sees those sums, a
-fixed number, and the group sizes of the few cells in which a cut can fall.
+Spark sums the sizes in 2 ** ``CELL_BITS`` equal ranges of the digest. The smallest capacity over whole cells
+bounds the answer, and so the places where a cut can fall: only the cells there are summed again in
+2 ** ``SPLIT_BITS`` parts each, or by group where few rows are left, until every such place is a single group.
+The driver sees a fixed number of sums in each round.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -19,37 +21,60 @@ from pyspark.sql import functions as F
 
 from fieldproof.llm.kit import stored
 
-CELLS = 1 << 14
-#: Rows of a cell are numbered in so many parts, so that one text with many rows is not one task's work.
-PARTS = 16
+#: Bits of the digest that order the groups; those of a cell, and those that tell a cell's parts apart.
+BITS, CELL_BITS, SPLIT_BITS = 60, 14, 8
+#: Units that are opened in a round, and rows whose groups the driver lists at once, at most.
+OPENED, LISTED = 256, 200_000
+#: Slots are numbered in ranges of the digest, and in so many parts of each, so that one text with many rows is not one task's work.
+PART_BITS, PARTS = 8, 16
 
 
-class Cutter:
-    """Greedy cuts over cell sums, going into a cell's own groups where a cut falls."""
+@dataclass(frozen=True)
+class Unit:
+    """Neighbouring groups: all with the same first ``bits`` of the digest, or one group (key)."""
 
-    def __init__(self, sums: np.ndarray, groups):
-        self.before = np.concatenate([[0], np.cumsum(sums)])
-        self.groups = groups  # cell -> [(digest, size)] in order
-        self.inner: dict[int, list[int]] = {}
+    start: int
+    bits: int
+    key: str
+    size: int
+    rows: int
 
-    def end(self, start: int, capacity: int) -> tuple[int, int, int]:
-        """(total up to the cut, cell, groups of that cell taken) of the longest run from ``start`` within capacity."""
-        most = start + capacity
-        cell = int(np.searchsorted(self.before, most, "right")) - 1
-        if cell >= len(self.before) - 1:
-            return int(self.before[-1]), len(self.before) - 1, 0
-        if cell not in self.inner:
-            self.inner[cell] = [0, *np.cumsum([s for _, s in self.groups(cell)]).tolist()]
-        k = bisect_right(self.inner[cell], most - int(self.before[cell])) - 1
-        return int(self.before[cell]) + self.inner[cell][k], cell, k
+    @property
+    def splits(self) -> bool:
+        return not self.key and self.size > 0
 
-    def cuts(self, shards: int, capacity: int) -> list[tuple[int, int]] | None:
-        """Cut places (cell, groups taken) of ``shards`` runs within capacity, None if they do not reach the end."""
-        at, out = 0, []
-        for _ in range(shards):
-            at, cell, k = self.end(at, capacity)
-            out.append((cell, k))
-        return out if at == self.before[-1] else None
+
+def ends(before: np.ndarray, capacity: int, shards: int) -> list[int]:
+    """Unit after the last one of each greedy run within ``capacity``."""
+    at, out = 0, []
+    for _ in range(shards):
+        at = int(np.searchsorted(before, before[at] + capacity, "right")) - 1
+        out.append(at)
+    return out
+
+
+def smallest(before: np.ndarray, shards: int) -> int:
+    """The smallest capacity with which ``shards`` greedy runs of whole units reach the end."""
+    lo, hi = -(-int(before[-1]) // shards) - 1, int(before[-1])
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if ends(before, mid, shards)[-1] == len(before) - 1 else (mid, hi)
+    return hi
+
+
+def open_units(units: list[Unit], before: np.ndarray, shards: int) -> list[int]:
+    """Units that split and in which a cut of the best partition can fall: from where the greedy runs end at least, with the
+    least capacity there can be, to where they end at most with the smallest one over whole units. The largest ones of the
+    coarsest kind come first, ``OPENED`` of them; what they hold narrows the rest down."""
+    low, high = max(1, -(-int(before[-1]) // shards), *(u.size for u in units if u.key)), smallest(before, shards)
+    at, found = [0, 0], set()
+    for k in range(shards):
+        # a run and the next one hold more than the capacity together, whatever the units are
+        at.append(max(int(before[np.searchsorted(before, at[-1] + low, "right") - 1]), at[-1], at[-2] + low if k else 0))
+        first, last = int(np.searchsorted(before, at[-1], "right")) - 1, int(np.searchsorted(before, (k + 1) * high, "left"))
+        found |= {u for u in range(max(0, first), min(last + 1, len(units))) if units[u].splits}
+    coarsest = min((units[u].bits for u in found), default=0)
+    return sorted(sorted((u for u in found if units[u].bits == coarsest), key=lambda u: (-units[u].size, u))[:OPENED])
 
 
 def shard(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -61,57 +86,44 @@ def shard(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col:
     columns are ignored, but for ``keep``, whose columns are passed on unless they have a result's
     name. An empty table gives no rows; with fewer groups than shards the last shards stay empty.
     """
-    keep = [c for c in keep or [] if c not in (id_col, "size", "text_crc32", "shard", "slot", "key", "cell")]
+    keep = [c for c in keep or [] if c not in (id_col, "size", "text_crc32", "shard", "slot", "key", "order")]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("_id"), *keep, (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.concat(F.md5(text), F.lpad(F.hex(F.length(text)), 8, "0")).alias("key"))
-    rows = stored(rows.withColumn("cell", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * CELLS / (1 << 32)).cast("int")))
-    sums = np.zeros(CELLS, np.int64)
-    for r in rows.groupBy("cell").agg(F.sum("size").alias("s")).collect():
-        sums[r.cell] = r.s
-    cache: dict[int, list[tuple[str, int]]] = {}
-
-    def load(cells: list[int]) -> None:
-        cells = [c for c in cells if c not in cache]
-        if cells:
-            cache.update({c: [] for c in cells})
-            for r in rows.where(F.col("cell").isin(cells)).groupBy("cell", "key").agg(F.sum("size").alias("s")).collect():
-                cache[r.cell].append((r.key, r.s))
-            for c in cells:
-                cache[c].sort()
-
-    def groups(cell: int) -> list[tuple[str, int]]:
-        load([cell])
-        return cache[cell]
-
-    cutter = Cutter(sums, groups)
-    lo, hi = -(-int(sums.sum()) // shards) - 1, int(sums.sum())  # lo does not reach the end, hi does
-    # whole cells bound the answer from above: then fetch at once the cells where cuts can still fall
-    coarse = Cutter(sums, lambda c: [("", int(sums[c]))])
-    a, b = lo, hi
-    while b - a > 1:
-        mid = (a + b) // 2
-        a, b = (a, mid) if coarse.cuts(shards, mid) else (mid, b)
-    hi = b
-    low, high = coarse.cuts(shards, hi), []
-    at = 0
-    for _ in range(shards):  # the earliest places, with the least capacity
-        at, cell, _k = coarse.end(at, max(lo, 0))
-        high.append(cell)
-    # as a rule the two places of a cut are a few cells apart; a wide range is fetched cell by cell as needed
-    load(sorted({c for (x, _), y in zip(low, high, strict=True) for c in range(min(x, y), min(max(x, y) + 2, CELLS)) if abs(x - y) < 64 and c < CELLS}))
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        lo, hi = (lo, mid) if cutter.cuts(shards, mid) else (mid, hi)
-    which = F.lit(0)
-    for cell, k in (cutter.cuts(shards, hi) or [])[:-1]:
-        if cell >= CELLS:
+    rows = stored(rows.withColumn("order", F.conv(F.substring("key", 1, BITS // 4), 16, 10).cast("long")))
+    prefix = lambda bits: F.shiftright("order", BITS - bits)
+
+    def summed(part: DataFrame, bits: int, listed: bool) -> dict[int, list[Unit]]:
+        """Units of rows by the prefix of ``bits`` bits, or groups by that prefix, in order."""
+        found: dict[int, list[Unit]] = {}
+        by = ["order", "key"] if listed else [prefix(bits).alias("p")]
+        for r in part.groupBy(*by).agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect():
+            unit = Unit(r.order, BITS, r.key, r["size"], r["rows"]) if listed else Unit(r.p << (BITS - bits), bits, "", r["size"], r["rows"])
+            found.setdefault(unit.start >> (BITS - bits), []).append(unit)
+        return {p: sorted(us, key=lambda u: (u.start, u.key)) for p, us in found.items()}
+
+    units = [u for _, us in sorted(summed(rows, CELL_BITS, False).items()) for u in us]
+    while True:
+        before = np.concatenate([[0], np.cumsum([u.size for u in units])]).astype(np.int64)
+        todo = open_units(units, before, shards) if units else []
+        if not todo:
             break
-        inside = groups(cell)
-        past = (F.col("cell") > cell) | ((F.col("cell") == cell) & (F.col("key") >= inside[k][0])) if k < len(inside) else F.col("cell") > cell
-        which = which + past.cast("int")
-    placed = rows.withColumn("shard", which).withColumn("_part", F.shiftright(F.col("cell"), 6) * PARTS + F.pmod(F.xxhash64("_id"), F.lit(PARTS)))
+        bits = units[todo[0]].bits
+        listed = bits + SPLIT_BITS > BITS or sum(units[u].rows for u in todo) <= LISTED
+        inside = rows.where(prefix(bits).isin([units[u].start >> (BITS - bits) for u in todo]))
+        found = summed(inside, bits if listed else bits + SPLIT_BITS, listed)
+        parts: dict[int, list[Unit]] = {}
+        for p, us in sorted(found.items()):
+            parts.setdefault(p if listed else p >> SPLIT_BITS, []).extend(us)
+        chosen = set(todo)
+        units = [x for i, u in enumerate(units) for x in (parts[u.start >> (BITS - bits)] if i in chosen else [u])]
+    which = F.lit(0)
+    for u in ends(before, smallest(before, shards), shards)[:-1] if units else []:
+        if u < len(units):
+            past = (F.col("key") >= units[u].key) if units[u].key else (F.col("order") >= units[u].start)
+            which = which + past.cast("int")
+    placed = rows.withColumn("shard", which).withColumn("_part", F.shiftright("order", BITS - PART_BITS).cast("int") * PARTS + F.pmod(F.xxhash64("_id"), F.lit(PARTS)))
     # slots: a number within each (shard, part), plus the rows of the shard's parts before it
-    counts = sorted((r.shard, r["_part"], r.n) for r in placed.groupBy("shard", "_part").agg(F.count("*").alias("n")).collect())  # at most CELLS / 64 * PARTS + shards rows
+    counts = sorted((r.shard, r["_part"], r.n) for r in placed.groupBy("shard", "_part").agg(F.count("*").alias("n")).collect())  # at most 2 ** PART_BITS * PARTS + shards rows
     offset, total = [], {}
     for s, p, n in counts:
         offset.append((s, p, total.get(s, 0)))

@@ -441,22 +441,11 @@ def test_mixing_of_overlapping_sources(spark):
     assert by[("web",)] + by[("books", "web")] + by[("books",)] == 2100 and by[("books", "web")] == 1000 and by[("books",)] == 100
 
 
-def test_sharding(docs):
-    got = sharding.shard(docs.unionByName(docs.where("doc_id = 9")), 4).collect()
-    assert len(got) == len(texts()) + 1
-    size, slots, where = Counter(), defaultdict(list), defaultdict(set)
-    for r in got:
-        t = (texts()[r.doc_id] or "").encode()
-        assert (r.size, r.text_crc32) == (len(t) + 1, zlib.crc32(t))
-        size[r.shard] += r.size
-        slots[r.shard].append(r.slot)
-        where[t].add(r.shard)
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in where.values())
-    # the smallest capacity, by brute force over the same order
+def smallest_capacity(rows, shards):
+    """By brute force over the groups in the order of the operator."""
     groups = Counter()
-    for r in got:
-        t = (texts()[r.doc_id] or "").encode()
-        groups[hashlib.md5(t).hexdigest() + f"{len(t):08X}"] += r.size
+    for t in rows:
+        groups[hashlib.md5(t).hexdigest() + f"{len(t):08X}"] += len(t) + 1
     order = [groups[k] for k in sorted(groups)]
 
     def feasible(cap):
@@ -465,9 +454,47 @@ def test_sharding(docs):
             if g > cap:
                 return False
             used, n = (used + g, n) if used + g <= cap else (g, n + 1)
-        return n <= 4
+        return n <= shards
+
+    lo, hi = 0, sum(order)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if feasible(mid) else (mid, hi)
+    return hi
+
+
+@pytest.mark.parametrize("listed", [200_000, 5])
+@pytest.mark.parametrize("hot", [1, 300])
+def test_sharding(docs, listed, hot, monkeypatch):
+    """``hot`` rows have one text; few rows may be listed, so that cells are split again and again, few at a time."""
+    monkeypatch.setattr(sharding, "LISTED", listed)
+    if listed == 5:
+        monkeypatch.setattr(sharding, "OPENED", 3)
+        monkeypatch.setattr(sharding, "CELL_BITS", 2)
+    more = docs.where("doc_id = 9").withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(hot)))).drop("_")
+    got = sharding.shard(docs.unionByName(more), 4).collect()
+    assert len(got) == len(texts()) + hot
+    size, slots, where, rows = Counter(), defaultdict(list), defaultdict(set), []
+    for r in got:
+        t = (texts()[r.doc_id] or "").encode()
+        rows.append(t)
+        assert (r.size, r.text_crc32) == (len(t) + 1, zlib.crc32(t))
+        size[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+        where[t].add(r.shard)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in where.values())
+    assert max(size.values()) == smallest_capacity(rows, 4)
 
-    assert max(size.values()) == next(c for c in range(sum(order)) if feasible(c))
+
+def test_sharding_with_a_text_of_a_third_of_all_bytes(spark):
+    rng = random.Random(3)
+    rows = [(i, "x" * rng.randint(1, 60)) for i in range(400)] + [(1000 + i, "the same text again and again") for i in range(200)]
+    for shards in (2, 8, 30):
+        got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards).collect()
+        size = Counter()
+        for r in got:
+            size[r.shard] += r.size
+        assert max(size.values()) == smallest_capacity([t.encode() for _, t in rows], shards)
 
 
 def test_empty_tables(docs, spark):
