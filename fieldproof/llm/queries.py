@@ -15,8 +15,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fold(n: int) -> Column:
-    """crc32(doc_id as text) mod n."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+    """crc32(doc_id as text) mod n; of a null doc_id as of an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

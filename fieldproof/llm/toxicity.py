@@ -8,12 +8,15 @@ texts and unlabelled texts. With class prior ``pi``, logistic losses l+ and l-,
 (Kiryo, Niu, du Plessis, Sugiyama 2017). Where the second part falls below 0, its gradient is
 followed upwards instead, which keeps the model from overfitting the unlabelled texts.
 
-Training uses at most about ``max_positive`` and ``max_unlabelled`` texts, drawn by a hash of the
-row's id; that bound is the only sample. Scoring reads every whole text of every row.
+E_u runs over all texts of the training part, whatever their labels: one pass counts the texts of every
+word, a second one turns each text into the words that tell the two sides apart, equal ones counted
+together, and every step sums the gradient over that table in Spark. Confirmed texts are the only
+sample: at most ``max_positive`` of them, those with the smallest hash of their id.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,8 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldproof.llm.kit import SPACE, Words, pieces
+from fieldproof.sources.tables import discard, stored
 
 BITS = 21
+#: Patterns that a task holds before it hands them on; parts of one that a sum over texts is rounded to.
+HELD, SCALE = 100_000, 1 << 20
 
 
 @dataclass
@@ -49,78 +55,145 @@ def _distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return pair >> BITS, pair & ((1 << BITS) - 1)
 
 
-def _features(rows: DataFrame) -> DataFrame:
-    """(positive, features) of each row of (positive, text)."""
+def _doc_frequency(rows: DataFrame) -> DataFrame:
+    """(f, n): texts that have each word feature, over all rows of (text)."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BITS, np.int64)
+        for batch in batches:
+            for _, _, data, offs in pieces(batch.column("text")):
+                _, f = _distinct(Words(data, offs, SPACE))
+                total += np.bincount(f, minlength=1 << BITS)
+        f = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(f.astype(np.int32)), pa.array(total[f])], ["f", "n"])
+
+    return rows.mapInArrow(part, "f int, n long").groupBy("f").agg(F.sum("n").alias("n"))
+
+
+def _pattern(words: Words, telling: np.ndarray, texts: int) -> list[bytes]:
+    """Of each text its telling features, as their numbers in order (int16, or int32 beyond)."""
+    f = (words.hash >> np.uint64(64 - BITS)).astype(np.int64)
+    at = np.searchsorted(telling, f)
+    at[at == len(telling)] = 0
+    some = np.flatnonzero(telling[at] == f)
+    pair = np.unique((np.searchsorted(words.of, some, "right") - 1) << BITS | at[some])
+    kind = "<i2" if len(telling) < 1 << 15 else "<i4"
+    cut = np.searchsorted(pair, np.arange(texts + 1) << BITS)
+    own = (pair & ((1 << BITS) - 1)).astype(kind)
+    return [own[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+
+def _patterns(rows: DataFrame, telling: np.ndarray) -> DataFrame:
+    """(p, n): distinct patterns of telling features and the texts that have them, over all rows of (text)."""
+    shared = rows.sparkSession.sparkContext.broadcast(telling)  # at most 2 ** BITS features
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(seen: Counter) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["p", "n"])
+
+        seen: Counter = Counter()
         for batch in batches:
-            out: list = []
             for i, j, data, offs in pieces(batch.column("text")):
-                text, f = _distinct(Words(data, offs, SPACE))
-                out += [f[a:b].astype(np.int32) for a, b in zip(np.searchsorted(text, range(j - i)), np.searchsorted(text, range(j - i), "right"), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(out, pa.list_(pa.int32()))], ["positive", "f"])
+                seen.update(_pattern(Words(data, offs, SPACE), shared.value, j - i))
+            if len(seen) > HELD:
+                yield flush(seen)
+                seen = Counter()
+        yield flush(seen)
+
+    return rows.mapInArrow(part, "p binary, n long").groupBy("p").agg(F.sum("n").alias("n"))
+
+
+class _Patterns:
+    """Packed patterns as rows of a sparse matrix."""
 
-    return rows.mapInArrow(part, "positive boolean, f array<int>")
+    def __init__(self, packed: list[bytes], counts: np.ndarray, features: int):
+        self.features = features
+        kind = np.dtype("<i2" if features < 1 << 15 else "<i4")
+        self.row = np.repeat(np.arange(len(packed)), [len(p) // kind.itemsize for p in packed])
+        self.col = np.frombuffer(b"".join(packed), kind).astype(np.int64)
+        self.n = counts
 
+    def slopes(self, w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+        """Summed over the texts: the gradient of l- (weights, then bias), and l-."""
+        z = np.bincount(self.row, w[self.col], len(self.n)) + bias
+        up = self.n / (1 + np.exp(-np.clip(z, -40, 40)))
+        return np.append(np.bincount(self.col, up[self.row], self.features), up.sum()), float((self.n * np.logaddexp(0, z)).sum())
 
-def train(docs: DataFrame, labels: DataFrame, use: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 3000, max_unlabelled: int = 9000, prior: float | None = None, steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> Model:
+
+def _slopes(table: DataFrame, w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+    """``_Patterns.slopes`` over a table (p, n). Sums are of whole numbers, so that they do not depend on the order of tasks."""
+    features = len(w)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(features + 2)
+        for batch in batches:
+            g, loss = _Patterns(batch.column("p").to_pylist(), batch.column("n").to_numpy().astype(np.float64), features).slopes(w, bias)
+            total += np.append(g, loss)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.round(total[some] * SCALE).astype(np.int64))], ["i", "v"])
+
+    out = np.zeros(features + 2)
+    for r in table.mapInArrow(part, "i int, v long").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[r.i] = r.v / SCALE
+    return out[:-1], float(out[-1])
+
+
+def train(docs: DataFrame, labels: DataFrame, use: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 3000, prior: float | None = None, steps: int = 60, rate: float = 0.3, decay: float = 1e-4) -> Model:
     """Fits a model on the rows of ``docs`` where ``use`` (of the id column) holds.
 
-    Confirmed positives are rows whose id has ``label_col`` = 1 in ``labels``; every other row of
-    the training part is unlabelled, whatever its label. ``prior`` defaults to the share of
-    positives among the labelled ids of the training part. With no positives or no other rows the
+    Confirmed positives are rows whose id has ``label_col`` = 1 in ``labels``, of at most ``max_positive`` ids; the unlabelled
+    side is every row of the training part with a text, whatever its label, as the risk asks for. ``prior`` defaults to the share
+    of positives among the labelled ids of the training part. With no positives or no texts the
     model scores 0 for every text. Null ids, texts and labels are passed over; an id that has
-    both labels counts as positive.
+    both labels counts as positive. Repeated rows count as often as they stand there.
     """
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null").withColumnRenamed("id", id_col).where(use).groupBy(F.col(id_col).alias("id")).agg(F.max("y").alias("y"))
     n_label, n_pos = marks.agg(F.count("*"), F.coalesce(F.sum((F.col("y") == 1).cast("long")), F.lit(0))).first()
     pi = min(0.9, max(1e-4, n_pos / max(1, n_label) if prior is None else prior))
-    mine = docs.where(use)
-    n_docs = mine.count()
-    draw = F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
-    rows = mine.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    # both sides are cut down by the draw before the join: a bounded number of ids, in expectation
-    positive = marks.where("y = 1").where(draw < max_positive / max(1, n_pos)).select("id")
-    unlabelled = rows.where(draw < max_unlabelled / max(1, n_docs))
-    got = _features(rows.join(positive.hint("broadcast"), "id", "left_semi").select(F.lit(True).alias("positive"), "text")).unionByName(_features(unlabelled.join(marks.where("y = 1").select("id").hint("shuffle_hash"), "id", "left_anti").select(F.lit(False).alias("positive"), "text")))
-    # the driver orders what arrives, so that the fit does not depend on task order
-    sample = sorted(((r.positive, tuple(r.f)) for r in got.collect()))
-    return _fit([np.array(f, np.int64) for y, f in sample if y], [np.array(f, np.int64) for y, f in sample if not y], pi, steps, rate, decay)
-
-
-def _telling(pos: list[np.ndarray], unl: list[np.ndarray], errors: float = 4.0) -> np.ndarray:
-    """Words whose share of texts differs between both sides by ``errors`` standard errors; others only add noise."""
-    feature, back = np.unique(np.concatenate(pos + unl), return_inverse=True)
-    a, b = np.bincount(back[: sum(map(len, pos))], minlength=len(feature)), np.bincount(back[sum(map(len, pos)) :], minlength=len(feature))
-    share = (a + b + 1) / (len(pos) + len(unl) + 2)
-    return feature[np.abs(a / len(pos) - b / len(unl)) >= errors * np.sqrt(share * (1 - share) * (1 / len(pos) + 1 / len(unl)))]
-
-
-def _fit(pos: list[np.ndarray], unl: list[np.ndarray], pi: float, steps: int, rate: float, decay: float) -> Model:
-    if not pos or not unl:
+    rows = docs.where(use).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    chosen = marks.where("y = 1").orderBy(F.xxhash64("id", F.lit(1)), "id").limit(max_positive).select("id")
+    n_texts = rows.count()
+    frequency = stored(_doc_frequency(rows.select("text")))
+    confirmed = rows.join(F.broadcast(chosen), "id", "left_semi").select("text").limit(4 * max_positive)
+    texts = sorted(r.text for r in confirmed.collect()) if n_pos and n_texts else []  # bounded; in an order of their own
+    if not texts:
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -40.0, pi)
-    every, n_pos = pos + unl, len(pos)
-    feature = _telling(pos, unl)
-    row = np.repeat(np.arange(len(every)), [len(f) for f in every])
-    col = np.searchsorted(feature, flat := np.concatenate(every))
-    ok = col < len(feature)
-    ok[ok] = feature[col[ok]] == flat[ok]
-    row, col = row[ok], col[ok]
-    is_pos = np.arange(len(every)) < n_pos
-    w, bias = np.zeros(len(feature)), float(np.log(pi / (1 - pi)))
-    m, v = np.zeros(len(feature) + 1), np.zeros(len(feature) + 1)
+    positive = Counter()
+    col = pa.array(texts, pa.string())
+    for _, _, data, offs in pieces(col):
+        positive.update(_distinct(Words(data, offs, SPACE))[1].tolist())
+    telling = _telling(frequency, positive, len(texts), n_texts)
+    table = stored(_patterns(rows.select("text"), telling))
+    packed = [p for i, j, data, offs in pieces(col) for p in _pattern(Words(data, offs, SPACE), telling, j - i)]
+    model = _fit(_Patterns(packed, np.ones(len(packed)), len(telling)), table, n_texts, telling, pi, steps, rate, decay)
+    discard(frequency, table)
+    return model
+
+
+def _telling(frequency: DataFrame, positive: Counter, n_pos: int, n_texts: int, errors: float = 4.0) -> np.ndarray:
+    """Words whose share of texts differs between both sides by ``errors`` standard errors; others only add noise."""
+    known = frequency.sparkSession.createDataFrame(sorted(positive.items()), "f int, a long")
+    both = frequency.join(F.broadcast(known), "f", "left").withColumn("a", F.coalesce("a", F.lit(0)))
+    a, b = F.col("a") / n_pos, F.col("n") / n_texts
+    share = (F.col("a") + F.col("n") + 1) / (n_pos + n_texts + 2)
+    found = both.where(F.abs(a - b) >= errors * F.sqrt(share * (1 - share) * (1 / n_pos + 1 / n_texts))).select("f")
+    return np.array(sorted(r.f for r in found.collect()), np.int64)
+
+
+def _fit(pos: _Patterns, table: DataFrame, n_texts: int, telling: np.ndarray, pi: float, steps: int, rate: float, decay: float) -> Model:
+    n_pos = len(pos.n)
+    w, bias = np.zeros(len(telling)), float(np.log(pi / (1 - pi)))
+    m, v = np.zeros(len(telling) + 1), np.zeros(len(telling) + 1)
+    ones = np.append(np.bincount(pos.col, minlength=len(telling)), n_pos) / n_pos
     for t in range(1, steps + 1):
-        z = np.bincount(row, w[col], len(every)) + bias
-        up = 1 / (1 + np.exp(-np.clip(z, -40, 40)))  # derivative of l- ; that of l+ is up - 1
-        neg = np.logaddexp(0, z)
-        rest = neg[~is_pos].mean() - pi * neg[is_pos].mean()
-        part = np.where(is_pos, -pi * up / n_pos, up / (len(every) - n_pos))
-        g = np.where(is_pos, pi * (up - 1) / n_pos, 0) + part if rest >= 0 else -part
-        grad = np.append(np.bincount(col, g[row], len(feature)) + decay * w, g.sum())
+        (g_u, l_u), (g_p, l_p) = _slopes(table, w, bias), pos.slopes(w, bias)
+        rest, part = l_u / n_texts - pi * l_p / n_pos, g_u / n_texts - pi * g_p / n_pos
+        # the derivative of l+ is that of l- less one
+        grad = (pi * (g_p / n_pos - ones) + part if rest >= 0 else -part) + np.append(decay * w, 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
-    return Model(feature, w.astype(np.float32), float(bias), pi)
+    return Model(telling, w.astype(np.float32), float(bias), pi)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -132,7 +205,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     """
     keep = [c for c in keep or [] if c not in (id_col, "score", "_text")]
     rows = docs.select(F.col(id_col).alias("_id"), *keep, F.col(text_col).cast("string").alias("_text"))
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # at most the distinct words of the bounded sample
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # at most 2 ** BITS features
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias = shared.value.dense(), shared.value.bias
