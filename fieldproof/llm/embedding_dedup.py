@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldproof.llm.kit import components, stored
+from fieldproof.llm.kit import components, discard, stored
 
 #: Passes of a round at least, rows of a window, signs of a key.
 PASSES, WINDOW, SIGNS = 24, 256, 63
 #: Accepted chance that a pair right at the bound shares no window.
 MISS = 1e-4
-BLOCK = 512
+#: Classes of a component that a group compares with as many others; parts that a large component is dealt in.
+BLOCK, SALTS = 1024, 64
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -160,7 +161,7 @@ def _windows(rows: DataFrame, window: int, least: float) -> DataFrame:
 
 
 def _across(borders: DataFrame, least: float) -> DataFrame:
-    """Pairs over a border between two partitions: at most two windows of rows in a group."""
+    """Pairs that join what is linked over a border between two partitions: at most two windows of rows in a group."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def compare(t: pa.Table) -> pa.RecordBatch:
@@ -169,10 +170,18 @@ def _across(borders: DataFrame, least: float) -> DataFrame:
             a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
             if len(left) and len(right):
                 x, y = (_matrix(s.column("v").combine_chunks()) for s in (left, right))
-                i, j = np.nonzero(x @ y.T >= least)
-                a, b = left.column("a").to_numpy()[i], right.column("a").to_numpy()[j]
-            ok = a != b
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok])], ["a", "b"])
+                near = x @ y.T >= least
+                r, q = left.column("a").to_numpy(), right.column("a").to_numpy()
+                none = np.iinfo(np.int64).max
+                # the smallest id that each row reaches over the border; a star of it joins as much as all the pairs do
+                lr, lq, before = np.where(near.any(axis=1), r, none), np.where(near.any(axis=0), q, none), None
+                while before is None or (before != lr).any():
+                    before = lr
+                    lq = np.minimum(lq, np.where(near, lr[:, None], none).min(axis=0))
+                    lr = np.minimum(lr, np.where(near, lq[None, :], none).min(axis=1))
+                a, b = np.concatenate([lr, lq]), np.concatenate([r, q])
+            ok = (a != b) & (a != np.iinfo(np.int64).max)
+            return pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
         yield from _grouped(batches, ("border", "pass"), compare)
 
@@ -200,10 +209,14 @@ def _grouped(batches: Iterator[pa.RecordBatch], by: tuple[str, ...], f) -> Itera
 def _within(members: DataFrame, least: float) -> DataFrame:
     """(rep, links): for each class the rows of other classes of its component with a cosine of ``least`` or more.
 
-    members(comp, rep, copies, v). Every component is compared block by block, at most about BLOCK
-    by BLOCK classes in a task's group; what leaves a task is one count for each class and block."""
-    size = members.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(size.hint("merge"), "comp")
+    members(comp, rep, copies, v). Every component is compared block by block, about BLOCK
+    by BLOCK classes in a task's group; what leaves a task is one count for each class and block. A vector is sent as often as its
+    component has blocks, twice."""
+    # few components have several blocks; their sizes meet the members salted, so that a large one is many tasks' work
+    large = members.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    large = large.select("comp", "blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(SALTS)).cast("int"))
+    rows = salted.join(large.hint("merge"), ["comp", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     all_ = F.sequence(F.lit(0), F.col("blocks") - 1)
     left = rows.select("comp", mine.alias("i"), F.explode(all_).alias("j"), F.lit(0).alias("side"), "rep", "copies", "v")
@@ -215,8 +228,11 @@ def _within(members: DataFrame, least: float) -> DataFrame:
             left, right = t.filter(pa.array(side == 0)), t.filter(pa.array(side == 1))
             x, y = (_matrix(s.column("v").combine_chunks()) for s in (left, right))
             r, q = left.column("rep").to_numpy(), right.column("rep").to_numpy()
-            near = (x @ y.T >= least) & (r[:, None] != q[None, :])
-            return pa.RecordBatch.from_arrays([pa.array(r), pa.array(near @ right.column("copies").to_numpy())], ["rep", "links"])
+            copies, links = right.column("copies").to_numpy(), np.zeros(len(r), np.int64)
+            for k in range(0, len(r), 256):
+                near = (x[k : k + 256] @ y.T >= least) & (r[k : k + 256, None] != q[None, :])
+                links[k : k + 256] = near @ copies
+            return pa.RecordBatch.from_arrays([pa.array(r), pa.array(links)], ["rep", "links"])
 
         yield from _grouped(batches, ("comp", "i", "j"), count)
 
@@ -239,7 +255,9 @@ def _linked_pairs(classes: DataFrame, least: float, passes: int, window: int) ->
         n = max(1, rows * each // 50_000 + 1)
         found = stored(_windows(_ordered(todo, each, start).repartitionByRange(n, "pass", "key", F.xxhash64("rep")).sortWithinPartitions("pass", "key"), window, least))
         new = found.where("pass is null and credit is null").select("a", "b").unionByName(_across(found.where("pass is not null"), least))
-        pairs = stored((new if pairs is None else pairs.unionByName(new)).distinct())
+        every = stored((new if pairs is None else pairs.unionByName(new)).distinct())
+        discard(*([] if pairs is None else [pairs]))
+        pairs = every
         start += each
         if rows <= window:  # all were compared with all
             return pairs
