@@ -44,10 +44,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near-duplicates (five words, 0.8), once.
 
-    Documents without words have no duplicates. Rows without a doc_id are dropped.
+    Documents without words have no duplicates. Rows without a doc_id are dropped. Of several rows of a kept id the one with the
+    largest text stays (null is smallest; ties by the other columns).
     """
     kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
-    return docs.select(*COLUMNS).join(kept.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    rows = docs.select(*COLUMNS).join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
+    one = F.max(F.struct("text", *(c for c in COLUMNS if c not in ("doc_id", "text"))))
+    return rows.groupBy("doc_id").agg(one.alias("r")).select("doc_id", "r.*").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
