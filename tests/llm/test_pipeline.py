@@ -61,3 +61,28 @@ def test_language_stage(spark):
     assert kept(corpus_pipeline.of_known_language(language.identify(df, learned, keep=corpus_pipeline.COLUMNS[1:]))) == clean
     unnamed = df.withColumn("lang", F.lit(None).cast("string"))
     assert kept(corpus_pipeline.identify_language(spark, unnamed, "")) == [*clean, *(r[0] for r in strange)]
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Empty tables, repeated rows, nulls in any column, and columns with the names of results."""
+    bench = "item_id long, text string"
+    spark.createDataFrame([(1, "never seen words"), (2, None)], bench).write.parquet(str(tmp_path / "benchmark.parquet"))
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score string, shard string, size string, slot string, component_id string, kept string, n_hit string, times string"
+    more = ("x",) * 8
+    say = lambda k, n: " ".join(random.Random(k).choices([f"w{i}" for i in range(300)], k=n))
+    rows = [(i, say(i, 60), "en", f"s{i % 2}", 5, *more) for i in range(12)]
+    rows += [rows[3], (4, say(100, 60), "en", "s0", 5, *more), (None, say(5, 60), "en", None, None, *more), (20, None, None, None, None, *(None,) * 8), (21, "", "en", "s0", 0, *more), (22, say(77, 30_000), "en", "s1", 1, *more)]
+    for own in (rows, []):
+        docs = spark.createDataFrame(own, kind)
+        left = docs
+        for name, stage in corpus_pipeline.STAGES:
+            if name == "sharding":
+                break
+            left = stage(spark, left, str(tmp_path)).persist()
+            assert left.columns == corpus_pipeline.COLUMNS
+            if own and name == "near_dedup":
+                got = {r.doc_id: r for r in left.collect()}
+                assert sorted(got) == [*range(12), 22] and got[4].text == max(rows[4][1], say(100, 60))
+        out = stage(spark, left, str(tmp_path))
+        assert {"shard", "slot", "size", "text_crc32"} <= set(out.columns)
+        assert (out.count() > 0) == bool(own)
