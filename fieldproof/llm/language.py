@@ -23,6 +23,8 @@ N, DIM, SYMBOLS = 3, 1024, 1024
 #: Texts longer than this many code points are counted in parts, so that memory stays bounded.
 PART = 1 << 20
 UNKNOWN = "und"
+#: Languages that may be learned.
+MOST = 10_000
 
 
 def _letters(dim: int, n: int, seed: int = 17) -> list[np.ndarray]:
@@ -84,10 +86,10 @@ class Encoder:
         return out
 
 
-def prototypes(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", n: int = N, dim: int = DIM) -> dict[str, np.ndarray]:
+def prototypes(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", n: int = N, dim: int = DIM, most: int = MOST) -> dict[str, np.ndarray]:
     """Bundled n-gram vectors of each language over all rows of ``train``; rows without text or language are passed over.
 
-    What reaches the driver is one vector for each language."""
+    What reaches the driver is one vector for each language; with over ``most`` languages a ValueError is raised before that."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(n, dim)
@@ -110,6 +112,8 @@ def prototypes(train: DataFrame, *, text_col: str = "text", lang_col: str = "lan
     rows = train.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     sums = rows.mapInArrow(part, "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v"))
     out: dict[str, np.ndarray] = {}
+    if rows.select("lang").distinct().limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} languages")
     for r in sums.collect():
         out.setdefault(r.lang, np.zeros(dim))[r.i] = r.v
     return dict(sorted(out.items()))
