@@ -66,6 +66,11 @@ def pick(values: list[str | None], key: Column) -> Column:
     return F.element_at(F.array(*(F.lit(v) for v in values)), (F.pmod(key, F.lit(len(values))) + 1).cast("int"))
 
 
+def run_of(key: Column) -> Column:
+    """The records come from three runs."""
+    return F.concat(F.lit("RUN-"), (F.pmod(key, F.lit(3)) + 1).cast("string"))
+
+
 def _attributes() -> list[Column]:
     k = F.col("p_partkey")
     return [F.col("p_brand"), F.col("p_type"), F.round("p_retailprice").cast("long").cast("string"), F.col("p_size").cast("string"), pick(TITLES, k), pick(PLACES, F.floor(k / 3)), pick(EXPERIENCE, F.floor(k / 5)), pick(FOUNDED, F.floor(k / 7)), pick(SALARY, k)]
@@ -76,7 +81,7 @@ def records(spark: SparkSession, sf_dir: str, request: str = "Q") -> DataFrame:
     part = table(spark, sf_dir, "part")
     values = dict(zip(FIELDS, _attributes(), strict=True))
     return part.select(
-        F.lit("RUN-1").alias("run_id"), F.col("p_partkey").alias("record_id"), F.col("p_partkey").alias("ingest_seq"), F.lit(request).alias("request_id"), F.col("p_name").alias("entity_name"),
+        run_of(F.col("p_partkey")).alias("run_id"), F.col("p_partkey").alias("record_id"), F.col("p_partkey").alias("ingest_seq"), F.lit(request).alias("request_id"), F.col("p_name").alias("entity_name"),
         F.create_map(*(x for f, v in values.items() for x in (F.lit(f), v))).alias("attributes"), F.array(*(F.lit(f) for f in FIELDS)).alias("attr_order"),
         F.col("p_brand").alias("company"), values["Role"].alias("role"), values["Location"].alias("location"), values["Experience"].alias("experience"), values["Salary"].alias("salary"), values["Size"].alias("size"), F.lit("—").alias("source"),
     )
@@ -116,7 +121,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     status = F.when(F.col("l_returnflag") == "N", "Confirmed").when(F.col("l_returnflag") == "A", "Partially verified").otherwise("Needs verification")
     return base.select(
-        F.lit("RUN-1").alias("run_id"), F.col("l_partkey").alias("record_id"), (o * 10_000_000 + n * 1_000_000 + F.col("l_suppkey")).alias("ev_seq"), "field", "value",
+        run_of(F.col("l_partkey")).alias("run_id"), F.col("l_partkey").alias("record_id"), (o * 10_000_000 + n * 1_000_000 + F.col("l_suppkey")).alias("ev_seq"), "field", "value",
         F.concat(F.lit("Supplier "), F.col("l_suppkey").cast("string")).alias("source"), url.alias("url"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("retrieved"), snippet.alias("snippet"), status.alias("verification"),
     )
 
@@ -130,7 +135,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     off = F.pmod(o * 7 + n, F.lit(97)) == 0
     key = ((o * 10 + n) * 100_000 + s) * 1_000_000 + F.col("l_partkey")
     return line.join(part, line["l_partkey"] == part["p_partkey"]).select(
-        F.lit("RUN-1").alias("run_id"), key.alias("record_id"), key.alias("ingest_seq"), name.alias("entity_name"), url.alias("url"),
+        run_of(F.floor(o / 32)).alias("run_id"), key.alias("record_id"), key.alias("ingest_seq"), name.alias("entity_name"), url.alias("url"),
         pick([TITLES[0], TITLES[1], TITLES[2], None], F.floor(o / 2)).alias("role"), pick(["Bangalore", "Chennai", None], n.cast("long")).alias("location"), F.round(F.col("l_discount") * 100).cast("int").alias("confidence"),
         F.when(off, F.concat(F.col("p_size").cast("string"), F.lit("0"))).otherwise(F.col("p_size").cast("string")).alias("Size"), F.when(off, F.concat("p_type", F.lit(" X"))).otherwise(F.col("p_type")).alias("Type"),
     )
@@ -162,7 +167,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request for each customer; every third has an active run."""
     c = F.col("c_custkey")
     first = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"))
-    return table(spark, sf_dir, "customer").join(first, F.col("c_custkey") == F.col("o_custkey"), "left").select(c.alias("request_id"), F.col("c_name").alias("name"), pick(PROMPTS, c).alias("prompt"), F.when(F.pmod(c, F.lit(3)) == 0, F.col("first")).alias("active_run_id"))
+    return table(spark, sf_dir, "customer").join(first, F.col("c_custkey") == F.col("o_custkey"), "left").select(c.alias("request_id"), F.col("c_name").alias("name"), pick(PROMPTS, c).alias("prompt"), F.when(F.pmod(c, F.lit(7)) == 0, "running").otherwise("completed").alias("status"), F.when(F.pmod(c, F.lit(3)) == 0, F.col("first")).alias("active_run_id"))
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:

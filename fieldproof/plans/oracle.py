@@ -61,7 +61,8 @@ ATTRS = {
     "Role": pick(A.TITLES, "p_partkey"), "Location": pick(A.PLACES, "p_partkey // 3"), "Experience": pick(A.EXPERIENCE, "p_partkey // 5"),
     "Founded": pick(A.FOUNDED, "p_partkey // 7"), "Salary": pick(A.SALARY, "p_partkey"),
 }
-REC = "rec AS (SELECT p_partkey AS record_id, p_name AS entity_name, " + ", ".join(f"{e} AS {f.lower()}" for f, e in ATTRS.items()) + " FROM part)"
+_RUN = "'RUN-' || (1 + ({0}) % 3)"
+REC = f"rec AS (SELECT {_RUN.format('p_partkey')} AS run_id, p_partkey AS record_id, p_name AS entity_name, " + ", ".join(f"{e} AS {f.lower()}" for f, e in ATTRS.items()) + " FROM part)"
 FIELDS_ALL = "fields_all AS (" + " UNION ALL ".join(f"SELECT record_id, entity_name, {lit(f)} AS field, {f.lower()} AS value FROM rec" for f in A.FIELDS) + ")"
 FIELDS = "fields AS (SELECT * FROM fields_all WHERE field IN (" + ", ".join(lit(f) for f in A.REQUIRED) + "))"
 CON = "con AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(lit(v) for v in row) + ")" for row in A.CONSTRAINTS) + ") t(request_id, c_seq, field, operator, value, value_to, unit, hard))"
@@ -69,7 +70,7 @@ _AT = "(l_linenumber % 7)"
 _OWN = "([" + ", ".join(ATTRS[f] for f in A.FIELDS[:7]) + f"])[1 + {_AT}]"
 EV = f"""ev0 AS (SELECT l_partkey AS record_id, p_name, l_orderkey AS o, l_linenumber AS n, l_suppkey AS s, l_returnflag, l_shipdate, ({arr(A.FIELDS[:7])})[1 + {_AT}] AS field,
   CASE WHEN (l_orderkey * 7 + l_linenumber) % 97 = 0 THEN 'Alt ' || {_OWN} ELSE {_OWN} END AS value FROM lineitem JOIN part ON l_partkey = p_partkey),
-ev AS (SELECT record_id, o * 10000000 + n * 1000000 + s AS ev_seq, field, value, 'Supplier ' || s AS source,
+ev AS (SELECT {_RUN.format("record_id")} AS run_id, record_id, o * 10000000 + n * 1000000 + s AS ev_seq, field, value, 'Supplier ' || s AS source,
   CASE o % 10 WHEN 0 THEN 'https://www.linkedin.com/jobs/' || o WHEN 1 THEN 'https://www.google.com/search?q=' || o WHEN 2 THEN 'https://data.labour.gov/list' WHEN 3 THEN '' ELSE 'https://careers.supplier' || s || '.com/jobs/' || o END AS url,
   strftime(l_shipdate, '%Y-%m-%d') AS retrieved,
   CASE (o + n) % 8 WHEN 0 THEN p_name || ' lists ' || field || ' as ' || value || ' on its official page' WHEN 1 THEN field || ' is ' || value WHEN 2 THEN 'Read our cookie policy and terms of service for details'
@@ -77,7 +78,7 @@ ev AS (SELECT record_id, o * 10000000 + n * 1000000 + s AS ev_seq, field, value,
   CASE l_returnflag WHEN 'N' THEN 'Confirmed' WHEN 'A' THEN 'Partially verified' ELSE 'Needs verification' END AS verification FROM ev0)"""
 CLASH = f"clash AS (SELECT record_id, field FROM ev WHERE NOT {missing('value')} GROUP BY record_id, field HAVING min({norm('value')}) <> max({norm('value')}))"
 _OFF = "(l_orderkey * 7 + l_linenumber) % 97 = 0"
-CAND = f"""cand AS (SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey) * 1000000 + l_partkey AS record_id, p_name || ' ' || p_partkey || {pick(A.SUFFIXES, 'l_orderkey')} AS entity_name,
+CAND = f"""cand AS (SELECT {_RUN.format("l_orderkey // 32")} AS run_id, ((l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey) * 1000000 + l_partkey AS record_id, p_name || ' ' || p_partkey || {pick(A.SUFFIXES, 'l_orderkey')} AS entity_name,
   CASE WHEN l_orderkey % 10 < 7 THEN NULL ELSE 'supplier' || (l_suppkey % 3) || '.com' END AS domain, {pick([A.TITLES[0], A.TITLES[1], A.TITLES[2], None], 'l_orderkey // 2')} AS title,
   lower({pick(['Bangalore', 'Chennai', None], 'l_linenumber')}) AS place, CAST(round(l_discount * 100) AS INT) AS confidence,
   CASE WHEN {_OFF} THEN p_size || '0' ELSE CAST(p_size AS VARCHAR) END AS size_, CASE WHEN {_OFF} THEN p_type || ' X' ELSE p_type END AS type_,
@@ -85,20 +86,20 @@ CAND = f"""cand AS (SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_suppke
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 _LEGAL = r"\b(" + "|".join(R.LEGAL_WORDS) + r")\b\.?"
 SIG = f"""named AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(lower(entity_name), {lit(_LEGAL)}, '', 'g'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM cand),
-sigs AS (SELECT name, domain, title, place, min(record_id) AS sig FROM named GROUP BY ALL),
-assigned AS (SELECT record_id, sig FROM named n JOIN sigs s ON n.name = s.name AND n.domain IS NOT DISTINCT FROM s.domain AND n.title IS NOT DISTINCT FROM s.title AND n.place IS NOT DISTINCT FROM s.place)"""
+sigs AS (SELECT run_id, name, domain, title, place, min(record_id) AS sig FROM named GROUP BY ALL),
+assigned AS (SELECT record_id, sig FROM named n JOIN sigs s ON n.run_id = s.run_id AND n.name = s.name AND n.domain IS NOT DISTINCT FROM s.domain AND n.title IS NOT DISTINCT FROM s.title AND n.place IS NOT DISTINCT FROM s.place)"""
 # the titles of the candidates: React is another family than Java Backend, both of which match each other but for seniority, which the junior one leaves open
 _CLASHING = "coalesce((a.title = 'React Frontend Developer') <> (b.title = 'React Frontend Developer') OR (a.title = 'Senior Java Backend Engineer' AND b.title IN ('Java Backend Developer') AND false), false)"
 PAIRS = f"""pairs AS (SELECT a.sig AS a, b.sig AS b, CASE WHEN a.domain = b.domain AND {_CLASHING} THEN 'DIFFERENT_POSITIONS_AT_SAME_COMPANY' WHEN a.domain <> b.domain THEN 'DOMAIN_MISMATCH'
   WHEN {_CLASHING} THEN 'DISTINCT_ROLES_SAME_COMPANY_NAME' WHEN NOT contains(a.place, b.place) AND NOT contains(b.place, a.place) THEN 'AMBIGUOUS_LOCATION' ELSE 'STRONG_IDENTITY_MATCH' END AS reason
-  FROM sigs a JOIN sigs b ON a.name = b.name AND a.sig < b.sig)"""
+  FROM sigs a JOIN sigs b ON a.run_id = b.run_id AND a.name = b.name AND a.sig < b.sig)"""
 # leaders in signature order within a name: a walk that takes each next signature and keeps the list of leaders
 WALK = """strong AS (SELECT a, b FROM pairs WHERE reason = 'STRONG_IDENTITY_MATCH'), near AS (SELECT b AS sig, list(a ORDER BY a) AS before FROM strong GROUP BY b),
-ordered AS (SELECT name, sig, coalesce(before, []) AS before, row_number() OVER (PARTITION BY name ORDER BY sig) AS i FROM sigs LEFT JOIN near USING (sig)),
-walk AS (SELECT name, i, sig, [sig] AS leaders, sig AS leader FROM ordered WHERE i = 1
-  UNION ALL SELECT o.name, o.i, o.sig, CASE WHEN len(list_intersect(o.before, w.leaders)) = 0 THEN list_append(w.leaders, o.sig) ELSE w.leaders END,
+ordered AS (SELECT run_id, name, sig, coalesce(before, []) AS before, row_number() OVER (PARTITION BY run_id, name ORDER BY sig) AS i FROM sigs LEFT JOIN near USING (sig)),
+walk AS (SELECT run_id, name, i, sig, [sig] AS leaders, sig AS leader FROM ordered WHERE i = 1
+  UNION ALL SELECT o.run_id, o.name, o.i, o.sig, CASE WHEN len(list_intersect(o.before, w.leaders)) = 0 THEN list_append(w.leaders, o.sig) ELSE w.leaders END,
     CASE WHEN len(list_intersect(o.before, w.leaders)) = 0 THEN o.sig ELSE list_min(list_intersect(o.before, w.leaders)) END
-  FROM walk w JOIN ordered o ON o.name = w.name AND o.i = w.i + 1),
+  FROM walk w JOIN ordered o ON o.run_id = w.run_id AND o.name = w.name AND o.i = w.i + 1),
 clustered AS (SELECT record_id, w.leader AS cluster FROM assigned JOIN walk w USING (sig))"""
 CLUSTERED = "WITH RECURSIVE " + ", ".join([CAND, SIG, PAIRS, WALK]) + " "
 RUNS = """per AS (SELECT l_orderkey, count(*) AS collected, count(DISTINCT l_partkey) AS "unique", count(*) FILTER (l_returnflag = 'N') AS validated, count(*) FILTER (l_returnflag = 'R') AS conflicts, count(*) FILTER (l_returnflag = 'A') AS incomplete FROM lineitem GROUP BY l_orderkey),
@@ -352,9 +353,9 @@ _NATURAL = "CASE WHEN regexp_matches(t, '\\d') THEN 0 ELSE 1 END"
 
 SQL: dict[str, str] = {
     "qualify_numeric": with_(eval_sql("Q"), EV, CLASH, VERDICTS) + "SELECT record_id, status, reason, completeness, array_to_string(missing_fields, ',') AS missing_fields FROM verdicts",
-    "quality_summary": with_(eval_sql("Q"), EV, CLASH, VERDICTS) + f"SELECT 'RUN-1' AS run_id, count(*) AS collected, count(*) FILTER (status = 'Qualified') AS qualified, count(*) FILTER (status = 'Needs verification') AS needs_verification, count(*) FILTER (status = 'Conflict') AS conflicts, count(*) FILTER (status = 'Excluded') AS excluded, count(*) FILTER (len(missing_fields) > 0) AS incomplete, {js_round('avg(completeness)')} AS completeness, {js_round('count(*) FILTER (status = ' + lit('Qualified') + ') * 100.0 / count(*)')} AS quality FROM verdicts",
+    "quality_summary": with_(eval_sql("Q"), EV, CLASH, VERDICTS) + f"SELECT run_id, count(*) AS collected, count(*) FILTER (status = 'Qualified') AS qualified, count(*) FILTER (status = 'Needs verification') AS needs_verification, count(*) FILTER (status = 'Conflict') AS conflicts, count(*) FILTER (status = 'Excluded') AS excluded, count(*) FILTER (len(missing_fields) > 0) AS incomplete, {js_round('avg(completeness)')} AS completeness, {js_round('count(*) FILTER (status = ' + lit('Qualified') + ') * 100.0 / count(*)')} AS quality FROM verdicts JOIN (SELECT run_id, record_id FROM rec) USING (record_id) GROUP BY run_id",
     "constraint_ops": with_(eval_sql("ALL")) + "SELECT * FROM evals",
-    "role_match": with_(REC, _ROLE_PAIRS, titles_cte("SELECT t FROM titles_")) + f"SELECT r.t AS required, a.t AS actual, a.fam AS family, array_to_string(a.te, ',') AS technologies, a.sen AS seniority, {title_verdict('r', 'a')[0]} AS result, {title_verdict('r', 'a')[1]} AS reason, records FROM title r JOIN title a ON r.t <= a.t JOIN titles_ n ON n.t = a.t",
+    "role_match": with_(REC, _ROLE_PAIRS, titles_cte("SELECT t FROM titles_")) + f"SELECT r.t AS required, a.t AS actual, a.fam AS family, array_to_string(a.te, ',') AS technologies, a.sen AS seniority, {title_verdict('r', 'a')[0]} AS result, {title_verdict('r', 'a')[1]} AS reason, records FROM title r CROSS JOIN title a JOIN titles_ n ON n.t = a.t",
     "location_match": with_(REC, "wanted AS (SELECT unnest(['Bengaluru', 'India', 'Remote', 'Karnataka', 'Toronto', 'Pune office']) AS t)", places_cte("SELECT DISTINCT location AS t FROM rec UNION SELECT t FROM wanted"), "n AS (SELECT location AS t, count(*) AS records FROM rec GROUP BY location)") + f"SELECT r.t AS required, a.t AS actual, a.city, a.state, a.country, a.remote, {place_verdict('r', 'a')[0]} AS result, {place_verdict('r', 'a')[1]} AS reason, records FROM wanted w JOIN place r ON r.t = w.t CROSS JOIN n JOIN place a ON a.t = n.t",
     "entity_pairs": with_(CAND, SIG, PAIRS) + "SELECT a, b, CASE reason WHEN 'AMBIGUOUS_LOCATION' THEN 'AMBIGUOUS' WHEN 'STRONG_IDENTITY_MATCH' THEN 'STRONG_MATCH' ELSE 'DISTINCT' END AS decision, reason FROM pairs",
     "entity_clusters": CLUSTERED + "SELECT record_id, cluster FROM clustered",
@@ -373,22 +374,22 @@ SQL: dict[str, str] = {
     "reliability_score": "WITH RECURSIVE " + ", ".join([REC, FIELDS_ALL, FIELDS, EV, CLASH, RATED, QUALITY, DIRECT, SUPPORT, AGREE, CONSIST, fidelity_sql("fields", "fid"), FRESH, RELIABLE]) + " SELECT *, CASE WHEN score >= 80 THEN 'High' WHEN score >= 60 THEN 'Moderate' WHEN score >= 35 THEN 'Low' ELSE 'Unverified' END AS grade, CASE WHEN score >= 80 AND support >= 75 THEN 'Confirmed' WHEN score >= 45 THEN 'Partially verified' ELSE 'Needs verification' END AS status FROM scored",
     "parse_responses": "SELECT doc_id AS id, CAST(pos AS INT) AS pos, CASE WHEN pos >= 0 THEN 'Entity ' || doc_id END AS \"entityName\", CASE WHEN pos >= 0 THEN 'chars ' || n_chars END AS role, CASE WHEN pos >= 0 THEN source END AS location FROM (SELECT *, unnest(CASE doc_id % 5 WHEN 1 THEN [0, 1] WHEN 4 THEN [-1] ELSE [0] END) AS pos FROM documents)",
     "citations": f"SELECT doc_id AS id, url, regexp_replace(regexp_extract(url, '//([^/]+)', 1), '^www\\.', '') AS title FROM (SELECT doc_id, {_WRAP} AS url FROM documents) WHERE url IS NOT NULL",
-    "discover_sources": with_(EV) + "SELECT url, arg_min(source, (record_id, ev_seq)) AS source, nullif(arg_min(coalesce(snippet, 'none'), (record_id, ev_seq)), 'none') AS snippet, count(*) AS citations FROM ev WHERE url <> '' GROUP BY url",
+    "discover_sources": with_(EV) + "SELECT run_id, url, arg_min(source, (record_id, ev_seq)) AS source, nullif(arg_min(coalesce(snippet, 'none'), (record_id, ev_seq)), 'none') AS snippet, count(*) AS citations FROM ev WHERE url <> '' GROUP BY run_id, url",
     "clean": with_(REC) + "SELECT record_id, regexp_replace(entity_name || sfx, '\\s+(Pvt\\.?|Ltd\\.?|Inc\\.?|LLP|Technologies|Private Limited)$', '', 'i') AS entity_name, regexp_replace(entity_name || sfx, '\\s+(Pvt\\.?|Ltd\\.?|Inc\\.?|LLP|Technologies|Private Limited)$', '', 'i') AS company, nullif(role, '—') AS role, nullif(location, 'Not disclosed') AS location, nullif(experience, '—') AS experience, nullif(salary, 'Not disclosed') AS salary FROM (SELECT *, " + pick(A.SUFFIXES, "record_id") + " AS sfx FROM rec)",
     "melt_fields": with_(REC, FIELDS_ALL) + f"SELECT record_id, field, lower(field) AS field_key, value, CASE WHEN {missing('value')} THEN 'NOT_FOUND' ELSE 'FOUND' END AS status FROM fields_all",
     "extract_constraints": with_(REQ, _EXTRACT) + "SELECT * FROM extracted",
     "constraint_merge": with_(REQ, _EXTRACT) + "SELECT request_id, 'role' AS field, 'contains' AS operator, 'Any Developer' AS value FROM req WHERE request_id % 2 = 0 UNION ALL SELECT id, field, operator, value FROM extracted WHERE NOT (id % 2 = 0 AND field = 'role') UNION ALL SELECT request_id, 'salary', 'optional', NULL FROM req WHERE contains(prompt, 'salary if available') UNION ALL SELECT request_id, 'experience', 'optional', NULL FROM req WHERE contains(prompt, 'experience when available')",
-    "source_summary": with_(EV) + f"SELECT * FROM (SELECT row_number() OVER (ORDER BY records DESC, domain) AS rank, domain, {first('lower(domain)', [('|'.join(p.replace('.', '[.]') for p in ps), n) for n, ps in U.SOURCE_TYPES], lit('Primary'))} AS type, records, confirmed, {js_round('least(99.0, greatest(50.0, confirmed * 100.0 / records))')} AS reliability FROM (SELECT CASE WHEN url = '' THEN 'web-source' ELSE {HOST} END AS domain, count(*) AS records, count(*) FILTER (verification = 'Confirmed') AS confirmed FROM ev GROUP BY 1)) WHERE rank <= 10",
-    "gap_report": with_(eval_sql("Q"), EV, CLASH, VERDICTS) + ", need AS (SELECT record_id, missing_fields FROM verdicts WHERE status = 'Needs verification'), gaps AS (SELECT record_id, field FROM evals JOIN need USING (record_id) WHERE result = 'UNKNOWN' UNION SELECT record_id, unnest(missing_fields) FROM need), each AS (SELECT DISTINCT field, entity_name FROM gaps JOIN rec USING (record_id)), agg AS (SELECT field, field IN ('Price', 'Experience', 'Size') AS is_constraint, count(*) AS n_entities, array_to_string(list(entity_name ORDER BY entity_name)[1:8], '|') AS entities FROM each GROUP BY field) SELECT * FROM (SELECT row_number() OVER (ORDER BY is_constraint DESC, n_entities DESC, field) AS rank, * FROM agg) WHERE rank <= 3",
-    "enrich": with_(REC) + f", rec2 AS (SELECT {_ALNUM('entity_name')} AS rk, min(record_id) AS rid FROM rec WHERE record_id % 8 IN (2, 5) GROUP BY 1), new AS (SELECT {_ALNUM(_PART_NAME)} AS k, '₹' || (p_partkey % 40) || ' lakh' AS value, CASE WHEN p_partkey % 2 = 0 THEN 'https://pay.example.com' END AS url FROM part WHERE p_partkey % 5 <> 0), keys AS (SELECT DISTINCT k FROM new), own AS (SELECT k, coalesce(min(rid) FILTER (rk = k), min(rid)) AS record_id FROM keys JOIN rec2 ON rk = k OR contains(k, rk) OR contains(rk, k) GROUP BY k), got AS (SELECT record_id, value, url FROM (SELECT record_id, value, url, row_number() OVER (PARTITION BY record_id ORDER BY value, url NULLS FIRST) AS i FROM new JOIN own USING (k)) WHERE i = 1) SELECT record_id, 'Salary' AS field, value, url, CASE WHEN url IS NULL THEN 'Needs verification' ELSE 'Confirmed' END AS verification FROM got JOIN rec USING (record_id) WHERE {missing('salary')}",
-    "new_candidates": with_(REC) + ", old AS (SELECT record_id, entity_name FROM rec WHERE record_id % 10 < 3), new AS (SELECT c_custkey + 10000000 AS record_id, CASE c_custkey % 4 WHEN 0 THEN '  SMALL ring ' WHEN 1 THEN '' ELSE c_name END AS entity_name FROM customer) SELECT * FROM old UNION ALL SELECT * FROM new WHERE trim(entity_name) = '' OR lower(trim(entity_name)) NOT IN (SELECT lower(trim(entity_name)) FROM old)",
+    "source_summary": with_(EV) + f"SELECT * FROM (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY records DESC, domain) AS rank, domain, {first('lower(domain)', [('|'.join(p.replace('.', '[.]') for p in ps), n) for n, ps in U.SOURCE_TYPES], lit('Primary'))} AS type, records, confirmed, {js_round('least(99.0, greatest(50.0, confirmed * 100.0 / records))')} AS reliability FROM (SELECT run_id, CASE WHEN url = '' THEN 'web-source' ELSE {HOST} END AS domain, count(*) AS records, count(*) FILTER (verification = 'Confirmed') AS confirmed FROM ev GROUP BY ALL)) WHERE rank <= 10",
+    "gap_report": with_(eval_sql("Q"), EV, CLASH, VERDICTS) + ", need AS (SELECT record_id, missing_fields FROM verdicts WHERE status = 'Needs verification'), gaps AS (SELECT record_id, field FROM evals JOIN need USING (record_id) WHERE result = 'UNKNOWN' UNION SELECT record_id, unnest(missing_fields) FROM need), each AS (SELECT DISTINCT run_id, field, entity_name FROM gaps JOIN rec USING (record_id)), agg AS (SELECT run_id, field, field IN ('Price', 'Experience', 'Size') AS is_constraint, count(*) AS n_entities, array_to_string(list(entity_name ORDER BY entity_name)[1:8], '|') AS entities FROM each GROUP BY run_id, field) SELECT * FROM (SELECT row_number() OVER (PARTITION BY run_id ORDER BY is_constraint DESC, n_entities DESC, field) AS rank, * FROM agg) WHERE rank <= 3",
+    "enrich": with_(REC) + f", rec2 AS (SELECT run_id, {_ALNUM('entity_name')} AS rk, min(record_id) AS rid FROM rec GROUP BY ALL), new AS (SELECT {_RUN.format('p_partkey // 5')} AS run_id, {_ALNUM(_PART_NAME)} AS k, '₹' || (p_partkey % 40) || ' lakh' AS value, CASE WHEN p_partkey % 2 = 0 THEN 'https://pay.example.com' END AS url FROM part WHERE p_partkey % 5 <> 0), keys AS (SELECT DISTINCT run_id, k FROM new), own AS (SELECT run_id, k, coalesce(min(rid) FILTER (rk = k), min(rid)) AS record_id FROM keys JOIN rec2 USING (run_id) WHERE rk = k OR contains(k, rk) OR contains(rk, k) GROUP BY ALL), got AS (SELECT record_id, value, url FROM (SELECT record_id, value, url, row_number() OVER (PARTITION BY record_id ORDER BY value, url NULLS FIRST) AS i FROM new JOIN own USING (run_id, k)) WHERE i = 1) SELECT record_id, 'Salary' AS field, value, url, CASE WHEN url IS NULL THEN 'Needs verification' ELSE 'Confirmed' END AS verification FROM got JOIN rec USING (record_id) WHERE {missing('salary')}",
+    "new_candidates": with_(REC) + f", new AS (SELECT {_RUN.format('c_custkey')} AS run_id, c_custkey + 10000000 AS record_id, CASE c_custkey % 4 WHEN 0 THEN '  SMALL ring ' WHEN 1 THEN '' WHEN 2 THEN (SELECT min(p_name) FROM part) ELSE c_name END AS entity_name FROM customer) SELECT run_id, record_id, entity_name FROM rec UNION ALL SELECT * FROM new n WHERE trim(entity_name) = '' OR NOT EXISTS (SELECT 1 FROM rec r WHERE r.run_id = n.run_id AND lower(trim(r.entity_name)) = lower(trim(n.entity_name)))",
     "catalog_backfill": "WITH cat0 AS (SELECT n_nationkey AS position, " + pick(["small ring", "red widget", "Ather 450X", "Ola S1", "TVS iQube", "Ather", "Bajaj Chetak", "blue"], "n_nationkey") + " AS entity_name FROM nation), cat AS (SELECT * FROM cat0 c WHERE NOT EXISTS (SELECT 1 FROM cat0 e WHERE e.position < c.position AND (contains(lower(e.entity_name), lower(c.entity_name)) OR contains(lower(c.entity_name), lower(e.entity_name))))), run AS (SELECT l_orderkey AS run_id, lower(p_name) AS s FROM lineitem JOIN part ON l_partkey = p_partkey), short AS (SELECT run_id, count(*) AS have FROM run GROUP BY run_id HAVING count(*) < 5), seen AS (SELECT run_id, s FROM run UNION SELECT run_id, split_part(s, ' ', 1) FROM run), free AS (SELECT run_id, have, position, entity_name FROM short CROSS JOIN cat WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.run_id = short.run_id AND (contains(seen.s, lower(cat.entity_name)) OR contains(lower(cat.entity_name), seen.s)))) SELECT run_id, position, entity_name FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY position) AS i FROM free) WHERE i <= 5 - have",
     "run_comparison": with_(RUNS, COMPARE) + "SELECT *, validated_delta AS quality_change, abs(validated_delta) AS quality_delta FROM cmp",
     "latest_run": with_(RUNS, REQ) + "SELECT request_id, active_run_id, run_id, run_number FROM (SELECT request_id, active_run_id, run_id, run_number, row_number() OVER (PARTITION BY request_id ORDER BY coalesce(run_id = active_run_id, false) DESC, run_number DESC) AS i FROM req LEFT JOIN runs USING (request_id)) WHERE i = 1",
     "request_history": with_(RUNS, COMPARE) + "SELECT request_id, run_id, run_number, row_number() OVER (PARTITION BY request_id ORDER BY run_number DESC) AS position, CASE WHEN run_number = 1 THEN 'First run' WHEN validated_delta > 0 THEN '+' || validated_delta || ' validated' WHEN validated_delta < 0 THEN validated_delta || ' validated' ELSE 'No change' END AS change FROM cmp",
     "next_run_number": with_(RUNS) + "SELECT request_id, max(run_number) + 1 AS run_number, 'RUN-' || request_id || '-v' || (max(run_number) + 1) AS run_id FROM runs GROUP BY request_id",
     "dataset_page": with_(REC) + "SELECT record_id, entity_name, salary FROM rec WHERE contains(lower(concat_ws(' ', entity_name, brand, type, price, size, role, location, experience, founded, salary)), 'ring') ORDER BY salary = 'Not disclosed', CASE salary WHEN '₹2 lakh' THEN 200000 WHEN '₹1.5 Lakh' THEN 150000 WHEN '₹5 Cr' THEN 50000000 WHEN '₹2,00,000' THEN 200000 WHEN '200000' THEN 200000 WHEN '1,000–5,000' THEN 1000 WHEN '12 LPA' THEN 12 END DESC NULLS LAST, lower(salary) DESC, record_id LIMIT 10 OFFSET 20",
-    "search": with_(REC, REQ) + "SELECT 'request' AS kind, CAST(request_id AS VARCHAR) AS id, name AS title FROM req WHERE contains(lower(name || ' ' || request_id || ' ' || prompt), 'react') UNION ALL SELECT * FROM (SELECT 'record', 'RUN-1/' || record_id, entity_name FROM rec WHERE contains(lower(concat_ws(' ', entity_name, role, brand, type, location)), 'react') ORDER BY record_id LIMIT 8)",
+    "search": with_(REC, REQ) + "SELECT 'request' AS kind, CAST(request_id AS VARCHAR) AS id, name AS title FROM req WHERE contains(lower(name || ' ' || request_id || ' ' || prompt), 'react') UNION ALL SELECT * FROM (SELECT 'record', run_id || '/' || record_id, entity_name FROM rec WHERE contains(lower(concat_ws(' ', entity_name, role, brand, type, location)), 'react') ORDER BY run_id, record_id LIMIT 8)",
     "notifications": with_(RUNS) + "SELECT run_id || '-' || kind AS id, run_id, kind, amount FROM (SELECT run_id, 'completed' AS kind, collected AS amount FROM runs UNION ALL SELECT run_id, 'conflicts', conflicts FROM runs WHERE conflicts > 0 UNION ALL SELECT run_id, 'incomplete', incomplete FROM runs WHERE incomplete > 0) WHERE NOT (kind = 'completed' AND run_id % 4 = 0)",
     "overview": with_(RUNS, EV) + f"SELECT * FROM (SELECT count(*) AS runs, count(DISTINCT request_id) AS requests, CAST(sum(collected) AS BIGINT) AS collected, {js_round('sum(validated) * 100.0 / sum(' + chr(34) + 'unique' + chr(34) + ')')} AS quality, count(*) FILTER (conflicts > 0) AS runs_with_conflicts FROM runs), (SELECT count(DISTINCT source) AS sources, {js_round('count(*) FILTER (verification <> ' + lit('Needs verification') + ') * 100.0 / count(*)')} AS evidence_coverage FROM ev)",
     "calibration": "WITH s AS (SELECT quality = 1 AND toxic = 0 AS label, floor(least(100.0, n_chars / 25) + 0.5) AS score FROM labels JOIN documents USING (doc_id)), n AS (SELECT count(*) FILTER (label AND score >= 50) AS tp, count(*) FILTER (NOT label AND score >= 50) AS fp, count(*) FILTER (label AND score < 50) AS fn, count(*) FILTER (NOT label AND score < 50) AS tn, round(count(*) FILTER (label AND score >= 80) / nullif(count(*) FILTER (score >= 80), 0), 6) AS high_accuracy, round(count(*) FILTER (NOT label AND score < 50) / nullif(count(*) FILTER (score < 50), 0), 6) AS low_accuracy, count(*) FILTER (score < 35) AS band_0_34, count(*) FILTER (score >= 35 AND score < 60) AS band_35_59, count(*) FILTER (score >= 60 AND score < 80) AS band_60_79, count(*) FILTER (score >= 80) AS band_80_100 FROM s) SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(fp / nullif(fp + tn, 0), 6) AS false_qualification_rate, round(fn / nullif(tp + fn, 0), 6) AS false_exclusion_rate FROM n",

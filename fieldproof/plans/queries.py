@@ -171,7 +171,7 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def discover_sources(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.discover_sources(A.evidence(spark, d)).drop("run_id")
+    return ingest.discover_sources(A.evidence(spark, d))
 
 
 @query
@@ -214,18 +214,18 @@ def constraint_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def source_summary(spark: SparkSession, d: str) -> DataFrame:
-    return improve.source_summary(A.evidence(spark, d)).drop("run_id")
+    return improve.source_summary(A.evidence(spark, d))
 
 
 @query
 def gap_report(spark: SparkSession, d: str) -> DataFrame:
     out = improve.gap_report(_verdicts(spark, d), _evals(spark, d, "Q"), A.records(spark, d), A.constraints(spark).where("request_id = 'Q'"))
-    return out.drop("run_id").withColumn("entities", F.array_join("entities", "|"))
+    return out.withColumn("entities", F.array_join("entities", "|"))
 
 
 def _found_later(spark: SparkSession, d: str) -> DataFrame:
     part = A.table(spark, d, "part")
-    return part.select(F.lit("RUN-1").alias("run_id"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("The "), F.upper("p_name"), F.lit("!"))).otherwise(F.col("p_name")).alias("entity_name"), F.lit("Salary").alias("field"), F.when(F.col("p_partkey") % 5 == 0, "N/A").otherwise(F.concat(F.lit("₹"), (F.col("p_partkey") % 40).cast("string"), F.lit(" lakh"))).alias("value"), F.when(F.col("p_partkey") % 2 == 0, "https://pay.example.com").alias("url"))
+    return part.select(A.run_of(F.floor(F.col("p_partkey") / 5)).alias("run_id"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("The "), F.upper("p_name"), F.lit("!"))).otherwise(F.col("p_name")).alias("entity_name"), F.lit("Salary").alias("field"), F.when(F.col("p_partkey") % 5 == 0, "N/A").otherwise(F.concat(F.lit("₹"), (F.col("p_partkey") % 40).cast("string"), F.lit(" lakh"))).alias("value"), F.when(F.col("p_partkey") % 2 == 0, "https://pay.example.com").alias("url"))
 
 
 @query
@@ -238,8 +238,11 @@ def enrich(spark: SparkSession, d: str) -> DataFrame:
 @query
 def new_candidates(spark: SparkSession, d: str) -> DataFrame:
     rec = A.records(spark, d).select("run_id", "record_id", "entity_name")
-    sup = A.table(spark, d, "customer").select(F.lit("RUN-1").alias("run_id"), (F.col("c_custkey") + 10_000_000).alias("record_id"), F.when(F.col("c_custkey") % 4 == 0, F.lit("  SMALL ring ")).when(F.col("c_custkey") % 4 == 1, F.lit("")).otherwise(F.col("c_name")).alias("entity_name"))
-    return improve.new_candidates(rec, sup).drop("run_id")
+    c = F.col("c_custkey")
+    one = A.table(spark, d, "part").agg(F.min("p_name").alias("one"))
+    name = F.when(c % 4 == 0, F.lit("  SMALL ring ")).when(c % 4 == 1, F.lit("")).when(c % 4 == 2, F.col("one")).otherwise(F.col("c_name"))
+    sup = A.table(spark, d, "customer").join(F.broadcast(one)).select(A.run_of(c).alias("run_id"), (c + 10_000_000).alias("record_id"), name.alias("entity_name"))
+    return improve.new_candidates(rec, sup)
 
 
 @query
@@ -253,7 +256,7 @@ def catalog_backfill(spark: SparkSession, d: str) -> DataFrame:
 def complete_evidence(spark: SparkSession, d: str) -> DataFrame:
     fields = A.fields(spark, d)
     ev = A.evidence(spark, d)
-    src = A.table(spark, d, "supplier").join(A.table(spark, d, "part").select("p_partkey", "p_name"), F.col("s_suppkey") * 7 == F.col("p_partkey")).select(F.lit("RUN-1").alias("run_id"), F.concat(F.lit("https://s.example.com/"), F.col("s_suppkey").cast("string")).alias("url"), F.col("s_name").alias("title"), F.concat(F.lit("About "), "p_name", F.lit(" in Bangalore")).alias("snippet"), F.col("s_suppkey").cast("int").alias("search_rank"))
+    src = A.table(spark, d, "supplier").join(A.table(spark, d, "part").select("p_partkey", "p_name"), F.col("s_suppkey") * 7 == F.col("p_partkey")).select(A.run_of(F.floor(F.col("s_suppkey") / 2)).alias("run_id"), F.concat(F.lit("https://s.example.com/"), F.col("s_suppkey").cast("string")).alias("url"), F.col("s_name").alias("title"), F.concat(F.lit("About "), "p_name", F.lit(" in Bangalore")).alias("snippet"), F.col("s_suppkey").cast("int").alias("search_rank"))
     return ingest.complete_evidence(fields, ev.where("verification = 'Confirmed'"), src).drop("run_id")
 
 
