@@ -65,17 +65,21 @@ def request_history(runs: DataFrame) -> DataFrame:
 
 def effective_status(qualification: Column, legacy: Column) -> Column:
     """The qualification status, else what a legacy status stands for."""
-    old = F.when(legacy == "validated", "Qualified").when(legacy == "conflict", "Conflict").when(legacy == "excluded", "Excluded").otherwise("Needs verification")
+    old = F.when(legacy == "Verified", "Qualified").when(legacy == "Conflict", "Conflict").when(legacy == "Incomplete", "Excluded").otherwise("Needs verification")
     return F.coalesce(F.nullif(qualification, F.lit("")), old)
 
 
+def legacy_status(qualification: Column) -> Column:
+    return F.when(qualification == "Qualified", "Verified").when(qualification == "Conflict", "Conflict").when(qualification == "Excluded", "Incomplete").otherwise("Review")
+
+
 def search_text(names: list[str], attributes: str = "attributes") -> Column:
     return F.lower(F.concat_ws(" ", *names, F.map_values(attributes)))
 
 
 def dataset_filter(records: DataFrame, text: str | None = None, status: str | None = None, names: tuple[str, ...] = ("entity_name", "company", "role", "location", "source")) -> DataFrame:
-    """Records of a status whose names or attributes hold a text, without regard to case."""
-    out = records.where(F.col("status") == status) if status else records
+    """Records of an effective status (columns qualification_status, status) whose names or attributes hold a text, without regard to case."""
+    out = records.where(effective_status(F.col("qualification_status"), F.col("status")) == status) if status else records
     return out.where(F.contains(search_text(list(names)), F.lit(text.lower().strip()))) if text else out
 
 
@@ -104,11 +108,42 @@ def notifications(runs: DataFrame, read: DataFrame | None = None) -> DataFrame:
     return out.join(read.select("id").distinct(), "id", "left_anti") if read is not None else out
 
 
-def overview(runs: DataFrame, evidence: DataFrame) -> DataFrame:
-    """One row: runs, requests, records collected, quality, runs with conflicts, distinct sources, share of evidence that is not waiting for verification."""
+def overview(runs: DataFrame, evidence: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """One row: runs, requests, records collected, quality, runs with conflicts, distinct sources, share of evidence that is not waiting for verification,
+    and with ``requests`` how many of them are running."""
     a = runs.agg(F.count("*").alias("runs"), F.count_distinct("request_id").alias("requests"), F.sum("collected").alias("collected"), js_round(F.try_divide(F.sum("validated") * 100.0, F.sum("unique"))).alias("quality"), F.count_if(F.col("conflicts") > 0).alias("runs_with_conflicts"))
     b = evidence.agg(F.count_distinct("source").alias("sources"), js_round(F.avg((F.col("verification") != "Needs verification").cast("int")) * 100).alias("evidence_coverage"))
-    return a.join(F.broadcast(b))  # one row each
+    out = a.join(F.broadcast(b))  # one row each
+    return out if requests is None else out.join(F.broadcast(requests.agg(F.count_if(F.col("status") == "running").alias("running"))))
+
+
+def attention(summary: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(run_id, needs_verification, conflicts, incomplete, evidence_coverage): what asks for attention in each run of a ``quality_summary``;
+    the coverage is the share of its evidence that is not waiting for verification, 0 without any."""
+    cover = evidence.groupBy("run_id").agg(js_round(F.avg((F.col("verification") != "Needs verification").cast("int")) * 100).alias("evidence_coverage"))
+    return summary.select("run_id", "needs_verification", "conflicts", "incomplete").join(cover, "run_id", "left").withColumn("evidence_coverage", F.coalesce("evidence_coverage", F.lit(0)))
+
+
+def outcome_texts(summary: DataFrame, covered: DataFrame) -> DataFrame:
+    """(run_id, outcomes, text): the counters of a ``quality_summary`` as (amount, label) pairs, and one sentence on the run; with
+    recovered fields (``coverage``) it tells coverage before and after."""
+    rows = summary.join(covered, "run_id")
+    pair = lambda c, label: F.struct(F.col(c).cast("string").alias("amount"), F.lit(label).alias("label"))
+    outcomes = F.array(pair("qualified", "Records qualified"), pair("needs_verification", "Needs verification"), pair("excluded", "Excluded"), pair("conflicts", "Conflicts detected"))
+    better = F.format_string("Targeted searches for missing fields raised coverage from %d%% to %d%% (%d fields recovered). Final: %d qualified, %d needs verification, %d excluded, %d conflicts.", "before", "after", "recovered", "qualified", "needs_verification", "excluded", "conflicts")
+    same = F.format_string("Collection ended with %d of %d records qualified (%d%% coverage). %d needs verification, %d excluded.", "qualified", "collected", "after", "needs_verification", "excluded")
+    return rows.select("run_id", outcomes.alias("outcomes"), F.when(F.col("recovered") > 0, better).otherwise(same).alias("text"))
+
+
+def newest(rows: DataFrame, at: str, key: str, n: int = 8) -> DataFrame:
+    """The n newest rows, ties by the larger key. Top-k, not a full sort."""
+    return rows.orderBy(F.desc(at), F.desc(key)).limit(n)
+
+
+def drill_down(evidence: DataFrame, records: DataFrame) -> DataFrame:
+    """Evidence with the name, company and status of its record; evidence of records that are gone has nulls."""
+    of = records.select("run_id", "record_id", "entity_name", "company", "status")
+    return evidence.join(of, ["run_id", "record_id"], "left")
 
 
 def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
@@ -121,6 +156,6 @@ def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
 
 
 def evidence_from_source(evidence: DataFrame, name: str) -> DataFrame:
-    """Evidence whose source starts with the first word of a name."""
-    words = name.split()
-    return evidence.where(F.startswith("source", F.lit(words[0] if words else "")))
+    """Evidence whose source starts with the first word of a name, without regard to case; "All" is every source."""
+    words = name.lower().split()
+    return evidence if name == "All" else evidence.where(F.startswith(F.lower("source"), F.lit(words[0] if words else "")))

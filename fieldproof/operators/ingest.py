@@ -11,6 +11,7 @@ from fieldproof.functions.urls import host
 from fieldproof.operators.holding import holders
 
 CONTAINERS = ["records", "candidates", "results", "items"]
+# Fixed value: a name that is the title of a list.
 LISTICLE = r"(?i)^(top|best|list of|\d+\s+best|\d+\s+top)"
 # Role phrases in request text, first match wins.
 ROLE_PHRASES = [
@@ -23,6 +24,7 @@ ROLE_PHRASES = [
     (r"java\s+(?:developer|engineer)", "Java Developer"),
     (r"python\s+(?:developer|engineer)", "Python Developer"),
 ]
+# Patterns of constraints stated in request text, and of one legal suffix of a name.
 SIZE_RX = r"(?:between\s+)?(\d+)\s*(?:[-–—]|to)\s*(\d+)\s*employees"
 STAFF_RX = r"(\d+)\s*(?:[-–—]|to)\s*(\d+)\s*(?:people|staff|headcount|emp)"
 PRICE_RX = r"(?:under|below|less than|within|up to|priced under)\s*(?:₹|inr|rs\.?)?\s*(\d+(?:\.\d+)?)\s*lakh"
@@ -74,13 +76,17 @@ def discover_sources(evidence: DataFrame) -> DataFrame:
 
 
 def candidate_name(entity: Column, entries: Column, required: Column, number: Column) -> Column:
-    """A name for a candidate: its own unless that is a list title, else the first attribute that names something, else the
-    first required field, else "Candidate Entity n". entries: array of struct(k, v) in order."""
+    """A name for a candidate. Where its own is empty or a list title, the first attribute that names something takes its place, and where
+    that is none or a list title again, the first required field; without any it is "Candidate Entity n". entries: array of struct(k, v) in order."""
+    poor = lambda c: (c == "") | c.rlike(LISTICLE)
     own = F.trim(F.coalesce(entity, F.lit("")))
-    real = lambda c: F.when(truthy(c) & ~c.rlike(LISTICLE), c)
-    named = F.filter(entries, lambda e: F.lower(e["k"]).rlike("name|company|brand|model") & truthy(e["v"]) & ~e["v"].isin("Not disclosed", "—"))
-    from_field = F.trim(F.try_element_at(F.filter(entries, lambda e: e["k"] == F.try_element_at(required, F.lit(1))), F.lit(1))["v"])
-    return F.coalesce(real(own), real(F.trim(F.try_element_at(named, F.lit(1))["v"])), F.nullif(from_field, F.lit("")), F.concat(F.lit("Candidate Entity "), number.cast("string")))
+    names = F.filter(entries, lambda e: F.lower(e["k"]).rlike("name|company|brand|model") & truthy(e["v"]) & ~e["v"].isin("Not disclosed", "—"))
+    named = F.trim(F.try_element_at(names, F.lit(1))["v"])
+    asked = F.filter(entries, lambda e: (e["k"] == F.try_element_at(required, F.lit(1))) & truthy(e["v"]))
+    from_field = F.trim(F.try_element_at(asked, F.lit(1))["v"])
+    best = F.when(poor(own) & named.isNotNull(), named).otherwise(own)
+    best = F.when(poor(best) & from_field.isNotNull(), from_field).otherwise(best)
+    return F.when(best == "", F.concat(F.lit("Candidate Entity "), number.cast("string"))).otherwise(best)
 
 
 def clean_name(name: Column) -> Column:
@@ -193,7 +199,14 @@ def relevant_fields(required: Column, hard_fields: Column) -> tuple[Column, Colu
     return F.filter(required, keep), F.filter(required, lambda f: ~keep(f))
 
 
+def natural(text: Column) -> Column:
+    """A key that puts text in order without regard to case, and digits in it by value: "item 9" before "Item 10"."""
+    plain = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    part = lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(plain(p)).cast("string"), 4, "0"), plain(p))).otherwise(p)
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(text), F.lit("([0-9]+|[^0-9]+)"), F.lit(1)), part), "")
+
+
 def sort_keys(col: Column) -> dict[str, Column]:
-    """Keys of a table's sort: missing last, then numbers, then text without regard to case and with digits in order of value."""
+    """Keys of a table's sort: missing last, then numbers, then text in natural order, which also decides between equal numbers."""
     num = parse_number(col, ranges=False)["num"]
-    return {"missing": is_missing(col).cast("int"), "is_text": num.isNull().cast("int"), "num": num, "text": F.lower(col)}
+    return {"missing": is_missing(col).cast("int"), "is_text": num.isNull().cast("int"), "num": num, "text": natural(col)}

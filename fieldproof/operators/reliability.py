@@ -192,6 +192,7 @@ def calibration(scored: DataFrame, label: Column, predicted: Column, score: Colu
 
 
 def numbered(records: DataFrame) -> DataFrame:
-    """Records with ids R-001, R-002, ... by ingest_seq within their run."""
-    n = F.row_number().over(Window.partitionBy("run_id").orderBy("ingest_seq", "record_id"))
-    return records.withColumn("display_id", F.concat(F.lit("R-"), F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))))
+    """Records with a number n by ingest_seq within their run, and ids R-001, R-002, ... from it."""
+    n = F.col("n")
+    rows = records.withColumn("n", F.row_number().over(Window.partitionBy("run_id").orderBy("ingest_seq", "record_id")))
+    return rows.withColumn("display_id", F.concat(F.lit("R-"), F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))))

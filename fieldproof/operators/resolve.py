@@ -96,10 +96,19 @@ def clusters(records: DataFrame) -> DataFrame:
     return assigned.join(found.hint("merge"), ["run_id", "sig"]).select("run_id", "record_id", "ingest_seq", F.col("leader").alias("cluster"))
 
 
-def merge_log(clustered: DataFrame) -> DataFrame:
-    """(run_id, target_record_id, merged_record_id): every record that is not the first of its cluster."""
+def merge_log(clustered: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """(run_id, target_record_id, merged_record_id, reason): every record that is not the first of its cluster; a cluster holds strong
+    matches only. With ``records`` also the entity_name of the merged one."""
     first = clustered.where("ingest_seq = cluster").select("run_id", "cluster", F.col("record_id").alias("target_record_id"))
-    return clustered.where("ingest_seq <> cluster").join(first, ["run_id", "cluster"]).select("run_id", "target_record_id", F.col("record_id").alias("merged_record_id"))
+    out = clustered.where("ingest_seq <> cluster").join(first, ["run_id", "cluster"]).select("run_id", "target_record_id", F.col("record_id").alias("merged_record_id"), F.lit("STRONG_IDENTITY_MATCH").alias("reason"))
+    return out if records is None else out.join(records.select("run_id", F.col("record_id").alias("merged_record_id"), "entity_name"), ["run_id", "merged_record_id"])
+
+
+def resolution_summary(clustered: DataFrame) -> DataFrame:
+    """(run_id, collected, unique, duplicates)."""
+    n = F.count("*")
+    unique = F.count_if(F.col("ingest_seq") == F.col("cluster"))
+    return clustered.groupBy("run_id").agg(n.alias("collected"), unique.alias("unique"), (n - unique).alias("duplicates"))
 
 
 def merge_evidence(clustered: DataFrame, evidence: DataFrame) -> DataFrame:

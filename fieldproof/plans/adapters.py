@@ -11,6 +11,7 @@ EXPERIENCE = ["3-4 years", "8-10 years", "1-3 years", "9.5-15 years", "5 years",
 SALARY = ["₹2 lakh", "₹1.5 Lakh", "₹5 Cr", "₹2,00,000", "200000", "Not disclosed", "1,000–5,000", "12 LPA"]
 FOUNDED = ["2018-05-15", "founded in 2015", "not sure", "2021-03-01", "Unknown", "since 1999"]
 SUFFIXES = ["", " Ltd", " Inc.", " Technologies Pvt Ltd"]
+GENERIC_NAMES = ["Top Companies", "Software Companies Ltd", "N/A", "X", "Jobs!"]
 FIELDS = ["Brand", "Type", "Price", "Size", "Role", "Location", "Experience", "Founded", "Salary"]
 REQUIRED = ["Brand", "Price", "Role", "Location", "Experience"]
 AS_OF = "2001-12-01"
@@ -130,7 +131,8 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One candidate for each lineitem, for entity resolution: (run_id, record_id, ingest_seq, entity_name, url, role, location, confidence, Size, Type)."""
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     o, n, s = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")
-    name = F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string"), pick(SUFFIXES, o))
+    own = F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string"), pick(SUFFIXES, o))
+    name = F.when(F.pmod(F.col("l_partkey"), F.lit(101)) == 7, pick(GENERIC_NAMES, o)).otherwise(own)
     url = F.when(F.pmod(o, F.lit(10)) < 7, F.lit("https://www.linkedin.com/company/x")).otherwise(F.concat(F.lit("https://careers.supplier"), F.pmod(s, F.lit(3)).cast("string"), F.lit(".com/jobs")))
     off = F.pmod(o * 7 + n, F.lit(97)) == 0
     key = ((o * 10 + n) * 100_000 + s) * 1_000_000 + F.col("l_partkey")
@@ -183,3 +185,50 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit('{"records": ['), F.col("doc_id").cast("string")))
     )
     return docs.select("doc_id", text.alias("answer"))
+
+
+RAW_REQUIRED = ["Brand", "Company Size", "Price", "Role", "Notes"]
+RAW_ENTITY = ["", "Top 10 best rings", None, "  ", "best of all", "plain", "plain"]
+
+
+def raw_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One raw candidate for each part: names missing or list titles, attributes under several spellings, citations of some."""
+    k = F.col("p_partkey")
+    entity = pick(RAW_ENTITY, k)
+    price = F.round("p_retailprice").cast("long").cast("string")
+    m = lambda *kv: F.create_map(*(F.lit(x) if isinstance(x, str) else x for x in kv))
+    attributes = (
+        F.when(F.pmod(k, F.lit(5)) == 0, m("Brand Name", "p_brand_", "company size", F.col("p_size").cast("string"), "Price", "Not disclosed"))
+        .when(F.pmod(k, F.lit(5)) == 1, m("Model", F.col("p_type"), "PRICE", price, "Brand", ""))
+        .when(F.pmod(k, F.lit(5)) == 2, m("Company", F.lit("Not disclosed"), "Brand", F.col("p_brand"), "Role", "—"))
+        .when(F.pmod(k, F.lit(5)) == 3, m("Colour", "red"))
+    )
+    cite = lambda f, v, s, u, t: F.struct(f.alias("field"), v.alias("value"), s.alias("source"), u.alias("url"), t.alias("snippet"))
+    none = F.lit(None).cast("string")
+    evidence = (
+        F.when(F.pmod(k, F.lit(4)) == 0, F.array(cite(F.lit("Price"), price, none, none, none), cite(none, none, F.lit("Shop"), F.lit("https://www.shop.example.org/x"), F.lit("text"))))
+        .when(F.pmod(k, F.lit(4)) == 1, F.array(cite(F.lit("Size"), F.lit("Not disclosed"), none, F.lit("https://maker.example.com/p"), none)))
+        .otherwise(F.array().cast("array<struct<field:string,value:string,source:string,url:string,snippet:string>>"))
+    )
+    url = F.when(F.pmod(k, F.lit(3)) == 0, F.concat(F.lit("https://www.site"), F.pmod(k, F.lit(9)).cast("string"), F.lit(".com/p/"), k.cast("string")))
+    return table(spark, sf_dir, "part").select(
+        run_of(k).alias("run_id"), k.alias("record_id"), k.alias("ingest_seq"), F.when(entity == "plain", F.col("p_name")).otherwise(entity).alias("entityName"), F.when(F.pmod(k, F.lit(14)) == 2, F.concat(F.lit(" "), F.col("p_name"))).alias("name"),
+        none.alias("company"), F.when(F.pmod(k, F.lit(28)) == 9, F.col("p_brand")).alias("brand"), F.when(F.pmod(k, F.lit(2)) == 0, pick(TITLES, k)).alias("role"), none.alias("location"), none.alias("experience"), F.lit("1 lakh").alias("salary"),
+        F.when(F.pmod(k, F.lit(6)) == 3, F.lit("200")).alias("size"), price.alias("price"), url.alias("sourceUrl"), F.when(F.pmod(k, F.lit(8)) == 4, F.lit("Named")).alias("sourceName"), attributes.alias("attributes"), evidence.alias("evidence"),
+    )
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One nested store for each request: its runs (orders) with their records (lines) and their citations."""
+    line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    s = lambda c: c.cast("string")
+    cite = F.struct(F.lit("Price").alias("field"), s(F.round("l_extendedprice").cast("long")).alias("value"), F.concat(F.lit("Supplier "), s(F.col("l_suppkey"))).alias("source"), F.lit("Confirmed").alias("verification"))
+    clash = F.struct(F.lit("Price").alias("field"), F.array(F.struct(F.lit("a").alias("source"), F.lit("1").alias("value")), F.struct(F.lit("b").alias("source"), F.lit("2").alias("value"))).alias("values"))
+    record = F.struct(
+        F.col("l_linenumber").alias("_n"), F.col("l_suppkey").alias("_s"), F.col("l_partkey").alias("_p"), F.concat_ws("-", *(s(F.col(c)) for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"))).alias("id"), F.concat(F.lit("Part "), s(F.col("l_partkey"))).alias("entityName"),
+        F.create_map(F.lit("Mode"), F.col("l_returnflag")).alias("attributes"), F.lit("Review").alias("status"),
+        F.when(F.col("l_returnflag") != "A", F.array(cite, cite)).otherwise(F.array(cite)).alias("evidence"), F.when(F.col("l_returnflag") == "R", F.array(clash)).otherwise(F.array().cast("array<struct<field:string,values:array<struct<source:string,value:string>>>>")).alias("conflicts"),
+    )
+    runs = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(record)).alias("records"))
+    of = orders.join(runs, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", F.struct(s(F.col("o_orderkey")).alias("id"), s(F.col("o_custkey")).alias("requestId"), F.col("o_orderkey").cast("int").alias("runNumber"), F.transform("records", lambda r: r.dropFields("_n", "_s", "_p")).alias("records")).alias("run"))
+    return of.groupBy("o_custkey").agg(F.collect_list("run").alias("runs")).select(F.array(F.struct(s(F.col("o_custkey")).alias("id"), F.concat(F.lit("Request "), s(F.col("o_custkey"))).alias("name"))).alias("requests"), "runs")

@@ -78,33 +78,33 @@ ev AS (SELECT {_RUN.format("record_id")} AS run_id, record_id, o * 10000000 + n
   CASE l_returnflag WHEN 'N' THEN 'Confirmed' WHEN 'A' THEN 'Partially verified' ELSE 'Needs verification' END AS verification FROM ev0)"""
 CLASH = f"clash AS (SELECT record_id, field FROM ev WHERE NOT {missing('value')} GROUP BY record_id, field HAVING min({norm('value')}) <> max({norm('value')}))"
 _OFF = "(l_orderkey * 7 + l_linenumber) % 97 = 0"
-CAND = f"""cand AS (SELECT {_RUN.format("l_orderkey // 32")} AS run_id, ((l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey) * 1000000 + l_partkey AS record_id, p_name || ' ' || p_partkey || {pick(A.SUFFIXES, 'l_orderkey')} AS entity_name,
+CAND = f"""cand AS (SELECT {_RUN.format("l_orderkey // 32")} AS run_id, ((l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey) * 1000000 + l_partkey AS record_id, CASE WHEN l_partkey % 101 = 7 THEN {pick(A.GENERIC_NAMES, 'l_orderkey')} ELSE p_name || ' ' || p_partkey || {pick(A.SUFFIXES, 'l_orderkey')} END AS entity_name,
   CASE WHEN l_orderkey % 10 < 7 THEN NULL ELSE 'supplier' || (l_suppkey % 3) || '.com' END AS domain, {pick([A.TITLES[0], A.TITLES[1], A.TITLES[2], None], 'l_orderkey // 2')} AS title,
   lower({pick(['Bangalore', 'Chennai', None], 'l_linenumber')}) AS place, CAST(round(l_discount * 100) AS INT) AS confidence,
   CASE WHEN {_OFF} THEN p_size || '0' ELSE CAST(p_size AS VARCHAR) END AS size_, CASE WHEN {_OFF} THEN p_type || ' X' ELSE p_type END AS type_,
   CASE WHEN l_orderkey % 10 < 7 THEN 'https://www.linkedin.com/company/x' ELSE 'https://careers.supplier' || (l_suppkey % 3) || '.com/jobs' END AS url
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 _LEGAL = r"\b(" + "|".join(R.LEGAL_WORDS) + r")\b\.?"
-SIG = f"""named AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(lower(entity_name), {lit(_LEGAL)}, '', 'g'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM cand),
-sigs AS (SELECT run_id, name, domain, title, place, min(record_id) AS sig FROM named GROUP BY ALL),
-assigned AS (SELECT record_id, sig FROM named n JOIN sigs s ON n.run_id = s.run_id AND n.name = s.name AND n.domain IS NOT DISTINCT FROM s.domain AND n.title IS NOT DISTINCT FROM s.title AND n.place IS NOT DISTINCT FROM s.place)"""
-# the titles of the candidates: React is another family than Java Backend, both of which match each other but for seniority, which the junior one leaves open
-_CLASHING = "coalesce((a.title = 'React Frontend Developer') <> (b.title = 'React Frontend Developer') OR (a.title = 'Senior Java Backend Engineer' AND b.title IN ('Java Backend Developer') AND false), false)"
-PAIRS = f"""pairs AS (SELECT a.sig AS a, b.sig AS b, CASE WHEN a.domain = b.domain AND {_CLASHING} THEN 'DIFFERENT_POSITIONS_AT_SAME_COMPANY' WHEN a.domain <> b.domain THEN 'DOMAIN_MISMATCH'
-  WHEN {_CLASHING} THEN 'DISTINCT_ROLES_SAME_COMPANY_NAME' WHEN NOT contains(a.place, b.place) AND NOT contains(b.place, a.place) THEN 'AMBIGUOUS_LOCATION' ELSE 'STRONG_IDENTITY_MATCH' END AS reason
-  FROM sigs a JOIN sigs b ON a.run_id = b.run_id AND a.name = b.name AND a.sig < b.sig)"""
+_GENERIC = f"(name IN ({', '.join(lit(g) for g in R.GENERIC)}) OR length(name) < 2)"
+_NAME = f"trim(regexp_replace(regexp_replace(regexp_replace(lower(entity_name), {lit(_LEGAL)}, '', 'g'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+SIG = f"""named AS (SELECT *, CASE WHEN {_GENERIC} THEN record_id END AS own FROM (SELECT *, {_NAME} AS name FROM cand)),
+sigs AS (SELECT run_id, name, domain, title, place, own, min(record_id) AS sig FROM named GROUP BY ALL),
+assigned AS (SELECT record_id, sig FROM named n JOIN sigs s ON n.run_id = s.run_id AND n.name = s.name AND n.domain IS NOT DISTINCT FROM s.domain AND n.title IS NOT DISTINCT FROM s.title AND n.place IS NOT DISTINCT FROM s.place AND n.own IS NOT DISTINCT FROM s.own)"""
+PAIRS = """pairs AS (SELECT *, CASE WHEN a_domain = b_domain AND clash THEN 'DIFFERENT_POSITIONS_AT_SAME_COMPANY' WHEN a_domain <> b_domain THEN 'DOMAIN_MISMATCH'
+  WHEN clash THEN 'DISTINCT_ROLES_SAME_COMPANY_NAME' WHEN NOT contains(a_place, b_place) AND NOT contains(b_place, a_place) THEN 'AMBIGUOUS_LOCATION' ELSE 'STRONG_IDENTITY_MATCH' END AS reason
+  FROM (SELECT a.sig AS a, b.sig AS b, a.domain AS a_domain, b.domain AS b_domain, a.place AS a_place, b.place AS b_place, coalesce(t.clash, false) AS clash
+    FROM sigs a JOIN sigs b ON a.run_id = b.run_id AND a.name = b.name AND a.sig < b.sig AND a.own IS NULL AND b.own IS NULL LEFT JOIN tclash t ON t.a = a.title AND t.b = b.title))"""
 # leaders in signature order within a name: a walk that takes each next signature and keeps the list of leaders
 WALK = """strong AS (SELECT a, b FROM pairs WHERE reason = 'STRONG_IDENTITY_MATCH'), near AS (SELECT b AS sig, list(a ORDER BY a) AS before FROM strong GROUP BY b),
-ordered AS (SELECT run_id, name, sig, coalesce(before, []) AS before, row_number() OVER (PARTITION BY run_id, name ORDER BY sig) AS i FROM sigs LEFT JOIN near USING (sig)),
+ordered AS (SELECT run_id, name || coalesce(CAST(own AS VARCHAR), '') AS name, sig, coalesce(before, []) AS before, row_number() OVER (PARTITION BY run_id, name, own ORDER BY sig) AS i FROM sigs LEFT JOIN near USING (sig)),
 walk AS (SELECT run_id, name, i, sig, [sig] AS leaders, sig AS leader FROM ordered WHERE i = 1
   UNION ALL SELECT o.run_id, o.name, o.i, o.sig, CASE WHEN len(list_intersect(o.before, w.leaders)) = 0 THEN list_append(w.leaders, o.sig) ELSE w.leaders END,
     CASE WHEN len(list_intersect(o.before, w.leaders)) = 0 THEN o.sig ELSE list_min(list_intersect(o.before, w.leaders)) END
   FROM walk w JOIN ordered o ON o.run_id = w.run_id AND o.name = w.name AND o.i = w.i + 1),
 clustered AS (SELECT record_id, w.leader AS cluster FROM assigned JOIN walk w USING (sig))"""
-CLUSTERED = "WITH RECURSIVE " + ", ".join([CAND, SIG, PAIRS, WALK]) + " "
 RUNS = """per AS (SELECT l_orderkey, count(*) AS collected, count(DISTINCT l_partkey) AS "unique", count(*) FILTER (l_returnflag = 'N') AS validated, count(*) FILTER (l_returnflag = 'R') AS conflicts, count(*) FILTER (l_returnflag = 'A') AS incomplete FROM lineitem GROUP BY l_orderkey),
 runs AS (SELECT o_custkey AS request_id, o_orderkey AS run_id, CAST(row_number AS INT) AS run_number, collected, "unique", validated, conflicts, incomplete FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS row_number FROM orders) JOIN per ON o_orderkey = l_orderkey)"""
-REQ = f"""req AS (SELECT c_custkey AS request_id, c_name AS name, {pick(A.PROMPTS, 'c_custkey')} AS prompt, CASE WHEN c_custkey % 3 = 0 THEN first END AS active_run_id FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS first FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey)"""
+REQ = f"""req AS (SELECT c_custkey AS request_id, c_name AS name, {pick(A.PROMPTS, 'c_custkey')} AS prompt, CASE WHEN c_custkey % 7 = 0 THEN 'running' ELSE 'completed' END AS status, CASE WHEN c_custkey % 3 = 0 THEN first END AS active_run_id FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS first FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey)"""
 COMPARE = f"""cov AS (SELECT *, {js_round('validated * 100.0 / "unique"')} AS coverage FROM runs),
 cmp AS (SELECT request_id, run_id, run_number, coverage, "unique" - lag("unique", 1, 0) OVER w AS unique_delta, validated - lag(validated, 1, 0) OVER w AS validated_delta, conflicts - lag(conflicts, 1, 0) OVER w AS conflicts_delta, coverage - lag(coverage, 1, 70) OVER w AS coverage_delta FROM cov WINDOW w AS (PARTITION BY request_id ORDER BY run_number))"""
 
@@ -152,6 +152,14 @@ def title_verdict(r: str, a: str) -> tuple[str, str]:
     return result, reason
 
 
+def title_clashes() -> str:
+    """tclash(a, b, clash): which titles of the candidates do not go together."""
+    return titles_cte("SELECT DISTINCT title AS t FROM cand WHERE title IS NOT NULL") + f", tclash AS (SELECT r.t AS a, x.t AS b, {title_verdict('r', 'x')[0]} = 'NO_MATCH' AS clash FROM title r CROSS JOIN title x)"
+
+
+CLUSTERED = "WITH RECURSIVE " + ", ".join([CAND, SIG, title_clashes(), PAIRS, WALK]) + " "
+
+
 def places_cte(source: str) -> str:
     low = "lower(trim(t))"
     city = first(low, [(P.city_pattern(s), c) for c, _, s in P.CITIES])
@@ -190,7 +198,13 @@ def numbers_cte(source: str, name: str = "num") -> str:
   CASE WHEN NOT {missing('c')} AND {is_rng} THEN lo END AS lo, CASE WHEN NOT {missing('c')} AND {is_rng} THEN hi END AS hi FROM (SELECT t, c, {rng(1)} AS lo, {rng(2)} AS hi FROM (SELECT t, {clean} AS c FROM ({source}))))"""
 
 
-def eval_sql(request: str) -> str:
+def natural(e: str) -> str:
+    """Natural order: digits by value."""
+    plain = "regexp_replace(p, '^0+(.)', '\\1')"
+    return f"array_to_string(list_transform(regexp_extract_all(lower({e}), '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(CAST(length({plain}) AS VARCHAR), 4, '0') || {plain} ELSE p END), '')"
+
+
+def eval_sql(request: str, rec: str = REC, optional: str = "") -> str:
     """CTEs up to evals(record_id, c_seq, field, operator, expected, actual, normalized_value, result, reason)."""
     tr, tx = title_verdict("r", "a")
     pr, px = place_verdict("pr", "pa")
@@ -239,7 +253,7 @@ def eval_sql(request: str) -> str:
     normal = f"CASE WHEN is_missing THEN NULL WHEN ({numeric} OR operator = 'within') AND target IS NOT NULL THEN n WHEN operator IN ('before', 'after') AND day IS NOT NULL AND want IS NOT NULL THEN CAST(epoch_ms(day) AS DOUBLE) END"
     return ", ".join(
         [
-            REC, FIELDS_ALL, CON,
+            rec, FIELDS_ALL, CON,
             f"""raw AS (SELECT r.record_id, c.c_seq, c.field, c.operator, c.value, c.value_to, c.unit, coalesce(f.value, '') AS actual FROM rec r CROSS JOIN con c LEFT JOIN fields_all f ON f.record_id = r.record_id AND f.field = c.field WHERE c.hard AND c.request_id = '{request}')""",
             titles_cte("SELECT DISTINCT actual AS t FROM raw WHERE field = 'Role' UNION SELECT DISTINCT value FROM raw WHERE field = 'Role'"),
             places_cte("SELECT DISTINCT actual AS t FROM raw WHERE field = 'Location' UNION SELECT DISTINCT value FROM raw WHERE field = 'Location'"),
@@ -253,17 +267,21 @@ def eval_sql(request: str) -> str:
     )
 
 
-_NEED = [f for f in A.REQUIRED if f != "Experience"]
-VERDICTS = f"""comp AS (SELECT record_id, list_filter([{', '.join(f"CASE WHEN {missing(f.lower())} THEN {lit(f)} END" for f in _NEED)}], lambda x: x IS NOT NULL) AS missing_fields FROM rec),
+def verdicts_sql(need: list[str]) -> str:
+    return f"""comp AS (SELECT record_id, list_filter([{', '.join(f"CASE WHEN {missing(f.lower())} THEN {lit(f)} END" for f in need)}], lambda x: x IS NOT NULL) AS missing_fields FROM rec),
 tested AS (SELECT record_id, bool_or(result = 'FAIL') AS has_fail, string_agg(replace(field, '_', ' ') || ': ' || actual || ' does not satisfy ' || replace(operator, '_', ' ') || ' ' || expected, '; ' ORDER BY c_seq) FILTER (result = 'FAIL') AS failed,
   coalesce(list(field ORDER BY c_seq) FILTER (result = 'UNKNOWN'), []) AS unknown FROM evals GROUP BY record_id),
 clashing AS (SELECT record_id, string_agg(DISTINCT field, ', ' ORDER BY field) AS c FROM clash GROUP BY record_id), cited AS (SELECT record_id, bool_or(verification = 'Confirmed') AS confirmed FROM ev GROUP BY record_id),
 lacks AS (SELECT *, list_concat(unknown, list_filter(missing_fields, lambda x: NOT list_contains(unknown, x))) AS lack FROM rec JOIN comp USING (record_id) JOIN tested USING (record_id) LEFT JOIN clashing USING (record_id) LEFT JOIN cited USING (record_id)),
-verdicts AS (SELECT record_id, missing_fields, {js_round(f'({len(_NEED)} - len(missing_fields)) * 100.0 / {len(_NEED)}')} AS completeness,
+verdicts AS (SELECT record_id, missing_fields, {js_round(f'({len(need)} - len(missing_fields)) * 100.0 / {len(need)}')} AS completeness,
   CASE WHEN has_fail THEN 'Excluded' WHEN c IS NOT NULL THEN 'Conflict' WHEN len(lack) > 0 OR NOT coalesce(confirmed, true) THEN 'Needs verification' ELSE 'Qualified' END AS status,
   CASE WHEN has_fail THEN failed WHEN c IS NOT NULL THEN 'Conflicting values across sources for: ' || c || '.' WHEN len(lack) > 0 THEN 'Missing or unverifiable fields: ' || array_to_string(lack, ', ') || '. These fields could not be confirmed from collected sources.'
     WHEN NOT coalesce(confirmed, true) THEN 'All constraints satisfied but evidence citations could not be fully confirmed.' ELSE 'All qualification constraints satisfied with verified source evidence.' END AS reason FROM lacks)"""
 
+
+VERDICTS = verdicts_sql([f for f in A.REQUIRED if f != "Experience"])
+SUMMARY = f"SELECT run_id, count(*) AS collected, count(*) FILTER (status = 'Qualified') AS qualified, count(*) FILTER (status = 'Needs verification') AS needs_verification, count(*) FILTER (status = 'Conflict') AS conflicts, count(*) FILTER (status = 'Excluded') AS excluded, count(*) FILTER (len(missing_fields) > 0) AS incomplete FROM verdicts JOIN (SELECT run_id, record_id FROM rec) USING (record_id) GROUP BY run_id"
+
 # ---- sources ----------------------------------------------------------------------------------
 HOST = "regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\\.', '')"
 
@@ -357,9 +375,11 @@ SQL: dict[str, str] = {
     "constraint_ops": with_(eval_sql("ALL")) + "SELECT * FROM evals",
     "role_match": with_(REC, _ROLE_PAIRS, titles_cte("SELECT t FROM titles_")) + f"SELECT r.t AS required, a.t AS actual, a.fam AS family, array_to_string(a.te, ',') AS technologies, a.sen AS seniority, {title_verdict('r', 'a')[0]} AS result, {title_verdict('r', 'a')[1]} AS reason, records FROM title r CROSS JOIN title a JOIN titles_ n ON n.t = a.t",
     "location_match": with_(REC, "wanted AS (SELECT unnest(['Bengaluru', 'India', 'Remote', 'Karnataka', 'Toronto', 'Pune office']) AS t)", places_cte("SELECT DISTINCT location AS t FROM rec UNION SELECT t FROM wanted"), "n AS (SELECT location AS t, count(*) AS records FROM rec GROUP BY location)") + f"SELECT r.t AS required, a.t AS actual, a.city, a.state, a.country, a.remote, {place_verdict('r', 'a')[0]} AS result, {place_verdict('r', 'a')[1]} AS reason, records FROM wanted w JOIN place r ON r.t = w.t CROSS JOIN n JOIN place a ON a.t = n.t",
-    "entity_pairs": with_(CAND, SIG, PAIRS) + "SELECT a, b, CASE reason WHEN 'AMBIGUOUS_LOCATION' THEN 'AMBIGUOUS' WHEN 'STRONG_IDENTITY_MATCH' THEN 'STRONG_MATCH' ELSE 'DISTINCT' END AS decision, reason FROM pairs",
+    "entity_pairs": with_(CAND, SIG, title_clashes(), PAIRS) + "SELECT a, b, CASE reason WHEN 'AMBIGUOUS_LOCATION' THEN 'AMBIGUOUS' WHEN 'STRONG_IDENTITY_MATCH' THEN 'STRONG_MATCH' ELSE 'DISTINCT' END AS decision, reason FROM pairs",
     "entity_clusters": CLUSTERED + "SELECT record_id, cluster FROM clustered",
-    "merge_log": CLUSTERED + "SELECT cluster AS target_record_id, record_id AS merged_record_id FROM clustered WHERE record_id <> cluster",
+    "merge_log": CLUSTERED + "SELECT cluster AS target_record_id, record_id AS merged_record_id, 'STRONG_IDENTITY_MATCH' AS reason, entity_name FROM clustered JOIN cand USING (record_id) WHERE record_id <> cluster",
+    "resolution_summary": CLUSTERED + "SELECT run_id, count(*) AS collected, count(DISTINCT cluster) AS \"unique\", count(*) - count(DISTINCT cluster) AS duplicates FROM clustered JOIN cand USING (record_id) GROUP BY run_id",
+    "generic_names": with_(CAND) + f"SELECT entity_name, candidates, name, {_GENERIC} AS generic FROM (SELECT entity_name, count(*) AS candidates, {_NAME} AS name FROM cand GROUP BY entity_name)",
     "merge_records": CLUSTERED + "SELECT cluster, cluster AS record_id, arg_max(record_id, (confidence, -record_id)) AS base_record_id, count(*) AS size FROM clustered JOIN cand USING (record_id) GROUP BY cluster",
     "merge_attributes": CLUSTERED + "SELECT cluster, 'Size' AS field, arg_min(size_, record_id) AS value FROM clustered JOIN cand USING (record_id) GROUP BY cluster UNION ALL SELECT cluster, 'Type', arg_min(type_, record_id) FROM clustered JOIN cand USING (record_id) GROUP BY cluster",
     "conflicts": CLUSTERED + f", vals AS (SELECT cluster, record_id, 'Size' AS field, size_ AS value FROM clustered JOIN cand USING (record_id) UNION ALL SELECT cluster, record_id, 'Type', type_ FROM clustered JOIN cand USING (record_id)), each_ AS (SELECT cluster, field, {norm('value')} AS k, min(record_id) AS pos_, arg_min(value, record_id) AS value FROM vals GROUP BY ALL) SELECT cluster, field, count(*) AS n_values, string_agg(value, '|' ORDER BY pos_) AS \"values\" FROM each_ GROUP BY cluster, field HAVING count(*) > 1",
@@ -388,10 +408,10 @@ SQL: dict[str, str] = {
     "latest_run": with_(RUNS, REQ) + "SELECT request_id, active_run_id, run_id, run_number FROM (SELECT request_id, active_run_id, run_id, run_number, row_number() OVER (PARTITION BY request_id ORDER BY coalesce(run_id = active_run_id, false) DESC, run_number DESC) AS i FROM req LEFT JOIN runs USING (request_id)) WHERE i = 1",
     "request_history": with_(RUNS, COMPARE) + "SELECT request_id, run_id, run_number, row_number() OVER (PARTITION BY request_id ORDER BY run_number DESC) AS position, CASE WHEN run_number = 1 THEN 'First run' WHEN validated_delta > 0 THEN '+' || validated_delta || ' validated' WHEN validated_delta < 0 THEN validated_delta || ' validated' ELSE 'No change' END AS change FROM cmp",
     "next_run_number": with_(RUNS) + "SELECT request_id, max(run_number) + 1 AS run_number, 'RUN-' || request_id || '-v' || (max(run_number) + 1) AS run_id FROM runs GROUP BY request_id",
-    "dataset_page": with_(REC) + "SELECT record_id, entity_name, salary FROM rec WHERE contains(lower(concat_ws(' ', entity_name, brand, type, price, size, role, location, experience, founded, salary)), 'ring') ORDER BY salary = 'Not disclosed', CASE salary WHEN '₹2 lakh' THEN 200000 WHEN '₹1.5 Lakh' THEN 150000 WHEN '₹5 Cr' THEN 50000000 WHEN '₹2,00,000' THEN 200000 WHEN '200000' THEN 200000 WHEN '1,000–5,000' THEN 1000 WHEN '12 LPA' THEN 12 END DESC NULLS LAST, lower(salary) DESC, record_id LIMIT 10 OFFSET 20",
+    "dataset_page": with_(REC, numbers_cte("SELECT DISTINCT salary AS t FROM rec")) + f"SELECT record_id, entity_name, salary FROM rec JOIN num ON t = salary WHERE contains(lower(concat_ws(' ', entity_name, brand, type, price, size, role, location, experience, founded, salary)), 'ring') ORDER BY {missing('salary')}, n IS NULL, n DESC, {natural('salary')} DESC, record_id LIMIT 10 OFFSET 20",
     "search": with_(REC, REQ) + "SELECT 'request' AS kind, CAST(request_id AS VARCHAR) AS id, name AS title FROM req WHERE contains(lower(name || ' ' || request_id || ' ' || prompt), 'react') UNION ALL SELECT * FROM (SELECT 'record', run_id || '/' || record_id, entity_name FROM rec WHERE contains(lower(concat_ws(' ', entity_name, role, brand, type, location)), 'react') ORDER BY run_id, record_id LIMIT 8)",
     "notifications": with_(RUNS) + "SELECT run_id || '-' || kind AS id, run_id, kind, amount FROM (SELECT run_id, 'completed' AS kind, collected AS amount FROM runs UNION ALL SELECT run_id, 'conflicts', conflicts FROM runs WHERE conflicts > 0 UNION ALL SELECT run_id, 'incomplete', incomplete FROM runs WHERE incomplete > 0) WHERE NOT (kind = 'completed' AND run_id % 4 = 0)",
-    "overview": with_(RUNS, EV) + f"SELECT * FROM (SELECT count(*) AS runs, count(DISTINCT request_id) AS requests, CAST(sum(collected) AS BIGINT) AS collected, {js_round('sum(validated) * 100.0 / sum(' + chr(34) + 'unique' + chr(34) + ')')} AS quality, count(*) FILTER (conflicts > 0) AS runs_with_conflicts FROM runs), (SELECT count(DISTINCT source) AS sources, {js_round('count(*) FILTER (verification <> ' + lit('Needs verification') + ') * 100.0 / count(*)')} AS evidence_coverage FROM ev)",
+    "overview": with_(RUNS, EV, REQ) + f"SELECT *, (SELECT count(*) FILTER (status = 'running') FROM req) AS running FROM (SELECT count(*) AS runs, count(DISTINCT request_id) AS requests, CAST(sum(collected) AS BIGINT) AS collected, {js_round('sum(validated) * 100.0 / sum(' + chr(34) + 'unique' + chr(34) + ')')} AS quality, count(*) FILTER (conflicts > 0) AS runs_with_conflicts FROM runs), (SELECT count(DISTINCT source) AS sources, {js_round('count(*) FILTER (verification <> ' + lit('Needs verification') + ') * 100.0 / count(*)')} AS evidence_coverage FROM ev)",
     "calibration": "WITH s AS (SELECT quality = 1 AND toxic = 0 AS label, floor(least(100.0, n_chars / 25) + 0.5) AS score FROM labels JOIN documents USING (doc_id)), n AS (SELECT count(*) FILTER (label AND score >= 50) AS tp, count(*) FILTER (NOT label AND score >= 50) AS fp, count(*) FILTER (label AND score < 50) AS fn, count(*) FILTER (NOT label AND score < 50) AS tn, round(count(*) FILTER (label AND score >= 80) / nullif(count(*) FILTER (score >= 80), 0), 6) AS high_accuracy, round(count(*) FILTER (NOT label AND score < 50) / nullif(count(*) FILTER (score < 50), 0), 6) AS low_accuracy, count(*) FILTER (score < 35) AS band_0_34, count(*) FILTER (score >= 35 AND score < 60) AS band_35_59, count(*) FILTER (score >= 60 AND score < 80) AS band_60_79, count(*) FILTER (score >= 80) AS band_80_100 FROM s) SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(fp / nullif(fp + tn, 0), 6) AS false_qualification_rate, round(fn / nullif(tp + fn, 0), 6) AS false_exclusion_rate FROM n",
     "upsert": "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment ELSE 'now' END AS created_at FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0",
     "orphans": "SELECT l_orderkey AS k, count(*) AS children FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0) GROUP BY l_orderkey",

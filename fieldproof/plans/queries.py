@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldproof.functions.places import match_places, parse_place
 from fieldproof.functions.text import is_missing, js_round
 from fieldproof.functions.titles import match_titles, parse_title
-from fieldproof.functions.urls import RESOLVER_SECOND_LEVEL, SCORING_SECOND_LEVEL, root_domain, safe_link, validate_url
+from fieldproof.functions.urls import RESOLVER_SECOND_LEVEL, SCORING_SECOND_LEVEL, host, root_domain, safe_link, validate_url
 from fieldproof.operators import constraints as C
-from fieldproof.operators import explore, improve, ingest, reliability, resolve
+from fieldproof.operators import canonical, explore, improve, ingest, reliability, resolve
 from fieldproof.plans import adapters as A
 from fieldproof.plans import oracle
 from fieldproof.sources import tables
@@ -81,7 +82,19 @@ def entity_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def merge_log(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.merge_log(tables.stored(resolve.clusters(A.candidates(spark, d)))).select("target_record_id", "merged_record_id")
+    cand = A.candidates(spark, d)
+    return resolve.merge_log(tables.stored(resolve.clusters(cand)), cand).drop("run_id")
+
+
+@query
+def resolution_summary(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.resolution_summary(resolve.clusters(A.candidates(spark, d)))
+
+
+@query
+def generic_names(spark: SparkSession, d: str) -> DataFrame:
+    names = A.candidates(spark, d).groupBy("entity_name").agg(F.count("*").alias("candidates")).withColumn("name", resolve.norm_entity_name(F.col("entity_name")))
+    return names.withColumn("generic", resolve.is_generic(F.col("name")))
 
 
 @query
@@ -299,7 +312,12 @@ def notifications(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def overview(spark: SparkSession, d: str) -> DataFrame:
-    return explore.overview(A.runs(spark, d), A.evidence(spark, d))
+    return explore.overview(A.runs(spark, d), A.evidence(spark, d), A.requests(spark, d))
+
+
+@query
+def attention(spark: SparkSession, d: str) -> DataFrame:
+    return explore.attention(explore.quality_summary(A.records(spark, d), _verdicts(spark, d)), A.evidence(spark, d))
 
 
 @query
@@ -336,6 +354,176 @@ def stage_counts(spark: SparkSession, d: str) -> DataFrame:
     return explore.stage_counts({"1 records": A.records(spark, d), "2 fields": A.fields(spark, d), "3 evidence": ev, "4 conflicts": A.clashes(ev)})
 
 
+def _filled(spark: SparkSession, d: str) -> DataFrame:
+    """The records after a search that found a size for those without experience."""
+    rec = A.records(spark, d)
+    return rec.withColumn("attributes", F.when(F.try_element_at("attributes", F.lit("Experience")) == "—", F.map_concat(F.map_filter("attributes", lambda k, v: k != "Experience"), F.create_map(F.lit("Experience"), F.lit("3 years")))).otherwise(F.col("attributes")))
+
+
+def _covered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(quality summary after, coverage before and after) of the records, with experience required."""
+    ev, con = A.evidence(spark, d), A.constraints(spark)
+
+    def verdicts(rec: DataFrame) -> DataFrame:
+        return tables.stored(C.qualify(rec, C.evaluate_constraints(rec, con), C.completeness(rec, A.REQUIRED), A.clashes(ev), ev))
+
+    before, after = verdicts(A.records(spark, d)), verdicts(_filled(spark, d))
+    return explore.quality_summary(A.records(spark, d), after), explore.coverage(before, after)
+
+
+@query
+def coverage(spark: SparkSession, d: str) -> DataFrame:
+    return _covered(spark, d)[1]
+
+
+@query
+def outcome_texts(spark: SparkSession, d: str) -> DataFrame:
+    out = explore.outcome_texts(*_covered(spark, d))
+    return out.withColumn("outcomes", F.array_join(F.transform("outcomes", lambda o: F.concat(o["amount"], F.lit(" "), o["label"])), "; "))
+
+
+def _flat(attributes: str) -> Column:
+    """A map as text, by key; null values as ~."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(attributes)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("~")))), "|")
+
+
+@query
+def canonicalize(spark: SparkSession, d: str) -> DataFrame:
+    records, _ = canonical.canonicalize(A.raw_candidates(spark, d), A.RAW_REQUIRED, geography="India")
+    return records.withColumn("attributes", _flat("attributes")).drop("ingest_seq")
+
+
+@query
+def canonical_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.canonicalize(A.raw_candidates(spark, d), A.RAW_REQUIRED)[1].drop("run_id")
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{tables.shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+
+
+@query
+def snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """Nested stores written as JSON lines and read again as tables."""
+    path = _scratch(spark)
+    A.snapshots(spark, d).write.json(path)
+    t = tables.read_snapshot(spark, path, multi_line=False)
+    cites = t["evidence"].groupBy("run_id", "record_id").agg(F.count("*").alias("citations"), F.max("ev_seq").alias("last"), F.max("value").alias("value"), F.max("source").alias("source"))
+    clash = t["conflicts"].select("run_id", "record_id", "field", F.transform("values", lambda v: v["value"]).alias("vs")).select("run_id", "record_id", F.array_join("vs", "|").alias("clash"))
+    rec = t["records"].join(t["runs"].select("run_id", "request_id"), "run_id").join(t["requests"].select("request_id", F.col("name").alias("request")), "request_id")
+    return rec.join(cites, ["run_id", "record_id"]).join(clash, ["run_id", "record_id"], "left").select("request_id", "request", "run_id", "record_id", "ingest_seq", "entity_name", F.col("attributes")["Mode"].alias("mode"), "citations", "last", "value", "source", "clash")
+
+
+def _written(spark: SparkSession, d: str) -> str:
+    """Folder of the written tables of three runs."""
+    path, rec, ev = _scratch(spark), A.records(spark, d), A.evidence(spark, d)
+    runs = rec.groupBy("run_id").agg(F.count("*").alias("unique")).select("run_id", F.lit("Q").alias("request_id"), F.substring("run_id", 5, 1).cast("int").alias("run_number"), F.lit(0).cast("long").alias("collected"), "unique", *(F.when(F.col("run_id") == "RUN-1", 5).cast("long").alias(c) for c in ("validated", "conflicts", "incomplete")))
+    sources = ev.where("url <> ''").groupBy("run_id", "url").agg(F.count("*").alias("n")).select("run_id", "url", (-F.col("n")).cast("int").alias("search_rank"))
+    status = F.when(F.pmod("record_id", F.lit(4)) == 0, "Qualified").when(F.pmod("record_id", F.lit(4)) == 1, "Conflict").otherwise("Needs verification")
+    tables.write_run({"runs": runs, "records": rec.withColumn("qualification_status", status), "evidence": ev, "conflicts": A.clashes(ev), "sources": sources}, path)
+    return path
+
+
+@query
+def run_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Runs written and read again: counters that are missing are counted."""
+    path = _written(spark, d)
+    return tables.read_run(spark, path, "RUN-1")["run"].unionByName(tables.read_run(spark, path, "RUN-2")["run"])
+
+
+@query
+def run_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records of a run written and read again, with what is nested in them."""
+    rec = tables.read_run(spark, _written(spark, d), "RUN-2")["records"]
+    return rec.select("record_id", "entity_name", F.size("evidence").alias("n_evidence"), F.col("evidence")[0]["id"].alias("first_id"), F.element_at("evidence", -1)["value"].alias("last_value"), F.array_join(F.transform("conflicts", lambda c: c["field"]), ",").alias("clashing"), F.array_join(F.transform("conflicts", lambda c: c["id"]), ",").alias("clash_ids"))
+
+
+@query
+def run_sources(spark: SparkSession, d: str) -> DataFrame:
+    return tables.read_run(spark, _written(spark, d), "RUN-3")["sources"].select("id", "url", "search_rank")
+
+
+@query
+def json_export(spark: SparkSession, d: str) -> DataFrame:
+    """The export of a page's records and of its metadata, read again."""
+    path, rec = _scratch(spark), A.records(spark, d)
+    out = rec.select(F.col("record_id").alias("id"), F.col("entity_name").alias("entityName"), "attributes", "source")
+    tables.export_json(out, path, rec.agg(F.lit("Q").alias("requestId"), F.count("*").alias("totalRecords"), F.count_distinct("run_id").alias("runs")))
+    got = spark.read.json(f"{path}/records", "id long, entityName string, attributes map<string,string>, source string")
+    meta = spark.read.json(f"{path}/metadata", "requestId string, totalRecords long, runs long")
+    return got.select("id", "entityName", _flat("attributes").alias("attributes"), "source").unionByName(meta.select(F.lit(-1).cast("long").alias("id"), F.col("requestId").alias("entityName"), F.concat_ws("/", F.col("totalRecords").cast("string"), F.col("runs").cast("string")).alias("attributes"), F.lit("metadata").alias("source")))
+
+
+@query
+def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The export as CSV, quotes, commas and line breaks in it, read again."""
+    path, rec = _scratch(spark), A.records(spark, d)
+    odd = F.concat(F.lit('"a, b"'), F.when(F.pmod("record_id", F.lit(3)) == 0, "\n").otherwise(";"), F.col("location"))
+    tables.export_csv(tables.export_rows(rec, {"Id": F.col("record_id"), "Name": F.col("entity_name"), "Where": odd}, F.pmod("record_id", F.lit(101)) + 0.5), path)
+    return spark.read.schema("Id long, Name string, `Where` string, Confidence string").csv(path, header=True, quote='"', escape='"', multiLine=True)
+
+
+@query
+def evidence_by_source(spark: SparkSession, d: str) -> DataFrame:
+    ev = A.evidence(spark, d).withColumn("source", F.coalesce(host(F.col("url")), F.col("source")))
+    return explore.evidence_from_source(ev, "LinkedIn Jobs").select("record_id", "ev_seq", "source").unionByName(explore.evidence_from_source(ev, "supplier 9").select("record_id", "ev_seq", "source"))
+
+
+@query
+def drill_down(spark: SparkSession, d: str) -> DataFrame:
+    rec = A.records(spark, d).where("record_id % 7 <> 3").withColumn("status", F.lit("Review"))
+    return explore.drill_down(A.evidence(spark, d), rec).select("ev_seq", "record_id", "entity_name", "company", "status")
+
+
+@query
+def relevant_fields(spark: SparkSession, d: str) -> DataFrame:
+    req = A.requests(spark, d)
+    hard = ingest.extract_constraints(req, "request_id", "prompt").where("hard").groupBy("id").agg(F.collect_set("field").alias("hard"))
+    rows = req.select("request_id").join(hard.hint("merge"), F.col("id") == F.col("request_id"), "left").withColumn("hard", F.coalesce("hard", F.array().cast("array<string>")))
+    asked = F.array(*(F.lit(f) for f in ("Company Size", "Price", "Role", "Price Range", "Location", "Notes")))
+    required, optional = ingest.relevant_fields(asked, F.col("hard"))
+    return rows.select("request_id", F.array_join(required, ",").alias("required"), F.array_join(optional, ",").alias("optional"))
+
+
+@query
+def effective_status(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("l_orderkey") + F.col("l_linenumber")
+    qual, legacy = A.pick([None, "", "Qualified", None, "Excluded", "Conflict", "Needs verification"], k), A.pick(["Verified", "Conflict", "Incomplete", "Review", None], F.col("l_orderkey"))
+    rows = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", explore.effective_status(qual, legacy).alias("status"))
+    return rows.groupBy("l_suppkey", "status", explore.legacy_status(F.col("status")).alias("legacy")).agg(F.count("*").alias("n"))
+
+
+@query
+def status_page(spark: SparkSession, d: str) -> DataFrame:
+    """Records of a status, by the filter of a page."""
+    k = F.col("record_id")
+    rec = A.records(spark, d).withColumns({"qualification_status": A.pick([None, "Qualified", "Excluded"], k), "status": A.pick(["Verified", "Review"], F.floor(k / 2))})
+    return explore.dataset_filter(rec, text="Pune", status="Qualified").unionByName(explore.dataset_filter(rec, text="kochi", status="Qualified")).select("record_id", "qualification_status", "status", "location")
+
+
+@query
+def newest_runs(spark: SparkSession, d: str) -> DataFrame:
+    return explore.newest(A.table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("created_at")), "created_at", "o_orderkey")
+
+
+@query
+def natural_sort(spark: SparkSession, d: str) -> DataFrame:
+    """A page in natural order: equal first numbers go by the rest of the text, whose digits count by value."""
+    k = F.col("record_id")
+    rec = A.records(spark, d).withColumn("label", F.concat(A.pick(["Lot 7 row ", "lot 7 Row ", "No. 7, "], k), F.floor(k / 2).cast("string"), A.pick(["b", "B2", "b10"], F.floor(k / 3))))
+    n = F.row_number().over(Window.orderBy("position"))
+    page = explore.dataset_page(rec, F.col("label"), "record_id", page=2, size=40).select("record_id", "label", ingest.natural(F.col("label")).alias("position"))
+    return page.withColumn("n", n).select("n", "record_id", "label")
+
+
+@query
+def cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Lines left when the orders of some are deleted."""
+    line = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_suppkey", "l_partkey")
+    left = tables.without_orphans(line, A.table(spark, d, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("k")), ["k"])
+    return left.groupBy("l_suppkey").agg(F.count("*").alias("children"))
+
+
 @query
 def dynamic_columns(spark: SparkSession, d: str) -> DataFrame:
     rec = A.records(spark, d)

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EVIDENCE = "array<struct<field:string,value:string,source:string,url:string,retrieved:string,snippet:string,verification:string>>"
@@ -56,9 +56,9 @@ def discard(*written: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
-def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables requests, runs, records, evidence and conflicts of a nested JSON store."""
-    return split_snapshot(spark.read.schema(SNAPSHOT).json(path, multiLine=True))
+def read_snapshot(spark: SparkSession, path: str, multi_line: bool = True) -> dict[str, DataFrame]:
+    """Tables requests, runs, records, evidence and conflicts of nested JSON stores: one in each file, or one in each line."""
+    return split_snapshot(spark.read.schema(SNAPSHOT).json(path, multiLine=multi_line))
 
 
 def split_snapshot(root: DataFrame) -> dict[str, DataFrame]:
@@ -73,17 +73,36 @@ def split_snapshot(root: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def with_ids(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables of runs with ids of their own: {run}-SRC-n for sources (by search_rank, url), {record}-EV-n and {record}-CONF-n for
+    evidence (by ev_seq) and conflicts (by field)."""
+    n = lambda by, *order: F.row_number().over(Window.partitionBy("run_id", *by).orderBy(*order)).cast("string")
+    rules = {
+        "sources": lambda: F.concat("run_id", F.lit("-SRC-"), n([], "search_rank", "url")),
+        "evidence": lambda: F.concat(F.col("record_id").cast("string"), F.lit("-EV-"), n(["record_id"], "ev_seq")),
+        "conflicts": lambda: F.concat(F.col("record_id").cast("string"), F.lit("-CONF-"), n(["record_id"], "field")),
+    }
+    return {name: df.withColumn("id", rules[name]()) if name in rules else df for name, df in tables.items()}
+
+
 def write_run(tables: dict[str, DataFrame], path: str) -> None:
-    """One folder for each table, partitioned by run_id; only the partitions of the runs written are replaced."""
-    for name, df in tables.items():
+    """One folder for each table, with ids, partitioned by run_id; only the partitions of the runs written are replaced."""
+    for name, df in with_ids(tables).items():
         writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         (writer.partitionBy("run_id") if "run_id" in df.columns else writer).parquet(f"{path}/{name}")
 
 
-def read_run(spark: SparkSession, path: str, run_id: str) -> DataFrame:
-    """Records of one run with their evidence and conflicts nested, by partition-pruned reads."""
+def read_run(spark: SparkSession, path: str, run_id: str) -> dict[str, DataFrame]:
+    """One run by partition-pruned reads: ``records`` with their evidence and conflicts nested, ``sources`` by search_rank, and ``run``,
+    its counters, where a counter that is missing (or not positive, of collected and unique) is counted from the records."""
     part = lambda name: spark.read.parquet(f"{path}/{name}").where(F.col("run_id") == run_id)
-    return nest(part("records"), part("evidence"), part("conflicts"))
+    records = part("records")
+    n = lambda s: F.count_if(F.col("qualification_status") == s)
+    live = records.agg(F.count("*").alias("l_collected"), F.count("*").alias("l_unique"), n("Qualified").alias("l_validated"), n("Conflict").alias("l_conflicts"), n("Needs verification").alias("l_incomplete"))
+    stated = lambda c: F.when(F.col(c) > 0, F.col(c)) if c in ("collected", "unique") else F.col(c)
+    counters = ["collected", "unique", "validated", "conflicts", "incomplete"]
+    run = part("runs").join(F.broadcast(live)).select("run_id", "request_id", "run_number", *(F.coalesce(stated(c), F.col(f"l_{c}")).alias(c) for c in counters))
+    return {"run": run, "records": nest(records, part("evidence"), part("conflicts")), "sources": part("sources").orderBy("search_rank", "url")}
 
 
 def nest(records: DataFrame, evidence: DataFrame, conflicts: DataFrame) -> DataFrame:
