@@ -226,9 +226,9 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     clash = F.struct(F.lit("Price").alias("field"), F.array(F.struct(F.lit("a").alias("source"), F.lit("1").alias("value")), F.struct(F.lit("b").alias("source"), F.lit("2").alias("value"))).alias("values"))
     record = F.struct(
         F.col("l_linenumber").alias("_n"), F.col("l_suppkey").alias("_s"), F.col("l_partkey").alias("_p"), F.concat_ws("-", *(s(F.col(c)) for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"))).alias("id"), F.concat(F.lit("Part "), s(F.col("l_partkey"))).alias("entityName"),
-        F.create_map(F.lit("Mode"), F.col("l_returnflag")).alias("attributes"), F.lit("Review").alias("status"),
+        F.col("l_returnflag").alias("_mode"), F.lit("Review").alias("status"),
         F.when(F.col("l_returnflag") != "A", F.array(cite, cite)).otherwise(F.array(cite)).alias("evidence"), F.when(F.col("l_returnflag") == "R", F.array(clash)).otherwise(F.array().cast("array<struct<field:string,values:array<struct<source:string,value:string>>>>")).alias("conflicts"),
     )
     runs = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(record)).alias("records"))
-    of = orders.join(runs, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", F.struct(s(F.col("o_orderkey")).alias("id"), s(F.col("o_custkey")).alias("requestId"), F.col("o_orderkey").cast("int").alias("runNumber"), F.transform("records", lambda r: r.dropFields("_n", "_s", "_p")).alias("records")).alias("run"))
+    of = orders.join(runs, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", F.struct(s(F.col("o_orderkey")).alias("id"), s(F.col("o_custkey")).alias("requestId"), F.col("o_orderkey").cast("int").alias("runNumber"), F.transform("records", lambda r: r.withField("attributes", F.create_map(F.lit("Mode"), r["_mode"])).dropFields("_n", "_s", "_p", "_mode")).alias("records")).alias("run"))
     return of.groupBy("o_custkey").agg(F.collect_list("run").alias("runs")).select(F.array(F.struct(s(F.col("o_custkey")).alias("id"), F.concat(F.lit("Request "), s(F.col("o_custkey"))).alias("name"))).alias("requests"), "runs")

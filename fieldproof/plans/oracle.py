@@ -419,3 +419,76 @@ SQL: dict[str, str] = {
     "stage_counts": with_(REC, FIELDS_ALL, FIELDS, EV, CLASH) + "SELECT '1 records' AS stage, count(*) AS \"rows\" FROM rec UNION ALL SELECT '2 fields', count(*) FROM fields UNION ALL SELECT '3 evidence', count(*) FROM ev UNION ALL SELECT '4 conflicts', count(*) FROM clash",
     "dynamic_columns": with_(REC) + f"SELECT record_id, size AS company_size, CASE WHEN location = 'Not disclosed' THEN location ELSE location END AS city, CASE WHEN salary = 'Not disclosed' THEN price ELSE price END AS salary_range, experience, brand, {missing('location')} AS location_missing FROM rec",
 }
+
+
+# ---- raw candidates, runs written and read again ------------------------------------------------
+_S = lambda e: f"nullif({e}, '')"
+_CITE = lambda f, v, src, u, t: f"{{'field': {f}, 'value': {v}, 'source': {src}, 'url': {u}, 'snippet': {t}}}"
+_N = "CAST(NULL AS VARCHAR)"
+_RAW_PRICE = "CAST(CAST(round(p_retailprice) AS BIGINT) AS VARCHAR)"
+_SHOP = lit("https://www.shop.example.org/x")
+RAW = f"""raw AS (SELECT {_RUN.format("p_partkey")} AS run_id, p_partkey AS record_id, row_number() OVER (PARTITION BY p_partkey % 3 ORDER BY p_partkey) AS n,
+  CASE p_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'Top 10 best rings' WHEN 2 THEN NULL WHEN 3 THEN '  ' WHEN 4 THEN 'best of all' ELSE p_name END AS entity, CASE WHEN p_partkey % 14 = 2 THEN ' ' || p_name END AS name,
+  CASE WHEN p_partkey % 28 = 9 THEN p_brand END AS brand, CASE WHEN p_partkey % 2 = 0 THEN {pick(A.TITLES, "p_partkey")} END AS role, {_RAW_PRICE} AS price,
+  CASE WHEN p_partkey % 3 = 0 THEN 'https://www.site' || (p_partkey % 9) || '.com/p/' || p_partkey END AS url0, CASE WHEN p_partkey % 8 = 4 THEN 'Named' END AS source0,
+  CASE p_partkey % 5 WHEN 0 THEN [{{'k': 'Brand Name', 'v': 'p_brand_'}}, {{'k': 'company size', 'v': CAST(p_size AS VARCHAR)}}, {{'k': 'Price', 'v': 'Not disclosed'}}]
+    WHEN 1 THEN [{{'k': 'Model', 'v': p_type}}, {{'k': 'PRICE', 'v': {_RAW_PRICE}}}, {{'k': 'Brand', 'v': ''}}] WHEN 2 THEN [{{'k': 'Company', 'v': 'Not disclosed'}}, {{'k': 'Brand', 'v': p_brand}}, {{'k': 'Role', 'v': '—'}}]
+    WHEN 3 THEN [{{'k': 'Colour', 'v': 'red'}}] ELSE [] END AS e,
+  CASE p_partkey % 4 WHEN 0 THEN [{_CITE(lit("Price"), _RAW_PRICE, _N, _N, _N)}, {_CITE(_N, _N, lit("Shop"), _SHOP, lit("text"))}] WHEN 1 THEN [{_CITE(lit("Size"), lit("Not disclosed"), _N, lit("https://maker.example.com/p"), _N)}] ELSE [] END AS ev FROM part)"""
+_POOR = lambda e: f"({e} = '' OR regexp_matches({e}, '^(top|best|list of|\\d+\\s+best|\\d+\\s+top)', 'i'))"
+_GET = lambda f: _S(f"list_filter(e, lambda x: x.k = {lit(f)})[1].v")
+_LIKE = lambda f: f"list_filter(e, lambda x: {norm('x.k')} = {lit(''.join(c for c in f.lower() if c.isalnum()))} AND coalesce(x.v, '') <> '')[1].v"
+_FILL = {"Brand": "entity_name", "Company Size": "entity_name", "Price": "price", "Role": "role", "Notes": "CAST(NULL AS VARCHAR)"}
+_OWN_ATTR = lambda f: "f_" + f.lower().replace(" ", "_") if f in _FILL else _GET(f)
+CANON = f"""{RAW}, own AS (SELECT *, trim(coalesce({_S("entity")}, {_S("name")}, {_S("brand")}, '')) AS own_,
+    trim(list_filter(e, lambda x: regexp_matches(lower(x.k), 'name|company|brand|model') AND coalesce(x.v, '') NOT IN ('', 'Not disclosed', '—'))[1].v) AS named, trim({_GET("Brand")}) AS first_ FROM raw),
+better AS (SELECT *, CASE WHEN {_POOR("own_")} AND named IS NOT NULL THEN named ELSE own_ END AS better_ FROM own),
+best_ AS (SELECT *, CASE WHEN {_POOR("better_")} AND first_ IS NOT NULL THEN first_ ELSE better_ END AS best_ FROM better),
+named_ AS (SELECT *, CASE WHEN best_ = '' THEN 'Candidate Entity ' || n ELSE best_ END AS entity_name, coalesce({_S("url0")}, {_S("ev[1].url")}, '') AS url FROM best_),
+filled AS (SELECT *, {", ".join(f"coalesce({_GET(f)}, {_LIKE(f)}, {_S(v)}) AS {_OWN_ATTR(f)}" for f, v in _FILL.items())}, coalesce({HOST}, '') AS domain FROM named_),
+canon AS (SELECT *, list_concat(list_filter(e, lambda x: x.k NOT IN ({", ".join(lit(f) for f in _FILL)})), [{", ".join(f"{{'k': {lit(f)}, 'v': {_OWN_ATTR(f)}}}" for f in _FILL)}], CASE WHEN url <> '' THEN [{{'k': 'Source URL', 'v': url}}] ELSE [] END, CASE WHEN domain <> '' THEN [{{'k': 'Source', 'v': domain}}] ELSE [] END) AS a FROM filled)"""
+_ANY = lambda *fs: "coalesce(" + ", ".join(_OWN_ATTR(f) for f in fs)
+_RUN_STATUS = "CASE record_id % 4 WHEN 0 THEN 'Qualified' WHEN 1 THEN 'Conflict' ELSE 'Needs verification' END"
+_ADDED = "f2 AS (SELECT * REPLACE (CASE WHEN field = 'Experience' AND value = '—' THEN '3 years' ELSE value END AS value) FROM fields_all)"
+
+
+def covered_sql(which: str) -> str:
+    """CTEs up to before_ or after_ (record_id, status, missing_fields): verdicts with experience required, as found or with "3 years" where there is none."""
+    rec = REC if which == "before_" else REC.replace("rec AS (", "rec AS (SELECT * REPLACE (CASE WHEN experience = '—' THEN '3 years' ELSE experience END AS experience) FROM (", 1) + ")"
+    return with_(eval_sql("Q", rec), EV, CLASH, verdicts_sql(A.REQUIRED)) + "SELECT run_id, record_id, status, missing_fields FROM verdicts JOIN (SELECT run_id, record_id FROM rec) USING (record_id)"
+
+
+_ONE = lambda name: f"(SELECT run_id, {js_round('avg(CASE WHEN status = ' + lit('Qualified') + ' THEN 1 ELSE 0 END) * 100')} AS {name}, sum(len(missing_fields)) AS m_{name} FROM {name}_ GROUP BY run_id)"
+COVERED = f"WITH before_ AS ({covered_sql('before_')}), after_ AS ({covered_sql('after_')}), cov AS (SELECT run_id, before, after, CAST(greatest(m_before - m_after, 0) AS BIGINT) AS recovered FROM {_ONE('before')} JOIN {_ONE('after')} USING (run_id)) "
+_U = "CASE WHEN (page_id // 12) % 2 = 0 OR page_id % 12 = 11 THEN url ELSE " + pick(["http://127.0.0.1/a", "http://10.1.2.3", "https://192.168.0.9/x", "ftp://host.com/f", "javascript:alert(1)", "http://localhost:8080/", "http://metadata.google.internal/", "https://printer.local/q", "http://[::1]/", "", "http://2130706433/"], "page_id % 12") + " END"
+_BARE = "regexp_replace(h, '^www\\.', '')"
+URLS = f"""given AS (SELECT page_id, {_U} AS u FROM pages),
+split_ AS (SELECT *, lower(trim(u)) AS low, CASE WHEN regexp_matches(lower(trim(u)), '^https?://') THEN trim(u) ELSE 'https://' || trim(u) END AS full_ FROM given),
+hosts AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(full_, '^[a-zA-Z]+://(\\[[^]]*\\]|[^/?#:]*)(?::\\d*)?(?:[/?#]|$)', 1)), '^\\[', ''), '\\]$', '') AS h, regexp_extract(full_, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path FROM split_),
+judged AS (SELECT *, CASE WHEN low = '' THEN 'EMPTY' WHEN regexp_matches(low, '^[a-z][a-z0-9+.-]*:') AND NOT regexp_matches(low, '^https?://') AND NOT regexp_matches(low, '^[^/:]+:\\d+(/|$)') THEN 'UNSUPPORTED_SCHEME' WHEN h = '' THEN 'MALFORMED'
+  WHEN h IN ({", ".join(lit(x) for x in U.BLOCKED_HOSTS)}) OR ends_with(h, '.local') OR ends_with(h, '.internal') OR regexp_matches(h, '^\\d+$') THEN 'BLOCKED_HOST' WHEN regexp_matches(h, {lit(U.PRIVATE_RX)}) THEN 'PRIVATE_ADDRESS' END AS error FROM hosts)"""
+SOURCES = f"""src AS (SELECT {_RUN.format("s_suppkey // 2")} AS run_id, 'https://s.example.com/' || s_suppkey AS url, s_name AS title, 'About ' || p_name || ' in Bangalore' AS snippet, s_suppkey AS search_rank FROM supplier JOIN part ON p_partkey = s_suppkey * 7)"""
+
+SQL |= {
+    "attention": with_(eval_sql("Q"), EV, CLASH, VERDICTS) + f"SELECT run_id, needs_verification, conflicts, incomplete, evidence_coverage FROM ({SUMMARY}) JOIN (SELECT run_id, {js_round('avg(CASE WHEN verification <> ' + lit('Needs verification') + ' THEN 1 ELSE 0 END) * 100')} AS evidence_coverage FROM ev GROUP BY run_id) USING (run_id)",
+    "coverage": COVERED + "SELECT * FROM cov",
+    "outcome_texts": COVERED + f", verdicts AS (SELECT record_id, status, missing_fields FROM after_), rec AS (SELECT run_id, record_id FROM after_), s AS ({SUMMARY}) SELECT run_id, qualified || ' Records qualified; ' || needs_verification || ' Needs verification; ' || excluded || ' Excluded; ' || conflicts || ' Conflicts detected' AS outcomes, CASE WHEN recovered > 0 THEN 'Targeted searches for missing fields raised coverage from ' || before || '% to ' || after || '% (' || recovered || ' fields recovered). Final: ' || qualified || ' qualified, ' || needs_verification || ' needs verification, ' || excluded || ' excluded, ' || conflicts || ' conflicts.' ELSE 'Collection ended with ' || qualified || ' of ' || collected || ' records qualified (' || after || '% coverage). ' || needs_verification || ' needs verification, ' || excluded || ' excluded.' END AS text FROM s JOIN cov USING (run_id)",
+    "canonicalize": with_(CANON) + f"SELECT run_id, record_id, 'R-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS display_id, entity_name, array_to_string(list_transform(list_sort(a), lambda x: x.k || '=' || coalesce(x.v, '~')), '|') AS attributes, {_ANY('Company', 'Brand')}, entity_name) AS company, {_ANY('Role', 'Model', 'Property Type')}, '—') AS role, {_ANY('Location')}, 'India') AS location, {_ANY('Experience', 'Range')}, '—') AS experience, {_ANY('Salary', 'Price')}, 'Not disclosed') AS salary, {_ANY('Company Size', 'Size', 'Battery Capacity')}, '—') AS size, coalesce({_S('domain')}, {_S('ev[1].source')}, 'Web Source') AS source, 50 AS confidence, 'Review' AS status, 'Needs verification' AS verification_status, 'Needs verification' AS qualification_status FROM canon",
+    "canonical_evidence": with_(RAW) + f", c AS (SELECT record_id, i - 1 AS ev_seq, coalesce({_S('x.field')}, 'General') AS field, coalesce({_S('x.value')}, '—') AS value, coalesce({_S('x.source')}, source0) AS src, coalesce({_S('x.url')}, {_S('url0')}, '') AS url, x.snippet AS snippet FROM (SELECT *, unnest(ev) AS x, generate_subscripts(ev, 1) AS i FROM raw)) SELECT record_id, ev_seq, field, value, coalesce(src, {_S(HOST)}, 'Web Source') AS source, url, snippet, CASE WHEN value IN ('—', 'Not disclosed') THEN 'Needs verification' ELSE 'Confirmed' END AS verification FROM c",
+    "snapshot": "WITH l AS (SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_partkey) AS record_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) - 1 AS ingest_seq FROM lineitem) SELECT CAST(o_custkey AS VARCHAR) AS request_id, 'Request ' || o_custkey AS request, CAST(l_orderkey AS VARCHAR) AS run_id, record_id, ingest_seq, 'Part ' || l_partkey AS entity_name, l_returnflag AS mode, CASE WHEN l_returnflag = 'A' THEN 1 ELSE 2 END AS citations, CASE WHEN l_returnflag = 'A' THEN 0 ELSE 1 END AS last, CAST(CAST(round(l_extendedprice) AS BIGINT) AS VARCHAR) AS value, 'Supplier ' || l_suppkey AS source, CASE WHEN l_returnflag = 'R' THEN '1|2' END AS clash FROM l JOIN orders ON o_orderkey = l_orderkey",
+    "run_counters": with_(REC) + f", live AS (SELECT run_id, count(*) AS n, count(*) FILTER ({_RUN_STATUS} = 'Qualified') AS q, count(*) FILTER ({_RUN_STATUS} = 'Conflict') AS c, count(*) FILTER ({_RUN_STATUS} = 'Needs verification') AS v FROM rec GROUP BY run_id) SELECT run_id, 'Q' AS request_id, CAST(substr(run_id, 5) AS INT) AS run_number, n AS collected, n AS \"unique\", CASE WHEN run_id = 'RUN-1' THEN 5 ELSE q END AS validated, CASE WHEN run_id = 'RUN-1' THEN 5 ELSE c END AS conflicts, CASE WHEN run_id = 'RUN-1' THEN 5 ELSE v END AS incomplete FROM live WHERE run_id IN ('RUN-1', 'RUN-2')",
+    "run_records": with_(REC, EV, CLASH) + ", e AS (SELECT record_id, count(*) AS n, arg_max(value, ev_seq) AS last_value FROM ev GROUP BY record_id), c AS (SELECT record_id, string_agg(field, ',' ORDER BY field) AS clashing, string_agg(record_id || '-CONF-' || i, ',' ORDER BY i) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY field) AS i FROM clash) GROUP BY record_id) SELECT record_id, entity_name, coalesce(n, 0) AS n_evidence, CASE WHEN n > 0 THEN record_id || '-EV-1' END AS first_id, last_value, coalesce(clashing, '') AS clashing, coalesce(ids, '') AS clash_ids FROM rec LEFT JOIN e USING (record_id) LEFT JOIN c USING (record_id) WHERE run_id = 'RUN-2'",
+    "run_sources": with_(EV) + ", s AS (SELECT run_id, url, -count(*) AS search_rank FROM ev WHERE url <> '' GROUP BY ALL) SELECT run_id || '-SRC-' || row_number() OVER (ORDER BY search_rank, url) AS id, url, search_rank FROM s WHERE run_id = 'RUN-3'",
+    "json_export": with_(REC, FIELDS_ALL) + ", a AS (SELECT record_id, string_agg(field || '=' || value, '|' ORDER BY field) AS attributes FROM fields_all GROUP BY record_id) SELECT record_id AS id, entity_name AS \"entityName\", attributes, '—' AS source FROM rec JOIN a USING (record_id) UNION ALL SELECT -1, 'Q', count(*) || '/' || count(DISTINCT run_id), 'metadata' FROM rec",
+    "csv_roundtrip": with_(REC) + "SELECT record_id AS \"Id\", entity_name AS \"Name\", '\"a, b\"' || CASE WHEN record_id % 3 = 0 THEN chr(10) ELSE ';' END || location AS \"Where\", (record_id % 101 + 1) || '%' AS \"Confidence\" FROM rec",
+    "evidence_by_source": with_(EV) + f", s AS (SELECT record_id, ev_seq, CASE WHEN url = '' THEN source ELSE {HOST} END AS source FROM ev) SELECT * FROM s WHERE starts_with(lower(source), 'linkedin') OR starts_with(lower(source), 'supplier')",
+    "drill_down": with_(REC, EV) + "SELECT ev_seq, record_id, entity_name, brand AS company, CASE WHEN entity_name IS NOT NULL THEN 'Review' END AS status FROM ev LEFT JOIN (SELECT * FROM rec WHERE record_id % 7 <> 3) r USING (record_id)",
+    "relevant_fields": with_(REQ, _EXTRACT) + f", h AS (SELECT id, list({norm('field')}) AS hard FROM extracted WHERE hard GROUP BY id), asked AS (SELECT ['Company Size', 'Price', 'Role', 'Price Range', 'Location', 'Notes'] AS f), r AS (SELECT request_id, f, coalesce(hard, []) AS hard FROM req LEFT JOIN h ON id = request_id CROSS JOIN asked), k AS (SELECT request_id, f, list_filter(f, lambda x: len(list_filter(hard, lambda c: contains({norm('x')}, c) OR contains(c, {norm('x')}))) > 0) AS keep FROM r) SELECT request_id, array_to_string(keep, ',') AS required, array_to_string(list_filter(f, lambda x: NOT list_contains(keep, x)), ',') AS optional FROM k",
+    "effective_status": f"WITH s AS (SELECT l_suppkey, {pick([None, '', 'Qualified', None, 'Excluded', 'Conflict', 'Needs verification'], 'l_orderkey + l_linenumber')} AS q, {pick(['Verified', 'Conflict', 'Incomplete', 'Review', None], 'l_orderkey')} AS l FROM lineitem), t AS (SELECT l_suppkey, CASE WHEN coalesce(q, '') <> '' THEN q ELSE CASE l WHEN 'Verified' THEN 'Qualified' WHEN 'Conflict' THEN 'Conflict' WHEN 'Incomplete' THEN 'Excluded' ELSE 'Needs verification' END END AS status FROM s) SELECT l_suppkey, status, CASE status WHEN 'Qualified' THEN 'Verified' WHEN 'Conflict' THEN 'Conflict' WHEN 'Excluded' THEN 'Incomplete' ELSE 'Review' END AS legacy, count(*) AS n FROM t GROUP BY ALL",
+    "status_page": with_(REC) + f", s AS (SELECT *, {pick([None, 'Qualified', 'Excluded'], 'record_id')} AS qualification_status, {pick(['Verified', 'Review'], 'record_id // 2')} AS status FROM rec), t AS (SELECT *, lower(concat_ws(' ', entity_name, brand, type, price, size, role, location, experience, founded, salary)) AS text FROM s WHERE coalesce(qualification_status, CASE WHEN status = 'Verified' THEN 'Qualified' ELSE 'Needs verification' END) = 'Qualified') SELECT record_id, qualification_status, status, location FROM t WHERE contains(text, 'pune') UNION ALL SELECT record_id, qualification_status, status, location FROM t WHERE contains(text, 'kochi')",
+    "newest_runs": "SELECT o_orderkey, o_custkey, o_orderdate AS created_at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 8",
+    "natural_sort": with_(REC) + f", s AS (SELECT record_id, {pick(['Lot 7 row ', 'lot 7 Row ', 'No. 7, '], 'record_id')} || (record_id // 2) || {pick(['b', 'B2', 'b10'], 'record_id // 3')} AS label FROM rec) SELECT row_number() OVER (ORDER BY {natural('label')}) AS n, record_id, label FROM (SELECT * FROM s ORDER BY {natural('label')}, record_id LIMIT 40 OFFSET 40)",
+    "cascade": "SELECT l_suppkey, count(*) AS children FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0) GROUP BY l_suppkey",
+    "url_safety": with_(URLS) + f"SELECT page_id, u, error IS NULL AS valid, CASE WHEN error IS NULL THEN {_BARE} ELSE '' END AS domain, coalesce(error IN ('BLOCKED_HOST', 'PRIVATE_ADDRESS'), false) AS private, error, CASE WHEN error IS NULL AND u NOT IN ('', '—', 'Web Source') THEN CASE WHEN path = '' THEN full_ || '/' ELSE full_ END ELSE '#' END AS link, CASE WHEN u = '' THEN '' WHEN h = '' THEN split_part(regexp_replace(regexp_replace(u, '^https?://', ''), '^www\\.', ''), '/', 1) ELSE {root(_BARE, U.SCORING_SECOND_LEVEL)} END AS root, nullif({root(_BARE, U.RESOLVER_SECOND_LEVEL)}, '') AS resolver_root FROM judged",
+    "complete_evidence": with_(REC, FIELDS_ALL, FIELDS, EV, SOURCES) + f", open_ AS (SELECT run_id, f.record_id, f.entity_name, field, value FROM fields f JOIN (SELECT run_id, record_id FROM rec) USING (record_id) WHERE NOT {missing('value')} AND NOT EXISTS (SELECT 1 FROM ev e WHERE e.record_id = f.record_id AND lower(e.field) = lower(f.field) AND e.verification = 'Confirmed')), hit AS (SELECT o.record_id, o.field, o.value, s.title AS source, s.url, s.snippet, row_number() OVER (PARTITION BY o.record_id, o.field ORDER BY s.search_rank, s.url) AS i FROM open_ o JOIN src s USING (run_id) WHERE contains(lower(s.snippet), lower(o.value)) OR contains(lower(s.snippet), lower(o.entity_name)) OR contains(lower(s.title), lower(o.entity_name))) SELECT record_id, field, value, source, url, snippet FROM hit WHERE i = 1",
+}

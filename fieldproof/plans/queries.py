@@ -410,7 +410,7 @@ def snapshot(spark: SparkSession, d: str) -> DataFrame:
     t = tables.read_snapshot(spark, path, multi_line=False)
     cites = t["evidence"].groupBy("run_id", "record_id").agg(F.count("*").alias("citations"), F.max("ev_seq").alias("last"), F.max("value").alias("value"), F.max("source").alias("source"))
     clash = t["conflicts"].select("run_id", "record_id", "field", F.transform("values", lambda v: v["value"]).alias("vs")).select("run_id", "record_id", F.array_join("vs", "|").alias("clash"))
-    rec = t["records"].join(t["runs"].select("run_id", "request_id"), "run_id").join(t["requests"].select("request_id", F.col("name").alias("request")), "request_id")
+    rec = t["records"].drop("source").join(t["runs"].select("run_id", "request_id"), "run_id").join(t["requests"].select("request_id", F.col("name").alias("request")), "request_id")
     return rec.join(cites, ["run_id", "record_id"]).join(clash, ["run_id", "record_id"], "left").select("request_id", "request", "run_id", "record_id", "ingest_seq", "entity_name", F.col("attributes")["Mode"].alias("mode"), "citations", "last", "value", "source", "clash")
 
 
