@@ -37,6 +37,7 @@ COUNTRIES = [
     ("dubai", "UAE"), ("uae", "UAE"), ("netherlands", "NETHERLANDS"), ("amsterdam", "NETHERLANDS"),
     ("ireland", "IRELAND"), ("dublin", "IRELAND"),
 ]
+# Fixed values.
 REMOTE = r"\b(remote|work from home|wfh|anywhere)\b"
 HYBRID = r"\b(hybrid|flexible)\b"
 INDIA = r"\b(india|indian)\b"

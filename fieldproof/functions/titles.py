@@ -137,7 +137,9 @@ def _first(title: Column, rules: list[tuple[str, str]]) -> Column:
     out = None
     for pattern, value in rules:
         out = F.when(matches(title, pattern), F.lit(value)) if out is None else out.when(matches(title, pattern), F.lit(value))
-    return out.otherwise(F.lit("UNKNOWN"))
+    # one search without word edges tells most texts that match no rule
+    some = "|".join(f"(?:{p})" for p in dict.fromkeys(p.replace(r"\b", "") for p, _ in rules))
+    return F.when(title.rlike(some), out.otherwise(F.lit("UNKNOWN"))).otherwise(F.lit("UNKNOWN"))
 
 
 def technologies(title: Column) -> Column:

@@ -9,6 +9,7 @@ from fieldproof.functions.numbers import parse_date, parse_number
 from fieldproof.functions.places import match_places, parse_place
 from fieldproof.functions.text import contains_any, is_missing, js_round, matches, norm_key, truthy
 from fieldproof.functions.titles import match_titles, parse_title
+from fieldproof.sources.tables import stored
 
 KEYS = ["run_id", "record_id"]
 NUMERIC = ["less_than", "less_than_or_equal", "greater_than", "greater_than_or_equal", "between"]
@@ -16,10 +17,13 @@ SAME = ["equals", "contains", "semantic_match"]
 DIFFERENT = ["not_equals", "not_contains"]
 ROLE_FIELDS = ["role", "title", "designation", "position"]
 PLACE_FIELDS = ["location", "city", "country", "geography", "state"]
+# Fixed value.
 INDIAN_PLACES = r"\b(chennai|bengaluru|bangalore|hyderabad|pune|mumbai|delhi|noida|gurugram|gurgaon|kolkata|ahmedabad|jaipur|kochi|coimbatore|chandigarh|tamil\s*nadu|karnataka|maharashtra|telangana)\b"
 
 #: Constraints are few by nature; a larger table is joined without a broadcast.
 BROADCAST_ROWS = 100_000
+#: Distinct constrained fields that are looked up one by one.
+FIELDS = 64
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -27,11 +31,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
 
 
-def field_value(field: Column) -> Column:
+def entries_of() -> Column:
+    """The attributes of a record in order: key, its normal form, value."""
+    return F.transform("attr_order", lambda k: F.struct(k.alias("k"), norm_key(k).alias("n"), F.try_element_at("attributes", k).alias("v")))
+
+
+def field_value(field: Column, entries: Column | None = None) -> Column:
     """Value of a field in a record: exact key, key by normal form, key of the same family, then the fixed
-    columns. Needs attributes, attr_order and the fixed columns of records; "" without a value."""
+    columns. Needs attributes, attr_order and the fixed columns of records; "" without a value. ``entries`` is a column made by
+    ``entries_of``, where several fields are asked for; a literal field leaves only the rules that can hold for it."""
     target = norm_key(field)
-    entries = F.transform("attr_order", lambda k: F.struct(k.alias("k"), norm_key(k).alias("n"), F.try_element_at("attributes", k).alias("v")))
+    entries = entries_of() if entries is None else entries
     first = lambda keep: F.try_element_at(F.filter(entries, keep), F.lit(1))["v"]
     stated = lambda v: truthy(v) & ~v.isin("—", "Not disclosed")
 
@@ -78,6 +88,17 @@ def _items(value: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(value), "[,|]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def field_values(records: DataFrame, con: DataFrame, request_col: str) -> DataFrame:
+    """(run_id, record_id, request, field, actual): each field that a request's constraints name, once for each of its records."""
+    names = [r.field for r in con.select("field").distinct().limit(FIELDS + 1).collect()]
+    rows = records.withColumn("_entries", entries_of())
+    if len(names) <= FIELDS:  # each field by its own rules, all in one pass
+        values = F.array(*(F.struct(F.lit(f).alias("field"), field_value(F.lit(f), F.col("_entries")).alias("actual")) for f in sorted(names))) if names else F.array().cast("array<struct<field:string,actual:string>>")
+        return rows.select(*KEYS, request_col, F.inline(values))
+    asked = con.select(request_col, "field").distinct()
+    return rows.join(small(asked), request_col).select(*KEYS, request_col, "field", field_value(F.col("field"), F.col("_entries")).alias("actual"))
+
+
 def evaluate_constraints(records: DataFrame, constraints: DataFrame, request_col: str = "request_id") -> DataFrame:
     """One row for each record and hard constraint of its request.
 
@@ -85,13 +106,13 @@ def evaluate_constraints(records: DataFrame, constraints: DataFrame, request_col
     Missing values are UNKNOWN, never FAIL. Titles and places are compared once for each distinct pair.
     """
     con = constraints.where("hard").select(F.col(request_col), "c_seq", "field", "operator", "value", "value_to", "unit")
-    base = records.join(small(con), request_col).withColumn("actual", field_value(F.col("field")))
+    base = field_values(records, con, request_col).join(small(con), [request_col, "field"])
     f = norm_key(F.col("field"))
     role, place = contains_any(f, ROLE_FIELDS), contains_any(f, PLACE_FIELDS)
     op = F.col("operator")
     missing = is_missing(F.col("actual"))
     kind = F.when(missing, F.lit(None)).when(role & op.isin(SAME), F.lit("role")).when(place & op.isin(SAME + DIFFERENT), F.lit("place"))
-    base = base.select(*KEYS, "c_seq", "field", "operator", "value", "value_to", "unit", "actual", kind.alias("kind"))
+    base = stored(base.select(*KEYS, "c_seq", "field", "operator", "value", "value_to", "unit", "actual", kind.alias("kind")))
     titles, places = match_pairs(base.where("kind is not null").select("kind", F.col("value").alias("required"), "actual"))
     verdicts = titles.withColumn("kind", F.lit("role")).unionByName(places.withColumn("kind", F.lit("place"))).withColumnRenamed("required", "value")
     base = base.join(verdicts.hint("shuffle_hash"), ["kind", "value", "actual"], "left")
@@ -169,8 +190,8 @@ def completeness(records: DataFrame, required: list[str], optional: list[str] =
     need = [f for f in required if "".join(ch for ch in f.lower() if ch.isascii() and ch.isalnum()) not in skip]
     if not need:
         return records.select(*KEYS, F.array().cast("array<string>").alias("missing_fields"), F.lit(100).cast("long").alias("completeness"))
-    gone = F.array_compact(F.array(*(F.when(is_missing(field_value(F.lit(f))), F.lit(f)) for f in need)))
-    return records.select(*KEYS, gone.alias("missing_fields")).withColumn("completeness", js_round((len(need) - F.size("missing_fields")) * 100 / len(need)))
+    gone = F.array_compact(F.array(*(F.when(is_missing(field_value(F.lit(f), F.col("_entries"))), F.lit(f)) for f in need)))
+    return records.withColumn("_entries", entries_of()).select(*KEYS, gone.alias("missing_fields")).withColumn("completeness", js_round((len(need) - F.size("missing_fields")) * 100 / len(need)))
 
 
 def qualify(records: DataFrame, evals: DataFrame, complete: DataFrame, conflicts: DataFrame, evidence: DataFrame) -> DataFrame:

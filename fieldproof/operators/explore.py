@@ -105,7 +105,7 @@ def notifications(runs: DataFrame, read: DataFrame | None = None) -> DataFrame:
     note = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.cast("long").alias("amount"))
     feed = F.array(note("completed", F.col("collected")), F.when(F.col("conflicts") > 0, note("conflicts", F.col("conflicts"))), F.when(F.col("incomplete") > 0, note("incomplete", F.col("incomplete"))))
     out = runs.select("run_id", F.inline(F.array_compact(feed))).select(F.concat_ws("-", F.col("run_id").cast("string"), "kind").alias("id"), "run_id", "kind", "amount")
-    return out.join(read.select("id").distinct(), "id", "left_anti") if read is not None else out
+    return out.join(read.select("id").distinct().hint("merge"), "id", "left_anti") if read is not None else out
 
 
 def overview(runs: DataFrame, evidence: DataFrame, requests: DataFrame | None = None) -> DataFrame:

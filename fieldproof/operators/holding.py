@@ -26,6 +26,6 @@ def holders(texts: DataFrame, wheres: DataFrame) -> DataFrame:
     often = held.groupBy("run_id", "part").agg(F.count("*").alias("n"))
     own = F.when(F.length("text") >= PART, _parts(F.col("text"), PART)).otherwise(F.array("text"))
     # a part that no holder has leaves the text without holders: it counts as rarest and meets nothing
-    parts = need.select("run_id", "text", F.explode(own).alias("part")).join(often, ["run_id", "part"], "left")
+    parts = need.select("run_id", "text", F.explode(own).alias("part")).join(often.hint("merge"), ["run_id", "part"], "left")
     rare = parts.groupBy("run_id", "text").agg(F.min_by("part", F.coalesce("n", F.lit(0))).alias("part"))
-    return rare.join(held, ["run_id", "part"]).where(F.contains("holder", F.col("text"))).select("run_id", "text", "holder")
+    return rare.join(held.hint("merge"), ["run_id", "part"]).where(F.contains("holder", F.col("text"))).select("run_id", "text", "holder")

@@ -7,16 +7,24 @@ from pyspark.sql import functions as F
 
 from fieldproof.functions.text import is_missing, js_round, truthy
 from fieldproof.functions.urls import host, source_type
+from fieldproof.operators.constraints import small
 from fieldproof.operators.holding import holders
 
 
+#: Parts of a group that are ranked on their own before the best of them are.
+PARTS = 64
+
+
 def source_summary(evidence: DataFrame, top: int = 10) -> DataFrame:
     """(run_id, rank, domain, type, records, confirmed, reliability): the hosts a run cites most, ties by name."""
     bare = F.regexp_replace(F.lower(F.coalesce("source", F.lit(""))), "[^a-z0-9.]", "")
     domain = F.when(~truthy(F.col("url")), "web-source").otherwise(F.coalesce(host(F.col("url")), F.nullif(bare, F.lit("")), F.lit("source")))
     counts = evidence.groupBy("run_id", domain.alias("domain")).agg(F.count("*").alias("records"), F.count_if(F.col("verification") == "Confirmed").alias("confirmed"))
-    rank = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("records"), "domain"))
-    out = counts.withColumn("rank", rank).where(F.col("rank") <= top)
+    best = [F.desc("records"), F.col("domain")]
+    # the first of each of many parts of a run's hosts, and then of those
+    part = F.row_number().over(Window.partitionBy("run_id", F.pmod(F.xxhash64("domain"), F.lit(PARTS))).orderBy(*best))
+    rank = F.row_number().over(Window.partitionBy("run_id").orderBy(*best))
+    out = counts.withColumn("n", part).where(F.col("n") <= top).withColumn("rank", rank).where(F.col("rank") <= top)
     return out.select("run_id", "rank", "domain", source_type(F.col("domain")).alias("type"), "records", "confirmed", js_round(F.least(F.lit(99.0), F.greatest(F.lit(50.0), F.col("confirmed") * 100 / F.col("records")))).alias("reliability"))
 
 
@@ -28,10 +36,13 @@ def gap_report(verdicts: DataFrame, evals: DataFrame, records: DataFrame, constr
     need = verdicts.where("status = 'Needs verification'").select("run_id", "record_id", "missing_fields")
     unknown = evals.where("result = 'UNKNOWN'").select("run_id", "record_id", "field").join(need.select("run_id", "record_id"), ["run_id", "record_id"], "left_semi")
     gaps = unknown.unionByName(need.select("run_id", "record_id", F.explode("missing_fields").alias("field"))).distinct()
-    each = gaps.join(records.select("run_id", "record_id", "entity_name"), ["run_id", "record_id"]).select("run_id", "field", "entity_name").distinct()
-    first = F.row_number().over(Window.partitionBy("run_id", "field").orderBy("entity_name"))
-    each = each.withColumn("n", first).groupBy("run_id", "field").agg(F.count("*").alias("n_entities"), F.array_sort(F.collect_list(F.when(F.col("n") <= names, F.col("entity_name")))).alias("entities"))
-    hard = F.broadcast(constraints.where("hard").select("field").distinct().limit(100_000).withColumn("is_constraint", F.lit(True)))
+    each = gaps.join(records.select("run_id", "record_id", "entity_name").hint("merge"), ["run_id", "record_id"]).select("run_id", "field", "entity_name").distinct()
+    # the first names of each of many parts, and then of those: no field's names are one task's work
+    part = each.withColumn("part", F.pmod(F.xxhash64("entity_name"), F.lit(PARTS)))
+    first = F.row_number().over(Window.partitionBy("run_id", "field", "part").orderBy("entity_name"))
+    some = part.withColumn("n", first).groupBy("run_id", "field", "part").agg(F.count("*").alias("m"), F.collect_list(F.when(F.col("n") <= names, F.col("entity_name"))).alias("e"))
+    each = some.groupBy("run_id", "field").agg(F.sum("m").alias("n_entities"), F.slice(F.array_sort(F.flatten(F.collect_list("e"))), 1, names).alias("entities"))
+    hard = small(constraints.where("hard").select("field").distinct().withColumn("is_constraint", F.lit(True)))
     each = each.join(hard, "field", "left").withColumn("is_constraint", F.coalesce("is_constraint", F.lit(False)))
     rank = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("is_constraint"), F.desc("n_entities"), "field"))
     return each.withColumn("rank", rank).where(F.col("rank") <= top).select("run_id", "rank", "field", "is_constraint", "n_entities", "entities")
@@ -61,7 +72,7 @@ def enrich(fields: DataFrame, names: DataFrame, found: DataFrame) -> DataFrame:
     got = new.join(owner, ["run_id", "k"]).groupBy("run_id", "record_id", "field").agg(F.min(F.struct("value", "url")).alias("v"))
     open_ = fields.where(is_missing(F.col("value"))).select("run_id", "record_id", "field")
     verified = F.when(truthy(F.col("url")), "Confirmed").otherwise("Needs verification")
-    return got.join(open_, ["run_id", "record_id", "field"], "left_semi").select("run_id", "record_id", "field", "v.value", "v.url").withColumn("verification", verified)
+    return got.join(open_.hint("merge"), ["run_id", "record_id", "field"], "left_semi").select("run_id", "record_id", "field", "v.value", "v.url").withColumn("verification", verified)
 
 
 def new_candidates(existing: DataFrame, found: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def complete_evidence(fields: DataFrame, evidence: DataFrame, sources: DataFrame
     fields(run_id, record_id, entity_name, field, value); sources(run_id, url, title, snippet, search_rank).
     """
     cited = evidence.select("run_id", "record_id", F.lower("field").alias("f")).distinct()
-    open_ = fields.where(~is_missing(F.col("value"))).withColumn("f", F.lower("field")).join(cited, ["run_id", "record_id", "f"], "left_anti")
+    open_ = fields.where(~is_missing(F.col("value"))).withColumn("f", F.lower("field")).join(cited.hint("merge"), ["run_id", "record_id", "f"], "left_anti")
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     # each distinct text is looked for once, in the distinct texts of the sources
     values, names = (open_.select("run_id", F.lower(c).alias("text")).where("text is not null").distinct() for c in ("value", "entity_name"))
@@ -132,7 +132,7 @@ def complete_evidence(fields: DataFrame, evidence: DataFrame, sources: DataFrame
     first = lambda c: F.min_by(c, F.struct(f"{c}.search_rank", f"{c}.url"))
     firsts = hits.groupBy("run_id", "kind", "text").agg(first("s").alias("s"))
     asked = open_.select("run_id", "record_id", "field", "value", F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.lower(c).alias("text")) for c in ("value", "entity_name")))).alias("a"))
-    found = asked.select("run_id", "record_id", "field", "value", "a.*").join(firsts, ["run_id", "kind", "text"])
+    found = asked.select("run_id", "record_id", "field", "value", "a.*").join(firsts.hint("merge"), ["run_id", "kind", "text"])
     best = found.groupBy("run_id", "record_id", "field").agg(F.min_by(F.struct("value", "s.url", "s.title", "s.snippet"), F.struct("s.search_rank", "s.url")).alias("s"))
     return best.select("run_id", "record_id", "field", "s.value", F.col("s.title").alias("source"), "s.url", "s.snippet")
 
@@ -173,7 +173,7 @@ def optional_fields(requests: DataFrame, id_col: str, text_col: str) -> DataFram
 
 def merge_constraints(stated: DataFrame, found: DataFrame, key: str = "request_id") -> DataFrame:
     """Stated constraints, plus those found whose (request, field, operator) is not stated."""
-    return stated.unionByName(found.join(stated.select(key, "field", "operator"), [key, "field", "operator"], "left_anti"), allowMissingColumns=True)
+    return stated.unionByName(found.join(stated.select(key, "field", "operator").hint("merge"), [key, "field", "operator"], "left_anti"), allowMissingColumns=True)
 
 
 def constraint_label(field: Column, operator: Column, value: Column, value_to: Column, unit: Column) -> Column:

@@ -12,6 +12,7 @@ from fieldproof.functions.numbers import parse_date
 from fieldproof.functions.text import contains_any, extract, is_missing, js_round, matches, norm_key, truthy
 from fieldproof.functions.titles import match_titles, parse_title
 from fieldproof.functions.urls import NO_URL, SCORING_SECOND_LEVEL, root_domain, source_tier, tier_score
+from fieldproof.sources.tables import stored
 
 KEYS = ["run_id", "record_id"]
 # Fixed values.
@@ -45,20 +46,21 @@ def directness(fields: DataFrame, evidence: DataFrame) -> DataFrame:
     f, ef = norm_key(F.col("field")), norm_key(F.col("ev_field"))
     ev = evidence.select(*KEYS, F.col("field").alias("ev_field"), F.trim(F.coalesce("snippet", F.lit(""))).alias("snippet"))
     stated = fields.where(~is_missing(F.col("value"))).withColumn("v", F.lower(F.trim("value")))
-    rows = stated.join(ev, KEYS, "left")
+    rows = stated.join(ev.hint("merge"), KEYS, "left")
     low = F.lower("snippet")
     holds = F.contains(low, F.col("v")) & (F.col("snippet") != "")
     mine = F.contains(ef, f) | F.contains(f, ef) | ((F.lower("ev_field") == "general") & holds)
     role = contains_any(f, ["role", "title"])
     weak = (F.length("snippet") < 15) | contains_any(low, BOILERPLATE) | (F.contains(low, F.lit("technology company")) & F.contains(f, F.lit("role")))
     rows = rows.withColumns({"mine": F.coalesce(mine, F.lit(False)), "holds": F.coalesce(holds, F.lit(False)), "role": role, "weak": F.coalesce(weak, F.lit(True)), "f": f})
+    rows = stored(rows.select(*KEYS, "field", "value", "snippet", "mine", "holds", "role", "weak", "f"))
     titles = _title_matches(rows.where("mine and role and not weak and not holds"), "value", "snippet").withColumnsRenamed({"x": "value", "y": "snippet"})
     rows = rows.join(titles.hint("shuffle_hash"), ["value", "snippet"], "left")
     asserted = F.col("holds") | (F.contains("f", F.lit("exp")) & matches(F.col("snippet"), YEARS)) | F.coalesce("title_match", F.lit(False))
     each = F.when(F.col("mine"), F.when(F.col("weak"), 25).when(asserted, 100).when(F.length("snippet") >= 25, 65).otherwise(25))
     best = rows.groupBy(*KEYS, "field").agg(F.max(each).alias("own"), F.bool_or("holds").alias("mentioned"))
     score = F.coalesce("own", F.when(F.col("mentioned"), 60), F.lit(0))
-    out = fields.select(*KEYS, "field").join(best, [*KEYS, "field"], "left").withColumn("score", score)
+    out = fields.select(*KEYS, "field").join(best.hint("merge"), [*KEYS, "field"], "left").withColumn("score", score)
     level = F.when(F.col("score") == 100, "DIRECT").when(F.col("score") >= 60, "INDIRECT").when(F.col("score") == 25, "WEAK").otherwise("MISSING")
     return out.select(*KEYS, "field", "score", level.alias("level"))
 
@@ -122,7 +124,7 @@ def fidelity(fields: DataFrame, evidence: DataFrame) -> DataFrame:
     stated = fields.where(F.col("value").isNotNull() & ~F.col("value").isin("—", "Not disclosed"))
     f, ef = norm_key(F.col("field")), norm_key(F.col("ev_field"))
     ev = evidence.select(*KEYS, F.col("field").alias("ev_field"), "ev_seq", "snippet")
-    rows = stated.join(ev, KEYS, "left").withColumn("mine", F.contains(ef, f))
+    rows = stated.join(ev.hint("merge"), KEYS, "left").withColumn("mine", F.contains(ef, f))
     first = rows.groupBy(*KEYS, "field", "value").agg(F.min_by(F.when(F.col("mine"), F.coalesce("snippet", F.lit(""))), F.when(F.col("mine"), F.col("ev_seq"))).alias("snippet"))
     low = F.lower("snippet")
     literal = F.contains(low, F.lower(F.trim("value")))
@@ -131,7 +133,7 @@ def fidelity(fields: DataFrame, evidence: DataFrame) -> DataFrame:
     first = first.join(titles.hint("shuffle_hash"), ["value", "low"], "left")
     each = F.when(~truthy(F.col("snippet")), 50).when(F.col("literal"), 100).when(contains_any(f, ["experience", "salary", "size"]), 92).when(F.col("role"), F.when(F.col("title_match"), 88).otherwise(60)).otherwise(75)
     mean = first.groupBy(*KEYS).agg(js_round(F.avg(each)).alias("fidelity"))
-    return fields.select(*KEYS).distinct().join(mean, KEYS, "left").select(*KEYS, F.coalesce("fidelity", F.lit(40)).alias("fidelity"))
+    return fields.select(*KEYS).distinct().join(mean.hint("merge"), KEYS, "left").select(*KEYS, F.coalesce("fidelity", F.lit(40)).alias("fidelity"))
 
 
 def freshness(records: DataFrame, evidence: DataFrame, as_of: Column, required: bool = False) -> DataFrame:
@@ -152,11 +154,13 @@ def reliability(records: DataFrame, fields: DataFrame, evidence: DataFrame, conf
     ``fields`` are the required fields of each record. A conflict on one of them costs 35, any other 15; an inconsistent entity 35,
     fidelity under 60 10, each missing field 6.
     """
+    # seven parts read them: what they come from is worked out once
+    evidence, fields = stored(evidence), stored(fields)
     parts = records.select(*KEYS)
     for part in (support(directness(fields, evidence)), source_quality(records, evidence), agreement(records, evidence, conflicts), consistency(records, evidence), fidelity(fields, evidence), freshness(records, evidence, as_of, fresh_required)):
-        parts = parts.join(part, KEYS, "left")
+        parts = parts.join(part.hint("merge"), KEYS, "left")
     low = lambda c: F.lower(c)
-    clash = conflicts.select(*KEYS, F.col("field").alias("cf")).join(fields.select(*KEYS, "field"), KEYS, "left").groupBy(*KEYS).agg(F.bool_or(F.contains(low("field"), low("cf")) | F.contains(low("cf"), low("field"))).alias("hits"))
+    clash = conflicts.select(*KEYS, F.col("field").alias("cf")).join(fields.select(*KEYS, "field").hint("merge"), KEYS, "left").groupBy(*KEYS).agg(F.bool_or(F.contains(low("field"), low("cf")) | F.contains(low("cf"), low("field"))).alias("hits"))
     parts = parts.join(clash.withColumn("clash", F.lit(True)), KEYS, "left")
     conflict_penalty = F.when(F.col("clash").isNull(), 0).when(F.col("hits"), 35).otherwise(15)
     inference = F.when(F.col("consistency") < 100, 35).otherwise(0) + F.when(F.col("fidelity") < 60, 10).otherwise(0) + 6 * F.coalesce("missing", F.lit(0))

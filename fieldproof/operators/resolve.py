@@ -42,9 +42,11 @@ def signatures(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = records.select("run_id", "record_id", "ingest_seq", norm_entity_name(F.col("entity_name")).alias("name"), F.when(~domain.isin(THIRD_PARTY), domain).alias("domain"), stated("role").alias("title"), F.lower(stated("location")).alias("place"))
     rows = rows.withColumn("generic", is_generic(F.col("name"))).withColumn("own", F.when(F.col("generic"), F.col("ingest_seq")))
     by = ["run_id", "name", "domain", "title", "place", "generic", "own"]
-    sigs = rows.groupBy(*by).agg(F.min("ingest_seq").alias("sig"))
+    rows = stored(rows.withColumn("k", F.xxhash64(*by)))  # names, domains and places are worked out once
+    sigs = rows.groupBy("k", *by).agg(F.min("ingest_seq").alias("sig"))
     named = sigs.withColumnsRenamed({c: f"_{c}" for c in by})
-    assigned = rows.join(named.hint("merge"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]).select("run_id", "record_id", "ingest_seq", "sig")
+    same = [rows["k"] == named["k"], *(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by)]
+    assigned = rows.join(named.hint("merge"), same).select("run_id", "record_id", "ingest_seq", "sig")
     return assigned, sigs.select("sig", "run_id", "name", "domain", "title", "place", "generic")
 
 
@@ -120,14 +122,14 @@ def merge_evidence(clustered: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def merge_attributes(clustered: DataFrame, fields: DataFrame) -> DataFrame:
     """(run_id, cluster, field, value): the first stated value of each field(run_id, record_id, field, value) in record order."""
-    stated = fields.where(~is_missing(F.col("value"))).join(clustered, ["run_id", "record_id"])
+    stated = fields.where(~is_missing(F.col("value"))).join(clustered.hint("merge"), ["run_id", "record_id"])
     return stated.groupBy("run_id", "cluster", "field").agg(F.min_by("value", F.struct("ingest_seq", "value")).alias("value"))
 
 
 def conflicts(clustered: DataFrame, fields: DataFrame) -> DataFrame:
     """(run_id, cluster, field, n_values, values): fields with values that differ by letters and digits within a cluster. No
     value is chosen. ``values`` holds one spelling of each, the earliest, in order."""
-    stated = fields.where(~is_missing(F.col("value"))).join(clustered, ["run_id", "record_id"])
+    stated = fields.where(~is_missing(F.col("value"))).join(clustered.hint("merge"), ["run_id", "record_id"])
     each = stated.withColumn("norm", norm_key(F.col("value"))).where(truthy(F.col("norm"))).groupBy("run_id", "cluster", "field", "norm").agg(F.min(F.struct("ingest_seq", "value")).alias("v"))
     out = each.groupBy("run_id", "cluster", "field").agg(F.count("*").alias("n_values"), F.array_sort(F.collect_list("v")).alias("v")).where("n_values > 1")
     return out.select("run_id", "cluster", "field", "n_values", F.transform("v", lambda x: x["value"]).alias("values"))

@@ -31,9 +31,10 @@ def _evals(spark: SparkSession, d: str, request: str) -> DataFrame:
     return C.evaluate_constraints(A.records(spark, d, request), A.constraints(spark))
 
 
-def _verdicts(spark: SparkSession, d: str) -> DataFrame:
-    rec, ev = A.records(spark, d), A.evidence(spark, d)
-    return C.qualify(rec, _evals(spark, d, "Q"), C.completeness(rec, A.REQUIRED, ["experience"]), A.clashes(ev), ev)
+def _verdicts(spark: SparkSession, d: str, evals: DataFrame | None = None) -> DataFrame:
+    rec, ev = A.records(spark, d), tables.stored(A.evidence(spark, d).select("run_id", "record_id", "field", "value", "verification"))
+    evals = _evals(spark, d, "Q") if evals is None else evals
+    return C.qualify(rec, evals, C.completeness(rec, A.REQUIRED, ["experience"]), A.clashes(ev), ev)
 
 
 @query
@@ -142,7 +143,7 @@ def source_quality(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def source_agreement(spark: SparkSession, d: str) -> DataFrame:
-    ev = A.evidence(spark, d)
+    ev = tables.stored(A.evidence(spark, d))
     return reliability.agreement(A.records(spark, d), ev, A.clashes(ev)).drop("run_id")
 
 
@@ -232,7 +233,8 @@ def source_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def gap_report(spark: SparkSession, d: str) -> DataFrame:
-    out = improve.gap_report(_verdicts(spark, d), _evals(spark, d, "Q"), A.records(spark, d), A.constraints(spark).where("request_id = 'Q'"))
+    evals = tables.stored(_evals(spark, d, "Q"))
+    out = improve.gap_report(tables.stored(_verdicts(spark, d, evals)), evals, A.records(spark, d), A.constraints(spark).where("request_id = 'Q'"))
     return out.withColumn("entities", F.array_join("entities", "|"))
 
 
