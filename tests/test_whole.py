@@ -36,12 +36,15 @@ def test_holders(spark):
 def test_complete_evidence_reads_all_records_and_sources(spark):
     cited = {(r.record_id, r.field.lower()) for r in A.evidence(spark, DIR).where("verification = 'Confirmed'").collect()}
     parts = {r.p_partkey: r.p_name for r in A.table(spark, DIR, "part").collect()}
+    run = lambda k: f"RUN-{k % 3 + 1}"
     sources = sorted((r.s_suppkey, f"https://s.example.com/{r.s_suppkey}", r.s_name, f"About {parts[7 * r.s_suppkey]} in Bangalore") for r in A.table(spark, DIR, "supplier").collect() if 7 * r.s_suppkey in parts)
     want = set()
     for r in A.fields(spark, DIR).collect():
         if missing(r.value) or (r.record_id, r.field.lower()) in cited:
             continue
-        for _, url, title, snippet in sources:
+        for k, url, title, snippet in sources:
+            if run(k // 2) != r.run_id:
+                continue
             if r.value.lower() in snippet.lower() or r.entity_name.lower() in snippet.lower() or r.entity_name.lower() in title.lower():
                 want.add((r.record_id, r.field, r.value, title, url, snippet))
                 break
@@ -51,14 +54,15 @@ def test_complete_evidence_reads_all_records_and_sources(spark):
 
 
 def test_enrich_gives_to_the_first_record_of_all(spark):
-    rec = [(r.ingest_seq, r.record_id, alnum(r.entity_name)) for r in A.records(spark, DIR).collect()]
+    rec = [(r.ingest_seq, r.record_id, alnum(r.entity_name), r.run_id) for r in A.records(spark, DIR).collect()]
     open_ = {r.record_id for r in A.fields(spark, DIR, ["Salary"]).collect() if missing(r.value)}
     best = {}
     for r in queries._found_later(spark, DIR).collect():
         k = alnum(r.entity_name)
         if missing(r.value) or r.value.lower() == "n/a" or not k:
             continue
-        near = [x for x in rec if x[2] == k] or [x for x in rec if x[2] and (x[2] in k or k in x[2])]
+        mine = [x for x in rec if x[3] == r.run_id]
+        near = [x for x in mine if x[2] == k] or [x for x in mine if x[2] and (x[2] in k or k in x[2])]
         if near:
             owner = min(near)[1]
             v = (r.value, r.url is not None, r.url)
@@ -69,12 +73,14 @@ def test_enrich_gives_to_the_first_record_of_all(spark):
 
 
 def test_new_candidates_knows_all_records(spark):
-    rec = [(r.record_id, r.entity_name) for r in A.records(spark, DIR).collect()]
-    got = [tuple(r) for r in queries.new_candidates(spark, DIR).select("record_id", "entity_name").collect()]
+    rec = [(r.run_id, r.record_id, r.entity_name) for r in A.records(spark, DIR).collect()]
+    one = min(n for _, _, n in rec)
+    got = [tuple(r) for r in queries.new_candidates(spark, DIR).select("run_id", "record_id", "entity_name").collect()]
     assert set(rec) <= set(got)
-    known = {n.strip().lower() for _, n in rec} - {""}
-    assert not [n for i, n in got if i > 10_000_000 and n.strip().lower() in known]
-    assert len(got) == len(rec) + sum(c.c_custkey % 4 == 1 or {0: "small ring"}.get(c.c_custkey % 4, c.c_name.strip().lower()) not in known for c in A.table(spark, DIR, "customer").collect())
+    known = {(run, n.strip().lower()) for run, _, n in rec} - {("RUN-1", ""), ("RUN-2", ""), ("RUN-3", "")}
+    offered = [(f"RUN-{c.c_custkey % 3 + 1}", {0: "small ring", 1: "", 2: one}.get(c.c_custkey % 4, c.c_name).strip().lower()) for c in A.table(spark, DIR, "customer").collect()]
+    assert sorted((run, n.strip().lower()) for run, i, n in got if i > 10_000_000) == sorted(x for x in offered if x not in known)
+    assert 0 < sum(x in known for x in offered) < len(offered)
 
 
 def test_role_match_has_both_directions(spark):
