@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 EVIDENCE = "array<struct<field:string,value:string,source:string,url:string,retrieved:string,snippet:string,verification:string>>"
 CONFLICTS = "array<struct<field:string,values:array<struct<source:string,value:string,url:string,retrieved:string,snippet:string>>>>"
@@ -86,8 +88,10 @@ def with_ids(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def write_run(tables: dict[str, DataFrame], path: str) -> None:
-    """One folder for each table, with ids, partitioned by run_id; only the partitions of the runs written are replaced."""
+    """One folder for each table, with ids, partitioned by run_id; only the partitions of the runs written are replaced. The columns are
+    written beside them, as a table without rows leaves no file to read them from."""
     for name, df in with_ids(tables).items():
+        df.sparkSession.createDataFrame([(df.schema.json(),)], "columns string").write.mode("overwrite").text(f"{path}/columns/{name}")
         writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         (writer.partitionBy("run_id") if "run_id" in df.columns else writer).parquet(f"{path}/{name}")
 
@@ -95,7 +99,8 @@ def write_run(tables: dict[str, DataFrame], path: str) -> None:
 def read_run(spark: SparkSession, path: str, run_id: str) -> dict[str, DataFrame]:
     """One run by partition-pruned reads: ``records`` with their evidence and conflicts nested, ``sources`` by search_rank, and ``run``,
     its counters, where a counter that is missing (or not positive, of collected and unique) is counted from the records."""
-    part = lambda name: spark.read.parquet(f"{path}/{name}").where(F.col("run_id") == run_id)
+    columns = lambda name: StructType.fromJson(json.loads(spark.read.text(f"{path}/columns/{name}").first()[0]))
+    part = lambda name: spark.read.schema(columns(name)).parquet(f"{path}/{name}").where(F.col("run_id") == run_id)
     records = part("records")
     n = lambda s: F.count_if(F.col("qualification_status") == s)
     live = records.agg(F.count("*").alias("l_collected"), F.count("*").alias("l_unique"), n("Qualified").alias("l_validated"), n("Conflict").alias("l_conflicts"), n("Needs verification").alias("l_incomplete"))
