@@ -176,6 +176,14 @@ class Lookup:
         return at[ok], ix[ok]
 
 
+def spread_join(rows: DataFrame, ones: DataFrame, key: str, by: str, salts: int = 16) -> DataFrame:
+    """rows joined with ``ones``, a table with one row for each of few keys, in ``salts`` parts of each key by the column ``by``:
+    a key with many rows is several tasks' work."""
+    more = ones.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64(F.col(by), F.lit(3)), F.lit(salts)).cast("int")
+    return rows.withColumn("_salt", salt).join(more.hint("merge"), [key, "_salt"]).drop("_salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)``: rows (id, component) with the smallest id reachable, for linked ids.
 

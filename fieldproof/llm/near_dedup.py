@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldproof.llm.kit import SPACE, Words, components, mix64, pieces, stored, union_all
+from fieldproof.llm.kit import SPACE, Words, components, mix64, pieces, spread_join, stored, union_all
 
 BINS = 256
 #: Chance that a pair right at the similarity bound shares no bucket.
@@ -154,7 +154,7 @@ def _block_links(members: DataFrame, sigs: DataFrame, texts: DataFrame, k: int,
     components are linked. Only links leave a task, never the pairs it looked at."""
     size = members.groupBy("bucket").agg(F.count("*").alias("m"), F.sum((F.col("comp") != F.col("major")).cast("int")).alias("minor"))
     sets = _sets_of(members.select(F.col("rep").alias("id")), texts, k).withColumnRenamed("id", "rep")
-    rows = members.join(size.hint("merge"), "bucket").join(sigs.join(sets.hint("merge"), "rep").hint("merge"), "rep")
+    rows = spread_join(members, size, "bucket", "rep").join(sigs.join(sets.hint("merge"), "rep").hint("merge"), "rep")
     blocks, minors = F.ceil(F.col("m") / BLOCK).cast("int"), F.ceil(F.col("minor") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     mine_minor = F.pmod(F.xxhash64("rep", F.lit(1)), minors).cast("int")
@@ -236,12 +236,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         # buckets with two members are settled; of buckets with equal members one is enough
         where = members.where("m > 2").join(comp.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("bucket", "rep", "m", F.coalesce("component", "rep").alias("comp"))
         open_ = where.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("x"), F.first("m").alias("m")).where("lo <> hi").groupBy("m", "x", "lo").agg(F.min("bucket").alias("bucket")).select("bucket")
-        left = stored(where.join(open_.hint("merge"), "bucket").select("bucket", "rep", "comp"))
+        left = stored(spread_join(where, open_, "bucket", "rep").select("bucket", "rep", "comp"))
         # the next hub of a bucket is the member of its largest component that has been linked most often, so most central
         degree = union_all(links).select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
         left = left.join(degree.hint("merge"), "rep", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
         major = left.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.max_by("rep", F.struct("degree", F.xxhash64("rep", F.lit(n)))).alias("hub")).groupBy("bucket").agg(F.max_by(F.struct("comp", "hub"), F.struct("c", "comp")).alias("v")).select("bucket", F.col("v.comp").alias("major"), F.col("v.hub").alias("hub"))
-        left = left.join(major.hint("merge"), "bucket")
+        left = spread_join(left, major, "bucket", "rep")
         if n < star_rounds - 1:
             edges = left.where("comp <> major").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
             links.append(stored(_confirmed(stored(_screened(edges, sigs, least)), texts, k, num, den)))
