@@ -185,6 +185,18 @@ def seniority_match(required: Column, actual: Column) -> Column:
     return F.when(required == "UNKNOWN", F.lit(True)).when(actual == "UNKNOWN", F.lit(None)).otherwise(apart <= 1)
 
 
+def titles_clash(required: Column, actual: Column) -> Column:
+    """Whether ``match_titles`` says NO_MATCH, without its reasons."""
+    no = lambda c: F.coalesce(~c, F.lit(False))
+    return no(family_match(required["family"], actual["family"])) | no(technology_match(required["technologies"], actual["technologies"])) | no(seniority_match(required["seniority"], actual["seniority"]))
+
+
+def titles_match(required: Column, actual: Column) -> Column:
+    """Whether ``match_titles`` says MATCH, without its reasons."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return yes(family_match(required["family"], actual["family"])) & yes(technology_match(required["technologies"], actual["technologies"])) & F.coalesce(seniority_match(required["seniority"], actual["seniority"]), F.lit(True))
+
+
 def match_titles(required: Column, actual: Column) -> Column:
     """struct(result, reason) of two parsed titles: MATCH, NO_MATCH or UNKNOWN."""
     fam, tech, sen = family_match(required["family"], actual["family"]), technology_match(required["technologies"], actual["technologies"]), seniority_match(required["seniority"], actual["seniority"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldproof.functions.text import contains_any, norm_key, truthy
@@ -89,16 +89,18 @@ def safe_link(url: Column) -> Column:
     return F.when(~url.isin(*NO_URL) & v["valid"], v["canonical_url"]).otherwise(F.lit("#"))
 
 
-def source_tier(url: Column, entity: Column) -> Column:
-    """Tier of a source for an entity: the first rule that holds."""
-    d, p, e = F.coalesce(host(url), F.lit("")), path(url), norm_key(F.coalesce(entity, F.lit("")))
+def tier_of(url: Column, domain: Column, path_: Column, entity: Column) -> Column:
+    """Tier of a source for an entity, by its host ("" for none), its path and the entity's name in letters and digits: the first rule that holds.
+
+    The rules look at host and path many times, so they should be columns that are worked out already."""
+    d, p, e = domain, path_, entity
     tokens = F.split(d, "[.-]")
     own = (F.length(e) >= 3) & F.exists(tokens, lambda t: (t == e) | ((F.length(t) >= 4) & F.contains(e, t)))
     ats = contains_any(d, ATS)
     career = contains_any(p, CAREER_PATHS) | d.startswith("careers.") | d.startswith("jobs.")
     return (
         F.when(url.isNull() | url.isin(NO_URL), F.lit("SEARCH_SNIPPET"))
-        .when((own & (career | F.contains(d, e))) | (ats & (own | F.contains(p, e))), F.lit("PRIMARY_OFFICIAL"))
+        .when(((career | F.contains(d, e)) & own) | (ats & (F.contains(p, e) | own)), F.lit("PRIMARY_OFFICIAL"))
         .when(d.endswith(".gov") | d.endswith(".edu") | contains_any(d, [".gov.", ".nic.in", ".edu.", ".ac.in"]), F.lit("AUTHORITATIVE"))
         .when(contains_any(d, ESTABLISHED), F.lit("ESTABLISHED_PLATFORM"))
         .when(contains_any(d, AGGREGATORS), F.lit("AGGREGATOR"))
@@ -107,6 +109,13 @@ def source_tier(url: Column, entity: Column) -> Column:
     )
 
 
+def with_tier(rows: DataFrame, url: str = "url", entity: str = "entity_name", to: str = "tier") -> DataFrame:
+    """The rows with the tier of each URL for its entity; host, path and name are worked out once for each row."""
+    u = F.col(url)
+    known = rows.withColumns({"_d": F.coalesce(host(u), F.lit("")), "_p": path(u), "_e": norm_key(F.coalesce(entity, F.lit("")))})
+    return known.withColumn(to, tier_of(u, F.col("_d"), F.col("_p"), F.col("_e"))).drop("_d", "_p", "_e")
+
+
 def tier_score(tier: Column) -> Column:
     out = F.lit(None).cast("int")
     for t, s in TIER_SCORES.items():

@@ -22,7 +22,7 @@ INDIAN_PLACES = r"\b(chennai|bengaluru|bangalore|hyderabad|pune|mumbai|delhi|noi
 
 #: Constraints are few by nature; a larger table is joined without a broadcast.
 BROADCAST_ROWS = 100_000
-#: Distinct constrained fields that are looked up one by one.
+#: Distinct constrained fields, by request, that are looked up one by one.
 FIELDS = 64
 
 
@@ -90,11 +90,12 @@ def _items(value: Column) -> Column:
 
 def field_values(records: DataFrame, con: DataFrame, request_col: str) -> DataFrame:
     """(run_id, record_id, request, field, actual): each field that a request's constraints name, once for each of its records."""
-    names = [r.field for r in con.select("field").distinct().limit(FIELDS + 1).collect()]
+    pairs = con.select("field", request_col).distinct().limit(FIELDS + 1).collect()
     rows = records.withColumn("_entries", entries_of())
-    if len(names) <= FIELDS:  # each field by its own rules, all in one pass
-        values = F.array(*(F.struct(F.lit(f).alias("field"), field_value(F.lit(f), F.col("_entries")).alias("actual")) for f in sorted(names))) if names else F.array().cast("array<struct<field:string,actual:string>>")
-        return rows.select(*KEYS, request_col, F.inline(values))
+    if len(pairs) <= FIELDS:  # each field by its own rules, all in one pass
+        of = {f: [r[1] for r in pairs if r[0] == f] for f in sorted({r[0] for r in pairs})}
+        values = F.array(*(F.struct(F.lit(f).alias("field"), F.when(F.col(request_col).isin(rs), field_value(F.lit(f), F.col("_entries"))).alias("actual")) for f, rs in of.items())) if of else F.array().cast("array<struct<field:string,actual:string>>")
+        return rows.select(*KEYS, request_col, F.inline(F.filter(values, lambda v: v["actual"].isNotNull())))
     asked = con.select(request_col, "field").distinct()
     return rows.join(small(asked), request_col).select(*KEYS, request_col, "field", field_value(F.col("field"), F.col("_entries")).alias("actual"))
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from fieldproof.functions.numbers import parse_date
 from fieldproof.functions.text import contains_any, extract, is_missing, js_round, matches, norm_key, truthy
-from fieldproof.functions.titles import match_titles, parse_title
-from fieldproof.functions.urls import NO_URL, SCORING_SECOND_LEVEL, root_domain, source_tier, tier_score
+from fieldproof.functions.titles import parse_title, titles_match
+from fieldproof.functions.urls import NO_URL, SCORING_SECOND_LEVEL, root_domain, tier_score, with_tier
 from fieldproof.sources.tables import stored
 
 KEYS = ["run_id", "record_id"]
@@ -26,7 +26,7 @@ WEIGHTS = {"support": 0.30, "directness": 0.20, "source_quality": 0.20, "agreeme
 
 def rated_sources(pairs: DataFrame) -> DataFrame:
     """(url, entity_name, tier, tier_score), once for each distinct pair."""
-    return pairs.select("url", "entity_name").distinct().withColumn("tier", source_tier(F.col("url"), F.col("entity_name"))).withColumn("tier_score", tier_score(F.col("tier")))
+    return with_tier(pairs.select("url", "entity_name").distinct()).withColumn("tier_score", tier_score(F.col("tier")))
 
 
 def _title_matches(rows: DataFrame, value: str, text: str) -> DataFrame:
@@ -34,7 +34,7 @@ def _title_matches(rows: DataFrame, value: str, text: str) -> DataFrame:
     pairs = rows.select(F.col(value).alias("x"), F.col(text).alias("y")).distinct()
     parsed = pairs.select(F.explode(F.array("x", "y")).alias("t")).distinct().select("t", parse_title(F.col("t")).alias("p"))
     x, y = (parsed.select(F.col("t").alias(n), F.col("p").alias(f"p{n}")) for n in ("x", "y"))
-    return pairs.join(x.hint("shuffle_hash"), "x").join(y.hint("shuffle_hash"), "y").where(match_titles(F.col("px"), F.col("py"))["result"] == "MATCH").select("x", "y", F.lit(True).alias("title_match"))
+    return pairs.join(x.hint("shuffle_hash"), "x").join(y.hint("shuffle_hash"), "y").where(titles_match(F.col("px"), F.col("py"))).select("x", "y", F.lit(True).alias("title_match"))
 
 
 def directness(fields: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -87,18 +87,21 @@ def agreement(records: DataFrame, evidence: DataFrame, conflicts: DataFrame) ->
     characters) is a mirror. Domains go in order of their first citation; one pass over each record's few domains decides.
     """
     root = root_domain(F.coalesce(F.nullif("url", F.lit("")), F.col("source")), SCORING_SECOND_LEVEL, fallback=True)
-    first = evidence.withColumn("root", root).where(truthy(F.col("root"))).groupBy(*KEYS, "root").agg(F.min_by("snippet", "ev_seq").alias("snippet"), F.min("ev_seq").alias("at"))
+    # a filter on the root would work it out once more
+    first = evidence.withColumn("root", root).groupBy(*KEYS, "root").agg(F.min_by("snippet", "ev_seq").alias("snippet"), F.min("ev_seq").alias("at"))
     words = F.array_distinct(F.split(F.lower(F.coalesce("snippet", F.lit(""))), r"\s+"))
     first = first.withColumn("d", F.struct("at", F.when(F.length("snippet") > 30, words).alias("w")))
-    domains = first.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list("d")), lambda d: d["w"]).alias("ds"))
-    alike = lambda a, b: F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)) > 0.85
+    domains = first.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.when(truthy(F.col("root")), F.col("d")))), lambda d: d["w"]).alias("ds"))
+    # of sets: both / (a + b - both) > 0.85; sizes that are too far apart need no comparison
+    near = lambda a, b: (F.size(a) * 100 > F.size(b) * 85) & (F.size(b) * 100 > F.size(a) * 85)
+    alike = lambda a, b: near(a, b) & (F.size(F.array_intersect(a, b)) * 185 > (F.size(a) + F.size(b)) * 85)
     start = F.struct(F.array().cast("array<array<string>>").alias("kept"), F.lit(0).alias("n"))
     step = lambda acc, w: F.when(w.isNotNull() & F.exists(acc["kept"], lambda k: alike(k, w)), F.struct(acc["kept"].alias("kept"), acc["n"].alias("n"))).otherwise(F.struct(F.when(w.isNull(), acc["kept"]).otherwise(F.concat(acc["kept"], F.array(w))).alias("kept"), (acc["n"] + 1).alias("n")))
     counted = domains.select(*KEYS, F.aggregate("ds", start, step)["n"].alias("independent"), F.size("ds").alias("domains"))
     head = evidence.groupBy(*KEYS).agg(F.min_by("url", "ev_seq").alias("url"))
     clash = conflicts.select(*KEYS).distinct().withColumn("clash", F.lit(True))
     rows = records.select(*KEYS, "entity_name").join(counted, KEYS, "left").join(head.withColumn("cited", F.lit(True)), KEYS, "left").join(clash, KEYS, "left")
-    tier = source_tier(F.col("url"), F.col("entity_name"))
+    rows, tier = with_tier(rows), F.col("tier")
     n = F.coalesce("independent", F.lit(0))
     one = F.when(tier == "PRIMARY_OFFICIAL", 85).when(tier == "ESTABLISHED_PLATFORM", 80).when(tier == "SECONDARY_SOURCE", 65).otherwise(45)
     score = F.when(F.col("clash"), 35).when(F.col("cited").isNull(), 20).when(n >= 3, 98).when(n == 2, 92).when(n == 1, one).otherwise(30)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldproof.functions.text import is_missing, norm_key, truthy
-from fieldproof.functions.titles import match_titles, parse_title
+from fieldproof.functions.titles import parse_title, titles_clash
 from fieldproof.functions.urls import RESOLVER_SECOND_LEVEL, THIRD_PARTY, root_domain
 from fieldproof.sources.tables import discard, stored
 
@@ -57,9 +57,11 @@ def entity_pairs(sigs: DataFrame) -> DataFrame:
     known = real.join(titles.hint("shuffle_hash"), "title", "left")
     side = lambda x: known.select("run_id", "name", *(F.col(c).alias(f"{x}_{c}") for c in ("sig", "domain", "place", "title", "p")))
     pairs = side("a").join(side("b"), ["run_id", "name"]).where("a_sig < b_sig")
-    clash = F.coalesce(match_titles(F.col("a_p"), F.col("b_p"))["result"] == "NO_MATCH", F.lit(False)) & F.col("a_p").isNotNull() & F.col("b_p").isNotNull()
+    clash = F.col("a_p").isNotNull() & F.col("b_p").isNotNull() & titles_clash(F.col("a_p"), F.col("b_p"))
     both = F.col("a_domain").isNotNull() & F.col("b_domain").isNotNull()
     apart = F.col("a_place").isNotNull() & F.col("b_place").isNotNull() & ~F.contains("a_place", F.col("b_place")) & ~F.contains("b_place", F.col("a_place"))
+    pairs = pairs.withColumns({"clash": clash, "apart": apart})
+    clash, apart = F.col("clash"), F.col("apart")
     verdict = lambda d, r: F.struct(F.lit(d).alias("decision"), F.lit(r).alias("reason"))
     got = (
         F.when(both & (F.col("a_domain") == F.col("b_domain")) & clash, verdict("DISTINCT", "DIFFERENT_POSITIONS_AT_SAME_COMPANY"))
