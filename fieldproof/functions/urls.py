@@ -109,6 +109,11 @@ def tier_of(url: Column, domain: Column, path_: Column, entity: Column) -> Colum
     )
 
 
+def source_tier(url: Column, entity: Column) -> Column:
+    """``tier_of`` as one expression, for a few rows; ``with_tier`` is for tables."""
+    return tier_of(url, F.coalesce(host(url), F.lit("")), path(url), norm_key(F.coalesce(entity, F.lit(""))))
+
+
 def with_tier(rows: DataFrame, url: str = "url", entity: str = "entity_name", to: str = "tier") -> DataFrame:
     """The rows with the tier of each URL for its entity; host, path and name are worked out once for each row."""
     u = F.col(url)
