@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,37 +38,51 @@ def entries_of() -> Column:
     return F.transform("attr_order", lambda k: F.struct(k.alias("k"), norm_key(k).alias("n"), F.try_element_at("attributes", k).alias("v")))
 
 
-def field_value(field: Column, entries: Column | None = None) -> Column:
+def field_value(field: Column | str, entries: Column | None = None) -> Column:
     """Value of a field in a record: exact key, key by normal form, key of the same family, then the fixed
     columns. Needs attributes, attr_order and the fixed columns of records; "" without a value. ``entries`` is a column made by
-    ``entries_of``, where several fields are asked for; a literal field leaves only the rules that can hold for it."""
-    target = norm_key(field)
+    ``entries_of``, where several fields are asked for. Of a field given as text only the rules that can hold for it are in the expression."""
+    known = isinstance(field, str)
+    key = F.lit(field) if known else field
+    target = F.lit("".join(ch for ch in field.lower() if ch.isascii() and ch.isalnum())) if known else norm_key(field)
     entries = entries_of() if entries is None else entries
     first = lambda keep: F.try_element_at(F.filter(entries, keep), F.lit(1))["v"]
     stated = lambda v: truthy(v) & ~v.isin("—", "Not disclosed")
 
-    def family(asked: list[str], keys: list[str], more=lambda e: F.lit(False)) -> Column:
-        return F.when(contains_any(target, asked), first(lambda e: (contains_any(e["n"], keys) | more(e)) & stated(e["v"])))
+    def chosen(asked: list[str], value: Callable[[], Column]) -> tuple[Column, Column] | None:
+        """(condition, value) of a rule for fields whose name holds one of ``asked``; None where it cannot hold."""
+        if not known:
+            return contains_any(target, asked), value()
+        name = "".join(ch for ch in field.lower() if ch.isascii() and ch.isalnum())
+        return (F.lit(True), value()) if any(p in name for p in asked) else None
+
+    def keyed(keys: list[str], more=None) -> Callable[[], Column]:
+        return lambda: first(lambda e: (contains_any(e["n"], keys) | (more(e) if more else F.lit(False))) & stated(e["v"]))
 
     city = lambda e: matches(F.lower(e["k"]), r"\b(city|cities)\b") | (F.contains(e["n"], F.lit("city")) & ~F.contains(e["n"], F.lit("capacity")))
-    col = lambda name: F.coalesce(F.col(name), F.lit(""))
-    fixed = (
-        F.when(contains_any(target, ["company", "brand", "developer"]), F.coalesce(F.nullif("company", F.lit("")), col("entity_name")))
-        .when(contains_any(target, ["role", "model", "property"]), col("role"))
-        .when(contains_any(target, ["location", "city", "geo"]), col("location"))
-        .when(contains_any(target, ["salary", "price", "cost"]), col("salary"))
-        .when(contains_any(target, ["range", "experience"]), col("experience"))
-        .when(contains_any(target, ["size", "employee", "battery"]), col("size"))
-        .otherwise(F.lit(""))
-    )
+    col = lambda name: lambda: F.coalesce(F.col(name), F.lit(""))
+    families = [
+        chosen(["size", "employee"], keyed(["size", "employee", "headcount"])),
+        chosen(["location", "country", "city", "geo"], keyed(["location", "country", "headquarter", "hq"], city)),
+        chosen(["price", "salary", "cost", "budget"], keyed(["price", "salary", "cost", "budget", "compensation"])),
+        chosen(["range", "experience"], keyed(["range", "experience"])),
+    ]
+    fixed = [
+        chosen(["company", "brand", "developer"], lambda: F.coalesce(F.nullif("company", F.lit("")), F.col("entity_name"), F.lit(""))),
+        chosen(["role", "model", "property"], col("role")),
+        chosen(["location", "city", "geo"], col("location")),
+        chosen(["salary", "price", "cost"], col("salary")),
+        chosen(["range", "experience"], col("experience")),
+        chosen(["size", "employee", "battery"], col("size")),
+    ]
+    last = F.lit("")
+    for condition, value in reversed([x for x in fixed if x]):
+        last = F.when(condition, value).otherwise(last)
     return F.coalesce(
-        F.nullif(F.try_element_at("attributes", field), F.lit("")),
+        F.nullif(F.try_element_at("attributes", key), F.lit("")),
         first(lambda e: (e["n"] == target) & truthy(e["v"])),
-        family(["size", "employee"], ["size", "employee", "headcount"]),
-        family(["location", "country", "city", "geo"], ["location", "country", "headquarter", "hq"], city),
-        family(["price", "salary", "cost", "budget"], ["price", "salary", "cost", "budget", "compensation"]),
-        family(["range", "experience"], ["range", "experience"]),
-        fixed,
+        *(F.when(condition, value) for condition, value in (x for x in families if x)),
+        last,
     )
 
 
@@ -94,7 +110,7 @@ def field_values(records: DataFrame, con: DataFrame, request_col: str) -> DataFr
     rows = records.withColumn("_entries", entries_of())
     if len(pairs) <= FIELDS:  # each field by its own rules, all in one pass
         of = {f: [r[1] for r in pairs if r[0] == f] for f in sorted({r[0] for r in pairs})}
-        values = F.array(*(F.struct(F.lit(f).alias("field"), F.when(F.col(request_col).isin(rs), field_value(F.lit(f), F.col("_entries"))).alias("actual")) for f, rs in of.items())) if of else F.array().cast("array<struct<field:string,actual:string>>")
+        values = F.array(*(F.struct(F.lit(f).alias("field"), F.when(F.col(request_col).isin(rs), field_value(f, F.col("_entries"))).alias("actual")) for f, rs in of.items())) if of else F.array().cast("array<struct<field:string,actual:string>>")
         return rows.select(*KEYS, request_col, F.inline(F.filter(values, lambda v: v["actual"].isNotNull())))
     asked = con.select(request_col, "field").distinct()
     return rows.join(small(asked), request_col).select(*KEYS, request_col, "field", field_value(F.col("field"), F.col("_entries")).alias("actual"))
@@ -191,7 +207,7 @@ def completeness(records: DataFrame, required: list[str], optional: list[str] =
     need = [f for f in required if "".join(ch for ch in f.lower() if ch.isascii() and ch.isalnum()) not in skip]
     if not need:
         return records.select(*KEYS, F.array().cast("array<string>").alias("missing_fields"), F.lit(100).cast("long").alias("completeness"))
-    gone = F.array_compact(F.array(*(F.when(is_missing(field_value(F.lit(f), F.col("_entries"))), F.lit(f)) for f in need)))
+    gone = F.array_compact(F.array(*(F.when(is_missing(field_value(f, F.col("_entries"))), F.lit(f)) for f in need)))
     return records.withColumn("_entries", entries_of()).select(*KEYS, gone.alias("missing_fields")).withColumn("completeness", js_round((len(need) - F.size("missing_fields")) * 100 / len(need)))
 
 

@@ -530,7 +530,7 @@ def cascade(spark: SparkSession, d: str) -> DataFrame:
 def dynamic_columns(spark: SparkSession, d: str) -> DataFrame:
     rec = A.records(spark, d)
     wanted = ["Company Size", "City", "Salary Range", "experience", "Brand"]
-    return rec.select("record_id", *(C.field_value(F.lit(f)).alias(f.lower().replace(" ", "_")) for f in wanted), is_missing(F.col("location")).alias("location_missing"))
+    return rec.select("record_id", *(C.field_value(f).alias(f.lower().replace(" ", "_")) for f in wanted), is_missing(F.col("location")).alias("location_missing"))
 
 
 def queries() -> dict[str, Query]:
