@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -400,14 +399,10 @@ def canonical_evidence(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonicalize(A.raw_candidates(spark, d), A.RAW_REQUIRED)[1].drop("run_id")
 
 
-def _scratch(spark: SparkSession) -> str:
-    return f"{tables.shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-
-
 @query
 def snapshot(spark: SparkSession, d: str) -> DataFrame:
     """Nested stores written as JSON lines and read again as tables."""
-    path = _scratch(spark)
+    path = tables.scratch(spark)
     A.snapshots(spark, d).write.json(path)
     t = tables.read_snapshot(spark, path, multi_line=False)
     cites = t["evidence"].groupBy("run_id", "record_id").agg(F.count("*").alias("citations"), F.max("ev_seq").alias("last"), F.max("value").alias("value"), F.max("source").alias("source"))
@@ -418,7 +413,7 @@ def snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 def _written(spark: SparkSession, d: str) -> str:
     """Folder of the written tables of three runs."""
-    path, rec, ev = _scratch(spark), A.records(spark, d), A.evidence(spark, d)
+    path, rec, ev = tables.scratch(spark), A.records(spark, d), A.evidence(spark, d)
     runs = rec.groupBy("run_id").agg(F.count("*").alias("unique")).select("run_id", F.lit("Q").alias("request_id"), F.substring("run_id", 5, 1).cast("int").alias("run_number"), F.lit(0).cast("long").alias("collected"), "unique", *(F.when(F.col("run_id") == "RUN-1", 5).cast("long").alias(c) for c in ("validated", "conflicts", "incomplete")))
     sources = ev.where("url <> ''").groupBy("run_id", "url").agg(F.count("*").alias("n")).select("run_id", "url", (-F.col("n")).cast("int").alias("search_rank"))
     status = F.when(F.pmod("record_id", F.lit(4)) == 0, "Qualified").when(F.pmod("record_id", F.lit(4)) == 1, "Conflict").otherwise("Needs verification")
@@ -448,7 +443,7 @@ def run_sources(spark: SparkSession, d: str) -> DataFrame:
 @query
 def json_export(spark: SparkSession, d: str) -> DataFrame:
     """The export of a page's records and of its metadata, read again."""
-    path, rec = _scratch(spark), A.records(spark, d)
+    path, rec = tables.scratch(spark), A.records(spark, d)
     out = rec.select(F.col("record_id").alias("id"), F.col("entity_name").alias("entityName"), "attributes", "source")
     tables.export_json(out, path, rec.agg(F.lit("Q").alias("requestId"), F.count("*").alias("totalRecords"), F.count_distinct("run_id").alias("runs")))
     got = spark.read.json(f"{path}/records", "id long, entityName string, attributes map<string,string>, source string")
@@ -459,7 +454,7 @@ def json_export(spark: SparkSession, d: str) -> DataFrame:
 @query
 def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """The export as CSV, quotes, commas and line breaks in it, read again."""
-    path, rec = _scratch(spark), A.records(spark, d)
+    path, rec = tables.scratch(spark), A.records(spark, d)
     odd = F.concat(F.lit('"a, b"'), F.when(F.pmod("record_id", F.lit(3)) == 0, "\n").otherwise(";"), F.col("location"))
     tables.export_csv(tables.export_rows(rec, {"Id": F.col("record_id"), "Name": F.col("entity_name"), "Where": odd}, F.pmod("record_id", F.lit(101)) + 0.5), path)
     return spark.read.schema("Id long, Name string, `Where` string, Confidence string").csv(path, header=True, quote='"', escape='"', multiLine=True)

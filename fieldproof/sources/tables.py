@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,9 +24,12 @@ SNAPSHOT = f"""
 """
 
 
-#: Held for a session from the first written table on: what a write shuffled is released with it, and Python workers get batches of bounded size.
+#: Held while a table is written: what a write shuffled is released with it, and Python workers get batches of bounded size.
 SESSION = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
+#: Folders of written tables, innermost owner last. The outermost list is emptied when the process ends.
+_OWNED: list[list[tuple[SparkSession, str]]] = [[]]
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: that of spark.checkpoint.dir. A temporary one only where Spark runs in one process."""
@@ -37,25 +43,111 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+@contextmanager
+def options(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session options that hold inside the block and are put back after it."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for a written table, removed by the owner of the moment (``owner``), or when the process ends."""
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    _OWNED[-1].append((spark, path))
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+@contextmanager
+def owner() -> Iterator[None]:
+    """Owns the tables written inside the block: they are removed when it ends, but for those given to ``release``.
+
+    What a query returns is worked out when it is used, so use it inside the block."""
+    _OWNED.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _OWNED.pop():
+            _remove(spark, path)
+
+
+def release(*written: DataFrame) -> None:
+    """Hands tables that ``stored`` has written to the owner around the present one."""
+    for df in written:
+        path = df.__dict__.get("_stored_at")
+        for entry in [e for e in _OWNED[-1] if e[1] == path]:
+            _OWNED[-1].remove(entry)
+            _OWNED[max(0, len(_OWNED) - 2)].append(entry)
+
+
+@atexit.register
+def _at_exit() -> None:
+    for owned in _OWNED:
+        for spark, path in owned:
+            with suppress(Exception):  # the session may have been stopped before
+                _remove(spark, path)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    for key, value in SESSION.items():
-        if spark.conf.get(key) != value:
-            spark.conf.set(key, value)
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = scratch(spark)
+    with options(spark, SESSION):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """The written table of ``make()``; all tables written on the way to it are removed."""
+    with owner():
+        out = stored(make())
+        release(out)
+    return out
+
+
 def discard(*written: DataFrame) -> None:
     """Removes tables that ``stored`` has written and that nothing reads any more."""
     for df in written:
         if path := df.__dict__.pop("_stored_at", None):
-            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            _remove(df.sparkSession, path)
+            for owned in _OWNED:
+                owned[:] = [e for e in owned if e[1] != path]
+
+
+def numbered(df: DataFrame, order: list, name: str, by: list[str] = ()) -> DataFrame:
+    """Rows with their number from 1 in the given order, over the whole table or in each group of ``by``; ties in any order.
+
+    Two passes instead of a window in one task: rows are dealt out by ranges of the order and numbered inside their range, then
+    the sizes of the ranges before (one row for each task) and, with ``by``, the first number of each group are put in. A group
+    with all rows is spread over all tasks.
+    """
+    key = [F.col(c) if isinstance(c, str) else c for c in (*by, *order)]
+    dealt = stored(df.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).collect()  # one row for each task
+    before, starts = 0, []
+    for r in sorted(sizes):
+        starts.append((r._part, before))
+        before += r._n
+    starts = df.sparkSession.createDataFrame(starts, "_part long, _before long")
+    rows = dealt.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_before") + 1)
+    if by:
+        first = rows.groupBy(*by).agg(F.min("_at").alias("_first"))
+        same = [rows[c].eqNullSafe(first[c]) for c in by]
+        rows = rows.join(first.hint("merge"), same, "left").select(*(rows[c] for c in df.columns), (F.col("_at") - F.col("_first") + 1).alias("_at"))
+    return rows.select(*df.columns, F.col("_at").alias(name))
 
 
 def read_snapshot(spark: SparkSession, path: str, multi_line: bool = True) -> dict[str, DataFrame]:
