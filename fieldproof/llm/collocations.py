@@ -28,6 +28,8 @@ from fieldproof.sources.tables import numbered
 
 #: Words of a shard, about.
 SHARD = 1 << 20
+#: Frequent phrases (24 bytes each) of one length that are sent to all tasks; more meet what was found by a join of both sides.
+SMALL = 1 << 20
 #: Fixed values of the contract: longest phrase, fewest occurrences, rows of a language.
 DEPTH, LEAST, FIRST = 5, 100, 2000
 
@@ -113,27 +115,43 @@ def _shards(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(cut, _SHARDS)
 
 
+def _order(key: np.ndarray) -> np.ndarray:
+    """The stable order of non-negative numbers: a plain sort of (number, place) in one word where they fit."""
+    bits = max(1, len(key).bit_length())
+    if not len(key) or int(key.max()) >> (63 - bits):
+        return np.argsort(key, kind="stable")
+    return np.sort(key.astype(np.int64) << bits | np.arange(len(key))) & ((1 << bits) - 1)
+
+
 def _suffix_order(ids: np.ndarray) -> np.ndarray:
-    """Order of all suffixes, compared up to the first 0, ties by place: prefix doubling. A 0 sorts below all words."""
-    n = len(ids)
-    rank = ids.astype(np.int64)
+    """Order of all suffixes, compared up to the first 0; equal ones by place, as if each 0 were larger than those before it.
+
+    As many words as fit a number make the first order; then only suffixes that are still equal, and go on, are sorted further,
+    each time by twice as many words (Larsson, Sadakane 2007).
+    """
+    n, bits = len(ids), max(1, int(ids.max()).bit_length())
     to_end = np.flatnonzero(ids == 0)
     left = to_end[np.searchsorted(to_end, np.arange(n))] - np.arange(n)  # words up to the next 0
-    # a 0 is its own, later ones are larger, so no comparison goes beyond it
-    rank = np.where(ids == 0, np.cumsum(ids == 0) - 1, rank + len(to_end))
-    h, longest = 1, int(left.max()) + 1
-    order = np.argsort(rank, kind="stable")
-    while h < longest:
-        following = np.where(left >= h, rank[np.minimum(np.arange(n) + h, n - 1)], -1)
-        key = rank * (np.int64(max(n, int(rank.max())) + 2)) + following + 1
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        if new[-1] == n - 1:
-            break
-        rank = np.empty(n, np.int64)
-        rank[order] = new
+    h, key = max(1, (62 - n.bit_length()) // bits), np.zeros(n, np.int64)
+    for j in range(h):
+        key = key << bits | np.where(left > j, ids[np.minimum(np.arange(n) + j, n - 1)], 0)
+    order = _order(key)
+    rank = np.empty(n, np.int64)
+    same = np.concatenate([[False], (key[order][1:] == key[order][:-1]) & (left[order][1:] >= h)])  # shorter ones are told apart by place
+    rank[order] = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
+    while True:
+        tied = np.flatnonzero(same | np.append(same[1:], False))  # places in the order
+        if not len(tied):
+            return order
+        at = order[tied]
+        key = rank[at] * (n + 1) + np.where(left[at] >= h, rank[np.minimum(at + h, n - 1)], 0)
+        by = np.lexsort((at, key))
+        order[tied] = at = at[by]
+        key = key[by]
+        again = np.concatenate([[False], (key[1:] == key[:-1]) & (left[at][1:] >= 2 * h)])
+        same[tied] = again
+        rank[at] = np.maximum.accumulate(np.where(again, 0, tied))
         h *= 2
-    return order
 
 
 def _transform(ids: np.ndarray) -> np.ndarray:
@@ -141,6 +159,16 @@ def _transform(ids: np.ndarray) -> np.ndarray:
     return ids[_suffix_order(ids) - 1]  # before the first place stands the last, which is 0
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """Numbers as bytes, two to each where all fit; the first byte tells their width."""
+    width = 2 if int(ids.max()) < 1 << 16 else 4
+    return bytes([width]) + ids.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int32)
+
+
 class _Index:
     """Bidirectional FM-index of a text of pieces: transforms of the text and of the text of reversed pieces, with their steps."""
 
@@ -156,7 +184,7 @@ class _Index:
     def _steps(before: np.ndarray) -> np.ndarray:
         """Where a step from a word to the one before it leads (of breaks the value is not used)."""
         step = np.empty(len(before), np.int64)
-        step[np.argsort(before, kind="stable")] = np.arange(len(before))
+        step[_order(before)] = np.arange(len(before))
         return step
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,7 +209,7 @@ class _Index:
         rows = lo_back[of] + at
         symbol = self.right[rows].astype(np.int64)
         key = of * np.int64(int(self.right.max()) + 1) + symbol
-        order = np.argsort(key, kind="stable")
+        order = _order(key)
         first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.zeros(0, np.int64)
         n = np.diff(np.append(first, len(order)))
         starts_with = of[order[first]]
@@ -213,7 +241,7 @@ def _built(shards: DataFrame, known: DataFrame) -> DataFrame:
         ids = local[ids]
         keep = np.concatenate([[bool(ids[0])], (ids[1:] > 0) | (ids[:-1] > 0)])  # one break is enough
         index = _Index.of(ids[keep])
-        return pa.table([pa.array([key[0].as_py()]), pa.array([index.left.tobytes()], pa.binary()), pa.array([index.right.tobytes()], pa.binary())], ["shard", "left", "right"])
+        return pa.table([pa.array([key[0].as_py()]), *(pa.array([_packed(x)], pa.binary()) for x in (index.left, index.right))], ["shard", "left", "right"])
 
     return shards.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(build, "shard long, left binary, right binary")
 
@@ -224,7 +252,7 @@ def _deeper(index: DataFrame, known: DataFrame, words: bool = False) -> DataFram
     def go(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], pa.int64()), *(pa.array([], pa.int32()) for _ in range(3)), pa.array([], pa.int64()), pa.array([], pa.int64())], ["shard", "lo", "lo_back", "n", "first", "last"])
-        ix = _Index(*(np.frombuffer(left.column(c)[0].as_py(), np.int32) for c in ("left", "right")))
+        ix = _Index(*(_unpacked(left.column(c)[0].as_py()) for c in ("left", "right")))
         if words:
             right = right.sort_by("at")
             word, lo, count = ix.words()
@@ -249,14 +277,15 @@ def phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     counted = stored(vocabulary.groupBy("lang", "word").agg(F.sum("k").alias("f")))
     totals = stored(counted.groupBy("lang").agg(F.sum("f").alias("n")))
     level = stored(numbered(counted.where(F.col("f") >= least), ["lang", "word"], "id"))
+    discard(counted)
     level = level.select("id", "lang", F.array("word").alias("words"), F.array("f").alias("fs"), F.array("f").alias("ls"), "f")
     # the words of a shard that are frequent over all
     names = level.select("lang", F.col("words")[0].alias("word"), "id")
     known = stored(vocabulary.select("shard", "lang", "at", "word").join(names.hint("merge"), ["lang", "word"]).select("shard", "at", "id"))
     index = stored(_built(shards.select("shard", "ids"), known))
-    found, out = _deeper(index, known, words=True), []
+    found, out = stored(_deeper(index, known, words=True)), []
+    discard(shards, known)
     for k in range(2, depth + 1):
-        found = stored(found)
         often = found.groupBy("first", "last").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         often = stored(numbered(often, ["first", "last"], "id"))
         a = level.select(F.col("id").alias("first"), "lang", "words", "fs")
@@ -266,9 +295,13 @@ def phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
         if k > 2:
             out.append(_ended(level, longer))
         if k < depth:
-            told = found.join(often.select("first", "last", "id").hint("merge"), ["first", "last"]).select("shard", "lo", "lo_back", "n", "id")
-            found = _deeper(index, told)
+            ids = often.select("first", "last", "id")
+            ids = F.broadcast(ids) if often.count() <= SMALL else ids.hint("merge")
+            told = found.join(ids, ["first", "last"]).select("shard", "lo", "lo_back", "n", "id")
+            longest, found = found, stored(_deeper(index, told))
+            discard(longest)
         level = longer
+    discard(found, index)
     out.append(level.select("lang", "words", "fs", "ls", "f", F.lit(False).alias("ended")))
     return union_all(out), totals
 
