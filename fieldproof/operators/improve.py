@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from fieldproof.functions.text import is_missing, js_round, truthy
 from fieldproof.functions.urls import host, source_type
 from fieldproof.operators.constraints import small
-from fieldproof.operators.holding import holders
+from fieldproof.operators.holding import all_holding, first_held, first_holding
+from fieldproof.sources.tables import numbered, stored
 
 
 #: Parts of a group that are ranked on their own before the best of them are.
@@ -62,14 +63,16 @@ def enrich(fields: DataFrame, names: DataFrame, found: DataFrame) -> DataFrame:
     """
     new = found.where(~is_missing(F.col("value")) & (F.lower("value") != "n/a")).withColumn("k", alnum(F.col("entity_name"))).where("k <> ''").select("run_id", "k", "field", "value", "url")
     have = names.withColumn("rk", alnum(F.col("entity_name"))).where("rk <> ''").groupBy("run_id", "rk").agg(F.min(F.struct("ingest_seq", "record_id")).alias("r"))
+    have = stored(have)
     keys = new.select("run_id", "k").distinct()
-    equal = keys.join(have, (keys["run_id"] == have["run_id"]) & (keys["k"] == have["rk"])).select(keys["run_id"], "k", "r")
-    rest = keys.join(equal.select("run_id", "k"), ["run_id", "k"], "left_anti")
-    mine, theirs = rest.select("run_id", F.col("k").alias("text")), have.select("run_id", F.col("rk").alias("text"))
-    pairs = holders(theirs, mine).select("run_id", F.col("holder").alias("k"), F.col("text").alias("rk")).unionByName(holders(mine, theirs).select("run_id", F.col("text").alias("k"), F.col("holder").alias("rk")))
-    near = pairs.join(have, ["run_id", "rk"]).groupBy("run_id", "k").agg(F.min("r").alias("r"))
+    equal = keys.join(have, (keys["run_id"] == have["run_id"]) & (keys["k"] == have["rk"]), "inner").select(keys["run_id"], "k", "r")
+    rest = stored(keys.join(equal.select("run_id", "k").hint("merge"), ["run_id", "k"], "left_anti"))
+    # the first record whose name holds the found one, and the first whose name it holds
+    around = first_holding(rest.select("run_id", F.col("k").alias("text")), have.select("run_id", F.col("rk").alias("holder"), "r")).withColumnRenamed("text", "k")
+    inside = first_held(have.select("run_id", F.col("rk").alias("text"), "r"), rest.select("run_id", F.col("k").alias("holder"))).withColumnRenamed("holder", "k")
+    near = around.unionByName(inside).groupBy("run_id", "k").agg(F.min("r").alias("r"))
     owner = equal.unionByName(near).select("run_id", "k", F.col("r.record_id").alias("record_id"))
-    got = new.join(owner, ["run_id", "k"]).groupBy("run_id", "record_id", "field").agg(F.min(F.struct("value", "url")).alias("v"))
+    got = new.join(owner.hint("merge"), ["run_id", "k"]).groupBy("run_id", "record_id", "field").agg(F.min(F.struct("value", "url")).alias("v"))
     open_ = fields.where(is_missing(F.col("value"))).select("run_id", "record_id", "field")
     verified = F.when(truthy(F.col("url")), "Confirmed").otherwise("Needs verification")
     return got.join(open_.hint("merge"), ["run_id", "record_id", "field"], "left_semi").select("run_id", "record_id", "field", "v.value", "v.url").withColumn("verification", verified)
@@ -88,20 +91,40 @@ def backfill(records: DataFrame, catalog: DataFrame, least: int) -> DataFrame:
 
     catalog(position, entity_name): entries whose name holds or is held by that of an earlier entry are left out once for all; then those
     whose name holds or is held by a record's name or its first word. Entries go in order until the run is full. Nothing is invented:
-    without entries left a run stays short. The catalog is a bounded list of templates (checked: 10,000 entries).
+    without entries left a run stays short. Equal positions go by name; entries without a name are left out.
+
+    Runs and catalog are never paired: the entries left get ranks, each short run learns the ranks it may not take, and the free ranks
+    before, between and after these are read off as gaps, no more than the run needs.
     """
-    if catalog.limit(10_001).count() > 10_000:
-        raise ValueError("the catalog has more than 10,000 entries")
     low = lambda c: F.lower(F.trim(c))
-    alike = lambda a, b: (F.length(a) > 0) & (F.length(b) > 0) & (F.contains(a, b) | F.contains(b, a))
-    entries = catalog.select("position", "entity_name", low(F.col("entity_name")).alias("n"))
-    earlier = entries.select(F.col("position").alias("p2"), F.col("n").alias("n2"))
-    entries = entries.join(F.broadcast(earlier), (F.col("p2") < F.col("position")) & alike(F.col("n"), F.col("n2")), "left_anti")
-    short = records.groupBy("run_id").agg(F.count("*").alias("have")).where(F.col("have") < least)
-    # only runs that are short take part, so at most ``least`` names of each meet the catalog
-    seen = records.join(short, "run_id").select("run_id", low(F.col("entity_name")).alias("s")).where("s <> ''")
-    seen = seen.select("run_id", F.explode(F.array("s", F.split_part("s", F.lit(" "), F.lit(1)))).alias("s")).distinct()
-    taken = seen.join(F.broadcast(entries.select("position", "n")), alike(F.col("n"), F.col("s"))).select("run_id", "position").distinct()
-    free = short.join(F.broadcast(entries)).join(taken, ["run_id", "position"], "left_anti")
-    n = F.row_number().over(Window.partitionBy("run_id").orderBy("position"))
-    return free.withColumn("n", n).where(F.col("n") <= least - F.col("have")).select("run_id", "position", "entity_name", F.lit("CATALOG").alias("provenance"))
+    entries = numbered(catalog.select("position", "entity_name", low(F.col("entity_name")).alias("n")).where("n <> ''"), ["position", "n", "entity_name"], "at")
+    # of the entries that a name holds or that hold it, the earliest tells whether it is left out
+    names = stored(entries.groupBy("n").agg(F.min("at").alias("at")).select(F.lit(0).alias("run_id"), "n", F.struct("at").alias("r")))
+    texts, wheres = names.select("run_id", F.col("n").alias("text"), "r"), names.select("run_id", F.col("n").alias("holder"), "r")
+    first = first_holding(texts.select("run_id", "text"), wheres).select(F.col("text").alias("n"), "r").unionByName(first_held(texts, wheres.select("run_id", "holder")).select(F.col("holder").alias("n"), "r"))
+    kept = entries.join(first.groupBy("n").agg(F.min("r.at").alias("first")).hint("merge"), "n").where(F.col("first") == F.col("at"))
+    kept = stored(numbered(kept.select("at", "position", "entity_name", "n"), ["at"], "rank"))
+    size = kept.count()
+    short = stored(records.groupBy("run_id").agg(F.count("*").alias("have")).where(F.col("have") < least))
+    # only runs that are short take part, so at most ``least`` names of each meet the catalog, each distinct one once
+    seen = records.join(short.select("run_id").hint("merge"), "run_id").select("run_id", low(F.col("entity_name")).alias("s")).where("s <> ''")
+    seen = stored(seen.select("run_id", F.explode(F.array_distinct(F.array("s", F.split_part("s", F.lit(" "), F.lit(1))))).alias("s")).where("s <> ''").distinct())
+    taken = seen.join(all_alike(seen.select("s").distinct(), kept.select("n", "rank")).hint("merge"), "s").select("run_id", "rank").distinct()
+    gaps = short.select("run_id", (F.lit(least) - F.col("have")).alias("wants")).join(taken.groupBy("run_id").agg(F.array_sort(F.collect_list("rank")).alias("no")).hint("merge"), "run_id", "left")
+    no = F.concat(F.array(F.lit(0).cast("long")), F.coalesce("no", F.array().cast("array<long>")), F.array(F.lit(size + 1).cast("long")))
+    # before the k-th excluded rank lie no[k] - k free ones, so a run needs no rank beyond wants + k
+    free = F.flatten(F.transform(F.sequence(F.lit(1), F.size("no") - 1), lambda k: _between(F.get("no", k - 1) + 1, F.least(F.get("no", k) - 1, F.get("no", k - 1) + F.col("wants")))))
+    ranks = gaps.withColumn("no", no).select("run_id", F.explode(F.slice(free, 1, F.col("wants").cast("int"))).alias("rank"))
+    return ranks.join(kept.hint("merge"), "rank").select("run_id", "position", "entity_name", F.lit("CATALOG").alias("provenance"))
+
+
+def _between(first: Column, last: Column) -> Column:
+    return F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<long>"))
+
+
+def all_alike(names: DataFrame, entries: DataFrame) -> DataFrame:
+    """(s, rank): which of entries(n, rank) hold or are held by each of names(s); both not empty."""
+    one = lambda df, c, to: df.select(F.lit(0).alias("run_id"), F.col(c).alias(to))
+    within = all_holding(one(entries, "n", "text"), one(names, "s", "holder")).select(F.col("holder").alias("s"), F.col("text").alias("n"))
+    around = all_holding(one(names, "s", "text"), one(entries, "n", "holder")).select(F.col("text").alias("s"), F.col("holder").alias("n"))
+    return within.unionByName(around).distinct().join(entries.select("n", "rank").hint("merge"), "n").select("s", "rank")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from fieldproof.functions.numbers import parse_number
 from fieldproof.functions.text import PLACEHOLDER_RX, extract, is_missing, matches, norm_key, truthy
 from fieldproof.functions.urls import host
-from fieldproof.operators.holding import holders
+from fieldproof.operators.holding import first_holding
+from fieldproof.sources.tables import stored
 
 CONTAINERS = ["records", "candidates", "results", "items"]
 # Fixed value: a name that is the title of a list.
@@ -124,13 +125,12 @@ def complete_evidence(fields: DataFrame, evidence: DataFrame, sources: DataFrame
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     # each distinct text is looked for once, in the distinct texts of the sources
     values, names = (open_.select("run_id", F.lower(c).alias("text")).where("text is not null").distinct() for c in ("value", "entity_name"))
-    source = F.struct("search_rank", "url", "title", "snippet")
-    kept = lambda c: sources.groupBy("run_id", low(F.col(c)).alias("holder")).agg(F.min_by(source, F.struct("search_rank", "url")).alias("s"))
-    snippets, titles = kept("snippet"), kept("title")
-    hit = lambda what, kind, where: holders(what, where.select("run_id", F.col("holder").alias("text"))).join(where, ["run_id", "holder"]).select("run_id", F.lit(kind).alias("kind"), "text", "s")
-    hits = hit(values, "value", snippets).unionByName(hit(names, "entity_name", snippets)).unionByName(hit(names, "entity_name", titles))
-    first = lambda c: F.min_by(c, F.struct(f"{c}.search_rank", f"{c}.url"))
-    firsts = hits.groupBy("run_id", "kind", "text").agg(first("s").alias("s"))
+    rank = lambda df: df.groupBy("run_id", "holder").agg(F.min(F.struct("search_rank", "url", "title", "snippet")).alias("r"))
+    snippets, titles = (rank(sources.withColumn("holder", low(F.col(c)))) for c in ("snippet", "title"))
+    hit = lambda what, kind, where: first_holding(what, where).withColumn("kind", F.lit(kind))
+    # names stand in snippets or titles; both are holders of their own, and one that is both has its better rank
+    hits = hit(values, "value", snippets).unionByName(hit(names, "entity_name", snippets.unionByName(titles)))
+    firsts = stored(hits.select("run_id", "kind", "text", F.col("r").alias("s")))
     asked = open_.select("run_id", "record_id", "field", "value", F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.lower(c).alias("text")) for c in ("value", "entity_name")))).alias("a"))
     found = asked.select("run_id", "record_id", "field", "value", "a.*").join(firsts.hint("merge"), ["run_id", "kind", "text"])
     best = found.groupBy("run_id", "record_id", "field").agg(F.min_by(F.struct("value", "s.url", "s.title", "s.snippet"), F.struct("s.search_rank", "s.url")).alias("s"))

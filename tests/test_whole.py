@@ -6,7 +6,9 @@ from pathlib import Path
 
 import pytest
 
-from fieldproof.operators import holding
+from pyspark.sql import functions as F
+
+from fieldproof.operators import holding, improve
 from fieldproof.plans import adapters as A
 from fieldproof.plans import queries
 
@@ -22,15 +24,56 @@ def alnum(v):
     return re.sub("[^a-z0-9]", "", (v or "").lower())
 
 
-def test_holders(spark):
+@pytest.mark.parametrize(("meet", "block"), [(64, 1 << 19), (0, 40), (1, 8)])
+def test_first_holding(spark, monkeypatch, meet, block):
+    """By rare parts, by the automaton alone, and by both, in one block and in many."""
+    monkeypatch.setattr(holding, "MEET", meet)
+    monkeypatch.setattr(holding, "PATTERNS", block)
+    monkeypatch.setattr(holding, "HOLDERS", 3 * block)
     rng = random.Random(4)
-    say = lambda n: "".join(rng.choice("abc") for _ in range(n))
-    texts, wheres = ["", *(say(rng.randint(1, 9)) for _ in range(60))], ["", *(say(rng.randint(1, 40)) for _ in range(40))]
-    a, b = (spark.createDataFrame([("R", x) for x in t] + [("R", None), ("S", "aaa")], "run_id string, text string") for t in (texts, wheres))
-    got = holding.holders(a, b).collect()
-    assert len(got) == len(set(got))
-    assert {(r.text, r.holder) for r in got if r.run_id == "R"} == {(x, y) for x in [*texts, "aaa"] for y in wheres if x in y and (x, y) != ("aaa", "aaa")} - {("aaa", y) for y in wheres if "aaa" not in texts}
-    assert [(r.text, r.holder) for r in got if r.run_id == "S"] == [("aaa", "aaa")]
+    say = lambda n: "".join(rng.choice("abç") for _ in range(n))
+    texts, wheres = ["", *(say(rng.randint(1, 9)) for _ in range(60)), None], ["", *(say(rng.randint(1, 40)) for _ in range(40)), None]
+    runs = {"R": (texts, wheres), "S": (["aaa", "b"], ["aaab", "b", "aaab"]), "T": (["x"], []), None: (["a"], ["a"])}
+    ranked = lambda xs: [(x, (rng.choice([None, *range(9)]), f"u{i}")) for i, x in enumerate(xs)]
+    sides = {run: (ranked(t), ranked(w)) for run, (t, w) in runs.items()}
+    rows = lambda n, c: spark.createDataFrame([(run, x, r) for run, s in sides.items() for x, r in s[n]], f"run_id string, {c} string, r struct<k:int,u:string>")
+    a, b = rows(0, "text"), rows(1, "holder")
+    least = lambda rs: min(rs, key=lambda r: (r[0] is not None, r[0] or 0, r[1]), default=None)
+    first = {(run, x): least(r for y, r in w if y is not None and x in y) for run, (t, w) in sides.items() if run for x, _ in t if x is not None}
+    held = {(run, y): least(r for x, r in t if x is not None and x in y) for run, (t, w) in sides.items() if run for y, _ in w if y is not None}
+    known = lambda got: {(r.run_id, r[1]): tuple(r.r) for r in got if r.run_id}
+    assert known(holding.first_holding(a.drop("r"), b).collect()) == {k: r for k, r in first.items() if r}
+    assert known(holding.first_held(a, b.drop("r")).collect()) == {k: r for k, r in held.items() if r}
+    pairs = {(r.run_id, r.text, r.holder) for r in holding.all_holding(a.drop("r"), b.drop("r")).collect() if r.run_id}
+    assert pairs == {(run, x, y) for run, (t, w) in sides.items() if run for x, _ in t for y, _ in w if x and y is not None and x in y}
+
+
+def test_one_short_value_in_many_holders(spark):
+    """A hundred thousand holders of one value make few rows on the way, not one for each."""
+    wheres = spark.range(100_000).select(F.lit("R").alias("run_id"), F.concat(F.lit("room 5 of house "), F.col("id").cast("string")).alias("holder"), F.struct(F.col("id").alias("k")).alias("r"))
+    texts = spark.createDataFrame([("R", "5"), ("R", "house 777"), ("R", "nowhere"), ("R", " house ")], "run_id string, text string")
+    got = {r.text: r.r.k for r in holding.first_holding(texts, wheres).collect()}
+    assert got == {"5": 0, "house 777": 777, " house ": 0}
+    need, have = holding._distinct(texts, wheres, "r")
+    assert holding._scanned(need.where("length(text) < 5"), have, "text").count() <= 2
+
+
+def test_backfill_reads_gaps_of_a_large_catalog(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 5)))
+    catalog = [(i, rng.choice([word(), f"{word()} {word()}", f"{word()} X{i}"])) for i in range(300)] + [(5, "twice"), (400, None), (401, " ")]
+    records = [(f"R{k % 40}", f"{word()} {word()}") for k in range(150)] + [("full", f"n{k}") for k in range(9)] + [("R1", None), ("R2", "")]
+    alike = lambda a, b: bool(a and b) and (a in b or b in a)
+    entries = sorted((p, n.strip().lower(), n) for p, n in catalog if n and n.strip())
+    kept = [e for i, e in enumerate(entries) if not any(alike(e[1], o[1]) for o in entries[:i])]
+    want = set()
+    for run in {r for r, _ in records}:
+        names = [(n or "").strip().lower() for r, n in records if r == run]
+        seen = {s for n in names if n for s in (n, n.split(" ")[0])}
+        free = [e for e in kept if not any(alike(e[1], s) for s in seen)]
+        want |= {(run, p, n) for p, _, n in free[: max(0, 7 - len(names))]}
+    got = improve.backfill(spark.createDataFrame(records, "run_id string, entity_name string"), spark.createDataFrame(catalog, "position int, entity_name string"), 7)
+    assert sorted((r.run_id, r.position, r.entity_name) for r in got.collect()) == sorted(want)
 
 
 def test_complete_evidence_reads_all_records_and_sources(spark):
