@@ -6,7 +6,7 @@ so one necessary token is enough to find candidates: shingles are ordered by rar
 frequency over the whole corpus, one counting pass), each window is indexed under its rarest
 shingle, and a document's shingles are looked up in that index. The place of the shingle in the
 window fixes where the window would stand (positional bound); it must fit between the first and
-the last word of the text (length bound); then all its words are compared.
+the last word of the text (length bound); then all its words are compared, by their hashes and those that agree byte by byte.
 
 The benchmark is cut into blocks of at most ``block_bytes`` of text by a hash of item_id. Only
 the index of one block is broadcast at a time, so the size of what is sent is bounded; the blocks
@@ -35,15 +35,18 @@ class Index:
     def __init__(self, items: list[tuple[str, str]], window: int, shingle: int):
         seen: dict[bytes, int] = {}
         self.words: list[np.ndarray] = []
+        self.texts: list[bytes] = []
         self.items: list[list[str]] = []
         for item, text in items:
             raw = np.frombuffer(text.encode(), np.uint8)
-            h = Words(raw, np.array([0, len(raw)]), PUNCT).hash
+            found = Words(raw, np.array([0, len(raw)]), PUNCT)
+            h = found.hash
             for i in range(max(1, len(h) - window + 1) if len(h) else 0):
                 w = h[i : i + window]
                 k = seen.setdefault(w.tobytes(), len(seen))
                 if k == len(self.words):
                     self.words.append(w)
+                    self.texts.append(_plain(found, i, i + len(w)))
                     self.items.append([])
                 if not self.items[k] or self.items[k][-1] != item:
                     self.items[k].append(item)
@@ -55,19 +58,25 @@ class Index:
         return {k: np.unique(np.array([h for ts in self.tokens for n, h, _ in ts if n == k], np.uint64)) for k in self.lengths}
 
     def by_rarest(self, counts: dict[tuple[int, int], int]) -> dict:
-        """Windows under their rarest shingle; a window with a shingle that no document has is left out."""
+        """Windows under their rarest shingle. Counts only choose the shingle, so that any of them gives the same hits: one that has
+        not been counted is the rarest."""
         out: dict[int, dict[int, list[tuple[int, int]]]] = {k: defaultdict(list) for k in self.lengths}
         for w, ts in enumerate(self.tokens):
             k, h, j = min(ts, key=lambda t: (counts.get(t[:2], 0), t))
-            if counts.get((k, h), 0):
-                out[k][h].append((w, j))
+            out[k][h].append((w, j))
         return {
             "prefix": {k: (np.array(sorted(d), np.uint64), [d[h] for h in sorted(d)]) for k, d in out.items() if d},
             "words": self.words,
+            "texts": self.texts,
             "items": self.items,
         }
 
 
+def _plain(words: Words, first: int, end: int) -> bytes:
+    """The words from ``first`` to before ``end``, with a space between."""
+    return b" ".join(words.data[a:b].tobytes() for a, b in zip(words.start[first:end].tolist(), words.end[first:end].tolist(), strict=True))
+
+
 def _counted(rows: DataFrame, shingles: dict[int, np.ndarray]) -> dict[tuple[int, int], int]:
     """Number of texts that contain each of the shingles, over all rows."""
     shared = rows.sparkSession.sparkContext.broadcast(shingles)
@@ -90,7 +99,7 @@ def _counted(rows: DataFrame, shingles: dict[int, np.ndarray]) -> dict[tuple[int
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(shared.value[k][some].view(np.int64)), pa.array(v[some])], ["k", "h", "n"])
 
     got = rows.select("_t").mapInArrow(count, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
-    return {(r.k, r.h & (2**64 - 1)): r.n for r in got.toLocalIterator()}
+    return {(r.k, r.h & (2**64 - 1)): r.n for r in got.collect()}  # at most the shingles of one block of the benchmark
 
 
 def _hits(index: dict, words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +122,7 @@ def _hits(index: dict, words: Words) -> tuple[np.ndarray, np.ndarray]:
                     if not len(start):
                         break
                     start = start[h[start + m] == want[m]]
+                start = start[[_plain(words, s, s + len(want)) == index["texts"][w] for s in start.tolist()]] if len(start) else start
                 if len(start):
                     first.append(start)
                     which.append(np.full(len(start), w))

@@ -3,7 +3,7 @@
 1. Each text becomes the set of its distinct word shingles. One hash of each shingle both picks a
    bin and orders the shingles in it; the smallest of each bin is kept, and an empty bin takes the
    value of the first filled bin in its own fixed random order (optimal densification,
-   Shrivastava 2017). Texts with equal sets collapse to a class that its smallest id stands for.
+   Shrivastava 2017). Texts with equal sets collapse to a class, known by the digest of its set.
 2. Runs of ``rows`` bins make a band; texts with an equal band share a bucket. A bucket gives one
    star of edges, from a hub to every other member, not all pairs. Edges are screened by the share
    of equal bins, then confirmed on the full sets.
@@ -87,7 +87,7 @@ def _signed(texts: DataFrame, k: int, rows: int) -> DataFrame:
                         bands.append(None)
                         continue
                     v = mix64(signature(s))
-                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    digest.append(_digest(s))
                     sig.append((v & np.uint64(255)).astype(np.uint8).tobytes())
                     b = np.arange(n_bands, dtype=np.uint64)
                     for r in range(rows):
@@ -98,22 +98,35 @@ def _signed(texts: DataFrame, k: int, rows: int) -> DataFrame:
     return texts.mapInArrow(part, "id long, n long, digest binary, sig binary, bands array<long>")
 
 
+def _digest(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def _sets(rows: DataFrame, k: int) -> DataFrame:
+    """(digest, s): the sets of rows (text) with their digests."""
+
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            digest, out = [], []
             for i, j, data, offs in pieces(batch.column("text")):
                 words = Words(data, offs, SPACE)
                 grams = words.grams(k)
-                out += [shingle_set(words, grams, t, k).tobytes() for t in range(j - i)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "s"])
+                for t in range(j - i):
+                    x = shingle_set(words, grams, t, k)
+                    digest.append(_digest(x))
+                    out.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(out, pa.binary())], ["digest", "s"])
+
+    return rows.mapInArrow(part, "digest binary, s binary")
 
-    return rows.mapInArrow(part, "id long, s binary")
 
+def _sets_of(reps: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(rep, s): the full sets of some classes (rep, id, digest), written once.
 
-def _sets_of(ids: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(id, s): the full sets of some ids, written once."""
-    return stored(_sets(texts.join(ids.distinct().hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]), k))
+    The texts of a class's id are read again; an id may have other texts too, so a set is known by its digest, never by the id."""
+    reps = reps.distinct()
+    rows = texts.join(reps.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").select("text")
+    return stored(_sets(rows, k).dropDuplicates(["digest"]).join(reps.select("rep", "digest").hint("merge"), "digest").select("rep", "s"))
 
 
 def _screened(edges: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
@@ -129,7 +142,7 @@ def _screened(edges: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     return edges.join(named("b"), "b").join(named("a"), "a").select("a", "b", "sa", "sb").mapInArrow(part, "a long, b long")
 
 
-def _confirmed(edges: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _confirmed(edges: DataFrame, reps: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Edges (a, b) with den * intersection >= num * union of the full sets."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,19 +154,21 @@ def _confirmed(edges: DataFrame, texts: DataFrame, k: int, num: int, den: int) -
                 ok.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    sets = _sets_of(edges.select(F.explode(F.array("a", "b")).alias("id")), texts, k)
-    named = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"x{x}")).hint("merge")
+    some = edges.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    sets = _sets_of(reps.select("rep", "id", "digest").join(some.hint("shuffle_hash"), "rep", "left_semi"), texts, k)
+    named = lambda x: sets.select(F.col("rep").alias(x), F.col("s").alias(f"x{x}")).hint("merge")
     return edges.join(named("b"), "b").join(named("a"), "a").select("a", "b", "xa", "xb").mapInArrow(part, "a long, b long")
 
 
-def _block_links(members: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, num: int, den: int, least: float) -> DataFrame:
+def _block_links(members: DataFrame, reps: DataFrame, texts: DataFrame, k: int, num: int, den: int, least: float) -> DataFrame:
     """Confirmed links (a, b) between members of a bucket in different components.
 
     members(bucket, rep, comp, major): every member outside the bucket's largest component is compared with all members, in
     blocks of about BLOCK by BLOCK rows: screened by signatures, then confirmed on full sets, likeliest first, until the two
     components are linked. Only links leave a task, never the pairs it looked at."""
     size = members.groupBy("bucket").agg(F.count("*").alias("m"), F.sum((F.col("comp") != F.col("major")).cast("int")).alias("minor"))
-    sets = _sets_of(members.select(F.col("rep").alias("id")), texts, k).withColumnRenamed("id", "rep")
+    sigs, some = reps.select("rep", "sig"), members.select("rep").distinct()
+    sets = _sets_of(reps.select("rep", "id", "digest").join(some.hint("shuffle_hash"), "rep", "left_semi"), texts, k)
     rows = spread_join(members, size, "bucket", "rep").join(sigs.join(sets.hint("merge"), "rep").hint("merge"), "rep")
     blocks, minors = F.ceil(F.col("m") / BLOCK).cast("int"), F.ceil(F.col("minor") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
@@ -218,19 +233,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ``component_id`` is the smallest id reachable by links, itself included; ``kept`` marks the row
     with that id. Ids are integers. Texts with fewer than ``k`` words are one shingle; null, empty
     and wordless texts have no shingle and link with nothing. Rows with equal ids and different
-    texts: the links of any of their texts hold for its own row. Other columns are ignored. An
+    texts have the components of their own texts; such an id can be the smallest of several components. Other columns are ignored. An
     empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = stored(_signed(texts, k, band_rows(num / den)))
-    reps = stored(signed.where("n > 0").groupBy("digest").agg(F.min_by(F.struct("sig", "bands"), "id").alias("v"), F.min("id").alias("rep")).select("digest", "rep", "v.sig", "v.bands"))
+    # a class gets a number of its own, fixed by the write: its smallest id may be that of other classes too
+    reps = stored(signed.where("n > 0").groupBy("digest").agg(F.first(F.struct("sig", "bands")).alias("v"), F.min("id").alias("id")).select("digest", "id", "v.sig", "v.bands", F.monotonically_increasing_id().alias("rep")))
     sigs = reps.select("rep", "sig")
     rows = reps.select("rep", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("bucket"), "rep")
     hubs = rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1")
     members = stored(rows.join(hubs.hint("merge"), "bucket").select("bucket", "rep", "hub", "m"))
     least = num / den - 6 * (num / den * (1 - num / den) / BINS) ** 0.5  # a true link falls below once in 1e9
     edges = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = [stored(_confirmed(stored(_screened(edges, sigs, least)), texts, k, num, den))]
+    links = [stored(_confirmed(stored(_screened(edges, sigs, least)), reps, texts, k, num, den))]
     for n in range(star_rounds):
         comp = components(union_all(links))
         # buckets with two members are settled; of buckets with equal members one is enough
@@ -244,11 +260,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         left = spread_join(left, major, "bucket", "rep")
         if n < star_rounds - 1:
             edges = left.where("comp <> major").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
-            links.append(stored(_confirmed(stored(_screened(edges, sigs, least)), texts, k, num, den)))
+            links.append(stored(_confirmed(stored(_screened(edges, sigs, least)), reps, texts, k, num, den)))
         else:
-            links.append(stored(_block_links(stored(left), sigs, texts, k, num, den, least)))
+            links.append(stored(_block_links(stored(left), reps, texts, k, num, den, least)))
     comp = components(union_all(links))
-    classes = reps.select("digest", "rep").join(comp.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    known = stored(comp.withColumnRenamed("id", "rep").join(reps.select("rep", "id").hint("merge"), "rep"))
+    smallest = known.groupBy("component").agg(F.min("id").alias("component_id"))
+    linked = spread_join(known, smallest, "component", "rep").select("rep", "component_id")
+    classes = reps.select("digest", "rep", "id").join(linked.hint("merge"), "rep", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
     out = signed.select("id", "n", "digest").join(classes.hint("merge"), "digest", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

@@ -141,7 +141,8 @@ def _slopes(table: DataFrame, w: np.ndarray, bias: float) -> tuple[np.ndarray, f
 def train(docs: DataFrame, labels: DataFrame, use: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = 3000, prior: float | None = None, steps: int = 60, rate: float = 0.3, decay: float = 1e-4) -> Model:
     """Fits a model on the rows of ``docs`` where ``use`` (of the id column) holds.
 
-    Confirmed positives are rows whose id has ``label_col`` = 1 in ``labels``, of at most ``max_positive`` ids; the unlabelled
+    Confirmed positives are rows whose id has ``label_col`` = 1 in ``labels``, of at most ``max_positive`` ids by
+    a hash of the id and, where ids repeat, as many rows by a hash of the text; the unlabelled
     side is every row of the training part with a text, whatever its label, as the risk asks for. ``prior`` defaults to the share
     of positives among the labelled ids of the training part. With no positives or no texts the
     model scores 0 for every text. Null ids, texts and labels are passed over; an id that has
@@ -151,10 +152,11 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, *, id_col: str = "doc
     n_label, n_pos = marks.agg(F.count("*"), F.coalesce(F.sum((F.col("y") == 1).cast("long")), F.lit(0))).first()
     pi = min(0.9, max(1e-4, n_pos / max(1, n_label) if prior is None else prior))
     rows = docs.where(use).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    chosen = marks.where("y = 1").orderBy(F.xxhash64("id", F.lit(1)), "id").limit(max_positive).select("id")
     n_texts = rows.count()
     frequency = stored(_doc_frequency(rows.select("text")))
-    confirmed = rows.join(F.broadcast(chosen), "id", "left_semi").select("text").limit(4 * max_positive)
+    chosen = marks.where("y = 1").orderBy(F.xxhash64("id", F.lit(1)), "id").limit(max_positive).select("id")
+    confirmed = rows.join(F.broadcast(chosen), "id", "left_semi")
+    confirmed = confirmed.orderBy(F.xxhash64("text", F.lit(1)), "text").limit(max_positive).select("text")  # a sample that no order of rows changes
     texts = sorted(r.text for r in confirmed.collect()) if n_pos and n_texts else []  # bounded; in an order of their own
     if not texts:
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -40.0, pi)

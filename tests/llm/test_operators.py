@@ -93,6 +93,30 @@ def test_star_of_another_hub_joins_what_the_first_missed(spark):
     assert {i: r.component_id for i, r in got.items()} == want
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Classes are known by their sets: an id with several texts links each of them, in any order of rows."""
+    a, b = "one two three four five six seven eight nine ten", " ".join(f"w{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, b + " extra")]
+    for order in itertools.permutations(rows):
+        got = near_dedup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").coalesce(1), k=3, num=85).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [(1, 8, 1, True), (1, 38, 1, True), (2, 39, 1, False)]
+    # two components with the same smallest id stay two
+    both = [(1, a), (2, a), (1, b), (3, b), (3, "something else entirely here now")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(both, "doc_id long, text string"), k=3, num=85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 8, 1), (1, 38, 1), (2, 8, 1), (3, 3, 3), (3, 38, 1)]
+
+
+def test_windows_are_found_without_counts(docs, spark, monkeypatch):
+    """Counts choose where a window is looked up, never whether."""
+    items = spark.createDataFrame([(1, " ".join(plain_words(texts()[11]))), (2, "one two"), (3, "no such words anywhere at all")], "item_id long, text string")
+    key = lambda: sorted((r.doc_id, r.n_hit, r["items"]) for r in decontam.contamination(docs, items).collect())
+    want = key()
+    assert any(n for _, n, _ in want)
+    for counts in ({}, defaultdict(lambda: 1)):
+        monkeypatch.setattr(decontam, "_counted", lambda rows, shingles, c=counts: c)
+        assert key() == want
+
+
 def test_decontamination(docs, spark):
     items = [(1, " ".join(plain_words(texts()[11]))), (2, "one two"), (3, None), (4, "!!"), (5, texts()[11].upper()), (6, "never seen words here at all in any of the texts")]
     bench = spark.createDataFrame(items, "item_id long, text string")
