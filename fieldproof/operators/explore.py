@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from fieldproof.functions.text import js_round
 from fieldproof.operators.ingest import sort_keys
+from fieldproof.sources.tables import stored
 
 
 def quality_summary(records: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Counters of each run: collected, qualified, needs_verification, conflicts, excluded, incomplete, mean completeness, quality."""
+    """Counters of each run: collected, qualified, needs_verification, conflicts, excluded, incomplete (with a missing field), mean
+    completeness, quality. ``run_quality`` has the counters that a finished run keeps."""
     rows = records.select("run_id", "record_id").join(verdicts, ["run_id", "record_id"], "left")
     n = lambda s: F.count_if(F.col("status") == s)
     return rows.groupBy("run_id").agg(
@@ -25,6 +27,21 @@ def quality_summary(records: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
 
 
+def run_quality(collected: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The counters of finished runs: (run_id, collected, unique, validated, duplicates, incomplete, conflicts, qualified,
+    needs_verification, excluded).
+
+    collected(run_id) has a row for each raw record, verdicts(run_id, record_id, status) one for each record left after merging. A
+    record in need of verification counts as incomplete, whatever it lacks. A run without records left has zeros.
+    """
+    n = lambda s: F.count_if(F.col("status") == s)
+    left = verdicts.groupBy("run_id").agg(F.count("*").alias("unique"), n("Qualified").alias("qualified"), n("Needs verification").alias("needs_verification"), n("Conflict").alias("conflicts"), n("Excluded").alias("excluded"))
+    raw = collected.groupBy("run_id").agg(F.count("*").alias("collected"))
+    c = lambda name: F.coalesce(name, F.lit(0).cast("long"))
+    rows = raw.join(left.hint("merge"), "run_id", "left").select("run_id", "collected", *(c(x).alias(x) for x in left.columns[1:]))
+    return rows.select("run_id", "collected", "unique", F.col("qualified").alias("validated"), (F.col("collected") - F.col("unique")).alias("duplicates"), F.col("needs_verification").alias("incomplete"), "conflicts", "qualified", "needs_verification", "excluded")
+
+
 def coverage(verdicts_before: DataFrame, verdicts_after: DataFrame) -> DataFrame:
     """(run_id, before, after, recovered): share of qualified records before and after, and fields found in between."""
     one = lambda v, name: v.groupBy("run_id").agg(js_round(F.avg((F.col("status") == "Qualified").cast("int")) * 100).alias(name), F.sum(F.size("missing_fields")).alias(f"m_{name}"))
@@ -146,13 +163,20 @@ def drill_down(evidence: DataFrame, records: DataFrame) -> DataFrame:
     return evidence.join(of, ["run_id", "record_id"], "left")
 
 
+def written_stages(stages: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables, counts): the tables of a run, written in order of name, and counts(stage, rows), observed while they were written."""
+    tables, rows = {}, []
+    for name, df in sorted(stages.items()):
+        seen = Observation()
+        tables[name] = stored(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+        rows.append((name, seen.get["rows"]))
+    spark = next(iter(stages.values())).sparkSession
+    return tables, spark.createDataFrame(rows, "stage string, rows long")
+
+
 def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
     """(stage, rows) of the tables of a run, in order of name."""
-    out = None
-    for name, df in sorted(stages.items()):
-        one = df.agg(F.lit(name).alias("stage"), F.count("*").alias("rows"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return written_stages(stages)[1]
 
 
 def evidence_from_source(evidence: DataFrame, name: str) -> DataFrame:

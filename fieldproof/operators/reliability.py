@@ -5,13 +5,14 @@ Every part is a grouped job on evidence rows; nothing loops over records. ``as_o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldproof.functions.numbers import parse_date
 from fieldproof.functions.text import contains_any, extract, is_missing, js_round, matches, norm_key, truthy
 from fieldproof.functions.titles import parse_title, titles_match
 from fieldproof.functions.urls import NO_URL, SCORING_SECOND_LEVEL, root_domain, tier_score, with_tier
+from fieldproof.sources import tables
 from fieldproof.sources.tables import stored
 
 KEYS = ["run_id", "record_id"]
@@ -20,6 +21,8 @@ BOILERPLATE = ["cookie policy", "privacy policy", "all rights reserved", "terms
 ENTITY_NOISE = ["pvt", "ltd", "inc", "private", "limited", "corp", "technologies", "services"]
 STOP_WORDS = ["as", "in", "at", "for", "with", "a", "an", "the", "to", "on", "of", "and", "is", "are", "our", "their"]
 OTHER_COMPANY = r"(?i)\b(?:at|for|by|join|with|careers\s+at)\s+([A-Za-z0-9]+)\b"
+FALLBACK = ["Role", "Location", "Experience"]
+FRESH_WORDS = ["currently hiring", "latest", "active jobs", "recent"]
 YEARS = r"(?i)\b\d+(?:\s*[-–—to]+\s*\d+)?\s*(?:years?|yrs?)\b"
 WEIGHTS = {"support": 0.30, "directness": 0.20, "source_quality": 0.20, "agreement": 0.10, "consistency": 0.10, "fidelity": 0.10}
 
@@ -72,8 +75,10 @@ def support(direct: DataFrame) -> DataFrame:
 
 
 def source_quality(records: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(run_id, record_id, source_quality): 0.7 of the best and 0.3 of the mean score of a record's distinct sources."""
-    urls = evidence.select(*KEYS, "url").unionByName(records.select(*KEYS, F.col("source").alias("url"))).where(~F.coalesce("url", F.lit("")).isin(NO_URL)).distinct()
+    """(run_id, record_id, source_quality): 0.7 of the best and 0.3 of the mean score of a record's distinct sources: those
+    of its citations, its source and its attribute "Source URL"."""
+    own = [F.col("source")] + ([F.try_element_at("attributes", F.lit("Source URL"))] if "attributes" in records.columns else [])
+    urls = evidence.select(*KEYS, "url").unionByName(records.select(*KEYS, F.explode(F.array(*own)).alias("url"))).where(~F.coalesce("url", F.lit("")).isin(NO_URL)).distinct()
     named = records.select(*KEYS, "entity_name").join(urls, KEYS, "left")
     rated = rated_sources(named)
     rows = named.join(rated.hint("shuffle_hash"), [named["url"].eqNullSafe(rated["url"]), named["entity_name"].eqNullSafe(rated["entity_name"])]).select(named["run_id"], named["record_id"], "tier_score")
@@ -139,27 +144,57 @@ def fidelity(fields: DataFrame, evidence: DataFrame) -> DataFrame:
     return fields.select(*KEYS).distinct().join(mean.hint("merge"), KEYS, "left").select(*KEYS, F.coalesce("fidelity", F.lit(40)).alias("fidelity"))
 
 
-def freshness(records: DataFrame, evidence: DataFrame, as_of: Column, required: bool = False) -> DataFrame:
-    """(run_id, record_id, freshness, freshness_status, age_days): by the newest date retrieved or "n days ago" in a snippet."""
+def score_plan(requests: DataFrame, constraints: DataFrame) -> DataFrame:
+    """(request_id, fields, fresh), one row for each of requests(request_id, prompt, required_fields): what its records are scored by.
+
+    ``fields`` are the required fields; without any, the distinct fields of its constraints(request_id, c_seq, field) in their order;
+    without these, FALLBACK. ``fresh`` tells that the text asks for recent evidence. A null text asks for nothing.
+    """
+    stated = constraints.groupBy("request_id", "field").agg(F.min("c_seq").alias("c_seq")).groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c_seq", "field"))), lambda c: c["field"]).alias("stated"))
+    fields = F.when(F.size("required_fields") > 0, F.col("required_fields")).when(F.size("stated") > 0, F.col("stated")).otherwise(F.array(*(F.lit(f) for f in FALLBACK)))
+    return requests.join(stated.hint("merge"), "request_id", "left").select("request_id", fields.alias("fields"), F.coalesce(contains_any(F.lower("prompt"), FRESH_WORDS), F.lit(False)).alias("fresh"))
+
+
+def scored_fields(records: DataFrame, plan: DataFrame) -> DataFrame:
+    """(run_id, record_id, entity_name, field, value): the fields that the plan of a record's request scores.
+
+    A value is that of the attribute with this name, else of the first (by ``attr_order``) with equal letters and digits; where it is
+    missing or empty, of the column for roles, places, experience or companies, unless that is a dash.
+    """
+    rows = records.join(plan.select("request_id", "fields").hint("merge"), "request_id").withColumn("field", F.explode("fields"))
+    f, attribute = norm_key(F.col("field")), lambda k: F.try_element_at("attributes", k)
+    alike = F.get(F.filter("attr_order", lambda k: norm_key(k) == f), 0)
+    value = F.when(F.map_contains_key("attributes", F.col("field")), attribute(F.col("field"))).otherwise(attribute(alike))
+    column = F.when(contains_any(f, ["role", "title"]), F.col("role")).when(contains_any(f, ["location", "city"]), F.col("location")).when(F.contains(f, F.lit("exp")), F.col("experience")).when(contains_any(f, ["company", "brand"]), F.col("company"))
+    return rows.select(*KEYS, "entity_name", "field", F.coalesce(F.nullif(value, F.lit("")), F.nullif(column, F.lit("—"))).alias("value"))
+
+
+def freshness(records: DataFrame, evidence: DataFrame, as_of: Column, required: bool | Column = False) -> DataFrame:
+    """(run_id, record_id, freshness, freshness_status, age_days): by the newest date retrieved or "n days ago" in a snippet.
+
+    ``required`` is a flag, or a column of ``records``; old evidence then counts less."""
+    required = required if isinstance(required, Column) else F.lit(required)
     ago = extract(F.col("snippet"), r"(?i)(\d+)\s+days?\s+ago").try_cast("int")
     day = F.greatest(F.to_date(parse_date(F.col("retrieved"))), F.date_sub(F.to_date(as_of), ago))
     newest = evidence.groupBy(*KEYS).agg(F.max(day).alias("day"))
     age = F.greatest(F.datediff(as_of, F.col("day")), F.lit(0))
-    out = records.select(*KEYS).join(newest, KEYS, "left").withColumn("age_days", age)
+    out = records.select(*KEYS, required.alias("fresh")).join(newest, KEYS, "left").withColumn("age_days", age)
     status = F.when(F.col("day").isNull(), "UNKNOWN").when(F.col("age_days") <= 30, "RECENT").when(F.col("age_days") <= 90, "MODERATE").otherwise("AGED")
-    score = F.when(F.col("day").isNull(), 70).when(F.col("age_days") <= 30, 95).when(F.col("age_days") <= 90, 80).otherwise(40 if required else 60)
+    score = F.when(F.col("day").isNull(), 70).when(F.col("age_days") <= 30, 95).when(F.col("age_days") <= 90, 80).otherwise(F.when(F.col("fresh"), 40).otherwise(60))
     return out.select(*KEYS, score.alias("freshness"), status.alias("freshness_status"), F.when(F.col("day").isNotNull(), F.col("age_days")).alias("age_days"))
 
 
-def reliability(records: DataFrame, fields: DataFrame, evidence: DataFrame, conflicts: DataFrame, as_of: Column, fresh_required: bool = False) -> DataFrame:
+def reliability(records: DataFrame, fields: DataFrame, evidence: DataFrame, conflicts: DataFrame, as_of: Column, fresh_required: bool | Column = False) -> DataFrame:
     """The composite score (0 to 100) and grade of every record, with its parts and penalties.
 
     ``fields`` are the required fields of each record. A conflict on one of them costs 35, any other 15; an inconsistent entity 35,
-    fidelity under 60 10, each missing field 6.
+    fidelity under 60 10, each missing field 6. ``fresh_required``, a flag or a column of ``records``, gives freshness a tenth of the score;
+    with ``score_plan`` and ``scored_fields`` each request has its own fields and its own flag.
     """
     # seven parts read them: what they come from is worked out once
     evidence, fields = stored(evidence), stored(fields)
-    parts = records.select(*KEYS)
+    fresh = fresh_required if isinstance(fresh_required, Column) else F.lit(fresh_required)
+    parts = records.select(*KEYS, fresh.alias("fresh"))
     for part in (support(directness(fields, evidence)), source_quality(records, evidence), agreement(records, evidence, conflicts), consistency(records, evidence), fidelity(fields, evidence), freshness(records, evidence, as_of, fresh_required)):
         parts = parts.join(part.hint("merge"), KEYS, "left")
     low = lambda c: F.lower(c)
@@ -168,8 +203,7 @@ def reliability(records: DataFrame, fields: DataFrame, evidence: DataFrame, conf
     conflict_penalty = F.when(F.col("clash").isNull(), 0).when(F.col("hits"), 35).otherwise(15)
     inference = F.when(F.col("consistency") < 100, 35).otherwise(0) + F.when(F.col("fidelity") < 60, 10).otherwise(0) + 6 * F.coalesce("missing", F.lit(0))
     base = sum((F.coalesce(c, F.lit(0)) * w for c, w in WEIGHTS.items()), F.lit(0.0))
-    if fresh_required:
-        base = base * 0.9 + F.col("freshness") * 0.1
+    base = F.when(F.col("fresh"), base * 0.9 + F.col("freshness") * 0.1).otherwise(base)
     score = F.least(F.lit(100), F.greatest(F.lit(0), js_round(base - conflict_penalty - inference)))
     out = parts.withColumns({"conflict_penalty": conflict_penalty, "inference_penalty": inference, "score": score.cast("int")})
     return out.withColumn("grade", grade(F.col("score"))).select(*KEYS, *WEIGHTS, "freshness", "conflict_penalty", "inference_penalty", "score", "grade")
@@ -199,7 +233,7 @@ def calibration(scored: DataFrame, label: Column, predicted: Column, score: Colu
 
 
 def numbered(records: DataFrame) -> DataFrame:
-    """Records with a number n by ingest_seq within their run, and ids R-001, R-002, ... from it."""
+    """Records with a number n by ingest_seq within their run, and ids R-001, R-002, ... from it. A run with all rows is spread over all tasks."""
     n = F.col("n")
-    rows = records.withColumn("n", F.row_number().over(Window.partitionBy("run_id").orderBy("ingest_seq", "record_id")))
+    rows = tables.numbered(records, ["ingest_seq", "record_id"], "n", ["run_id"])
     return rows.withColumn("display_id", F.concat(F.lit("R-"), F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))))

@@ -50,17 +50,56 @@ def signatures(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return assigned, sigs.select("sig", "run_id", "name", "domain", "title", "place", "generic")
 
 
-def entity_pairs(sigs: DataFrame) -> DataFrame:
-    """Pairs (run_id, a, b, decision, reason) of signatures with equal names, a < b: STRONG_MATCH, AMBIGUOUS or DISTINCT."""
+def _parsed(sigs: DataFrame) -> DataFrame:
+    """Signatures with names that tell something, and their titles parsed as p, each distinct one once."""
     real = sigs.where("not generic")
     titles = real.where("title is not null").select("title").distinct().select("title", parse_title(F.col("title")).alias("p"))
-    known = real.join(titles.hint("shuffle_hash"), "title", "left")
-    side = lambda x: known.select("run_id", "name", *(F.col(c).alias(f"{x}_{c}") for c in ("sig", "domain", "place", "title", "p")))
-    pairs = side("a").join(side("b"), ["run_id", "name"]).where("a_sig < b_sig")
-    clash = F.col("a_p").isNotNull() & F.col("b_p").isNotNull() & titles_clash(F.col("a_p"), F.col("b_p"))
+    return real.join(titles.hint("shuffle_hash"), "title", "left")
+
+
+def _side(rows: DataFrame, x: str) -> DataFrame:
+    return rows.select("run_id", "name", *(F.col(c).alias(f"{x}_{c}") for c in ("sig", "domain", "place", "p")))
+
+
+def _clash() -> Column:
+    return F.col("a_p").isNotNull() & F.col("b_p").isNotNull() & titles_clash(F.col("a_p"), F.col("b_p"))
+
+
+def _apart() -> Column:
+    return F.col("a_place").isNotNull() & F.col("b_place").isNotNull() & ~F.contains("a_place", F.col("b_place")) & ~F.contains("b_place", F.col("a_place"))
+
+
+def strong_pairs(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(groups, pairs): what leader clustering needs, without listing all pairs of a name.
+
+    Signatures with equal name, domain, parsed title and place match the same others, and each other, so they make a group, known
+    by its smallest signature: groups(run_id, sig, group). pairs(run_id, a, b) holds the strong matches a < b of groups. A known domain
+    only meets itself and the groups without a domain, which are wildcards; so the pairs looked at are those of one domain and those
+    with a wildcard, never all of a name.
+    """
+    known = _parsed(sigs).withColumn("k", F.xxhash64("name", "domain", F.to_json("p"), "place"))
+    by = ["run_id", "k", "name", "domain", "p", "place"]
+    known = stored(known.select("sig", *by))
+    groups = stored(known.groupBy(*by).agg(F.min("sig").alias("group")))
+    other = groups.withColumnsRenamed({c: f"_{c}" for c in by})
+    members = known.join(other.hint("merge"), [known["k"] == other["_k"], *(known[c].eqNullSafe(other[f"_{c}"]) for c in by if c != "k")]).select("run_id", "sig", "group")
+    rows = groups.withColumnRenamed("group", "sig")
+    named, wild = rows.where("domain is not null"), rows.where("domain is null")
+    strong = (F.col("a_sig") < F.col("b_sig")) & ~_clash() & ~_apart()
+    meet = lambda a, b, on: _side(a, "a").join(_side(b, "b").hint("merge"), on).where(strong).select("run_id", F.col("a_sig").alias("a"), F.col("b_sig").alias("b"))
+    one_domain = _side(named, "a").withColumn("domain", F.col("a_domain")).join(_side(named, "b").withColumn("domain", F.col("b_domain")).hint("merge"), ["run_id", "name", "domain"]).where(strong)
+    pairs = one_domain.select("run_id", F.col("a_sig").alias("a"), F.col("b_sig").alias("b")).unionByName(meet(wild, rows, ["run_id", "name"])).unionByName(meet(named, wild, ["run_id", "name"]))
+    return members, pairs
+
+
+def entity_pairs(sigs: DataFrame) -> DataFrame:
+    """Pairs (run_id, a, b, decision, reason) of signatures with equal names, a < b: STRONG_MATCH, AMBIGUOUS or DISTINCT.
+
+    The report of all pairs of a name; clusters come from ``strong_pairs``."""
+    known = _parsed(sigs)
+    pairs = _side(known, "a").join(_side(known, "b"), ["run_id", "name"]).where("a_sig < b_sig")
     both = F.col("a_domain").isNotNull() & F.col("b_domain").isNotNull()
-    apart = F.col("a_place").isNotNull() & F.col("b_place").isNotNull() & ~F.contains("a_place", F.col("b_place")) & ~F.contains("b_place", F.col("a_place"))
-    pairs = pairs.withColumns({"clash": clash, "apart": apart})
+    pairs = pairs.withColumns({"clash": _clash(), "apart": _apart()})
     clash, apart = F.col("clash"), F.col("apart")
     verdict = lambda d, r: F.struct(F.lit(d).alias("decision"), F.lit(r).alias("reason"))
     got = (
@@ -76,11 +115,11 @@ def entity_pairs(sigs: DataFrame) -> DataFrame:
 def leaders(sigs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(run_id, sig, leader): leader clustering in signature order, in rounds.
 
-    A signature with an earlier leader among its strong matches is none; one without an earlier match that is undecided or
+    ``pairs`` are the strong matches (run_id, a, b), a < b. A signature with an earlier leader among its matches is none; one without an earlier match that is undecided or
     leader becomes leader. Few rounds are needed (Blelloch, Fineman, Shun 2012). When all are decided, the others join
     their earliest leader. Each round is written to the shared folder.
     """
-    strong = stored(pairs.where("decision = 'STRONG_MATCH'").select("run_id", "a", "b"))
+    strong = stored(pairs.select("run_id", "a", "b"))
     state = stored(sigs.select("run_id", F.col("sig").alias("id"), F.lit("open").alias("state")))
     while not state.where("state = 'open'").isEmpty():
         earlier = strong.join(state.withColumnRenamed("id", "a").withColumnRenamed("state", "s"), ["run_id", "a"]).groupBy("run_id", F.col("b").alias("id")).agg(F.bool_or(F.col("s") == "leader").alias("led"), F.bool_or(F.col("s") == "open").alias("waits"))
@@ -96,8 +135,13 @@ def clusters(records: DataFrame) -> DataFrame:
     """(run_id, record_id, ingest_seq, cluster): cluster is the ingest_seq of the cluster's first record."""
     assigned, sigs = signatures(records)
     sigs = stored(sigs)
-    found = leaders(sigs, entity_pairs(sigs))
-    return assigned.join(found.hint("merge"), ["run_id", "sig"]).select("run_id", "record_id", "ingest_seq", F.col("leader").alias("cluster"))
+    members, pairs = strong_pairs(sigs)
+    members = stored(members)
+    firsts = sigs.where("generic").select("run_id", "sig").unionByName(members.select("run_id", F.col("group").alias("sig")).distinct())
+    found = leaders(firsts, pairs)
+    every = members.unionByName(sigs.where("generic").select("run_id", "sig", F.col("sig").alias("group")))
+    led = every.join(found.withColumnRenamed("sig", "group").hint("merge"), ["run_id", "group"]).select("run_id", "sig", "leader")
+    return assigned.join(led.hint("merge"), ["run_id", "sig"]).select("run_id", "record_id", "ingest_seq", F.col("leader").alias("cluster"))
 
 
 def merge_log(clustered: DataFrame, records: DataFrame | None = None) -> DataFrame:

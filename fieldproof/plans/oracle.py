@@ -349,6 +349,13 @@ parts AS (SELECT r.record_id, support, directness, source_quality, agreement, co
   CASE WHEN consistency < 100 THEN 35 ELSE 0 END + CASE WHEN coalesce(fidelity, 40) < 60 THEN 10 ELSE 0 END + 6 * missing AS inference_penalty
   FROM rec r JOIN support_ USING (record_id) JOIN quality USING (record_id) JOIN agree USING (record_id) JOIN consist USING (record_id) LEFT JOIN fid USING (record_id) JOIN fresh USING (record_id) LEFT JOIN hits h ON h.record_id = r.record_id),
 scored AS (SELECT *, CAST(least(100, greatest(0, floor(0.3::DOUBLE * support + 0.2::DOUBLE * directness + 0.2::DOUBLE * source_quality + 0.1::DOUBLE * agreement + 0.1::DOUBLE * consistency + 0.1::DOUBLE * fidelity - conflict_penalty - inference_penalty + 0.5::DOUBLE))) AS INT) AS score FROM parts)"""
+# four requests: fields stated, those of constraints, none, and others; the second and the last ask for recent evidence
+_FRESH_ASKED = "record_id % 4 IN (1, 3)"
+ASKED_FIELDS = "fields AS (" + " UNION ALL ".join(f"SELECT record_id, entity_name, {lit(f)} AS field, {v} AS value FROM rec WHERE record_id % 4 = {k}" for k, f, v in ((0, "Brand", "brand"), (0, "Price", "price"), (1, "Size", "size"), (1, "Role", "role"), (2, "Role", "role"), (2, "Location", "location"), (2, "Experience", "experience"), (3, "Experience", "experience"), (3, "Company Name", "brand"))) + ")"
+ASKED_EV = "cited AS (SELECT record_id, url FROM ev UNION ALL SELECT record_id, 'https://data.labour.gov/list/' || record_id FROM rec WHERE record_id % 3 = 0)"
+ASKED_FRESH = FRESH.replace("ELSE 60 END AS freshness", f"WHEN {_FRESH_ASKED} THEN 40 ELSE 60 END AS freshness")
+_BASE = "0.3::DOUBLE * support + 0.2::DOUBLE * directness + 0.2::DOUBLE * source_quality + 0.1::DOUBLE * agreement + 0.1::DOUBLE * consistency + 0.1::DOUBLE * fidelity"
+ASKED_RELIABLE = RELIABLE.replace(_BASE, f"CASE WHEN {_FRESH_ASKED} THEN ({_BASE}) * 0.9::DOUBLE + freshness * 0.1::DOUBLE ELSE {_BASE} END")
 _ROLE_PAIRS = f"titles_ AS (SELECT role AS t, count(*) AS records FROM rec GROUP BY role)"
 _ITEM = "to_json({'entityName': 'Entity ' || doc_id, 'role': 'chars ' || n_chars, 'location': source})"
 _WRAP = "CASE doc_id % 5 WHEN 2 THEN 'https://host' || (doc_id % 7) || '.example.com/a?b=1' WHEN 3 THEN 'https://www.example.org/x' END"
@@ -392,6 +399,8 @@ SQL: dict[str, str] = {
     "extraction_fidelity": with_(REC, FIELDS_ALL, EV, fidelity_sql("fields_all", "fid")) + "SELECT record_id, coalesce(fidelity, 40) AS fidelity FROM rec LEFT JOIN fid USING (record_id)",
     "freshness": with_(REC, EV, FRESH) + "SELECT * FROM fresh",
     "reliability_score": "WITH RECURSIVE " + ", ".join([REC, FIELDS_ALL, FIELDS, EV, CLASH, RATED, QUALITY, DIRECT, SUPPORT, AGREE, CONSIST, fidelity_sql("fields", "fid"), FRESH, RELIABLE]) + " SELECT *, CASE WHEN score >= 80 THEN 'High' WHEN score >= 60 THEN 'Moderate' WHEN score >= 35 THEN 'Low' ELSE 'Unverified' END AS grade, CASE WHEN score >= 80 AND support >= 75 THEN 'Confirmed' WHEN score >= 45 THEN 'Partially verified' ELSE 'Needs verification' END AS status FROM scored",
+    "request_scores": "WITH RECURSIVE " + ", ".join([REC, ASKED_FIELDS, EV, CLASH, ASKED_EV, RATED.replace("FROM ev JOIN", "FROM cited JOIN"), QUALITY.replace("FROM ev WHERE", "FROM cited WHERE"), DIRECT, SUPPORT, AGREE, CONSIST, fidelity_sql("fields", "fid"), ASKED_FRESH, ASKED_RELIABLE]) + " SELECT record_id, support, directness, source_quality, freshness, conflict_penalty, inference_penalty, score FROM scored",
+    "run_quality": with_(eval_sql("Q"), EV, CLASH, VERDICTS) + "SELECT run_id, collected, n AS \"unique\", q AS validated, collected - n AS duplicates, nv AS incomplete, c AS conflicts, q AS qualified, nv AS needs_verification, x AS excluded FROM (SELECT run_id, count(*) AS collected FROM ev GROUP BY run_id) JOIN (SELECT run_id, count(*) AS n, count(*) FILTER (status = 'Qualified') AS q, count(*) FILTER (status = 'Needs verification') AS nv, count(*) FILTER (status = 'Conflict') AS c, count(*) FILTER (status = 'Excluded') AS x FROM verdicts JOIN (SELECT run_id, record_id FROM rec) USING (record_id) GROUP BY run_id) USING (run_id)",
     "parse_responses": "SELECT doc_id AS id, CAST(pos AS INT) AS pos, CASE WHEN pos >= 0 THEN 'Entity ' || doc_id END AS \"entityName\", CASE WHEN pos >= 0 THEN 'chars ' || n_chars END AS role, CASE WHEN pos >= 0 THEN source END AS location FROM (SELECT *, unnest(CASE doc_id % 5 WHEN 1 THEN [0, 1] WHEN 4 THEN [-1] ELSE [0] END) AS pos FROM documents)",
     "citations": f"SELECT doc_id AS id, url, regexp_replace(regexp_extract(url, '//([^/]+)', 1), '^www\\.', '') AS title FROM (SELECT doc_id, {_WRAP} AS url FROM documents) WHERE url IS NOT NULL",
     "discover_sources": with_(EV) + "SELECT run_id, url, arg_min(source, (record_id, ev_seq)) AS source, nullif(arg_min(coalesce(snippet, 'none'), (record_id, ev_seq)), 'none') AS snippet, count(*) AS citations FROM ev WHERE url <> '' GROUP BY run_id, url",

@@ -171,6 +171,35 @@ def reliability_score(spark: SparkSession, d: str) -> DataFrame:
     return _scores(spark, d).drop("run_id").withColumn("status", reliability.verification_status(F.col("score"), F.col("support")))
 
 
+def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, requests, constraints) of four requests, each with fields of its own to score: stated, those of its constraints, none, and others."""
+    k = F.col("record_id")
+    rec = A.records(spark, d).withColumn("request_id", A.pick(["A", "B", "C", "D"], k))
+    listed = F.create_map(F.lit("Source URL"), F.concat(F.lit("https://data.labour.gov/list/"), k.cast("string")))
+    rec = rec.withColumn("attributes", F.when(F.pmod(k, F.lit(3)) == 0, F.map_concat("attributes", listed)).otherwise(F.col("attributes")))
+    prompts = F.create_map(*(F.lit(x) for x in ("A", "Find companies", "B", "The latest openings", "D", "Teams Currently Hiring")))
+    wanted = F.when(F.col("request_id") == "A", F.array(F.lit("Brand"), F.lit("Price"))).when(F.col("request_id") == "D", F.array(F.lit("experience"), F.lit("Company Name"))).otherwise(F.array().cast("array<string>"))
+    requests = rec.select("request_id").distinct().select("request_id", F.try_element_at(prompts, F.col("request_id")).alias("prompt"), wanted.alias("required_fields"))
+    return rec, requests, spark.createDataFrame([("B", 2, "Role"), ("B", 1, "Size"), ("B", 3, "Size"), ("A", 1, "Role")], "request_id string, c_seq int, field string")
+
+
+@query
+def request_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Records of several requests scored at once, each by its own fields and its own wish for recent evidence."""
+    rec, requests, constraints = _asked(spark, d)
+    plan = tables.stored(reliability.score_plan(requests, constraints))
+    rec = tables.stored(rec.join(plan.select("request_id", "fresh").hint("merge"), "request_id"))
+    ev = A.evidence(spark, d)
+    scores = reliability.reliability(rec, reliability.scored_fields(rec, plan), ev, A.clashes(ev), F.to_date(F.lit(A.AS_OF)), F.col("fresh"))
+    return scores.select("record_id", "support", "directness", "source_quality", "freshness", "conflict_penalty", "inference_penalty", "score")
+
+
+@query
+def run_quality(spark: SparkSession, d: str) -> DataFrame:
+    """The counters that finished runs keep: each citation was a raw record."""
+    return explore.run_quality(A.evidence(spark, d).select("run_id"), _verdicts(spark, d))
+
+
 @query
 def parse_responses(spark: SparkSession, d: str) -> DataFrame:
     good, bad = ingest.parse_responses(A.responses(spark, d), "doc_id", "answer", "entityName:string,role:string,location:string")

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -144,9 +145,11 @@ def numbered(df: DataFrame, order: list, name: str, by: list[str] = ()) -> DataF
     starts = df.sparkSession.createDataFrame(starts, "_part long, _before long")
     rows = dealt.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_before") + 1)
     if by:
-        first = rows.groupBy(*by).agg(F.min("_at").alias("_first"))
-        same = [rows[c].eqNullSafe(first[c]) for c in by]
-        rows = rows.join(first.hint("merge"), same, "left").select(*(rows[c] for c in df.columns), (F.col("_at") - F.col("_first") + 1).alias("_at"))
+        # each range of a group learns the group's first number: the join is on range and group, so it does not gather a group
+        spans = rows.groupBy("_part", *by).agg(F.min("_at").alias("_from")).withColumnsRenamed({c: f"_{c}" for c in by})
+        first = spans.withColumn("_first", F.min("_from").over(Window.partitionBy(*(f"_{c}" for c in by)))).withColumnRenamed("_part", "_range")
+        rows = rows.join(first.hint("merge"), [F.col("_part") == F.col("_range"), *(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by)])
+        rows = rows.withColumn("_at", F.col("_at") - F.col("_first") + 1)
     return rows.select(*df.columns, F.col("_at").alias(name))
 
 
@@ -169,37 +172,77 @@ def split_snapshot(root: DataFrame) -> dict[str, DataFrame]:
 
 def with_ids(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The tables of runs with ids of their own: {run}-SRC-n for sources (by search_rank, url), {record}-EV-n and {record}-CONF-n for
-    evidence (by ev_seq) and conflicts (by field)."""
-    n = lambda by, *order: F.row_number().over(Window.partitionBy("run_id", *by).orderBy(*order)).cast("string")
+    evidence (by ev_seq) and conflicts (by field). Sources of a run are numbered in two passes, citations of a record in a window."""
+    n = lambda *order: F.row_number().over(Window.partitionBy("run_id", "record_id").orderBy(*order)).cast("string")
+    text = F.col("record_id").cast("string")
     rules = {
-        "sources": lambda: F.concat("run_id", F.lit("-SRC-"), n([], "search_rank", "url")),
-        "evidence": lambda: F.concat(F.col("record_id").cast("string"), F.lit("-EV-"), n(["record_id"], "ev_seq")),
-        "conflicts": lambda: F.concat(F.col("record_id").cast("string"), F.lit("-CONF-"), n(["record_id"], "field")),
+        "sources": lambda df: numbered(df, ["search_rank", "url"], "id", ["run_id"]).withColumn("id", F.concat("run_id", F.lit("-SRC-"), F.col("id").cast("string"))),
+        "evidence": lambda df: df.withColumn("id", F.concat(text, F.lit("-EV-"), n("ev_seq"))),
+        "conflicts": lambda df: df.withColumn("id", F.concat(text, F.lit("-CONF-"), n("field"))),
     }
-    return {name: df.withColumn("id", rules[name]()) if name in rules else df for name, df in tables.items()}
+    return {name: rules[name](df) if name in rules else df for name, df in tables.items()}
+
+
+_MANIFEST = "run_id string, version long, folder string"
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id, version, folder): where each run was written, all versions; no rows before the first write."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    there = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+    return spark.read.schema(_MANIFEST).parquet(f"{path}/manifest") if there else spark.createDataFrame([], _MANIFEST)
 
 
 def write_run(tables: dict[str, DataFrame], path: str) -> None:
-    """One folder for each table, with ids, partitioned by run_id; only the partitions of the runs written are replaced. The columns are
-    written beside them, as a table without rows leaves no file to read them from."""
+    """Publishes runs as one: all their tables go to a new folder, partitioned by run_id, and only then one file names that folder
+    for these runs. A reader sees a run as it was before or as it is now, never a part; a write that breaks off is never seen.
+
+    Runs that are not in ``tables`` stay as they are. The columns of a table are written beside it, as one without rows leaves no file
+    to read them from. Folders of older versions stay for readers that have begun; ``vacuum_runs`` removes them.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    folder = uuid.uuid4().hex
     for name, df in with_ids(tables).items():
-        df.sparkSession.createDataFrame([(df.schema.json(),)], "columns string").write.mode("overwrite").text(f"{path}/columns/{name}")
-        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        (writer.partitionBy("run_id") if "run_id" in df.columns else writer).parquet(f"{path}/{name}")
+        spark.createDataFrame([(df.schema.json(),)], "columns string").coalesce(1).write.text(f"{path}/{folder}/columns/{name}")
+        (df.write.partitionBy("run_id") if "run_id" in df.columns else df.write).parquet(f"{path}/{folder}/{name}")
+    version = (_manifest(spark, path).agg(F.max("version")).first()[0] or 0) + 1
+    ids = [df.select(F.col("run_id").cast("string")).distinct() for df in tables.values() if "run_id" in df.columns]
+    runs = reduce(DataFrame.union, ids).distinct()
+    runs.select("run_id", F.lit(version).cast("long").alias("version"), F.lit(folder).alias("folder")).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def run_tables(spark: SparkSession, path: str, run_id: str) -> dict[str, DataFrame]:
+    """The tables of the newest version of a run, by partition-pruned reads; none if it was never written."""
+    newest = _manifest(spark, path).where(F.col("run_id") == run_id).agg(F.max_by("folder", "version")).first()[0]
+    if newest is None:
+        return {}
+    named = spark.read.text(f"{path}/{newest}/columns/*").select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("name"))
+    columns = {r.name: StructType.fromJson(json.loads(r.value)) for r in named.collect()}  # one row for each table
+    read = lambda name: spark.read.schema(columns[name]).parquet(f"{path}/{newest}/{name}")
+    return {name: read(name).where(F.col("run_id") == run_id) if "run_id" in kind.names else read(name) for name, kind in columns.items()}
+
+
+def vacuum_runs(spark: SparkSession, path: str) -> int:
+    """Removes folders of which no run is the newest version, and says how many; for times when nobody reads or writes."""
+    folders = _manifest(spark, path)
+    live = folders.groupBy("run_id").agg(F.max_by("folder", "version").alias("folder")).select("folder").distinct()
+    old = [r.folder for r in folders.select("folder").distinct().join(live, "folder", "left_anti").collect()]
+    for folder in old:
+        _remove(spark, f"{path}/{folder}")
+    return len(old)
 
 
 def read_run(spark: SparkSession, path: str, run_id: str) -> dict[str, DataFrame]:
-    """One run by partition-pruned reads: ``records`` with their evidence and conflicts nested, ``sources`` by search_rank, and ``run``,
+    """One run as published last: ``records`` with their evidence and conflicts nested, ``sources`` by search_rank, and ``run``,
     its counters, where a counter that is missing (or not positive, of collected and unique) is counted from the records."""
-    columns = lambda name: StructType.fromJson(json.loads(spark.read.text(f"{path}/columns/{name}").first()[0]))
-    part = lambda name: spark.read.schema(columns(name)).parquet(f"{path}/{name}").where(F.col("run_id") == run_id)
-    records = part("records")
+    part = run_tables(spark, path, run_id)
+    records = part["records"]
     n = lambda s: F.count_if(F.col("qualification_status") == s)
     live = records.agg(F.count("*").alias("l_collected"), F.count("*").alias("l_unique"), n("Qualified").alias("l_validated"), n("Conflict").alias("l_conflicts"), n("Needs verification").alias("l_incomplete"))
     stated = lambda c: F.when(F.col(c) > 0, F.col(c)) if c in ("collected", "unique") else F.col(c)
     counters = ["collected", "unique", "validated", "conflicts", "incomplete"]
-    run = part("runs").join(F.broadcast(live)).select("run_id", "request_id", "run_number", *(F.coalesce(stated(c), F.col(f"l_{c}")).alias(c) for c in counters))
-    return {"run": run, "records": nest(records, part("evidence"), part("conflicts")), "sources": part("sources").orderBy("search_rank", "url")}
+    run = part["runs"].join(F.broadcast(live)).select("run_id", "request_id", "run_number", *(F.coalesce(stated(c), F.col(f"l_{c}")).alias(c) for c in counters))
+    return {"run": run, "records": nest(records, part["evidence"], part["conflicts"]), "sources": part["sources"].orderBy("search_rank", "url")}
 
 
 def nest(records: DataFrame, evidence: DataFrame, conflicts: DataFrame) -> DataFrame:

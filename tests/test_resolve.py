@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldproof.operators import explore, improve, ingest, reliability, resolve
@@ -45,7 +46,7 @@ def test_leaders_equal_the_sequential_rule(spark):
     n = 60
     pairs = {(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.08}
     sigs = spark.createDataFrame([("R", i) for i in range(n)], "run_id string, sig long")
-    df = spark.createDataFrame([("R", a, b, "STRONG_MATCH") for a, b in pairs], "run_id string, a long, b long, decision string")
+    df = spark.createDataFrame([("R", a, b) for a, b in pairs], "run_id string, a long, b long")
     want, heads = {}, []
     for i in range(n):
         near = [h for h in heads if (h, i) in pairs]
@@ -55,6 +56,69 @@ def test_leaders_equal_the_sequential_rule(spark):
     assert {r.sig: r.leader for r in resolve.leaders(sigs, df).collect()} == want
 
 
+def test_clusters_equal_the_sequential_rule_over_all_pairs(spark):
+    """Wildcards, equal parsed titles and places that hold each other: groups and domains give what comparing with every leader gives."""
+    rng = random.Random(5)
+    titles = ["Java Backend Developer", "Backend Engineer - Java", "Senior Java Backend Engineer", "React Frontend Developer", "Data Scientist", None]
+    rows = [(rng.choice(["Acme", "Acme Ltd", "Bolt", "Top Companies"]), rng.choice([None, *(f"https://d{i}.com/x" for i in range(6)), "https://linkedin.com/q"]), rng.choice(titles), rng.choice([None, "Pune", "Pune, India", "India", "Delhi"]), 1) for _ in range(220)]
+    df = spark.createDataFrame([("R", f"R-{i}", i, *r) for i, r in enumerate(rows)], CAND)
+    assigned, sigs = resolve.signatures(df)
+    sigs = tables.stored(sigs)
+    strong = {(r.a, r.b) for r in resolve.entity_pairs(sigs).where("decision = 'STRONG_MATCH'").collect()}
+    leader, heads = {}, []
+    for sig in sorted(r.sig for r in sigs.collect()):
+        near = [h for h in heads if (h, sig) in strong]
+        leader[sig] = near[0] if near else sig
+        if not near:
+            heads.append(sig)
+    want = {r.ingest_seq: leader[r.sig] for r in assigned.collect()}
+    assert {r.ingest_seq: r.cluster for r in resolve.clusters(df).collect()} == want
+    assert len(set(want.values())) > 20
+
+
+def test_one_name_with_many_domains_makes_few_pairs(spark):
+    n = 100_000
+    sigs = spark.range(n).select(F.lit("R").alias("run_id"), F.col("id").alias("sig"), F.lit("acme").alias("name"), F.when(F.col("id") % 50_000 != 7, F.concat(F.lit("d"), (F.col("id") % 40_000).cast("string"))).alias("domain"), F.lit(None).cast("string").alias("title"), F.when(F.col("id") % 2 == 0, "pune").alias("place"), F.lit(False).alias("generic"))
+    members, pairs = resolve.strong_pairs(sigs)
+    pairs = tables.stored(pairs)
+    assert members.count() == n and pairs.count() < 3 * n
+    led = resolve.leaders(tables.stored(members).select("run_id", F.col("group").alias("sig")).distinct(), pairs)
+    # the rows without a domain join the very first row, so each domain keeps a leader of its own
+    got = {r.sig: r.leader for r in led.where("sig = leader or sig = 7").collect()}
+    assert got[7] == 0 and sum(k == v for k, v in got.items()) == 40_000
+
+
+def test_numbers_of_a_run_with_all_rows(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 100 == 0, F.lit("S")).when(F.col("id") != 7, F.lit("R")).alias("run_id"), (F.hash("id") % 1000).cast("long").alias("ingest_seq"), F.col("id").alias("record_id")).repartition(7)
+    got = reliability.numbered(rows).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r.ingest_seq, r.record_id)):
+        by[r.run_id] = by.get(r.run_id, 0) + 1
+        assert (r.n, r.display_id) == (by[r.run_id], f"R-{by[r.run_id]:03d}")
+    assert by == {"S": 50, "R": 4949, None: 1}
+
+
+def test_scores_of_several_requests(spark):
+    """Stated fields, those of constraints, and the fallback; recent evidence only counts where the request asks for it."""
+    req = spark.createDataFrame([("A", "Find firms", ["Price"]), ("B", "Most RECENT jobs", []), ("C", None, None)], "request_id string, prompt string, required_fields array<string>")
+    con = spark.createDataFrame([("B", 2, "Role"), ("B", 1, "Size"), ("B", 3, "Size"), ("A", 1, "Role")], "request_id string, c_seq int, field string")
+    plan = tables.stored(reliability.score_plan(req, con))
+    assert {r.request_id: (r.fields, r.fresh) for r in plan.collect()} == {"A": (["Price"], False), "B": (["Size", "Role"], True), "C": (["Role", "Location", "Experience"], False)}
+    rec = spark.createDataFrame([("R", i, q, "Acme", {"price": "9", "Size": "", "Role": None}, ["price", "Size", "Role"], "Acme", "Data Scientist", "—", "3 years", "—") for i, q in enumerate("ABC")], "run_id string, record_id int, request_id string, entity_name string, attributes map<string,string>, attr_order array<string>, company string, role string, location string, experience string, source string")
+    got = {(r.record_id, r.field): r.value for r in reliability.scored_fields(rec, plan).collect()}
+    assert got == {(0, "Price"): "9", (1, "Size"): None, (1, "Role"): "Data Scientist", (2, "Role"): "Data Scientist", (2, "Location"): None, (2, "Experience"): "3 years"}
+    ev = spark.createDataFrame([("R", i, 0, "Role", "Data Scientist", "Acme", "https://acme.com", "2024-01-01", "Acme wants a Data Scientist now", "Confirmed") for i in range(3)], "run_id string, record_id int, ev_seq int, field string, value string, source string, url string, retrieved string, snippet string, verification string")
+    fresh = {r.record_id: r.freshness for r in reliability.freshness(rec.join(plan, "request_id"), ev, F.to_date(F.lit("2025-01-01")), F.col("fresh")).collect()}
+    assert fresh == {0: 60, 1: 40, 2: 60}
+
+
+def test_a_listed_source_counts(spark):
+    rec = spark.createDataFrame([("R", 1, "Acme", "—", {"Source URL": "https://careers.acme.com"}), ("R", 2, "Acme", "—", {"Source URL": "—"})], "run_id string, record_id int, entity_name string, source string, attributes map<string,string>")
+    ev = spark.createDataFrame([], "run_id string, record_id int, url string")
+    got = {r.record_id: r.source_quality for r in reliability.source_quality(rec, ev).collect()}
+    assert got[1] >= 90 and got[2] <= 35
+
+
 def test_parse_responses(spark):
     item = '{"entityName": "A", "role": "x"}'
     texts = [item, f"```json\n[{item}, {item}]\n```", f'see {{"results": [{item}]}} ok', f"list [{item}]", "broken {", None, ""]
@@ -100,7 +164,8 @@ def test_round_trip(spark, tmp_path):
     ev = spark.createDataFrame([("R", "a", 0, "Role", "https://u/1")], "run_id string, record_id string, ev_seq int, field string, url string")
     cf = spark.createDataFrame([], "run_id string, record_id string, field string, values array<string>")
     tables.write_run({"records": rec, "evidence": ev, "conflicts": cf}, str(tmp_path / "s"))
-    (row,) = tables.nest(spark.read.parquet(str(tmp_path / "s/records")), spark.read.parquet(str(tmp_path / "s/evidence")), cf).collect()
+    t = tables.run_tables(spark, str(tmp_path / "s"), "R")
+    (row,) = tables.nest(t["records"], t["evidence"], t["conflicts"]).collect()
     assert row.confidence == 94 and row.evidence[0].url == "https://u/1" and row.conflicts == []
 
 
@@ -108,3 +173,43 @@ def test_snapshot(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"requests": [{"id": "Q1", "name": "n"}], "runs": [{"id": "R1", "requestId": "Q1", "runNumber": 1, "records": [{"id": "a", "entityName": "Acme", "attributes": {"k": "v"}, "evidence": [{"field": "f", "url": "u"}], "conflicts": []}]}]}')
     t = tables.read_snapshot(spark, str(tmp_path / "s.json"))
     assert {k: v.count() for k, v in t.items()} == {"requests": 1, "runs": 1, "records": 1, "evidence": 1, "conflicts": 0}
+
+
+def test_a_write_that_breaks_off_is_not_seen(spark, tmp_path):
+    """All tables of a run are published at once: readers of a run whose second write failed between tables see the first."""
+    path = str(tmp_path / "s")
+    one = lambda v: {"records": spark.createDataFrame([("R", 1, v)], "run_id string, record_id int, v string"), "evidence": spark.createDataFrame([("R", 1, 0, v)], "run_id string, record_id int, ev_seq int, v string")}
+    read = lambda: {n: [r.v for r in t.collect()] for n, t in tables.run_tables(spark, path, "R").items()}
+    tables.write_run(one("old"), path)
+    broken = one("new")
+    broken["evidence"] = broken["evidence"].withColumn("v", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        tables.write_run(broken, path)
+    assert read() == {"records": ["old"], "evidence": ["old"]} and tables.run_tables(spark, path, "S") == {}
+    tables.write_run(one("new"), path)
+    assert read() == {"records": ["new"], "evidence": ["new"]}
+    assert tables.vacuum_runs(spark, path) == 1 and read() == {"records": ["new"], "evidence": ["new"]}
+
+
+def test_written_tables_go_with_their_owner(spark):
+    """The shared folder is as before, options too; a released table stays, and is readable."""
+    from pathlib import Path
+
+    folder = Path(tables.shared_dir(spark).removeprefix("file://")) / "tables"
+    names = lambda: {p.name for p in folder.iterdir()} if folder.exists() else set()
+    before, options = names(), {k: spark.conf.get(k, None) for k in tables.SESSION}
+    with tables.owner():
+        kept = tables.stored(spark.range(5))
+        assert resolve.clusters(spark.createDataFrame([("R", "a", 0, "Acme", None, None, None, 1)], CAND)).count() == 1
+        tables.release(kept)
+    assert len(names() - before) == 1 and kept.count() == 5
+    assert options == {k: spark.conf.get(k, None) for k in tables.SESSION}
+    final = tables.settled(lambda: tables.stored(spark.range(3)).where("id > 0"))
+    assert len(names() - before) == 2 and final.count() == 2
+    tables.discard(kept, final)
+    assert names() == before
+    with tables.owner():
+        explore.stage_counts({"a": spark.range(4), "b": spark.range(0)})
+    assert names() == before
+    counts = explore.stage_counts({"b": spark.range(0), "a": spark.range(4)})
+    assert [tuple(r) for r in counts.collect()] == [("a", 4), ("b", 0)]
