@@ -12,6 +12,7 @@ from fieldproof.functions.numbers import parse_date
 from fieldproof.functions.text import contains_any, extract, is_missing, js_round, matches, norm_key, truthy
 from fieldproof.functions.titles import parse_title, titles_match
 from fieldproof.functions.urls import NO_URL, SCORING_SECOND_LEVEL, root_domain, tier_score, with_tier
+from fieldproof.operators.resolve import leaders
 from fieldproof.sources import tables
 from fieldproof.sources.tables import stored
 
@@ -21,6 +22,8 @@ BOILERPLATE = ["cookie policy", "privacy policy", "all rights reserved", "terms
 ENTITY_NOISE = ["pvt", "ltd", "inc", "private", "limited", "corp", "technologies", "services"]
 STOP_WORDS = ["as", "in", "at", "for", "with", "a", "an", "the", "to", "on", "of", "and", "is", "are", "our", "their"]
 OTHER_COMPANY = r"(?i)\b(?:at|for|by|join|with|careers\s+at)\s+([A-Za-z0-9]+)\b"
+#: Domains of a record that one pass decides.
+FEW = 64
 FALLBACK = ["Role", "Location", "Experience"]
 FRESH_WORDS = ["currently hiring", "latest", "active jobs", "recent"]
 YEARS = r"(?i)\b\d+(?:\s*[-–—to]+\s*\d+)?\s*(?:years?|yrs?)\b"
@@ -85,24 +88,63 @@ def source_quality(records: DataFrame, evidence: DataFrame) -> DataFrame:
     return rows.groupBy(*KEYS).agg(js_round(F.max("tier_score") * 0.7 + js_round(F.avg("tier_score")) * 0.3).alias("source_quality"))
 
 
+def _independent_of_few(first: DataFrame) -> DataFrame:
+    """(run_id, record_id, independent, domains) of domains (run_id, record_id, at, w), in one pass over each record's."""
+    domains = first.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "w")))), lambda d: d["w"]).alias("ds"))
+    # of sets: both / (a + b - both) > 0.85; sizes that are too far apart need no comparison
+    near = lambda a, b: (F.size(a) * 100 > F.size(b) * 85) & (F.size(b) * 100 > F.size(a) * 85)
+    alike = lambda a, b: near(a, b) & (F.size(F.array_intersect(a, b)) * 185 > (F.size(a) + F.size(b)) * 85)
+    start = F.struct(F.array().cast("array<array<string>>").alias("kept"), F.lit(0).alias("n"))
+    step = lambda acc, w: F.when(w.isNotNull() & F.exists(acc["kept"], lambda k: alike(k, w)), F.struct(acc["kept"].alias("kept"), acc["n"].alias("n"))).otherwise(F.struct(F.when(w.isNull(), acc["kept"]).otherwise(F.concat(acc["kept"], F.array(w))).alias("kept"), (acc["n"] + 1).alias("n")))
+    return domains.select(*KEYS, F.aggregate("ds", start, step)["n"].alias("independent"), F.size("ds").alias("domains"))
+
+
+def _independent_of_many(first: DataFrame, many: DataFrame) -> DataFrame:
+    """The same of records with many domains, by a set similarity join inside each record.
+
+    Equal word sets count as their first domain. Two sets that are alike share one of the rarest words of each: of so many words that
+    what is left of a set is too small for 0.85. Domains that meet by such a word, with sizes that leave room, are compared; then a
+    domain is independent if no earlier independent one is alike (``resolve.leaders``).
+    """
+    key = F.struct(*KEYS).alias("run_id")
+    sets = stored(first.where("w is not null").groupBy(*KEYS, F.array_sort("w").alias("w")).agg(F.min("at").alias("at")))
+    each = sets.select(key, F.col("at").alias("sig"), F.explode("w").alias("word"), F.size("w").alias("m"))
+    often = each.groupBy("run_id", "word").agg(F.count("*").alias("n"))
+    ranked = each.join(often.hint("merge"), ["run_id", "word"]).groupBy("run_id", "sig", "m").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ws"))
+    # the i-th word can only be the first that a set of m words shares with an alike one of ``other`` words if enough words follow
+    size, first_words = F.col("m"), F.slice("ws", F.lit(1), (F.col("m") - F.floor(F.col("m") * 85 / 100)).cast("int"))
+    rare = ranked.select("run_id", "sig", "m", F.posexplode(first_words).alias("i", "r"))
+    rare = rare.withColumn("other", F.explode(F.sequence(F.floor(size * 85 / 100), F.ceil(size * 100 / 85)))).where(size - F.col("i") - 1 >= F.floor((size + F.col("other")) * 85 / 185))
+    rare = stored(rare.select("run_id", "sig", F.col("m").cast("long").alias("m"), "other", "r.word"))
+    a, b = rare.select("run_id", "word", "m", "other", F.col("sig").alias("a")), rare.select("run_id", "word", F.col("other").alias("m"), F.col("m").alias("other"), F.col("sig").alias("b"))
+    met = a.join(b.hint("merge"), ["run_id", "word", "m", "other"]).where("a < b").select("run_id", "a", "b").distinct()
+    named = lambda x: sets.select(key, F.col("at").alias(x), F.col("w").alias(f"w_{x}")).hint("merge")
+    met = met.join(named("a"), ["run_id", "a"]).join(named("b"), ["run_id", "b"])
+    alike = met.where(F.size(F.array_intersect("w_a", "w_b")) * 185 > (F.size("w_a") + F.size("w_b")) * 85).select("run_id", "a", "b")
+    led = leaders(sets.select(key, F.col("at").alias("sig")), alike).where("sig = leader").groupBy("run_id").agg(F.count("*").alias("n")).select("run_id.*", "n")
+    short = first.where("w is null").groupBy(*KEYS).agg(F.count("*").alias("s"))
+    rows = many.join(led.hint("merge"), KEYS, "left").join(short.hint("merge"), KEYS, "left")
+    return rows.select(*KEYS, (F.coalesce("n", F.lit(0)) + F.coalesce("s", F.lit(0))).cast("int").alias("independent"), F.col("domains").cast("int").alias("domains"))
+
+
 def agreement(records: DataFrame, evidence: DataFrame, conflicts: DataFrame) -> DataFrame:
     """(run_id, record_id, agreement, independent, mirrors): independent root domains of a record's sources.
 
     A domain whose first snippet repeats that of an earlier independent domain (word sets with a Jaccard index over 0.85, both over 30
-    characters) is a mirror. Domains go in order of their first citation; one pass over each record's few domains decides.
+    characters) is a mirror. Domains go in order of their first citation. One pass over a record's domains decides where they are at
+    most FEW; the domains of other records meet by a join on rare words, and are decided in rounds.
     """
     root = root_domain(F.coalesce(F.nullif("url", F.lit("")), F.col("source")), SCORING_SECOND_LEVEL, fallback=True)
     # a filter on the root would work it out once more
     first = evidence.withColumn("root", root).groupBy(*KEYS, "root").agg(F.min_by("snippet", "ev_seq").alias("snippet"), F.min("ev_seq").alias("at"))
     words = F.array_distinct(F.split(F.lower(F.coalesce("snippet", F.lit(""))), r"\s+"))
-    first = first.withColumn("d", F.struct("at", F.when(F.length("snippet") > 30, words).alias("w")))
-    domains = first.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.when(truthy(F.col("root")), F.col("d")))), lambda d: d["w"]).alias("ds"))
-    # of sets: both / (a + b - both) > 0.85; sizes that are too far apart need no comparison
-    near = lambda a, b: (F.size(a) * 100 > F.size(b) * 85) & (F.size(b) * 100 > F.size(a) * 85)
-    alike = lambda a, b: near(a, b) & (F.size(F.array_intersect(a, b)) * 185 > (F.size(a) + F.size(b)) * 85)
-    start = F.struct(F.array().cast("array<array<string>>").alias("kept"), F.lit(0).alias("n"))
-    step = lambda acc, w: F.when(w.isNotNull() & F.exists(acc["kept"], lambda k: alike(k, w)), F.struct(acc["kept"].alias("kept"), acc["n"].alias("n"))).otherwise(F.struct(F.when(w.isNull(), acc["kept"]).otherwise(F.concat(acc["kept"], F.array(w))).alias("kept"), (acc["n"] + 1).alias("n")))
-    counted = domains.select(*KEYS, F.aggregate("ds", start, step)["n"].alias("independent"), F.size("ds").alias("domains"))
+    first = stored(first.select(*KEYS, F.when(truthy(F.col("root")), F.col("at")).alias("at"), F.when(F.length("snippet") > 30, words).alias("w")))
+    many = stored(first.groupBy(*KEYS).agg(F.count("at").alias("domains")).where(F.col("domains") > FEW))
+    if many.isEmpty():
+        counted = _independent_of_few(first)
+    else:
+        of_few = first.join(many.select(*KEYS).hint("merge"), KEYS, "left_anti")
+        counted = _independent_of_few(of_few).unionByName(_independent_of_many(first.join(many.select(*KEYS).hint("merge"), KEYS, "left_semi").where("at is not null"), many))
     head = evidence.groupBy(*KEYS).agg(F.min_by("url", "ev_seq").alias("url"))
     clash = conflicts.select(*KEYS).distinct().withColumn("clash", F.lit(True))
     rows = records.select(*KEYS, "entity_name").join(counted, KEYS, "left").join(head.withColumn("cited", F.lit(True)), KEYS, "left").join(clash, KEYS, "left")

@@ -112,6 +112,51 @@ def test_scores_of_several_requests(spark):
     assert fresh == {0: 60, 1: 40, 2: 60}
 
 
+def test_mirrors_by_pass_and_by_join(spark, monkeypatch):
+    """The join on rare words decides as the pass over all domains does, and as plain comparison."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    rows, seq = [], 0
+    for rec in range(12):
+        base = [rng.sample(words, 24) for _ in range(4)]
+        for d in range(30):
+            w = list(rng.choice(base))
+            for _ in range(rng.randrange(4)):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            text = rng.choice([" ".join(w), " ".join(sorted(w)), "short", None]) if rng.random() < 0.5 else " ".join(w)
+            seq += 1
+            rows.append(("R", rec, seq, text, f"https://site{d % 20}.com/p{d}", "s"))
+    ev = spark.createDataFrame(rows, "run_id string, record_id int, ev_seq long, snippet string, url string, source string")
+    rec = ev.select("run_id", "record_id").distinct().withColumn("entity_name", F.lit("Acme"))
+    none = spark.createDataFrame([], "run_id string, record_id int, field string")
+    want = {}
+    for k in range(12):
+        first = {}
+        for r in sorted((r for r in rows if r[1] == k), key=lambda r: r[2]):
+            first.setdefault(r[4].split("/")[2], r[3])
+        kept, n = [], 0
+        for t in first.values():
+            w = set((t or "").split()) if len(t or "") > 30 else None
+            if w is not None and any(len(w & x) / len(w | x) > 0.85 for x in kept):
+                continue
+            n += 1
+            kept += [w] if w is not None else []
+        want[k] = (n, len(first) - n)
+    for few in (64, 0):
+        monkeypatch.setattr(reliability, "FEW", few)
+        assert {r.record_id: (r.independent, r.mirrors) for r in reliability.agreement(rec, ev, none).collect()} == want
+    assert any(m for _, m in want.values())
+
+
+def test_a_record_with_fifty_thousand_domains(spark):
+    n = 50_000
+    text = F.concat(F.lit("one two three four five six seven eight nine ten eleven twelve thirteen fourteen t"), (F.col("id") % 25_000).cast("string"), F.lit(" u"), (F.col("id") % 25_000 + 7).cast("string"))
+    ev = spark.range(n).select(F.lit("R").alias("run_id"), F.lit(1).alias("record_id"), F.col("id").alias("ev_seq"), text.alias("snippet"), F.concat(F.lit("https://d"), F.col("id").cast("string"), F.lit(".com/x")).alias("url"), F.lit("s").alias("source"))
+    rec = spark.createDataFrame([("R", 1, "Acme")], "run_id string, record_id int, entity_name string")
+    (r,) = reliability.agreement(rec, ev, spark.createDataFrame([], "run_id string, record_id int, field string")).collect()
+    assert (r.independent, r.mirrors) == (25_000, 25_000)
+
+
 def test_a_listed_source_counts(spark):
     rec = spark.createDataFrame([("R", 1, "Acme", "—", {"Source URL": "https://careers.acme.com"}), ("R", 2, "Acme", "—", {"Source URL": "—"})], "run_id string, record_id int, entity_name string, source string, attributes map<string,string>")
     ev = spark.createDataFrame([], "run_id string, record_id int, url string")
