@@ -108,13 +108,22 @@ def dataset_page(records: DataFrame, by: Column, key: str, descending: bool = Fa
     return ordered.offset((page - 1) * size).limit(size).drop(*(f"_{n}" for n in k))
 
 
+def _holds(text: str, *cols: str | Column) -> Column:
+    return F.contains(F.lower(F.concat_ws(" ", *cols)), F.lit(text.lower().strip()))
+
+
+def request_hits(requests: DataFrame, text: str) -> DataFrame:
+    """(kind, id, title): all requests whose name, id or prompt hold a text."""
+    found = requests.where(_holds(text, "name", "request_id", "prompt"))
+    return found.select(F.lit("request").alias("kind"), F.col("request_id").cast("string").alias("id"), F.col("name").alias("title"))
+
+
 def search(requests: DataFrame, records: DataFrame, text: str, cap: int = 8) -> DataFrame:
-    """(kind, id, title): requests and records that hold a text; of the records the first ``cap`` by run and id."""
-    q = text.lower().strip()
-    hit = lambda *cols: F.contains(F.lower(F.concat_ws(" ", *cols)), F.lit(q))
-    flows = requests.where(hit("name", "request_id", "prompt")).select(F.lit("request").alias("kind"), F.col("request_id").cast("string").alias("id"), F.col("name").alias("title"))
-    found = records.where(hit("entity_name", "role", F.concat_ws(" ", F.map_values("attributes")))).orderBy("run_id", "record_id").limit(cap)
-    return flows.unionByName(found.select(F.lit("record").alias("kind"), F.concat_ws("/", F.col("run_id").cast("string"), F.col("record_id").cast("string")).alias("id"), F.col("entity_name").alias("title")))
+    """(kind, id, title): requests and records that hold a text; of the records the first ``cap`` by run and id.
+
+    A scan; ``lookup.indexed_search`` gives the same rows from a written index."""
+    found = records.where(_holds(text, "entity_name", "role", F.concat_ws(" ", F.map_values("attributes")))).orderBy("run_id", "record_id").limit(cap)
+    return request_hits(requests, text).unionByName(found.select(F.lit("record").alias("kind"), F.concat_ws("/", F.col("run_id").cast("string"), F.col("record_id").cast("string")).alias("id"), F.col("entity_name").alias("title")))
 
 
 def notifications(runs: DataFrame, read: DataFrame | None = None) -> DataFrame:

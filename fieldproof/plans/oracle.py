@@ -376,6 +376,9 @@ _PART_NAME = "CASE WHEN p_partkey % 3 = 0 THEN 'The ' || upper(p_name) || '!' EL
 _ALNUM = lambda e: f"regexp_replace(lower({e}), '[^a-z0-9]', '', 'g')"
 _NATURAL = "CASE WHEN regexp_matches(t, '\\d') THEN 0 ELSE 1 END"
 
+SEARCH = with_(REC, REQ) + "SELECT 'request' AS kind, CAST(request_id AS VARCHAR) AS id, name AS title FROM req WHERE contains(lower(name || ' ' || request_id || ' ' || prompt), 'react') UNION ALL SELECT * FROM (SELECT 'record', run_id || '/' || record_id, entity_name FROM rec WHERE contains(lower(concat_ws(' ', entity_name, role, brand, type, location)), 'react') ORDER BY run_id, record_id LIMIT 8)"
+PAGES = with_(REC, numbers_cte("SELECT DISTINCT salary AS t FROM rec")) + f", pos AS (SELECT row_number() OVER (ORDER BY {missing('salary')}, n IS NULL, n DESC NULLS LAST, {natural('salary')} DESC NULLS LAST, record_id) AS position, record_id, entity_name, salary FROM rec LEFT JOIN num ON t = salary)"
+
 SQL: dict[str, str] = {
     "qualify_numeric": with_(eval_sql("Q"), EV, CLASH, VERDICTS) + "SELECT record_id, status, reason, completeness, array_to_string(missing_fields, ',') AS missing_fields FROM verdicts",
     "quality_summary": with_(eval_sql("Q"), EV, CLASH, VERDICTS) + f"SELECT run_id, count(*) AS collected, count(*) FILTER (status = 'Qualified') AS qualified, count(*) FILTER (status = 'Needs verification') AS needs_verification, count(*) FILTER (status = 'Conflict') AS conflicts, count(*) FILTER (status = 'Excluded') AS excluded, count(*) FILTER (len(missing_fields) > 0) AS incomplete, {js_round('avg(completeness)')} AS completeness, {js_round('count(*) FILTER (status = ' + lit('Qualified') + ') * 100.0 / count(*)')} AS quality FROM verdicts JOIN (SELECT run_id, record_id FROM rec) USING (record_id) GROUP BY run_id",
@@ -418,7 +421,11 @@ SQL: dict[str, str] = {
     "request_history": with_(RUNS, COMPARE) + "SELECT request_id, run_id, run_number, row_number() OVER (PARTITION BY request_id ORDER BY run_number DESC) AS position, CASE WHEN run_number = 1 THEN 'First run' WHEN validated_delta > 0 THEN '+' || validated_delta || ' validated' WHEN validated_delta < 0 THEN validated_delta || ' validated' ELSE 'No change' END AS change FROM cmp",
     "next_run_number": with_(RUNS) + "SELECT request_id, max(run_number) + 1 AS run_number, 'RUN-' || request_id || '-v' || (max(run_number) + 1) AS run_id FROM runs GROUP BY request_id",
     "dataset_page": with_(REC, numbers_cte("SELECT DISTINCT salary AS t FROM rec")) + f"SELECT record_id, entity_name, salary FROM rec JOIN num ON t = salary WHERE contains(lower(concat_ws(' ', entity_name, brand, type, price, size, role, location, experience, founded, salary)), 'ring') ORDER BY {missing('salary')}, n IS NULL, n DESC, {natural('salary')} DESC, record_id LIMIT 10 OFFSET 20",
-    "search": with_(REC, REQ) + "SELECT 'request' AS kind, CAST(request_id AS VARCHAR) AS id, name AS title FROM req WHERE contains(lower(name || ' ' || request_id || ' ' || prompt), 'react') UNION ALL SELECT * FROM (SELECT 'record', run_id || '/' || record_id, entity_name FROM rec WHERE contains(lower(concat_ws(' ', entity_name, role, brand, type, location)), 'react') ORDER BY run_id, record_id LIMIT 8)",
+    "search": SEARCH,
+    "indexed_search": SEARCH,
+    "deep_page": PAGES + " SELECT position, record_id, entity_name, salary FROM pos WHERE position BETWEEN 976 AND 1000",
+    "next_page": PAGES + ", h AS (SELECT count(*) // 2 AS half FROM pos) SELECT record_id, salary FROM pos, h WHERE position BETWEEN half + 1 AND half + 25",
+    "text_hits": with_(REC) + "SELECT run_id, record_id, entity_name FROM rec WHERE contains(lower(concat_ws(' ', entity_name, role, brand, type, price, size, location, experience, founded, salary)), 'anvil')",
     "notifications": with_(RUNS) + "SELECT run_id || '-' || kind AS id, run_id, kind, amount FROM (SELECT run_id, 'completed' AS kind, collected AS amount FROM runs UNION ALL SELECT run_id, 'conflicts', conflicts FROM runs WHERE conflicts > 0 UNION ALL SELECT run_id, 'incomplete', incomplete FROM runs WHERE incomplete > 0) WHERE NOT (kind = 'completed' AND run_id % 4 = 0)",
     "overview": with_(RUNS, EV, REQ) + f"SELECT *, (SELECT count(*) FILTER (status = 'running') FROM req) AS running FROM (SELECT count(*) AS runs, count(DISTINCT request_id) AS requests, CAST(sum(collected) AS BIGINT) AS collected, {js_round('sum(validated) * 100.0 / sum(' + chr(34) + 'unique' + chr(34) + ')')} AS quality, count(*) FILTER (conflicts > 0) AS runs_with_conflicts FROM runs), (SELECT count(DISTINCT source) AS sources, {js_round('count(*) FILTER (verification <> ' + lit('Needs verification') + ') * 100.0 / count(*)')} AS evidence_coverage FROM ev)",
     "calibration": "WITH s AS (SELECT quality = 1 AND toxic = 0 AS label, floor(least(100.0, n_chars / 25) + 0.5) AS score FROM labels JOIN documents USING (doc_id)), n AS (SELECT count(*) FILTER (label AND score >= 50) AS tp, count(*) FILTER (NOT label AND score >= 50) AS fp, count(*) FILTER (label AND score < 50) AS fn, count(*) FILTER (NOT label AND score < 50) AS tn, round(count(*) FILTER (label AND score >= 80) / nullif(count(*) FILTER (score >= 80), 0), 6) AS high_accuracy, round(count(*) FILTER (NOT label AND score < 50) / nullif(count(*) FILTER (score < 50), 0), 6) AS low_accuracy, count(*) FILTER (score < 35) AS band_0_34, count(*) FILTER (score >= 35 AND score < 60) AS band_35_59, count(*) FILTER (score >= 60 AND score < 80) AS band_60_79, count(*) FILTER (score >= 80) AS band_80_100 FROM s) SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(fp / nullif(fp + tn, 0), 6) AS false_qualification_rate, round(fn / nullif(tp + fn, 0), 6) AS false_exclusion_rate FROM n",

@@ -12,7 +12,7 @@ from fieldproof.functions.text import is_missing, js_round
 from fieldproof.functions.titles import match_titles, parse_title
 from fieldproof.functions.urls import RESOLVER_SECOND_LEVEL, SCORING_SECOND_LEVEL, host, root_domain, safe_link, validate_url
 from fieldproof.operators import constraints as C
-from fieldproof.operators import canonical, explore, improve, ingest, reliability, resolve
+from fieldproof.operators import canonical, explore, improve, ingest, lookup, reliability, resolve
 from fieldproof.plans import adapters as A
 from fieldproof.plans import oracle
 from fieldproof.sources import tables
@@ -527,6 +527,34 @@ def status_page(spark: SparkSession, d: str) -> DataFrame:
     return explore.dataset_filter(rec, text="Pune", status="Qualified").unionByName(explore.dataset_filter(rec, text="kochi", status="Qualified")).select("record_id", "qualification_status", "status", "location")
 
 
+def _paged(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.paged(A.records(spark, d), F.col("salary"), "record_id", descending=True)
+
+
+@query
+def deep_page(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.page_of(_paged(spark, d), 40, 25).select("position", "record_id", "entity_name", "salary")
+
+
+@query
+def next_page(spark: SparkSession, d: str) -> DataFrame:
+    """The page after the record in the middle of the table, told by its keys alone."""
+    rec = _paged(spark, d)
+    last = rec.where(F.col("position") == F.lit(rec.count() // 2)).select("salary", "record_id").first()
+    return lookup.page_after(A.records(spark, d), F.col("salary"), "record_id", tuple(last), descending=True, size=25).select("record_id", "salary")
+
+
+@query
+def indexed_search(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.indexed_search(A.requests(spark, d), lookup.record_index(A.records(spark, d)), "React")
+
+
+@query
+def text_hits(spark: SparkSession, d: str) -> DataFrame:
+    """All records that hold a text, from the index."""
+    return lookup.find(lookup.record_index(A.records(spark, d)), "Anvil").select("run_id", "record_id", "entity_name")
+
+
 @query
 def newest_runs(spark: SparkSession, d: str) -> DataFrame:
     return explore.newest(A.table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("created_at")), "created_at", "o_orderkey")
