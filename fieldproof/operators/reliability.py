@@ -88,6 +88,11 @@ def source_quality(records: DataFrame, evidence: DataFrame) -> DataFrame:
     return rows.groupBy(*KEYS).agg(js_round(F.max("tier_score") * 0.7 + js_round(F.avg("tier_score")) * 0.3).alias("source_quality"))
 
 
+def with_roots(evidence: DataFrame) -> DataFrame:
+    """Evidence with the root domain of each url, worked out once for all parts of a score that read it."""
+    return evidence.withColumn("url_root", root_domain(F.col("url"), SCORING_SECOND_LEVEL, fallback=True))
+
+
 def _independent_of_few(first: DataFrame) -> DataFrame:
     """(run_id, record_id, independent, domains) of domains (run_id, record_id, at, w), in one pass over each record's."""
     domains = first.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "w")))), lambda d: d["w"]).alias("ds"))
@@ -134,7 +139,12 @@ def agreement(records: DataFrame, evidence: DataFrame, conflicts: DataFrame) ->
     characters) is a mirror. Domains go in order of their first citation. One pass over a record's domains decides where they are at
     most FEW; the domains of other records meet by a join on rare words, and are decided in rounds.
     """
-    root = root_domain(F.coalesce(F.nullif("url", F.lit("")), F.col("source")), SCORING_SECOND_LEVEL, fallback=True)
+    return _agreement(records, with_roots(evidence), conflicts)
+
+
+def _agreement(records: DataFrame, evidence: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """``agreement`` of evidence with roots."""
+    root = F.when(F.coalesce("url", F.lit("")) != "", F.col("url_root")).otherwise(root_domain(F.col("source"), SCORING_SECOND_LEVEL, fallback=True))
     # a filter on the root would work it out once more
     first = evidence.withColumn("root", root).groupBy(*KEYS, "root").agg(F.min_by("snippet", "ev_seq").alias("snippet"), F.min("ev_seq").alias("at"))
     words = F.array_distinct(F.split(F.lower(F.coalesce("snippet", F.lit(""))), r"\s+"))
@@ -158,10 +168,14 @@ def agreement(records: DataFrame, evidence: DataFrame, conflicts: DataFrame) ->
 def consistency(records: DataFrame, evidence: DataFrame) -> DataFrame:
     """(run_id, record_id, consistency): 25 if a citation of 20 characters or more names another company and neither it nor its
     domain names the entity, 50 without an entity name, else 100."""
+    return _consistency(records, with_roots(evidence))
+
+
+def _consistency(records: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``consistency`` of evidence with roots."""
     tokens = F.filter(F.split(F.lower("entity_name"), r"[\s,.\-]+"), lambda t: (F.length(t) > 2) & ~t.isin(ENTITY_NOISE))
-    rows = records.select(*KEYS, "entity_name", tokens.alias("tokens")).join(evidence.where(F.length("snippet") >= 20).select(*KEYS, "snippet", "url"), KEYS, "left")
-    root = root_domain(F.col("url"), SCORING_SECOND_LEVEL, fallback=True)
-    low, me = F.lower("snippet"), norm_key(F.col("entity_name"))
+    rows = records.select(*KEYS, "entity_name", tokens.alias("tokens")).join(evidence.where(F.length("snippet") >= 20).select(*KEYS, "snippet", F.col("url_root").alias("root")), KEYS, "left")
+    root, low, me = F.col("root"), F.lower("snippet"), norm_key(F.col("entity_name"))
     named = F.exists("tokens", lambda t: F.contains(low, t) | F.contains(root, t))
     other = F.lower(extract(F.col("snippet"), OTHER_COMPANY))
     alien = ~named & ~other.isin(STOP_WORDS) & (F.length(other) >= 3) & ~F.contains(me, other) & ~F.contains(other, me)
@@ -234,10 +248,10 @@ def reliability(records: DataFrame, fields: DataFrame, evidence: DataFrame, conf
     with ``score_plan`` and ``scored_fields`` each request has its own fields and its own flag.
     """
     # seven parts read them: what they come from is worked out once
-    evidence, fields = stored(evidence), stored(fields)
+    evidence, fields = stored(with_roots(evidence.select(*KEYS, "ev_seq", "field", "snippet", "url", "source", "retrieved"))), stored(fields)
     fresh = fresh_required if isinstance(fresh_required, Column) else F.lit(fresh_required)
     parts = records.select(*KEYS, fresh.alias("fresh"))
-    for part in (support(directness(fields, evidence)), source_quality(records, evidence), agreement(records, evidence, conflicts), consistency(records, evidence), fidelity(fields, evidence), freshness(records, evidence, as_of, fresh_required)):
+    for part in (support(directness(fields, evidence)), source_quality(records, evidence), _agreement(records, evidence, conflicts), _consistency(records, evidence), fidelity(fields, evidence), freshness(records, evidence, as_of, fresh_required)):
         parts = parts.join(part.hint("merge"), KEYS, "left")
     low = lambda c: F.lower(c)
     clash = conflicts.select(*KEYS, F.col("field").alias("cf")).join(fields.select(*KEYS, "field").hint("merge"), KEYS, "left").groupBy(*KEYS).agg(F.bool_or(F.contains(low("field"), low("cf")) | F.contains(low("cf"), low("field"))).alias("hits"))

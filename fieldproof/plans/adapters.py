@@ -147,11 +147,19 @@ def candidate_fields(cand: DataFrame) -> DataFrame:
     return cand.select("run_id", "record_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("Size", "Type")))).alias("f")).select("run_id", "record_id", "f.*")
 
 
+def field_marks(ev: DataFrame) -> DataFrame:
+    """(run_id, record_id, field, a, b, verification): the least and greatest stated value of a field in a record's own evidence, and
+    "Confirmed" if one of its citations is. One grouping tells which fields clash and which records are cited."""
+    norm = F.regexp_replace(F.lower("value"), "[^a-z0-9]", "")
+    stated = F.expr("value is not null and lower(trim(value)) not in ('', '—', 'not disclosed', 'unknown')")
+    confirmed = F.bool_or(F.col("verification") == "Confirmed")
+    marks = ev.groupBy("run_id", "record_id", "field").agg(F.min(F.when(stated, norm)).alias("a"), F.max(F.when(stated, norm)).alias("b"), confirmed.alias("confirmed"))
+    return marks.withColumn("verification", F.when(F.col("confirmed"), "Confirmed").when(~F.col("confirmed"), "Needs verification")).drop("confirmed")
+
+
 def clashes(ev: DataFrame) -> DataFrame:
     """(run_id, record_id, field): fields of which a record's own evidence holds several values."""
-    norm = F.regexp_replace(F.lower("value"), "[^a-z0-9]", "")
-    stated = ev.where("value is not null and lower(trim(value)) not in ('', '—', 'not disclosed', 'unknown')")
-    return stated.groupBy("run_id", "record_id", "field").agg(F.min(norm).alias("a"), F.max(norm).alias("b")).where("a <> b").select("run_id", "record_id", "field")
+    return field_marks(ev).where("a <> b").select("run_id", "record_id", "field")
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,9 +31,9 @@ def _evals(spark: SparkSession, d: str, request: str) -> DataFrame:
 
 
 def _verdicts(spark: SparkSession, d: str, evals: DataFrame | None = None) -> DataFrame:
-    rec, ev = A.records(spark, d), tables.stored(A.evidence(spark, d).select("run_id", "record_id", "field", "value", "verification"))
+    rec, marks = A.records(spark, d), tables.stored(A.field_marks(A.evidence(spark, d)))
     evals = _evals(spark, d, "Q") if evals is None else evals
-    return C.qualify(rec, evals, C.completeness(rec, A.REQUIRED, ["experience"]), A.clashes(ev), ev)
+    return C.qualify(rec, evals, C.completeness(rec, A.REQUIRED, ["experience"]), marks.where("a <> b"), marks)
 
 
 @query
@@ -392,10 +392,10 @@ def _filled(spark: SparkSession, d: str) -> DataFrame:
 
 def _covered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(quality summary after, coverage before and after) of the records, with experience required."""
-    ev, con = A.evidence(spark, d), A.constraints(spark)
+    marks, con = tables.stored(A.field_marks(A.evidence(spark, d))), A.constraints(spark)
 
     def verdicts(rec: DataFrame) -> DataFrame:
-        return tables.stored(C.qualify(rec, C.evaluate_constraints(rec, con), C.completeness(rec, A.REQUIRED), A.clashes(ev), ev))
+        return tables.stored(C.qualify(rec, C.evaluate_constraints(rec, con), C.completeness(rec, A.REQUIRED), marks.where("a <> b"), marks))
 
     before, after = verdicts(A.records(spark, d)), verdicts(_filled(spark, d))
     return explore.quality_summary(A.records(spark, d), after), explore.coverage(before, after)

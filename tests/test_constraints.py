@@ -2,6 +2,7 @@
 
 from functools import reduce
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldproof.functions.numbers import parse_date, parse_number
@@ -115,6 +116,15 @@ def test_verdicts(spark):
     assert half.completeness == 50 and half.missing_fields == ["C", "D"]
 
 
+@pytest.mark.parametrize("fields", [0, 64])
+def test_fields_are_looked_up_alike_however_many(spark, monkeypatch, fields):
+    """Both ways to look a constrained field up: each by its own rules, and all by a join with the fields asked for."""
+    monkeypatch.setattr(C, "FIELDS", fields)
+    rows = [("Role", "contains", "Java Developer"), ("Salary", "less_than", "500000"), ("experience", "between", "2", "5"), ("Nowhere", "equals", "x")]
+    got = results(spark, {"Role": "Java Developer", "salary": "4,00,000", "Experience": "3 years"}, *rows)
+    assert [result for result, _ in got] == ["PASS", "PASS", "PASS", "UNKNOWN"]
+
+
 def test_soft_constraints_are_not_evaluated(spark):
     assert len(results(spark, {"Role": "Java Developer"}, ("Role", "contains", "Java Developer"), ("Location", "contains", "Pune", None, None, False))) == 1
 
