@@ -143,8 +143,8 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def candidate_fields(cand: DataFrame) -> DataFrame:
-    return cand.select("run_id", "record_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("Size", "Type")))).alias("f")).select("run_id", "record_id", "f.*")
+def candidate_fields(cand: DataFrame, *keep: str) -> DataFrame:
+    return cand.select("run_id", "record_id", *keep, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("Size", "Type")))).alias("f")).select("run_id", "record_id", *keep, "f.*")
 
 
 def field_marks(ev: DataFrame) -> DataFrame:

@@ -258,3 +258,33 @@ def test_written_tables_go_with_their_owner(spark):
     assert names() == before
     counts = explore.stage_counts({"b": spark.range(0), "a": spark.range(4)})
     assert [tuple(r) for r in counts.collect()] == [("a", 4), ("b", 0)]
+
+
+@pytest.mark.parametrize("rows_of_a_name, kinds", [(200, 128), (200, 1), (70, 128), (0, 128)])
+def test_clusters_by_name_and_by_signature_agree(spark, monkeypatch, rows_of_a_name, kinds):
+    """Names of few records are clustered in one row, others by signatures; each way gives the sequential rule, and columns come along."""
+    monkeypatch.setattr(resolve, "NAME_ROWS", rows_of_a_name)
+    monkeypatch.setattr(resolve, "KINDS", kinds)
+    rng = random.Random(11)
+    titles = ["Java Backend Developer", "Backend Engineer - Java", "Senior Java Backend Engineer", "React Frontend Developer", "Intern", "Engineering Manager", None]
+    rows = [(rng.choice(["Acme", "Acme Ltd", "Acme Inc.", "Bolt", "Top Companies"]), rng.choice([None, *(f"https://d{i}.com/x" for i in range(3)), "https://linkedin.com/q"]), rng.choice(titles), rng.choice([None, "Pune", "Pune, India", "Delhi"]), i) for i in range(200)]
+    df = spark.createDataFrame([(f"R{i % 2}", f"R-{i}", i, *r) for i, r in enumerate(rows)], CAND)
+    _, sigs = resolve.signatures(df)
+    strong = {(r.a, r.b) for r in resolve.entity_pairs(tables.stored(sigs)).where("decision = 'STRONG_MATCH'").collect()}
+    assigned = {r.ingest_seq: r.sig for r in resolve.signatures(df)[0].collect()}
+    leader, heads = {}, []
+    for sig in sorted(set(assigned.values())):
+        near = [h for h in heads if (h, sig) in strong]
+        leader[sig] = near[0] if near else sig
+        if not near:
+            heads.append(sig)
+    got = resolve.clusters(df, ("confidence",)).collect()
+    assert {r.ingest_seq: (r.cluster, r.first_id, r.confidence, r.record_id) for r in got} == {i: (leader[s], f"R-{leader[s]}", i, f"R-{i}") for i, s in assigned.items()}
+    assert len(got) == 200
+
+
+def test_signatures_do_not_meet_by_title(spark):
+    """Four titles would send all signatures to four tasks."""
+    df = spark.createDataFrame([("R", f"R-{i}", i, f"Firm {i}", None, "Data Scientist", None, 1) for i in range(20)], CAND)
+    plan = resolve._parsed(tables.stored(resolve.signatures(df)[1]))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(title" not in plan and "BroadcastHashJoin" in plan
