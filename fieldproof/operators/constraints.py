@@ -33,6 +33,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
 
 
+def looked_up(rows: DataFrame, need: Column, table: DataFrame, on: list[str]) -> DataFrame:
+    """The rows with the columns of ``table``, a small one sent to all tasks; null where ``need`` does not hold or nothing is found.
+
+    Rows that need nothing do not take part in the join: without a key, or with one that most share, they would meet in one task.
+    ``rows`` is written."""
+    need = F.coalesce(need, F.lit(False))
+    more = [F.lit(None).cast(table.schema[c].dataType).alias(c) for c in table.columns if c not in on]
+    found = rows.where(need).join(small(stored(table)), on, "left")
+    return found.select(*rows.columns, *(c for c in table.columns if c not in on)).unionByName(rows.where(~need).select("*", *more))
+
+
 def entries_of() -> Column:
     """The attributes of a record in order: key, its normal form, value."""
     return F.transform("attr_order", lambda k: F.struct(k.alias("k"), norm_key(k).alias("n"), F.try_element_at("attributes", k).alias("v")))
@@ -91,9 +102,9 @@ def match_pairs(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def parsed(kind: str, f) -> DataFrame:
         mine = pairs.where(F.col("kind") == kind).select("required", "actual").distinct()
-        texts = mine.select(F.explode(F.array("required", "actual")).alias("text")).distinct().select("text", f(F.col("text")).alias("p"))
+        texts = stored(mine.select(F.explode(F.array("required", "actual")).alias("text")).distinct().select("text", f(F.col("text")).alias("p")))
         r, a = (texts.select(F.col("text").alias(n), F.col("p").alias(f"{n}_p")) for n in ("required", "actual"))
-        return mine.join(r.hint("shuffle_hash"), "required").join(a.hint("shuffle_hash"), "actual")
+        return mine.join(small(r), "required").join(small(a), "actual")
 
     title = parsed("role", parse_title).select("required", "actual", match_titles(F.col("required_p"), F.col("actual_p")).alias("verdict"))
     place = parsed("place", parse_place).select("required", "actual", match_places(F.col("required_p"), F.col("actual_p"), F.col("actual")).alias("verdict"))
@@ -123,7 +134,8 @@ def evaluate_constraints(records: DataFrame, constraints: DataFrame, request_col
     Missing values are UNKNOWN, never FAIL. Titles and places are compared once for each distinct pair.
     """
     con = constraints.where("hard").select(F.col(request_col), "c_seq", "field", "operator", "value", "value_to", "unit")
-    base = field_values(records, con, request_col).join(small(con), [request_col, "field"])
+    # a compact file of records is one split: dealt out before one record becomes a row for each constraint
+    base = field_values(records.repartition(*KEYS), con, request_col).join(small(con), [request_col, "field"])
     f = norm_key(F.col("field"))
     role, place = contains_any(f, ROLE_FIELDS), contains_any(f, PLACE_FIELDS)
     op = F.col("operator")
@@ -132,7 +144,7 @@ def evaluate_constraints(records: DataFrame, constraints: DataFrame, request_col
     base = stored(base.select(*KEYS, "c_seq", "field", "operator", "value", "value_to", "unit", "actual", kind.alias("kind")))
     titles, places = match_pairs(base.where("kind is not null").select("kind", F.col("value").alias("required"), "actual"))
     verdicts = titles.withColumn("kind", F.lit("role")).unionByName(places.withColumn("kind", F.lit("place"))).withColumnRenamed("required", "value")
-    base = base.join(verdicts.hint("shuffle_hash"), ["kind", "value", "actual"], "left")
+    base = looked_up(base, F.col("kind").isNotNull(), verdicts, ["kind", "value", "actual"])
 
     value, actual, to = F.col("value"), F.col("actual"), F.col("value_to")
     unit = F.coalesce(F.col("unit"), F.lit(""))

@@ -144,3 +144,29 @@ def test_urls(spark):
 def test_entity_names(spark):
     rows = spark.createDataFrame([("Infosys Technologies Pvt Ltd",), ("Freshworks Inc.",), (None,)], "n string").select(norm_entity_name(F.col("n")).alias("x")).collect()
     assert [r.x for r in rows] == ["infosys", "freshworks", ""]
+
+
+def test_rows_without_a_lookup_meet_in_no_task(spark):
+    """Most rows have no title to look up: they take no part in the join, and lose nothing."""
+    from fieldproof.operators import constraints
+    from fieldproof.sources import tables
+
+    rows = tables.stored(spark.range(50).selectExpr("id", "case when id % 10 = 0 then 'a' when id % 10 = 1 then 'c' end k"))
+    table = spark.createDataFrame([("a", 7)], "k string, found int")
+    got = constraints.looked_up(rows, rows["k"].isNotNull(), table, ["k"])
+    assert {r.id: r.found for r in got.collect()} == {i: 7 if i % 10 == 0 else None for i in range(50)}
+    assert "hashpartitioning(k" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_records_of_one_split_are_dealt_out(spark, monkeypatch):
+    """One file of records is evaluated by several tasks."""
+    from fieldproof.operators import constraints
+
+    seen = []
+    monkeypatch.setattr(constraints, "stored", lambda df: seen.append(df) or tables_stored(df))
+    from fieldproof.plans import adapters as A
+    from fieldproof.sources.tables import stored as tables_stored
+
+    d = "/root/testdata/sf0.001"
+    assert constraints.evaluate_constraints(A.records(spark, d, "Q"), A.constraints(spark)).count() == 3 * A.records(spark, d).count()
+    assert "hashpartitioning(run_id" in seen[0]._jdf.queryExecution().executedPlan().toString()
