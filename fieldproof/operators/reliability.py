@@ -12,6 +12,7 @@ from fieldproof.functions.numbers import parse_date
 from fieldproof.functions.text import contains_any, extract, is_missing, js_round, matches, norm_key, truthy
 from fieldproof.functions.titles import parse_title, titles_match
 from fieldproof.functions.urls import NO_URL, SCORING_SECOND_LEVEL, root_domain, tier_score, with_tier
+from fieldproof.operators.constraints import looked_up, small
 from fieldproof.operators.resolve import leaders
 from fieldproof.sources import tables
 from fieldproof.sources.tables import stored
@@ -37,10 +38,9 @@ def rated_sources(pairs: DataFrame) -> DataFrame:
 
 def _title_matches(rows: DataFrame, value: str, text: str) -> DataFrame:
     """Distinct (value, text) pairs whose titles match: each distinct text is parsed once."""
-    pairs = rows.select(F.col(value).alias("x"), F.col(text).alias("y")).distinct()
-    parsed = pairs.select(F.explode(F.array("x", "y")).alias("t")).distinct().select("t", parse_title(F.col("t")).alias("p"))
-    x, y = (parsed.select(F.col("t").alias(n), F.col("p").alias(f"p{n}")) for n in ("x", "y"))
-    return pairs.join(x.hint("shuffle_hash"), "x").join(y.hint("shuffle_hash"), "y").where(titles_match(F.col("px"), F.col("py"))).select("x", "y", F.lit(True).alias("title_match"))
+    pairs = stored(rows.select(F.col(value).alias("x"), F.col(text).alias("y")).distinct())
+    x, y = (small(stored(pairs.select(n).distinct().withColumn(f"p{n}", parse_title(F.col(n))))) for n in ("x", "y"))
+    return pairs.join(x, "x").join(y, "y").where(titles_match(F.col("px"), F.col("py"))).select("x", "y", F.lit(True).alias("title_match"))
 
 
 def directness(fields: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -52,16 +52,17 @@ def directness(fields: DataFrame, evidence: DataFrame) -> DataFrame:
     f, ef = norm_key(F.col("field")), norm_key(F.col("ev_field"))
     ev = evidence.select(*KEYS, F.col("field").alias("ev_field"), F.trim(F.coalesce("snippet", F.lit(""))).alias("snippet"))
     stated = fields.where(~is_missing(F.col("value"))).withColumn("v", F.lower(F.trim("value")))
-    rows = stated.join(ev.hint("merge"), KEYS, "left")
+    rows = stated.join(ev.hint("merge"), KEYS)
     low = F.lower("snippet")
     holds = F.contains(low, F.col("v")) & (F.col("snippet") != "")
     mine = F.contains(ef, f) | F.contains(f, ef) | ((F.lower("ev_field") == "general") & holds)
     role = contains_any(f, ["role", "title"])
     weak = (F.length("snippet") < 15) | contains_any(low, BOILERPLATE) | (F.contains(low, F.lit("technology company")) & F.contains(f, F.lit("role")))
     rows = rows.withColumns({"mine": F.coalesce(mine, F.lit(False)), "holds": F.coalesce(holds, F.lit(False)), "role": role, "weak": F.coalesce(weak, F.lit(True)), "f": f})
-    rows = stored(rows.select(*KEYS, "field", "value", "snippet", "mine", "holds", "role", "weak", "f"))
+    # a citation of another field that does not hold the value tells nothing
+    rows = stored(rows.where("mine or holds").select(*KEYS, "field", "value", "snippet", "mine", "holds", "role", "weak", "f"))
     titles = _title_matches(rows.where("mine and role and not weak and not holds"), "value", "snippet").withColumnsRenamed({"x": "value", "y": "snippet"})
-    rows = rows.join(titles.hint("shuffle_hash"), ["value", "snippet"], "left")
+    rows = looked_up(rows, F.expr("mine and not weak and not holds"), titles, ["value", "snippet"])
     asserted = F.col("holds") | (F.contains("f", F.lit("exp")) & matches(F.col("snippet"), YEARS)) | F.coalesce("title_match", F.lit(False))
     each = F.when(F.col("mine"), F.when(F.col("weak"), 25).when(asserted, 100).when(F.length("snippet") >= 25, 65).otherwise(25))
     best = rows.groupBy(*KEYS, "field").agg(F.max(each).alias("own"), F.bool_or("holds").alias("mentioned"))
@@ -187,14 +188,15 @@ def fidelity(fields: DataFrame, evidence: DataFrame) -> DataFrame:
     """(run_id, record_id, fidelity): mean over stated fields of how literally their first citation states the value; 40 without fields."""
     stated = fields.where(F.col("value").isNotNull() & ~F.col("value").isin("—", "Not disclosed"))
     f, ef = norm_key(F.col("field")), norm_key(F.col("ev_field"))
-    ev = evidence.select(*KEYS, F.col("field").alias("ev_field"), "ev_seq", "snippet")
-    rows = stated.join(ev.hint("merge"), KEYS, "left").withColumn("mine", F.contains(ef, f))
-    first = rows.groupBy(*KEYS, "field", "value").agg(F.min_by(F.when(F.col("mine"), F.coalesce("snippet", F.lit(""))), F.when(F.col("mine"), F.col("ev_seq"))).alias("snippet"))
+    # the first citation of each field that is cited, not every citation, meets the fields of a record
+    cited = evidence.groupBy(*KEYS, F.col("field").alias("ev_field")).agg(F.min(F.struct("ev_seq", F.coalesce("snippet", F.lit("")).alias("snippet"))).alias("c"))
+    rows = stated.join(cited.select(*KEYS, "ev_field", "c.*").hint("merge"), KEYS, "left").withColumn("mine", F.contains(ef, f))
+    first = rows.groupBy(*KEYS, "field", "value").agg(F.min(F.when(F.col("mine"), F.struct("ev_seq", "snippet")))["snippet"].alias("snippet"))
     low = F.lower("snippet")
     literal = F.contains(low, F.lower(F.trim("value")))
-    first = first.withColumns({"literal": literal, "low": low, "role": contains_any(f, ["role", "title"])})
+    first = stored(first.withColumns({"literal": literal, "low": low, "role": contains_any(f, ["role", "title"])}))
     titles = _title_matches(first.where("role and snippet <> '' and not literal"), "value", "low").withColumnsRenamed({"x": "value", "y": "low"})
-    first = first.join(titles.hint("shuffle_hash"), ["value", "low"], "left")
+    first = looked_up(first, F.expr("role and snippet <> '' and not literal"), titles, ["value", "low"])
     each = F.when(~truthy(F.col("snippet")), 50).when(F.col("literal"), 100).when(contains_any(f, ["experience", "salary", "size"]), 92).when(F.col("role"), F.when(F.col("title_match"), 88).otherwise(60)).otherwise(75)
     mean = first.groupBy(*KEYS).agg(js_round(F.avg(each)).alias("fidelity"))
     return fields.select(*KEYS).distinct().join(mean.hint("merge"), KEYS, "left").select(*KEYS, F.coalesce("fidelity", F.lit(40)).alias("fidelity"))

@@ -288,3 +288,17 @@ def test_signatures_do_not_meet_by_title(spark):
     df = spark.createDataFrame([("R", f"R-{i}", i, f"Firm {i}", None, "Data Scientist", None, 1) for i in range(20)], CAND)
     plan = resolve._parsed(tables.stored(resolve.signatures(df)[1]))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(title" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_fidelity_reads_one_citation_of_a_field(spark):
+    """The citations of a field fold to the first before they meet a record's fields, and titles are looked up by the rows that need them."""
+    fields = spark.createDataFrame([("R", 1, "Role", "Java Backend Developer"), ("R", 1, "Size", "10"), ("R", 2, "Role", "—")], "run_id string, record_id long, field string, value string")
+    ev = spark.createDataFrame([("R", 1, "Role", 2, "we seek a Data Scientist"), ("R", 1, "Role", 1, "Senior Backend Engineer - Java"), ("R", 1, None, 0, "10"), ("R", 1, "Company Size", 3, None)], "run_id string, record_id long, field string, ev_seq long, snippet string")
+    out = reliability.fidelity(fields, ev)
+    assert {r.record_id: r.fidelity for r in out.collect()} == {1: 69, 2: 40}  # a matching title 88, an empty citation 50
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(reliability, "stored", lambda df: seen.append(df) or tables.stored(df))
+        reliability.fidelity(fields, ev)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate [run_id") > plan.index("Join LeftOuter")  # an aggregate stands below the join
