@@ -1,7 +1,7 @@
 """Phrases whose words belong together, from an FM-index over word ids in each shard.
 
 1. Each task cuts the pieces it reads into shards of about SHARD words of one language and numbers the words of a shard (``_shards``);
-   word counts are summed over shards, and words with ``least`` occurrences get an id.
+   word counts are summed over shards, and words with ``least`` occurrences get an id (``_frequent``).
 2. A shard's pieces, reversed and not, become two Burrows-Wheeler transforms (``_built``); rarer words and the ends of pieces break
    the text, as no frequent phrase crosses them. A phrase is an interval in both. Its words to the right are the symbols of its
    interval in the reversed index, those to the left the symbols of its interval in the other one (``_extended``).
@@ -24,12 +24,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldproof.llm.kit import Words, discard, pieces, stored, union_all
-from fieldproof.sources.tables import numbered
 
 #: Words of a shard, about.
 SHARD = 1 << 20
-#: Frequent phrases (24 bytes each) of one length that are sent to all tasks; more meet what was found by a join of both sides.
-SMALL = 1 << 20
 #: Fixed values of the contract: longest phrase, fewest occurrences, rows of a language.
 DEPTH, LEAST, FIRST = 5, 100, 2000
 
@@ -264,6 +261,19 @@ def _deeper(index: DataFrame, known: DataFrame, words: bool = False) -> DataFram
     return index.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(go, _FOUND)
 
 
+def _frequent(rows: DataFrame, by: list[str], count: str, least: int) -> DataFrame:
+    """Rows of shards with f, the sum of ``count`` over rows with equal ``by``, where it is ``least`` or more; with the id of the words
+    or phrase, and ``head`` on one of its rows.
+
+    The rows of a word or phrase, one for each shard that holds it, lie side by side in one task, so f and id are told there: what
+    shards hold is shuffled once and never joined with what is frequent. An id is the number of the first row.
+    """
+    rows = rows.repartition(*by).sortWithinPartitions(*by).withColumn("_row", F.monotonically_increasing_id())
+    same = Window.partitionBy(*by)
+    rows = rows.withColumns({"f": F.sum(count).over(same), "id": F.min("_row").over(same)}).where(F.col("f") >= least)
+    return rows.withColumn("head", F.col("_row") == F.col("id")).drop("_row")
+
+
 def phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", depth: int = DEPTH, least: int = LEAST, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """(phrases, totals): phrases (lang, words, fs, ls, f, ended) of 2 to ``depth`` words with f >= ``least`` occurrences, and totals (lang, n).
 
@@ -274,20 +284,16 @@ def phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     shards = stored(_shards(rows, shard))
     vocabulary = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select("shard", "lang", (F.col("at") + 1).alias("at"), F.col("w.words").alias("word"), F.col("w.counts").alias("k"))
-    counted = stored(vocabulary.groupBy("lang", "word").agg(F.sum("k").alias("f")))
-    totals = stored(counted.groupBy("lang").agg(F.sum("f").alias("n")))
-    level = stored(numbered(counted.where(F.col("f") >= least), ["lang", "word"], "id"))
-    discard(counted)
-    level = level.select("id", "lang", F.array("word").alias("words"), F.array("f").alias("fs"), F.array("f").alias("ls"), "f")
-    # the words of a shard that are frequent over all
-    names = level.select("lang", F.col("words")[0].alias("word"), "id")
-    known = stored(vocabulary.select("shard", "lang", "at", "word").join(names.hint("merge"), ["lang", "word"]).select("shard", "at", "id"))
+    totals = stored(shards.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, k: a + k)).alias("n")))
+    words = stored(_frequent(vocabulary, ["lang", "word"], "k", least).select("shard", "at", "lang", "word", "f", "id", "head"))
+    level = words.where("head").select("id", "lang", F.array("word").alias("words"), F.array("f").alias("fs"), F.array("f").alias("ls"), "f")
+    known = words.select("shard", "at", "id")
     index = stored(_built(shards.select("shard", "ids"), known))
     found, out = stored(_deeper(index, known, words=True)), []
-    discard(shards, known)
+    discard(shards)
     for k in range(2, depth + 1):
-        often = found.groupBy("first", "last").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        often = stored(numbered(often, ["first", "last"], "id"))
+        told = stored(_frequent(found, ["first", "last"], "n", least))
+        often = told.where("head").select("id", "first", "last", "f")
         a = level.select(F.col("id").alias("first"), "lang", "words", "fs")
         b = level.select(F.col("id").alias("last"), F.element_at("words", -1).alias("word"), "ls")
         longer = often.join(a.hint("merge"), "first").join(b.hint("merge"), "last")
@@ -295,11 +301,9 @@ def phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
         if k > 2:
             out.append(_ended(level, longer))
         if k < depth:
-            ids = often.select("first", "last", "id")
-            ids = F.broadcast(ids) if often.count() <= SMALL else ids.hint("merge")
-            told = found.join(ids, ["first", "last"]).select("shard", "lo", "lo_back", "n", "id")
-            longest, found = found, stored(_deeper(index, told))
+            longest, found = found, stored(_deeper(index, told.select("shard", "lo", "lo_back", "n", "id")))
             discard(longest)
+        discard(told)
         level = longer
     discard(found, index)
     out.append(level.select("lang", "words", "fs", "ls", "f", F.lit(False).alias("ended")))

@@ -206,6 +206,21 @@ def test_no_collocations(spark):
     assert collocations.collocations(docs).collect() == [] and collocations.collocations(docs.limit(0)).collect() == []
 
 
+def test_frequent_words_of_shards_without_a_join(spark):
+    """A word's count and id are told where its rows of all shards meet: one shuffle, no join with the frequent words."""
+    rows = [(s, lang, at + 1, f"w{at}", at + s % 2) for s in range(20) for at, lang in enumerate(["en", "de", "en", "de"] * 5)]
+    got = collocations._frequent(spark.createDataFrame(rows, "shard long, lang string, at long, word string, k long").repartition(5), ["lang", "word"], "k", 100)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    counts = Counter()
+    for _, lang, _, word, k in rows:
+        counts[lang, word] += k
+    often = {w: n for w, n in counts.items() if n >= 100}
+    out = got.collect()
+    assert sorted((r.shard, r["at"], r.lang, r.word, r.f) for r in out) == sorted((s, at, lang, w, often[lang, w]) for s, lang, at, w, _ in rows if (lang, w) in often)
+    assert len({r.id for r in out}) == len({(r.lang, r.word, r.id) for r in out}) == len([r for r in out if r.head]) == len(often)
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(lang") == 1
+
+
 def test_counts_beyond_64_bits(spark):
     """The score of counts whose product passes 64 bits is exact."""
     a, n, l, r = 10**13 + 7, 9 * 10**14 + 1, 3 * 10**13 + 11, 2 * 10**13 + 3
