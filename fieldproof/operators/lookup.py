@@ -5,6 +5,8 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from fieldproof.operators.explore import request_hits
 from fieldproof.operators.ingest import sort_keys
 from fieldproof.sources.tables import discard, numbered, settled, stored
 
-#: Characters of a gram, and how many rows share a posting list (a power of two).
+#: Characters of a gram (at most three), and how many rows share a posting list (a power of two, at most 2^15).
 GRAM, BITS = 3, 12
 
 
@@ -61,18 +63,38 @@ def page_after(records: DataFrame, by: Column, key: str, last: tuple, descending
 
 
 class TextIndex(NamedTuple):
-    """texts (.., _text, n), in the order of n, and postings (gram, block, members): the rows n of a block whose text holds a gram."""
+    """texts (.., _text, n), in the order of n, and postings (gram, block, members): the rows of a block whose text
+    holds a gram, as n less the block's first."""
 
     texts: DataFrame
     postings: DataFrame
 
 
-def _grams(text: Column) -> Column:
-    """The distinct runs of GRAM characters of a text; none of a shorter one or null."""
-    chars = F.split(text, "")
-    last = F.size(chars) - GRAM
-    at = lambda i: F.concat(*(F.get(chars, i + k) for k in range(GRAM)))
-    return F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), at))).otherwise(F.array().cast("array<string>"))
+def _lists(texts: DataFrame) -> DataFrame:
+    """(gram, block, members): for each block of 2^BITS rows the distinct runs of GRAM characters of its texts, with the rows that hold
+    them, told from the block's first. Texts are shuffled by block, not their grams; a task holds the texts of one block."""
+    size, bits = GRAM, BITS
+
+    def lists(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("n")
+        row = rows.column("n").to_numpy() & ((1 << bits) - 1)
+        texts = rows.column("_text").to_pylist()
+        length = np.fromiter(map(len, texts), np.int64, len(texts))
+        chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        left = np.repeat(np.cumsum(length), length) - np.arange(len(chars))  # characters up to the end of the text
+        at = np.flatnonzero(left >= size)
+        gram = reduce(lambda g, k: g << 21 | chars[at + k], range(size), np.zeros(len(at), np.int64))
+        order = np.argsort(gram, kind="stable")
+        gram, of = gram[order], np.repeat(row, length)[at][order]
+        new = np.diff(gram, prepend=-1) != 0
+        keep = new | (np.diff(of, prepend=-1) != 0)
+        gram, of, first = gram[keep], of[keep], np.flatnonzero(new[keep])
+        names = np.stack([gram[first] >> 21 * (size - 1 - k) & 0x1FFFFF for k in range(size)], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+        members = pa.ListArray.from_arrays(pa.array(np.append(first, len(of)).astype(np.int32)), pa.array(of.astype(np.int16)))
+        return pa.table([pa.array([names[i : i + size] for i in range(0, len(names), size)], pa.string()), pa.array(np.full(len(first), key[0].as_py())), members], ["gram", "block", "members"])
+
+    of_block = texts.where("_text is not null").select(F.shiftright("n", bits).alias("block"), "n", "_text")
+    return of_block.groupBy("block").applyInArrow(lists, "gram string, block long, members array<short>")
 
 
 def text_index(rows: DataFrame, order: list[str], text: Column) -> TextIndex:
@@ -82,9 +104,10 @@ def text_index(rows: DataFrame, order: list[str], text: Column) -> TextIndex:
     ``_text`` and ``n`` are added; a null text is never found.
     """
     texts = settled(lambda: numbered(rows.withColumn("_text", F.lower(text)), order, "n").sortWithinPartitions("n"))
-    grams = texts.select("n", F.explode(_grams(F.col("_text"))).alias("gram"))
-    lists = grams.groupBy("gram", F.shiftright("n", BITS).alias("block")).agg(F.collect_list("n").alias("members"))
-    return TextIndex(texts, stored(lists.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block")))
+    lists = stored(_lists(texts))  # written first, as dealing out by ranges looks at all rows twice
+    postings = stored(lists.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block"))
+    discard(lists)
+    return TextIndex(texts, postings)
 
 
 def find(index: TextIndex, text: str, cap: int | None = None) -> DataFrame:
@@ -104,7 +127,7 @@ def find(index: TextIndex, text: str, cap: int | None = None) -> DataFrame:
     held = stored(lists.select("block", common.alias("members")).where(F.size("members") > 0))
 
     def among(first: int, last: int) -> DataFrame:
-        ids = held.where(F.col("block").between(first, last)).select(F.explode("members").alias("n"))
+        ids = held.where(F.col("block").between(first, last)).select("block", F.explode("members").alias("m")).select((F.shiftleft("block", BITS) + F.col("m")).alias("n"))
         near = index.texts.where(F.col("n").between(first << BITS, (last + 1 << BITS) - 1))
         return near.join(ids.hint("shuffle_hash"), "n", "left_semi").where(hit)
 

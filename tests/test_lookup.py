@@ -71,3 +71,17 @@ def test_indexed_search_equals_the_scan(spark):
         index = lookup.record_index(records)
         for q in ("react", "pune", "bb pune", "ac", "nothing at all"):
             assert sorted(lookup.indexed_search(requests, index, q).collect()) == sorted(explore.search(requests, records, q).collect()), q
+
+
+def test_postings_shuffle_texts_and_not_their_grams(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "BITS", 3)
+    texts = ["steel ste", "", None, "ab", "😀😀😀😀", "京市x", "aaaa", "steel"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "n long, _text string").repartition(3)
+    lists = lookup._lists(df)
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "hashpartitioning(gram" not in plan
+    want = {}
+    for n, t in enumerate(texts):
+        for g in {t[i : i + 3] for i in range(len(t) - 2)} if t else ():
+            want.setdefault((g, n >> 3), []).append(n & 7)
+    assert {(r.gram, r.block): r.members for r in lists.collect()} == want
