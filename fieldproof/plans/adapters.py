@@ -227,16 +227,23 @@ def raw_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One nested store for each request: its runs (orders) with their records (lines) and their citations."""
-    line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    """One nested store for each request: its runs (orders) with their records (lines) and their citations.
+
+    What is shuffled are the columns of lines; texts and nesting are made of them afterwards, in each store's row."""
     s = lambda c: c.cast("string")
-    cite = F.struct(F.lit("Price").alias("field"), s(F.round("l_extendedprice").cast("long")).alias("value"), F.concat(F.lit("Supplier "), s(F.col("l_suppkey"))).alias("source"), F.lit("Confirmed").alias("verification"))
+    at = F.struct(F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"), F.col("l_returnflag").alias("mode"), F.round("l_extendedprice").cast("long").alias("price"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(at).alias("lines"))
+    of = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    stores = of.groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), "lines")).alias("orders"))
     clash = F.struct(F.lit("Price").alias("field"), F.array(F.struct(F.lit("a").alias("source"), F.lit("1").alias("value")), F.struct(F.lit("b").alias("source"), F.lit("2").alias("value"))).alias("values"))
-    record = F.struct(
-        F.col("l_linenumber").alias("_n"), F.col("l_suppkey").alias("_s"), F.col("l_partkey").alias("_p"), F.concat_ws("-", *(s(F.col(c)) for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"))).alias("id"), F.concat(F.lit("Part "), s(F.col("l_partkey"))).alias("entityName"),
-        F.col("l_returnflag").alias("_mode"), F.lit("Review").alias("status"),
-        F.when(F.col("l_returnflag") != "A", F.array(cite, cite)).otherwise(F.array(cite)).alias("evidence"), F.when(F.col("l_returnflag") == "R", F.array(clash)).otherwise(F.array().cast("array<struct<field:string,values:array<struct<source:string,value:string>>>>")).alias("conflicts"),
-    )
-    runs = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(record)).alias("records"))
-    of = orders.join(runs, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", F.struct(s(F.col("o_orderkey")).alias("id"), s(F.col("o_custkey")).alias("requestId"), F.col("o_orderkey").cast("int").alias("runNumber"), F.transform("records", lambda r: r.withField("attributes", F.create_map(F.lit("Mode"), r["_mode"])).dropFields("_n", "_s", "_p", "_mode")).alias("records")).alias("run"))
-    return of.groupBy("o_custkey").agg(F.collect_list("run").alias("runs")).select(F.array(F.struct(s(F.col("o_custkey")).alias("id"), F.concat(F.lit("Request "), s(F.col("o_custkey"))).alias("name"))).alias("requests"), "runs")
+
+    def record(k: Column, x: Column) -> Column:
+        cite = F.struct(F.lit("Price").alias("field"), s(x["price"]).alias("value"), F.concat(F.lit("Supplier "), s(x["s"])).alias("source"), F.lit("Confirmed").alias("verification"))
+        return F.struct(
+            F.concat_ws("-", s(k), s(x["n"]), s(x["s"]), s(x["p"])).alias("id"), F.concat(F.lit("Part "), s(x["p"])).alias("entityName"), F.lit("Review").alias("status"), F.when(x["mode"] != "A", F.array(cite, cite)).otherwise(F.array(cite)).alias("evidence"),
+            F.when(x["mode"] == "R", F.array(clash)).otherwise(F.array().cast("array<struct<field:string,values:array<struct<source:string,value:string>>>>")).alias("conflicts"), F.create_map(F.lit("Mode"), x["mode"]).alias("attributes"),
+        )
+
+    run = lambda o: F.struct(s(o["k"]).alias("id"), s(F.col("o_custkey")).alias("requestId"), o["k"].cast("int").alias("runNumber"), F.transform(F.array_sort(o["lines"]), lambda x: record(o["k"], x)).alias("records"))
+    request = F.struct(s(F.col("o_custkey")).alias("id"), F.concat(F.lit("Request "), s(F.col("o_custkey"))).alias("name"))
+    return stores.select(F.array(request).alias("requests"), F.transform("orders", run).alias("runs"))

@@ -172,6 +172,16 @@ def split_snapshot(root: DataFrame) -> dict[str, DataFrame]:
 
 def with_ids(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The tables of runs with ids of their own: {run}-SRC-n for sources (by search_rank, url), {record}-EV-n and {record}-CONF-n for
+def nested_records(root: DataFrame) -> DataFrame:
+    """The records of nested stores as they are nested, with run_id, ingest_seq, and request_id and request (its name) of their run.
+
+    Nothing is joined: each store is read once, and a run's request is looked for in its own store; runs without one are left out."""
+    of = lambda r: F.filter("requests", lambda q: q["id"] == r)
+    runs = root.select("requests", F.explode("runs").alias("r")).select("r", F.explode(of(F.col("r.requestId"))).alias("q"))
+    rows = runs.select(F.col("q.id").alias("request_id"), F.col("q.name").alias("request"), F.col("r.id").alias("run_id"), F.posexplode("r.records").alias("i", "x"))
+    return rows.select("request_id", "request", "run_id", F.col("i").cast("long").alias("ingest_seq"), "x.*").withColumnsRenamed({"id": "record_id", "entityName": "entity_name"})
+
+
     evidence (by ev_seq) and conflicts (by field). Sources of a run are numbered in two passes, citations of a record in a window."""
     n = lambda *order: F.row_number().over(Window.partitionBy("run_id", "record_id").orderBy(*order)).cast("string")
     text = F.col("record_id").cast("string")

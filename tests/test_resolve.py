@@ -302,3 +302,30 @@ def test_fidelity_reads_one_citation_of_a_field(spark):
         reliability.fidelity(fields, ev)
     plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("Aggregate [run_id") > plan.index("Join LeftOuter")  # an aggregate stands below the join
+
+
+def test_nested_records_equal_the_tables(spark, tmp_path):
+    """Records read as nested are those that the tables of a store give when joined; reading them joins and shuffles nothing."""
+    one = '{"requests": [{"id": "Q1", "name": "n"}, {"id": "Q2", "name": "m"}], "runs": [{"id": "R1", "requestId": "Q2", "records": [{"id": "a", "entityName": "Acme", "evidence": [{"value": "1"}, {"value": "2"}]}, {"id": "b"}]}, {"id": "R2", "requestId": "gone", "records": [{"id": "c"}]}, {"id": "R3", "requestId": "Q1"}]}'
+    (tmp_path / "s.json").write_text(one + '\n{"runs": [{"id": "R4", "records": [{"id": "d"}]}]}')
+    root = spark.read.schema(tables.SNAPSHOT).json(str(tmp_path / "s.json"))
+    t = tables.split_snapshot(root)
+    want = t["records"].join(t["runs"].select("run_id", "request_id"), "run_id").join(t["requests"].select("request_id", F.col("name").alias("request")), "request_id")
+    cols = ["request_id", "request", "run_id", "ingest_seq", "record_id", "entity_name"]
+    got = tables.nested_records(root)
+    assert sorted(got.select(*cols).collect(), key=str) == sorted(want.select(*cols).collect(), key=str) and got.count() == 2
+    assert {r.record_id: len(r.evidence or []) for r in got.collect()} == {"a": 2, "b": 0}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_stores_are_nested_after_the_shuffles(spark, tmp_path):
+    from fieldproof.plans import adapters
+
+    spark.createDataFrame([(1, 2, 3, 4, "R", 9.6), (1, 1, 5, 6, "A", 7.2)], "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_returnflag string, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 8), (2, 8)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    stores = adapters.snapshots(spark, str(tmp_path))
+    plan = stores._jdf.queryExecution().optimizedPlan().toString()
+    assert "Supplier" in plan and "Supplier" not in plan[plan.index("Join Inner") :]  # below the join lines have no texts
+    (r,) = stores.collect()
+    assert [(x.id, x.entityName, len(x.evidence), x.evidence[0].value, len(x.conflicts)) for x in r.runs[0].records] == [("1-1-5-6", "Part 6", 1, "7", 0), ("1-2-3-4", "Part 4", 2, "10", 1)]
