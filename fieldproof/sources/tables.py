@@ -28,6 +28,11 @@ SNAPSHOT = f"""
 #: Held while a table is written: what a write shuffled is released with it, and Python workers get batches of bounded size.
 SESSION = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
+#: Rows of a shuffle that one task reads, about, where a table says how many it shuffles.
+TASK_ROWS = 1 << 18
+#: Pairs of a range and a group in it that are sent to all tasks (``numbered``).
+SPANS = 100_000
+
 #: Folders of written tables, innermost owner last. The outermost list is emptied when the process ends.
 _OWNED: list[list[tuple[SparkSession, str]]] = [[]]
 
@@ -145,10 +150,13 @@ def numbered(df: DataFrame, order: list, name: str, by: list[str] = ()) -> DataF
     starts = df.sparkSession.createDataFrame(starts, "_part long, _before long")
     rows = dealt.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_before") + 1)
     if by:
-        # each range of a group learns the group's first number: the join is on range and group, so it does not gather a group
+        # each range of a group learns the group's first number: the join is on range and group, so it does not gather a group; there
+        # are about as many such pairs as ranges and groups together, and where these are few no row is shuffled for them
         spans = rows.groupBy("_part", *by).agg(F.min("_at").alias("_from")).withColumnsRenamed({c: f"_{c}" for c in by})
         first = spans.withColumn("_first", F.min("_from").over(Window.partitionBy(*(f"_{c}" for c in by)))).withColumnRenamed("_part", "_range")
-        rows = rows.join(first.hint("merge"), [F.col("_part") == F.col("_range"), *(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by)])
+        first = stored(first)
+        few = F.broadcast(first) if first.count() <= SPANS else first.hint("merge")
+        rows = rows.join(few, [F.col("_part") == F.col("_range"), *(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by)])
         rows = rows.withColumn("_at", F.col("_at") - F.col("_first") + 1)
     return rows.select(*df.columns, F.col("_at").alias(name))
 
@@ -216,11 +224,15 @@ def write_run(tables: dict[str, DataFrame], path: str) -> None:
         spark.createDataFrame([(df.schema.json(),)], "columns string").coalesce(1).write.text(f"{path}/{folder}/columns/{name}")
         (df.write.partitionBy("run_id") if "run_id" in df.columns else df.write).parquet(f"{path}/{folder}/{name}")
     version = (_manifest(spark, path).agg(F.max("version")).first()[0] or 0) + 1
-    ids = [df.select(F.col("run_id").cast("string")).distinct() for df in tables.values() if "run_id" in df.columns]
+    # which runs these are is told by the folders written: the tables are not worked out again
+    ids = [df.select(F.col("run_id").cast("string")).distinct() for df in written]
     runs = reduce(DataFrame.union, ids).distinct()
+    written = []
     runs.select("run_id", F.lit(version).cast("long").alias("version"), F.lit(folder).alias("folder")).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
 
+        if "run_id" in df.columns:
+            written.append(spark.read.schema(df.schema).parquet(f"{path}/{folder}/{name}"))
 def run_tables(spark: SparkSession, path: str, run_id: str) -> dict[str, DataFrame]:
     """The tables of the newest version of a run, by partition-pruned reads; none if it was never written."""
     newest = _manifest(spark, path).where(F.col("run_id") == run_id).agg(F.max_by("folder", "version")).first()[0]

@@ -329,3 +329,31 @@ def test_stores_are_nested_after_the_shuffles(spark, tmp_path):
     assert "Supplier" in plan and "Supplier" not in plan[plan.index("Join Inner") :]  # below the join lines have no texts
     (r,) = stores.collect()
     assert [(x.id, x.entityName, len(x.evidence), x.evidence[0].value, len(x.conflicts)) for x in r.runs[0].records] == [("1-1-5-6", "Part 6", 1, "7", 0), ("1-2-3-4", "Part 4", 2, "10", 1)]
+
+
+def test_a_write_works_its_tables_out_once(spark, tmp_path):
+    """Which runs were written is told by what was written."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(f"R{i % 3}", i) for i in range(30)], "run_id string, record_id int")
+    tables.write_run({"records": rows.mapInArrow(look, rows.schema)}, str(tmp_path / "s"))
+    assert seen.value == 30
+    assert {r.run_id for r in tables._manifest(spark, str(tmp_path / "s")).collect()} == {"R0", "R1", "R2"}
+
+
+@pytest.mark.parametrize("spans", [100_000, 0])
+def test_numbers_by_group_move_no_row_where_groups_are_few(spark, monkeypatch, spans):
+    monkeypatch.setattr(tables, "SPANS", spans)
+    rows = spark.createDataFrame([(None if i % 50 == 0 else f"R{i % 3}", -i) for i in range(400)], "g string, v int").repartition(5)
+    df = tables.numbered(rows, ["v"], "n", ["g"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert ("SortMergeJoin" not in plan and "hashpartitioning" not in plan) == (spans > 0)
+    by = {}
+    for r in sorted(df.collect(), key=lambda r: r.v):
+        by[r.g] = by.get(r.g, 0) + 1
+        assert r.n == by[r.g]
