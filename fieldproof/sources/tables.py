@@ -104,11 +104,17 @@ def _at_exit() -> None:
                 _remove(spark, path)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors."""
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Parts of a shuffle of so many rows: those of the session, or more, so that a task does not read more as rows get more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // TASK_ROWS)
+
+
+def stored(df: DataFrame, rows: int = 0) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors. ``rows``: how many it shuffles, if known."""
     spark = df.sparkSession
     path = scratch(spark)
-    with options(spark, SESSION):
+    parts = {"spark.sql.shuffle.partitions": str(tasks_for(spark, rows))} if rows else {}
+    with options(spark, SESSION | parts):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
@@ -166,6 +172,16 @@ def read_snapshot(spark: SparkSession, path: str, multi_line: bool = True) -> di
     return split_snapshot(spark.read.schema(SNAPSHOT).json(path, multiLine=multi_line))
 
 
+def nested_records(root: DataFrame) -> DataFrame:
+    """The records of nested stores as they are nested, with run_id, ingest_seq, and request_id and request (its name) of their run.
+
+    Nothing is joined: each store is read once, and a run's request is looked for in its own store; runs without one are left out."""
+    of = lambda r: F.filter("requests", lambda q: q["id"] == r)
+    runs = root.select("requests", F.explode("runs").alias("r")).select("r", F.explode(of(F.col("r.requestId"))).alias("q"))
+    rows = runs.select(F.col("q.id").alias("request_id"), F.col("q.name").alias("request"), F.col("r.id").alias("run_id"), F.posexplode("r.records").alias("i", "x"))
+    return rows.select("request_id", "request", "run_id", F.col("i").cast("long").alias("ingest_seq"), "x.*").withColumnsRenamed({"id": "record_id", "entityName": "entity_name"})
+
+
 def split_snapshot(root: DataFrame) -> dict[str, DataFrame]:
     runs = root.select(F.explode("runs").alias("r"))
     records = runs.select(F.col("r.id").alias("run_id"), F.posexplode("r.records").alias("i", "x")).select("run_id", F.col("i").cast("long").alias("ingest_seq"), "x.*").withColumnRenamed("id", "record_id").withColumnRenamed("entityName", "entity_name")
@@ -180,16 +196,6 @@ def split_snapshot(root: DataFrame) -> dict[str, DataFrame]:
 
 def with_ids(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The tables of runs with ids of their own: {run}-SRC-n for sources (by search_rank, url), {record}-EV-n and {record}-CONF-n for
-def nested_records(root: DataFrame) -> DataFrame:
-    """The records of nested stores as they are nested, with run_id, ingest_seq, and request_id and request (its name) of their run.
-
-    Nothing is joined: each store is read once, and a run's request is looked for in its own store; runs without one are left out."""
-    of = lambda r: F.filter("requests", lambda q: q["id"] == r)
-    runs = root.select("requests", F.explode("runs").alias("r")).select("r", F.explode(of(F.col("r.requestId"))).alias("q"))
-    rows = runs.select(F.col("q.id").alias("request_id"), F.col("q.name").alias("request"), F.col("r.id").alias("run_id"), F.posexplode("r.records").alias("i", "x"))
-    return rows.select("request_id", "request", "run_id", F.col("i").cast("long").alias("ingest_seq"), "x.*").withColumnsRenamed({"id": "record_id", "entityName": "entity_name"})
-
-
     evidence (by ev_seq) and conflicts (by field). Sources of a run are numbered in two passes, citations of a record in a window."""
     n = lambda *order: F.row_number().over(Window.partitionBy("run_id", "record_id").orderBy(*order)).cast("string")
     text = F.col("record_id").cast("string")
@@ -220,19 +226,19 @@ def write_run(tables: dict[str, DataFrame], path: str) -> None:
     """
     spark = next(iter(tables.values())).sparkSession
     folder = uuid.uuid4().hex
+    written = []
     for name, df in with_ids(tables).items():
         spark.createDataFrame([(df.schema.json(),)], "columns string").coalesce(1).write.text(f"{path}/{folder}/columns/{name}")
         (df.write.partitionBy("run_id") if "run_id" in df.columns else df.write).parquet(f"{path}/{folder}/{name}")
+        if "run_id" in df.columns:
+            written.append(spark.read.schema(df.schema).parquet(f"{path}/{folder}/{name}"))
     version = (_manifest(spark, path).agg(F.max("version")).first()[0] or 0) + 1
     # which runs these are is told by the folders written: the tables are not worked out again
     ids = [df.select(F.col("run_id").cast("string")).distinct() for df in written]
     runs = reduce(DataFrame.union, ids).distinct()
-    written = []
     runs.select("run_id", F.lit(version).cast("long").alias("version"), F.lit(folder).alias("folder")).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
 
-        if "run_id" in df.columns:
-            written.append(spark.read.schema(df.schema).parquet(f"{path}/{folder}/{name}"))
 def run_tables(spark: SparkSession, path: str, run_id: str) -> dict[str, DataFrame]:
     """The tables of the newest version of a run, by partition-pruned reads; none if it was never written."""
     newest = _manifest(spark, path).where(F.col("run_id") == run_id).agg(F.max_by("folder", "version")).first()[0]

@@ -357,3 +357,13 @@ def test_numbers_by_group_move_no_row_where_groups_are_few(spark, monkeypatch, s
     for r in sorted(df.collect(), key=lambda r: r.v):
         by[r.g] = by.get(r.g, 0) + 1
         assert r.n == by[r.g]
+
+
+def test_pairs_carry_kinds_of_titles(spark, monkeypatch):
+    """A pair holds the number of a title's kind on each side, not what was parsed of it."""
+    df = spark.createDataFrame([("R", f"R-{i}", i, "Acme", None, t, None, 1) for i, t in enumerate(["Data Scientist", "Java Backend Developer", None])], CAND)
+    sides, side = [], resolve._side
+    monkeypatch.setattr(resolve, "_side", lambda rows, x: sides.append(rows) or side(rows, x))
+    got = resolve.entity_pairs(tables.stored(resolve.signatures(df)[1]))
+    assert [r.schema["p"].dataType.simpleString() for r in sides] == ["int", "int"]
+    assert {(r.a, r.b): r.reason for r in got.collect()} == {(0, 1): "DISTINCT_ROLES_SAME_COMPANY_NAME", (0, 2): "STRONG_IDENTITY_MATCH", (1, 2): "STRONG_IDENTITY_MATCH"}
