@@ -6,16 +6,19 @@
    the text, as no frequent phrase crosses them. A phrase is an interval in both. Its words to the right are the symbols of its
    interval in the reversed index, those to the left the symbols of its interval in the other one (``_extended``).
 3. Depth by depth (``phrases``): shards extend the phrases that are frequent over all shards by a word to the right, as far as the phrase without
-   its first word is frequent too, which a step to the left from that one tells. Counts are summed over shards; what has ``least``
-   occurrences gets an id, and each shard is told those of its own phrases. So a phrase that is rare in every shard but frequent in
-   all is found, and what a shard sends is bounded by its words.
+   its first word is frequent too, which a step to the left from that one tells (``_deeper``). Counts are summed over shards; what has
+   ``least`` occurrences gets an id, and each shard is told those of its own phrases (``_told``). So a phrase that is rare in every shard
+   but frequent in all is found.
+4. What a shard sends of one depth is bounded by its words, however many phrases are frequent: phrases are dealt by a hash over parts, as
+   many as the occurrences to count ask for, and a shard sends one packed block of ids and counts to each part. Where a phrase stands
+   in the index is not sent: a shard works its own phrases out again and is told by their places in its blocks which are frequent.
 
 Nothing of the size of a vocabulary or of all phrases is held by the driver or one task: a task holds one shard, with its own words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldproof.llm.kit import Words, discard, pieces, stored, union_all
+from fieldproof.llm.kit import Words, discard, mix64, pieces, stored, union_all
 
 #: Words of a shard, about.
 SHARD = 1 << 20
+#: Occurrences of phrases that one part counts, at most about: a task holds a part.
+PART = 1 << 22
 #: Fixed values of the contract: longest phrase, fewest occurrences, rows of a language.
 DEPTH, LEAST, FIRST = 5, 100, 2000
 
@@ -217,48 +222,138 @@ class _Index:
         return new_lo[ok], new_back[ok], n[ok], starts_with[ok], ends_with[new_lo[ok]]
 
 
-_FOUND = "shard long, lo int, lo_back int, n int, first long, last long"
+def _blocked(*columns: np.ndarray) -> bytes:
+    """Columns of numbers from 0 on, equally long, as compressed bytes: the lowest byte of every number, then the next one, as many as are used."""
+    raw = b""
+    for x in columns:
+        width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+        raw += bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return np.array([len(columns[0]), len(raw)], "<u4").tobytes() + pa.compress(raw, "zstd", asbytes=True)
 
 
-def _found(shard: int, index: _Index, lo: np.ndarray, lo_back: np.ndarray, count: np.ndarray, known: np.ndarray) -> pa.Table:
-    lo, lo_back, n, first, last = index.extended(lo, lo_back, count)
-    return pa.table([pa.array(np.full(len(lo), shard)), *(pa.array(x.astype(np.int32)) for x in (lo, lo_back, n)), pa.array(known[first]), pa.array(known[last])], ["shard", "lo", "lo_back", "n", "first", "last"])
+def _unblocked(data: bytes) -> list[np.ndarray]:
+    size, length = np.frombuffer(data, "<u4", 2).tolist()
+    raw, at, out = np.frombuffer(pa.decompress(data[8:], length, "zstd"), np.uint8), 0, []
+    while at < length:
+        width = int(raw[at])
+        x = np.zeros((size, 8), np.uint8)
+        x[:, :width] = raw[at + 1 : at + 1 + width * size].reshape(width, size).T
+        out.append(x.view("<i8").ravel())
+        at += 1 + width * size
+    return out
+
+
+_INDEX = "shard long, left binary, right binary, ids binary"
+_BLOCKS = "shard long, part int, block binary"
+_TOLD = "shard long, part int, kept binary, id array<long>, first array<long>, last array<long>, f array<long>"
 
 
 def _built(shards: DataFrame, known: DataFrame) -> DataFrame:
-    """(shard, left, right): the transforms of shards over their frequent words, which are (shard, at, id)."""
+    """(shard, left, right, ids): the transforms of shards over their frequent words, which are (shard, at, id), and the ids of those."""
 
     def build(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not right.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.binary())], ["shard", "left", "right"])
+            return pa.table([pa.array([], pa.int64()), *(pa.array([], pa.binary()) for _ in range(3))], ["shard", "left", "right", "ids"])
         ids = np.frombuffer(left.column("ids")[0].as_py(), np.int32)
-        at = right.column("at").to_numpy()
+        right = right.sort_by("id")  # words have the same order in all shards
         local = np.zeros(int(ids.max()) + 1, np.int32)
-        local[np.sort(at)] = np.arange(1, len(at) + 1)
+        local[right.column("at").to_numpy()] = np.arange(1, right.num_rows + 1)
         ids = local[ids]
         keep = np.concatenate([[bool(ids[0])], (ids[1:] > 0) | (ids[:-1] > 0)])  # one break is enough
         index = _Index.of(ids[keep])
-        return pa.table([pa.array([key[0].as_py()]), *(pa.array([_packed(x)], pa.binary()) for x in (index.left, index.right))], ["shard", "left", "right"])
+        known = _blocked(np.diff(right.column("id").to_numpy(), prepend=0))
+        return pa.table([pa.array([key[0].as_py()]), *(pa.array([x], pa.binary()) for x in (_packed(index.left), _packed(index.right), known))], ["shard", "left", "right", "ids"])
+
+    return shards.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(build, _INDEX)
+
+
+def _dealt(first: np.ndarray, last: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of phrases by part and then by their ids, and where the parts begin in it."""
+    part = (mix64(first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + last.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((last, first, part))
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def _blocks(row: dict, told: list[dict[int, bytes]], parts: list[int]) -> Iterator[tuple[int, bytes]]:
+    """(part, block) of a shard's phrases of ``len(parts)`` + 1 words; ``told`` has for each shorter length but 1 what parts told of the shard's blocks."""
+    index = _Index(_unpacked(row["left"]), _unpacked(row["right"]))
+    word, lo, count = index.words()
+    back, known = lo, np.cumsum(_unblocked(row["ids"])[0])[word - 1]
+    for depth, number in enumerate(parts):
+        lo, back, count, first, last = index.extended(lo, back, count)
+        first, last = known[first], known[last]
+        order, start = _dealt(first, last, number)
+        if depth < len(told):
+            kept = [(start[p], *_unblocked(x)) for p, x in told[depth].items()]
+            if not kept:
+                return
+            rows = order[np.concatenate([begin + np.cumsum(step) for begin, step, _ in kept])]
+            by = np.argsort(lo[rows])
+            known, rows = np.concatenate([ids for *_, ids in kept])[by], rows[by]
+            lo, back, count = lo[rows], back[rows], count[rows]
+    for p in np.flatnonzero(np.diff(start)).tolist():
+        of = order[start[p] : start[p + 1]]
+        yield p, _blocked(np.diff(first[of], prepend=0), last[of], count[of])
+
+
+def _deeper(index: DataFrame, told: list[DataFrame], parts: list[int]) -> DataFrame:
+    """Blocks of the phrases of ``len(parts)`` + 1 words found in shards; ``told`` of the phrases of 2, 3, ... words, all shorter ones."""
+
+    def table(shard: int, found: Iterable[tuple[int, bytes]]) -> pa.Table:
+        found = list(found)
+        return pa.table([pa.array([shard] * len(found), pa.int64()), pa.array([p for p, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["shard", "part", "block"])
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (row,) = batch.slice(i, 1).to_pylist()
+                yield from table(row["shard"], _blocks(row, [], parts)).to_batches()
 
-    return shards.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(build, "shard long, left binary, right binary")
+    def go(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        kept: list[dict[int, bytes]] = [{} for _ in parts[1:]]
+        for r in right.to_pylist():
+            kept[r["depth"]][r["part"]] = r["kept"]
+        return table(key[0].as_py(), _blocks(left.to_pylist()[0], kept, parts) if left.num_rows else [])
 
+    if not told:
+        return index.mapInArrow(start, _BLOCKS)
+    known = union_all([t.where("shard is not null").select("shard", F.lit(depth).alias("depth"), "part", "kept") for depth, t in enumerate(told)])
+    return index.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(go, _BLOCKS)
 
-def _deeper(index: DataFrame, known: DataFrame, words: bool = False) -> DataFrame:
-    """Phrases found in shards, longer by one word than those given as (shard, lo, lo_back, n, id); with ``words`` as (shard, at, id)."""
 
-    def go(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], pa.int64()), *(pa.array([], pa.int32()) for _ in range(3)), pa.array([], pa.int64()), pa.array([], pa.int64())], ["shard", "lo", "lo_back", "n", "first", "last"])
-        ix = _Index(*(_unpacked(left.column(c)[0].as_py()) for c in ("left", "right")))
-        if words:
-            right = right.sort_by("at")
-            word, lo, count = ix.words()
-            return _found(key[0].as_py(), ix, lo, lo, count, right.column("id").to_numpy()[word - 1])
-        right = right.sort_by("lo")
-        lo, lo_back, count = (right.column(c).to_numpy().astype(np.int64) for c in ("lo", "lo_back", "n"))
-        return _found(key[0].as_py(), ix, lo, lo_back, count, right.column("id").to_numpy())
+def _told(blocks: DataFrame, parts: int, least: int) -> DataFrame:
+    """Phrases with ``least`` occurrences over all shards: for each part a row (id, first, last, f) of lists without a shard, and for each
+    shard and part that holds some a row (shard, part, kept) with their places in the shard's block and their ids.
+
+    A phrase has one entry for each shard that holds it, so parts are even however often one occurs.
+    """
 
-    return index.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(go, _FOUND)
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        part, shards = key[0].as_py(), table.column("shard").to_pylist()
+        got = [_unblocked(x.as_py()) for x in table.column("block")]
+        first, last, n = np.concatenate([np.cumsum(x[0]) for x in got]), np.concatenate([x[1] for x in got]), np.concatenate([x[2] for x in got])
+        begin = np.cumsum([0, *(len(x[0]) for x in got)])
+        del got
+        if int(first.max()) >> 31 or int(last.max()) >> 32:
+            order = np.lexsort((last, first))
+        else:
+            order = np.argsort(first << 32 | last)
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(first[order]) != 0) | (np.diff(last[order]) != 0)]))
+        f = np.add.reduceat(n[order], new)
+        often = np.flatnonzero(f >= least)
+        ids = np.arange(len(often)) * parts + part  # unlike those of other parts, and small
+        size = np.diff(np.append(new, len(order)))[often]
+        at = order[np.repeat(new[often] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        by = np.argsort(at)
+        at, of = at[by], np.repeat(ids, size)[by]
+        cut = np.searchsorted(at, begin)
+        rows = [{"shard": shards[i], "part": part, "kept": _blocked(np.diff(at[a:b] - begin[i], prepend=0), of[a:b])} for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
+        head = order[new[often]]
+        lists = {"id": ids, "first": first[head], "last": last[head], "f": f[often]}
+        rows.append({"part": part} | {k: x.tolist() for k, x in lists.items()})
+        return pa.Table.from_pylist(rows, pa.schema([("shard", pa.int64()), ("part", pa.int32()), ("kept", pa.binary()), *((k, pa.list_(pa.int64())) for k in lists)]))
+
+    return blocks.groupBy("part").applyInArrow(count, _TOLD)
 
 
 def _frequent(rows: DataFrame, by: list[str], count: str, least: int) -> DataFrame:
@@ -286,26 +381,28 @@ def phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     vocabulary = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select("shard", "lang", (F.col("at") + 1).alias("at"), F.col("w.words").alias("word"), F.col("w.counts").alias("k"))
     totals = stored(shards.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, k: a + k)).alias("n")))
     words = stored(_frequent(vocabulary, ["lang", "word"], "k", least).select("shard", "at", "lang", "word", "f", "id", "head"))
+    # ids count rows of each partition; across partitions they are as small as there are rows
+    partitions = (words.agg(F.max(F.shiftright("id", 33))).first()[0] or 0) + 1
+    words = words.withColumn("id", F.col("id").bitwiseAND((1 << 33) - 1) * partitions + F.shiftright("id", 33))
     level = words.where("head").select("id", "lang", F.array("word").alias("words"), F.array("f").alias("fs"), F.array("f").alias("ls"), "f")
-    known = words.select("shard", "at", "id")
-    index = stored(_built(shards.select("shard", "ids"), known))
-    found, out = stored(_deeper(index, known, words=True)), []
+    index = stored(_built(shards.select("shard", "ids"), words.select("shard", "at", "id")))
     discard(shards)
+    told: list[DataFrame] = []
+    parts: list[int] = []
+    out = []
     for k in range(2, depth + 1):
-        told = stored(_frequent(found, ["first", "last"], "n", least))
-        often = told.where("head").select("id", "first", "last", "f")
+        # a phrase has no more occurrences than its first part, so a part has no more than PART entries, about
+        parts.append(max(1, -(-(level.agg(F.sum("f")).first()[0] or 0) // PART)))
+        told.append(stored(_told(_deeper(index, told, parts), parts[-1], least)))
+        often = told[-1].where("shard is null").select(F.inline(F.arrays_zip("id", "first", "last", "f")))
         a = level.select(F.col("id").alias("first"), "lang", "words", "fs")
         b = level.select(F.col("id").alias("last"), F.element_at("words", -1).alias("word"), "ls")
         longer = often.join(a.hint("merge"), "first").join(b.hint("merge"), "last")
         longer = stored(longer.select("id", "first", "last", "lang", F.array_append("words", F.col("word")).alias("words"), F.array_append("fs", F.col("f")).alias("fs"), F.array_append("ls", F.col("f")).alias("ls"), "f"))
         if k > 2:
             out.append(_ended(level, longer))
-        if k < depth:
-            longest, found = found, stored(_deeper(index, told.select("shard", "lo", "lo_back", "n", "id")))
-            discard(longest)
-        discard(told)
         level = longer
-    discard(found, index)
+    discard(index, *told)
     out.append(level.select("lang", "words", "fs", "ls", "f", F.lit(False).alias("ended")))
     return union_all(out), totals
 

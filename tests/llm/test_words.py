@@ -201,6 +201,71 @@ def test_collocations(spark, shard):
     assert sorted(got) == plain_collocations(rows, 6, 40)
 
 
+def test_collocations_in_parts(spark, monkeypatch):
+    """The same with counts dealt over many parts."""
+    monkeypatch.setattr(collocations, "PART", 40)
+    rows = speech()
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    got = [tuple(r) for r in collocations.collocations(docs, least=30, first=40, shard=700).collect()]
+    assert sorted(got) == plain_collocations(rows, 30, 40)
+
+
+def test_shards_send_no_more_as_phrases_become_frequent(spark, monkeypatch):
+    """On five times the rows pairs become frequent: what shards send and are told stays a block for each shard and part."""
+    made, stored = [], collocations.stored
+
+    def counted(df):
+        out = stored(df)
+        if "shard" in out.columns:
+            made[-1][-1] += [] if "at" in out.columns else [out.count()]
+        return out
+
+    monkeypatch.setattr(collocations, "stored", counted)
+    rng = random.Random(4)
+    for n in (60, 300):
+        made.append([[]])
+        rows = [(i, " ".join(f"w{rng.randrange(30)}" for _ in range(100)), "en") for i in range(n)]
+        found, _ = collocations.phrases(spark.createDataFrame(rows, SCHEMA).repartition(1), least=20, shard=3000)
+        made[-1].append(found.where(F.size("words") == 2).count())
+    (few, pairs), (more, more_pairs) = made
+    assert pairs < 10 and more_pairs > 800
+    assert len(few) == len(more) and max(few) <= few[0] + 1 and max(more) <= more[0] + 1, made  # shards come first; here there is one part
+
+
+def test_blocks_of_numbers():
+    rng = np.random.default_rng(5)
+    for columns in ([np.zeros(0, np.int64)], [np.array([0, 1 << 62, 255, 256])], [np.sort(rng.integers(0, 1 << 40, 999)), rng.integers(0, 300, 999), np.ones(999, np.int64)]):
+        got = collocations._unblocked(collocations._blocked(*columns))
+        assert [x.tolist() for x in got] == [x.tolist() for x in columns]
+
+
+@pytest.mark.parametrize("far", [0, 1 << 40])
+def test_counts_of_parts(spark, far):
+    """Counts of phrases over shards, and which of a shard's phrases they tell; ids beyond 32 bits as well."""
+    rng = np.random.default_rng(7)
+    rows, sent, parts = [], {}, 3
+    for shard in range(6):
+        pairs = np.unique(rng.integers(0, 9, (40, 2)), axis=0) + far
+        n = rng.integers(1, 5, len(pairs))
+        order, start = collocations._dealt(pairs[:, 0], pairs[:, 1], parts)
+        for p in range(parts):
+            of = order[start[p] : start[p + 1]]
+            sent[shard, p] = [(*map(int, pairs[i]), int(n[i])) for i in of]
+            rows.append((shard, p, bytearray(collocations._blocked(np.diff(pairs[of, 0], prepend=0), pairs[of, 1], n[of]))))
+    counts = Counter()
+    for found in sent.values():
+        for a, b, k in found:
+            counts[a, b] += k
+    got = collocations._told(spark.createDataFrame(rows, collocations._BLOCKS), parts, 10).collect()
+    often = {i: (a, b, f) for r in got if r.shard is None for i, a, b, f in zip(r.id, r["first"], r["last"], r.f, strict=True)}
+    assert {(a, b): f for a, b, f in often.values()} == {pair: f for pair, f in counts.items() if f >= 10}
+    told = {(r.shard, r.part): collocations._unblocked(bytes(r.kept)) for r in got if r.shard is not None}
+    for key, found in sent.items():
+        want = [(at, a, b) for at, (a, b, _) in enumerate(found) if counts[a, b] >= 10]
+        step, ids = told.get(key, (np.zeros(0, np.int64),) * 2)
+        assert [(at, *often[i][:2]) for at, i in zip(np.cumsum(step).tolist(), ids.tolist(), strict=True)] == want
+
+
 def test_no_collocations(spark):
     docs = spark.createDataFrame([(1, "a b c", "en"), (2, None, None)], SCHEMA)
     assert collocations.collocations(docs).collect() == [] and collocations.collocations(docs.limit(0)).collect() == []
