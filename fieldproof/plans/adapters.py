@@ -127,15 +127,27 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_key(line: DataFrame) -> Column:
+    """The number that a line is known by, in order of its order. A long where that of every line fits, as it does up to 9 million orders; else all
+    are decimals of the same value."""
+    parts = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_partkey")
+    add = lambda a, x, b: F.try_add(F.try_multiply(a, F.lit(x)), b)
+    made = lambda o, n, s, p: add(add(add(o, 10, n), 100_000, s), 1_000_000, p)
+    short, exact = made(*parts), made(*(c.cast("decimal(20,0)") for c in parts)).cast("decimal(38,0)")
+    fits = line.where(short.isNull() & exact.isNotNull()).isEmpty()
+    return short if fits else exact
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One candidate for each lineitem, for entity resolution: (run_id, record_id, ingest_seq, entity_name, url, role, location, confidence, Size, Type)."""
+    """One candidate for each lineitem, for entity resolution: (run_id, record_id, ingest_seq, entity_name, url, role, location, confidence, Size, Type).
+    Ids are those of ``line_key``."""
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     o, n, s = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")
     own = F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string"), pick(SUFFIXES, o))
     name = F.when(F.pmod(F.col("l_partkey"), F.lit(101)) == 7, pick(GENERIC_NAMES, o)).otherwise(own)
     url = F.when(F.pmod(o, F.lit(10)) < 7, F.lit("https://www.linkedin.com/company/x")).otherwise(F.concat(F.lit("https://careers.supplier"), F.pmod(s, F.lit(3)).cast("string"), F.lit(".com/jobs")))
     off = F.pmod(o * 7 + n, F.lit(97)) == 0
-    key = ((o * 10 + n) * 100_000 + s) * 1_000_000 + F.col("l_partkey")
+    key = line_key(line)
     return line.join(part, line["l_partkey"] == part["p_partkey"]).select(
         run_of(F.floor(o / 32)).alias("run_id"), key.alias("record_id"), key.alias("ingest_seq"), name.alias("entity_name"), url.alias("url"),
         pick([TITLES[0], TITLES[1], TITLES[2], None], F.floor(o / 2)).alias("role"), pick(["Bangalore", "Chennai", None], n.cast("long")).alias("location"), F.round(F.col("l_discount") * 100).cast("int").alias("confidence"),

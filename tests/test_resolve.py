@@ -367,3 +367,46 @@ def test_pairs_carry_kinds_of_titles(spark, monkeypatch):
     got = resolve.entity_pairs(tables.stored(resolve.signatures(df)[1]))
     assert [r.schema["p"].dataType.simpleString() for r in sides] == ["int", "int"]
     assert {(r.a, r.b): r.reason for r in got.collect()} == {(0, 1): "DISTINCT_ROLES_SAME_COMPANY_NAME", (0, 2): "STRONG_IDENTITY_MATCH", (1, 2): "STRONG_IDENTITY_MATCH"}
+
+
+NEAR = "/root/testdata/sf0.001"
+FAR = 54_009_600  # leaves what the views pick by the order's number as it was
+
+
+@pytest.fixture(scope="module")
+def far(spark, tmp_path_factory):
+    """The smallest tables, but with the later half of the orders far up, as in tables of 54 million orders; ids move alike."""
+    from fieldproof.plans import adapters
+
+    path = str(tmp_path_factory.mktemp("far"))
+    moved = F.when(F.col("l_orderkey") >= 700, F.col("l_orderkey") + FAR).otherwise(F.col("l_orderkey"))
+    adapters.table(spark, NEAR, "lineitem").withColumn("l_orderkey", moved).write.parquet(f"{path}/lineitem.parquet")
+    adapters.table(spark, NEAR, "part").write.parquet(f"{path}/part.parquet")
+    return path
+
+
+def _up(row, *ids):
+    return tuple(int(v) + FAR * 10**12 * (v >= 700 * 10**12) if c in ids else v for c, v in row.asDict().items())
+
+
+def _same_far(spark, far, name, *ids):
+    from fieldproof.plans import queries
+
+    want = sorted(_up(r, *ids) for r in queries.REGISTRY[name](spark, NEAR).collect())
+    got = sorted(tuple(r) for r in queries.REGISTRY[name](spark, far).collect())
+    assert got == want and any(r[0] > 2**63 for r in got) and any(r[0] < 2**63 for r in got)
+
+
+def test_merge_records_of_many_orders(spark, far):
+    _same_far(spark, far, "merge_records", "cluster", "record_id", "base_record_id")
+
+
+def test_keys_are_longs_where_they_fit(spark):
+    from fieldproof.plans import adapters
+
+    kind = lambda *rows: (lambda df: df.select(adapters.line_key(df).alias("k")))(spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long"))
+    last = kind((9_223_372, 0, 36_854, 775_807), (1, 2, None, 3))
+    assert last.schema["k"].dataType.simpleString() == "bigint" and {r.k for r in last.collect()} == {2**63 - 1, None}
+    more = kind((9_223_372, 0, 36_854, 775_808), (1, 2, 3, 4), (10**18, 7, 10**18, 5), (1, 2, None, 3))
+    assert more.schema["k"].dataType.simpleString() == "decimal(38,0)"
+    assert {r.k for r in more.collect()} == {2**63, 12 * 10**11 + 3 * 10**6 + 4, (10**19 + 7) * 10**11 + 10**24 + 5, None}
