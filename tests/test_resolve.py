@@ -410,3 +410,7 @@ def test_keys_are_longs_where_they_fit(spark):
     more = kind((9_223_372, 0, 36_854, 775_808), (1, 2, 3, 4), (10**18, 7, 10**18, 5), (1, 2, None, 3))
     assert more.schema["k"].dataType.simpleString() == "decimal(38,0)"
     assert {r.k for r in more.collect()} == {2**63, 12 * 10**11 + 3 * 10**6 + 4, (10**19 + 7) * 10**11 + 10**24 + 5, None}
+
+
+def test_merge_evidence_of_many_orders(spark, far):
+    _same_far(spark, far, "merge_evidence", "cluster", "record_id")
