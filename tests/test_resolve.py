@@ -414,3 +414,7 @@ def test_keys_are_longs_where_they_fit(spark):
 
 def test_merge_evidence_of_many_orders(spark, far):
     _same_far(spark, far, "merge_evidence", "cluster", "record_id")
+
+
+def test_conflicts_of_many_orders(spark, far):
+    _same_far(spark, far, "conflicts", "cluster")
